@@ -68,37 +68,64 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> Itera
         at = to
 
 
-def word_hashes(texts: pa.Array | pa.ChunkedArray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, and where each text's words begin (one entry more than texts).
-
-    Null texts have no words.
-    """
+def _words(texts: pa.Array | pa.ChunkedArray, between: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The texts' offsets, and for each block its place, the running sums of its bytes, and where its words start and stop."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+
+    def pieces() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for lo, hi in _pieces(data, offsets, between) if len(texts) else ():
+            piece = _LOWER[data[lo:hi]]
+            inside = ~between[piece]
+            edges = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
+            first = np.zeros(len(piece) + 1, dtype=bool)
+            first[edges] = True
+            first[0] = first[-1] = True
+            start, stop = inside.copy(), inside.copy()
+            start[1:] &= ~inside[:-1] | first[1:-1]
+            stop[:-1] &= ~inside[1:] | first[1:-1]
+            sums = np.zeros(len(piece) + 1, dtype=U)
+            np.cumsum((piece.astype(U) + U(1)) * _power(MULTIPLIER, len(piece)), out=sums[1:])
+            yield lo, sums, np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+    return offsets, pieces()
+
+
+def word_hashes(texts: pa.Array | pa.ChunkedArray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased, and where each text's words begin (one entry more than texts).
+
+    Null texts have no words.
+    """
+    offsets, pieces = _words(texts, between)
     hashes, begins = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for lo, hi in _pieces(data, offsets, between) if len(texts) else ():
-        piece = _LOWER[data[lo:hi]]
-        inside = ~between[piece]
-        edges = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
-        first = np.zeros(len(piece) + 1, dtype=bool)
-        first[edges] = True
-        first[0] = first[-1] = True
-        start, stop = inside.copy(), inside.copy()
-        start[1:] &= ~inside[:-1] | first[1:-1]
-        stop[:-1] &= ~inside[1:] | first[1:-1]
-        starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        sums = np.zeros(len(piece) + 1, dtype=U)
-        np.cumsum((piece.astype(U) + U(1)) * _power(MULTIPLIER, len(piece)), out=sums[1:])
-        own = (sums[stops] - sums[starts]) * _power(INVERSE, len(piece))[starts]
+    for lo, sums, starts, stops in pieces:
+        own = (sums[stops] - sums[starts]) * _power(INVERSE, len(sums) - 1)[starts]
         hashes.append(mix(own + (stops - starts).astype(U)))
         begins.append(starts + lo)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
 
 
+def prefix_hashes(texts: pa.Array | pa.ChunkedArray, sizes: tuple[int, ...], between: np.ndarray = PUNCTUATION) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each size the hashes of all words' first bytes, and where each text's words begin.
+
+    A word shorter than the size is hashed with its end, so ``scum`` is not ``scumble``.
+    """
+    offsets, pieces = _words(texts, between)
+    hashes: list[list[np.ndarray]] = [[np.zeros(0, U)] for _ in sizes]
+    begins = [np.zeros(0, np.int64)]
+    for lo, sums, starts, stops in pieces:
+        back = _power(INVERSE, len(sums) - 1)[starts]
+        for out, size in zip(hashes, sizes, strict=True):
+            ends = np.minimum(starts + size, stops)
+            out.append(mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(U) + np.where(stops - starts < size, U(1 << 32), U(0))))
+        begins.append(starts + lo)
+    return [np.concatenate(h) for h in hashes], np.searchsorted(np.concatenate(begins), offsets)
+
+
 def windows(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words; of the whole sequence if it is shorter; none of nothing."""
     if not len(words):
