@@ -10,8 +10,14 @@ candidates; every candidate is confirmed on the two full sets.
 
 Cost is linear in the documents. Documents with one and the same set are one class
 from the start. Within a bucket, members are tested against a few hubs, not against
-each other; only what stays apart from the bucket's main component is tested
-further (``_unfinished``), which keeps a bucket's links whole without its pairs.
+each other. What then is apart from the bucket's main component is tested against
+all its members if it is little, else the bucket takes more hubs, four times as many
+in each round. From the first round it is known how each member's set differs from
+its bucket's pivot, as signatures of 512 bits; they bound the similarity of two
+members, and pairs that can't reach the limit are never made. So a bucket's links
+stay whole without its pairs, in a few rounds.
+Texts of documents that share a bucket are set apart once and only these are read
+to confirm pairs.
 
 Sets hold 64-bit hashes of shingles; a wrong verdict needs hashes of two different
 shingles of one pair to be equal, about 1e-13 for texts of 1,000 words.
@@ -29,7 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldgraph.llm.components import connected
@@ -40,8 +46,13 @@ SHINGLE = 2
 BANDS = 40
 ROWS = 6
 SIMILARITY = 80
-#: A bucket whose members outside its main component are no more than this is finished pair by pair.
+#: In round i a bucket takes about HUBS * GROWTH**i hubs, and is finished pair by pair if no more than APART * GROWTH**i members are outside its main component.
+HUBS = 2
 APART = 32
+GROWTH = 4
+#: 64-bit words of a signature.
+SIGNATURE = 8
+MEMBER = ("id", "n", "label", "pivot_n", "shared", "more", "less")
 
 _ROUND_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -93,47 +104,85 @@ def _sketched(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _signature(elements: np.ndarray) -> list[int]:
+    """512 bits, one of them set for each element."""
+    bits = np.zeros(64 * SIGNATURE, dtype=np.uint8)
+    bits[(mix(elements) % U(64 * SIGNATURE)).astype(np.intp)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) with the size of their full sets' intersection, whether they are similar enough, and signatures of what only one of them has."""
+    fields = "a long, b long, n_a long, n_b long, shared long, linked boolean, only_a array<long>, only_b array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks([batch], "text_a", 4 << 20):
-                a, b = shingle_sets(part.column("text_a"), shingle), shingle_sets(part.column("text_b"), shingle)
-                keep = []
-                for x, y in zip(a, b, strict=True):
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(both > 0 and 100 * both >= similarity * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                rows: list[tuple] = []
+                for x, y in zip(shingle_sets(part.column("text_a"), shingle), shingle_sets(part.column("text_b"), shingle), strict=True):
+                    in_y, in_x = np.isin(x, y, assume_unique=True), np.isin(y, x, assume_unique=True)
+                    both = int(in_y.sum())
+                    rows.append((len(x), len(y), both, both > 0 and 100 * both >= similarity * (len(x) + len(y) - both), _signature(x[~in_y]), _signature(y[~in_x])))
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[f.split()[0] for f in fields.split(", ")])
 
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, fields)
 
 
-def _size_fits(similarity: int) -> F.Column:
-    return (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
+def _bits(words: Column) -> Column:
+    return F.aggregate(F.transform(words, lambda w: F.bit_count(w)), F.lit(0), lambda s, x: s + x)
 
 
-def _pairs(left: DataFrame, right: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of one band between members that no link joins yet and whose set sizes allow one."""
-    a = left.select("band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    b = right.select("band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    fits = (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    return a.join(b, "band").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _possible(similarity: int) -> Column:
+    """Whether two members can be similar enough by what is known of their set sizes and of their differences from the band's pivot.
+
+    With c the pivot's set, x and y share what c has but for what x or y lacks, and
+    what both have besides: both numbers are bounded by the signatures' bits.
+    """
+    size = 100 * F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y")
+    inside = F.col("pivot_n_x") - _bits(F.zip_with("less_x", "less_y", lambda p, q: p.bitwiseOR(q)))
+    besides = lambda p, q: F.col(f"n_{p}") - F.col(f"shared_{p}") - _bits(F.zip_with(f"more_{p}", f"more_{q}", lambda u, v: u.bitwiseAND(F.bitwise_not(v))))
+    most = inside + F.least(besides("x", "y"), besides("y", "x"))
+    return size & F.coalesce(100 * most >= similarity * (F.col("n_x") + F.col("n_y") - most), F.lit(True))
 
 
-def _hubs(members: DataFrame) -> DataFrame:
-    """Two members of each band, the least and the greatest by hash: similar bands choose the same ones."""
-    order = F.struct(F.xxhash64("id").alias("h"), "id", "n", "label")
-    ends = members.groupBy("band").agg(F.min(order).alias("x"), F.max(order).alias("y"))
-    return ends.select("band", F.explode(F.array("x", "y")).alias("hub")).select("band", "hub.id", "hub.n", "hub.label").distinct()
+def _pairs(left: DataFrame, right: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of one band between members that no link joins yet and that may be similar enough."""
+    side = lambda df, x: df.select("band", *[F.col(c).alias(f"{c}_{x}") for c in MEMBER])
+    fits = (F.col("label_x") != F.col("label_y")) & _possible(similarity)
+    return side(left, "x").join(side(right, "y"), "band").filter(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
+def _with_differences(members: DataFrame, hubs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Members with what is known of the least hub of their band, their pivot: its size, what they share, and signatures of what they have more and less."""
+    pivots = hubs.groupBy("band").agg(F.min("id").alias("pivot"))
+    ends = members.select("band", "id", "n", "label").join(pivots, "band").withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")})
+    own, first = F.col("id") == F.col("pivot"), F.col("id") == F.col("a")
+    none = F.array_repeat(F.lit(0).cast("long"), SIGNATURE)
+    pick = lambda mine, other: F.when(first, F.col(mine)).otherwise(F.col(other))
+    known = {
+        "pivot_n": F.when(own, F.col("n")).otherwise(pick("n_b", "n_a")), "shared": F.when(own, F.col("n")).otherwise(F.col("shared")),
+        "more": F.when(own, none).otherwise(pick("only_a", "only_b")), "less": F.when(own, none).otherwise(pick("only_b", "only_a")),
+    }
+    return ends.join(tested.drop("linked"), ["a", "b"], "left").withColumns(known).select("band", *MEMBER)
+
+
+def _hubs(members: DataFrame, few: int, turn: int) -> DataFrame:
+    """About ``few`` members of each band, one at least. Similar bands choose the same ones, and no window sorts a band."""
+    order = F.xxhash64("id", F.lit(turn))
+    sizes = members.groupBy("band").agg(F.count("*").alias("size"), F.min(order).alias("least"))
+    sized = members.join(sizes, "band")
+    chosen = (order == F.col("least")) | (F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.ceil(F.col("size") / few))) == 0)
+    return sized.filter(chosen).select("band", *MEMBER)
 
 
 def _unfinished(members: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
     """Members but for the hubs, which are through with their bands, of bands that more than one component shares."""
     rest = members.drop("label").join(hubs.select("band", "id"), ["band", "id"], "left_anti")
-    rest = rest.join(labels, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
+    rest = rest.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).select("band", *MEMBER)
     sizes = rest.groupBy("band", "label").agg(F.countDistinct("id").alias("size"))
     bands = sizes.groupBy("band").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("main"))
     bands = bands.filter("all > main.size").select("band", F.col("main.label").alias("main"), (F.col("all") - F.col("main.size")).alias("apart"))
@@ -141,44 +190,47 @@ def _unfinished(members: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataF
 
 
 def links(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sketched documents, classes of two and more equal sets, confirmed links between class representatives).
+    """(sketched documents, classes of two and more equal sets, components of class representatives).
 
-    The links join exactly those representatives that a chain of similar pairs
-    joins, as far as the bands propose them: at the default 40 bands of 6, a pair of
-    similarity 0.8 is missed once in 200,000 times.
+    The components are those of the graph of similar pairs, as far as the bands
+    propose them: at the default 40 bands of 6, a pair of similarity 0.8 is missed
+    once in 200,000 times.
     """
     base = stored(_sketched(docs, shingle, bands, rows), "sketches")
     known = base.filter("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = stored(classes.filter("copies > 1").drop("copies"), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     alone = known.join(classes, ["set_a", "set_b"], "left").filter("class_id is null or class_id = doc_id")
     bucketed = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     crowded = bucketed.groupBy("band").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("band")
-    members = stored(bucketed.join(crowded, "band", "left_semi").withColumn("label", F.col("id")), "members")
-    hubs = stored(_hubs(members), "hubs")
-    pairs = _pairs(members, hubs, similarity)
-    tested, found = [], []
+    unknown = {"pivot_n": "long", "shared": "long", "more": "array<long>", "less": "array<long>"}
+    fresh = {"label": F.col("id")} | {k: F.lit(None).cast(t) for k, t in unknown.items()}
+    members = stored(bucketed.join(crowded, "band", "left_semi").withColumns(fresh), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    texts = stored(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    hubs = stored(_hubs(members, HUBS, 0), "hubs")
+    pairs, tested, turn = _pairs(members, hubs, similarity), [], 0
     while True:
         for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested.append(pairs)
-        found.append(stored(_confirmed(pairs, texts, shingle, similarity), "links"))
-        every = reduce(DataFrame.unionByName, found)
-        rest = stored(_unfinished(members, hubs, connected(every)), "members")
+            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
+        tested.append(stored(_measured(stored(pairs, "pairs"), texts, shingle, similarity), "tested"))
+        labels = stored(connected(reduce(DataFrame.unionByName, tested).filter("linked").select("a", "b")), "labels")
+        if turn == 0:
+            members = _with_differences(members, hubs, tested[0])
+        rest = stored(_unfinished(members, hubs, labels), "members")
         if rest.isEmpty():
-            return base, classes, every
-        few, many = rest.filter(F.col("apart") <= APART), rest.filter(F.col("apart") > APART)
-        members = many.select("band", "id", "n", "label")
-        hubs = stored(_hubs(members), "hubs")
+            return base, classes, labels
+        turn += 1
+        most = APART * GROWTH ** (turn - 1)
+        few, many = rest.filter(F.col("apart") <= most), rest.filter(F.col("apart") > most)
+        members = many.select("band", *MEMBER)
+        hubs = stored(_hubs(members, HUBS * GROWTH**turn, turn), "hubs")
         pairs = _pairs(few.filter("label <> main"), few, similarity).unionByName(_pairs(members, hubs, similarity)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    base, classes, every = links(docs, shingle, bands, rows, similarity)
-    labels = stored(connected(every), "labels")
+    base, classes, labels = links(docs, shingle, bands, rows, similarity)
     known = base.drop("bands").join(classes, ["set_a", "set_b"], "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
     out = known.join(labels, F.col("class_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "class_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
