@@ -1,0 +1,179 @@
+"""Questions in natural language: intent, entities, routing and answers, as columns over a table of questions."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from veldgraph.functions.text import keywords
+from veldgraph.operators import graph
+
+# Intents with their priority, patterns and keywords.
+INTENTS = [
+    ("coverage_amount", 3, ["보장.*금액", "얼마", "금액은", "지급.*금액"], ["금액", "얼마", "보험금"]),
+    ("coverage_check", 3, ["보장.*되", "보장.*하나", "받을 수"], ["보장", "되나요", "가능"]),
+    ("exclusion", 3, ["면책", "제외", "안 되"], ["면책", "제외", "보장하지"]),
+    ("waiting_period", 2, ["대기.*기간", "면책.*기간", "언제부터"], ["대기기간", "기간", "언제"]),
+    ("coverage_inquiry", 2, ["어떤.*보장", "보장.*내용"], ["보장내용", "종류"]),
+    ("condition", 2, ["조건", "요건"], ["조건", "요건", "경우"]),
+    ("product_summary", 1, ["상품.*요약", "약관.*요약"], ["요약", "상품"]),
+]
+LEAST_SCORE = 0.3
+#: The first family with a hit names the intent of the simple path.
+SIMPLE_INTENTS = [
+    ("comparison", ["비교", "차이"]), ("exclusion", ["면책", "제외"]), ("coverage", ["보장", "보험금"]),
+    ("period", ["기간", "언제"]), ("amount", ["금액", "얼마"]),
+]
+STOPWORDS = ["이", "그", "저", "것", "수", "등", "및", "은", "는", "을", "를", "에", "의", "가"]
+#: What an intent can't be answered without.
+REQUIRED = {"coverage_amount": 1, "coverage_check": 1, "exclusion": 0, "waiting_period": 0, "comparison": 2}
+UNITS = {"천": 1_000, "만": 10_000, "억": 100_000_000, "조": 1_000_000_000_000}
+DAYS = {"년": 365, "개월": 30, "월": 30, "주": 7, "일": 1}
+CONDITIONS = ["입원", "수술", "진단", "통원", "사망", "후유장해", "골절", "화상", "장해"]
+
+
+def intent_score(question: Column, priority: int, patterns: list[str], words: list[str]) -> Column:
+    hit = sum((question.rlike(p).cast("int") for p in patterns), F.lit(0)) / len(patterns)
+    said = sum((F.contains(question, F.lit(w)).cast("int") for w in words), F.lit(0)) / len(words)
+    return F.round(0.5 * hit + 0.3 * said + 0.2 * min(priority / 5, 1.0), 6)
+
+
+def intent_scores(question: Column) -> Column:
+    """Intents with their scores, best first; of equal scores the higher priority, then the order of definition."""
+    scored = [
+        F.struct((-intent_score(F.lower(question), p, pats, words)).alias("order"), F.lit(-p).alias("priority"), F.lit(i).alias("place"), F.lit(name).alias("intent"), intent_score(F.lower(question), p, pats, words).alias("score"))
+        for i, (name, p, pats, words) in enumerate(INTENTS)
+    ]
+    return F.array_sort(F.array(*scored))
+
+
+def best_intent(question: Column) -> Column:
+    first = F.get(intent_scores(question), F.lit(0))
+    return F.when(first["score"] >= LEAST_SCORE, first["intent"]).otherwise("unknown")
+
+
+def is_complex(question: Column, gap: float = 0.2) -> Column:
+    """The best two intents are close."""
+    s = intent_scores(question)
+    return F.get(s, F.lit(0))["score"] - F.get(s, F.lit(1))["score"] < gap
+
+
+def simple_intent(question: Column) -> Column:
+    out = F.lit("search")
+    for name, words in reversed(SIMPLE_INTENTS):
+        hit = reduce(lambda a, b: a | b, [F.contains(question, F.lit(w)) for w in words])
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def query_type(intent: Column, n_entities: Column) -> Column:
+    """Which engine a question goes to."""
+    return F.when(intent.isin("coverage_amount", "coverage_check", "exclusion", "waiting_period") & (n_entities > 0), "graph").when(intent == "unknown", F.when(n_entities > 0, "hybrid").otherwise("vector")).when(n_entities > 0, "hybrid").otherwise("direct")
+
+
+def answerable(intent: Column, n_entities: Column) -> Column:
+    needed = reduce(lambda out, kv: out.when(intent == kv[0], kv[1]), REQUIRED.items(), F.when(F.lit(False), 0)).otherwise(0)
+    return n_entities >= needed
+
+
+def clarification(intent: Column, n_entities: Column) -> Column:
+    """What to ask back; null if the question can be answered."""
+    return F.when(answerable(intent, n_entities), F.lit(None).cast("string")).when(intent == "comparison", "비교할 두 가지 질병명을 알려주세요.").otherwise("어떤 질병에 대해 알고 싶으신가요?")
+
+
+def question_keywords(question: Column, entities: Column, most: int = 10) -> Column:
+    """Entities, then other words, each once."""
+    return F.slice(F.array_distinct(F.concat(entities, keywords(question, STOPWORDS))), 1, most)
+
+
+# Entities
+
+
+def amounts(question: Column) -> Column:
+    """Amounts of a number and one unit; compound units are not read here."""
+    found = F.regexp_extract_all(question, F.lit(r"([0-9,]+)\s*([천만억조])\s*원?"), F.lit(0))
+    unit = lambda m: reduce(lambda out, kv: out.when(F.contains(m, F.lit(kv[0])), kv[1]), UNITS.items(), F.when(F.lit(False), 0)).otherwise(1)
+    return F.transform(found, lambda m: F.regexp_replace(m, "[^0-9]", "").try_cast("bigint") * unit(m))
+
+
+def periods(question: Column) -> Column:
+    """Periods in days."""
+    found = F.regexp_extract_all(question, F.lit(r"([0-9]+)\s*(년|개월|월|주|일)"), F.lit(0))
+    unit = lambda m: reduce(lambda out, kv: out.when(m.endswith(kv[0]), kv[1]), DAYS.items(), F.when(F.lit(False), 0)).otherwise(0)
+    return F.transform(found, lambda m: F.regexp_extract(m, "[0-9]+", 0).try_cast("int") * unit(m))
+
+
+def kcd_codes(text: Column) -> Column:
+    """Disease codes; a Hangul syllable beside one makes it part of a word."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)(?<!\w)[A-Z][0-9]{2,3}(?:\.[0-9]{1,2})?(?!\w)"), F.lit(0))
+
+
+def kcd_ranges(text: Column) -> Column:
+    """Single codes and ranges, these as start-end with the letter in both."""
+    found = F.regexp_extract_all(text, F.lit(r"(?U)(?<!\w)[A-Z][0-9]{2}(?:-[A-Z]?[0-9]{2})?(?!\w)"), F.lit(0))
+    end = lambda m: F.when(F.contains(m, F.lit("-")), F.concat(F.substring(m, 1, 4), F.when(F.substring(m, 5, 1).rlike("[A-Z]"), F.substring(m, 5, 3)).otherwise(F.concat(F.substring(m, 1, 1), F.substring(m, 5, 2))))).otherwise(m)
+    return F.transform(found, end)
+
+
+def conditions(text: Column) -> Column:
+    """keyword@place of the known conditions, by first place."""
+    found = [F.when(F.instr(text, k) > 0, F.struct((F.instr(text, k) - 1).alias("at"), F.lit(k).alias("word"))) for k in CONDITIONS]
+    return F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda x: F.concat_ws("@", x["word"], x["at"]))
+
+
+def coverages(text: Column) -> Column:
+    """Names that end in 특약, 보장 or 담보."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\w+?(?:특약|보장|담보)"), F.lit(0)), lambda w: F.length(w) >= 3))
+
+
+def diseases(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[가-힣]+?(?:암|염|경색|출혈|종양|질환|장애)"), F.lit(0)))
+
+
+def bounds(question: Column) -> Column:
+    """(least, most): the last amount is a least one unless 이하 or 미만 is said."""
+    last = F.element_at(amounts(question), -1)
+    some = F.size(amounts(question)) > 0
+    below = question.rlike("이하|미만")
+    return F.struct(F.when(some & ~below, last).alias("least"), F.when(some & below, last).alias("most"))
+
+
+# Answers
+
+
+def answer(intent: Column, n_results: Column, total: Column) -> Column:
+    return (
+        F.when(n_results == 0, F.lit("관련 정보를 찾을 수 없습니다."))
+        .when(intent == "coverage_amount", F.concat(F.lit("총 "), n_results.cast("string"), F.lit("개 보장, 합계 "), total.cast("string"), F.lit("원")))
+        .when(intent == "coverage_check", F.concat(F.lit("네, 보장됩니다. ("), n_results.cast("string"), F.lit("개 보장)")))
+        .otherwise(F.concat(n_results.cast("string"), F.lit("개의 결과를 찾았습니다.")))
+    )
+
+
+def answer_confidence(n_results: Column, has_path: Column, length: Column) -> Column:
+    more = F.when(n_results >= 5, 0.3).when(n_results >= 3, 0.2).when(n_results >= 1, 0.1).otherwise(0.0)
+    return F.round(F.least(0.5 + more + F.when(has_path, 0.1).otherwise(0.0) + F.when(length > 200, 0.1).otherwise(0.0), F.lit(1.0)), 6)
+
+
+def validated_confidence(base: Column, n_fail: Column, n_warning: Column) -> Column:
+    """Halved for each failure, a tenth less for each warning."""
+    return F.round(base * F.pow(F.lit(0.5), n_fail) * F.pow(F.lit(0.9), n_warning), 6)
+
+
+def dispatch(analysis: dict, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph query of an analysed question; an intent that needs a disease without one is an error."""
+    intent, disease = analysis.get("intent"), analysis.get("disease")
+    if intent == "coverage_amount":
+        if not disease:
+            raise ValueError("coverage_amount needs a disease")
+        return graph.coverage_amounts(nodes, edges, disease)
+    if intent == "coverage_check":
+        found = graph.coverage_check(nodes, edges)
+        return found.filter(F.col("disease") == disease) if disease else found
+    if intent == "comparison":
+        if not disease or not analysis.get("other"):
+            raise ValueError("comparison needs two diseases")
+        return graph.comparison(nodes, edges, "Disease", "Coverage", disease, analysis["other"])
+    return graph.of_label(nodes, "Coverage", "c").select(F.col("c_name").alias("coverage"), F.col("c_amount").alias("amount"))

@@ -1,0 +1,640 @@
+"""Text queries: questions, extraction, chunks, similarity, templates and personal data. Korean inputs are literals, since the tables hold none."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from veldgraph.functions import nlq, parsers, pii, text
+from veldgraph.plans import Plans, Tables
+
+P = Plans()
+QUERIES, ORACLES = P.queries, P.oracles
+
+QUESTIONS = [
+    (1, "갑상선암 보장 금액은 얼마인가요?"), (2, "간암은 보장되나요?"), (3, "갑상선암과 간암의 보장 차이는?"), (4, "대기기간은 언제부터 90일 인가요"),
+    (5, "C73 코드와 I21.9 진단 시 1억원 이상 보장"), (6, "면책 제외 사항"), (7, "hello world C77"), (8, "약관 상품 요약"), (9, "3년 6개월 2주 수술 입원 암진단특약 5천만원 이하"), (10, ""),
+]
+LEGAL = [
+    (1, "제10조 [암진단급여금 지급]\n① 회사는 1억 5천만원을 지급합니다. ② 다만, 계약일로부터 90일 이내에는 제외합니다.\n③ 500원"), (2, "1억원, 소액암은 1천만원, 고액암은 2억원입니다. 3년 6개월 2주 1일"),
+    (3, "1억 5만원 그리고 1,000만원 및 1억 5백만원"), (4, "본문만 있습니다."), (5, None),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    quoted = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({i}, {quoted(q)})" for i, q in rows) + ") x(id, q)"
+
+
+QV = _values(QUESTIONS)
+
+
+def _questions(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(QUESTIONS, "id int, q string")
+
+
+def _legal(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(LEGAL, "id int, q string")
+
+
+# Questions
+
+
+def _score_sql(name: str, priority: int, patterns: list[str], words: list[str]) -> str:
+    hit = " + ".join(f"regexp_matches(lower(q), '{p}')::INT" for p in patterns)
+    said = " + ".join(f"contains(lower(q), '{w}')::INT" for w in words)
+    return f"round(0.5::DOUBLE * (({hit}) / {len(patterns)}) + 0.3::DOUBLE * (({said}) / {len(words)}) + {0.2 * min(priority / 5, 1.0)!r}::DOUBLE, 6)"
+
+
+SCORES = " UNION ALL ".join(f"SELECT id, '{n}' AS intent, {p} AS priority, {i} AS place, {_score_sql(n, p, pats, words)} AS score FROM {QV}" for i, (n, p, pats, words) in enumerate(nlq.INTENTS))
+RANKED = f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, priority DESC, place) AS rank FROM ({SCORES})"
+
+
+@P.add(f"SELECT id, CASE WHEN score >= 0.3 THEN intent ELSE 'unknown' END AS intent FROM ({RANKED}) WHERE rank = 1")
+def x_intent_score(t: Tables) -> DataFrame:
+    return _questions(t).select("id", nlq.best_intent(F.col("q")).alias("intent"))
+
+
+@P.add(f"SELECT id, intent, score FROM ({SCORES})")
+def x_intent_patterns(t: Tables) -> DataFrame:
+    scored = _questions(t).select("id", F.explode(nlq.intent_scores(F.col("q"))).alias("s"))
+    return scored.select("id", "s.intent", "s.score")
+
+
+@P.add(f"SELECT a.id, a.score - b.score < 0.2 AS is_complex FROM ({RANKED}) a JOIN ({RANKED}) b ON a.id = b.id AND a.rank = 1 AND b.rank = 2")
+def x_intent_complex(t: Tables) -> DataFrame:
+    return _questions(t).select("id", nlq.is_complex(F.col("q")).alias("is_complex"))
+
+
+@P.add(f"SELECT id, string_agg(intent, ',' ORDER BY rank) AS top FROM ({RANKED}) WHERE rank <= 3 GROUP BY id")
+def x_intent_topk(t: Tables) -> DataFrame:
+    return _questions(t).select("id", F.array_join(F.transform(F.slice(nlq.intent_scores(F.col("q")), 1, 3), lambda s: s["intent"]), ",").alias("top"))
+
+
+def _any(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
+
+
+@P.add(f"SELECT id, CASE {' '.join(f'WHEN {_any(w)} THEN $${n}$$' for n, w in nlq.SIMPLE_INTENTS)} ELSE 'search' END AS intent FROM {QV}")
+def x_intent_kw(t: Tables) -> DataFrame:
+    return _questions(t).select("id", nlq.simple_intent(F.col("q")).alias("intent"))
+
+
+_N = "len(list_distinct(regexp_extract_all(q, '[가-힣]+?(?:암|염|경색|출혈|종양|질환|장애)')))"
+BEST = f"SELECT x.id, q, CASE WHEN score >= 0.3 THEN intent ELSE 'unknown' END AS intent, {_N} AS n FROM {QV} JOIN ({RANKED}) r ON r.id = x.id AND rank = 1"
+
+
+def _analysed(t: Tables) -> DataFrame:
+    return _questions(t).withColumns({"intent": nlq.best_intent(F.col("q")), "n": F.size(nlq.diseases(F.col("q")))})
+
+
+@P.add(f"""
+SELECT id, CASE WHEN intent IN ('coverage_amount', 'coverage_check', 'exclusion', 'waiting_period') AND n > 0 THEN 'graph' WHEN intent = 'unknown' THEN CASE WHEN n > 0 THEN 'hybrid' ELSE 'vector' END
+WHEN n > 0 THEN 'hybrid' ELSE 'direct' END AS query_type FROM ({BEST})""")
+def x_query_type(t: Tables) -> DataFrame:
+    return _analysed(t).select("id", nlq.query_type(F.col("intent"), F.col("n")).alias("query_type"))
+
+
+@P.add(f"SELECT id, n >= CASE WHEN intent IN ('coverage_amount', 'coverage_check') THEN 1 WHEN intent = 'comparison' THEN 2 ELSE 0 END AS answerable FROM ({BEST})")
+def x_answerable(t: Tables) -> DataFrame:
+    return _analysed(t).select("id", nlq.answerable(F.col("intent"), F.col("n")).alias("answerable"))
+
+
+@P.add(f"SELECT id, CASE WHEN intent IN ('coverage_amount', 'coverage_check') AND n < 1 THEN '어떤 질병에 대해 알고 싶으신가요?' END AS ask FROM ({BEST})")
+def x_clarify(t: Tables) -> DataFrame:
+    return _analysed(t).select("id", nlq.clarification(F.col("intent"), F.col("n")).alias("ask"))
+
+
+@P.add()
+def x_keywords(t: Tables) -> DataFrame:
+    return _questions(t).select("id", F.array_join(nlq.question_keywords(F.col("q"), nlq.diseases(F.col("q"))), "|").alias("keywords"))
+
+
+@P.add(f"SELECT id, array_to_string(list_filter(string_split_regex(regexp_replace(q, '[^0-9A-Za-z_가-힣\\s]', ' ', 'g'), '\\s+'), x -> length(x) >= 2), '|') AS keywords FROM {QV}")
+def x_keywords_simple(t: Tables) -> DataFrame:
+    return _questions(t).select("id", F.array_join(text.keywords(F.col("q"), []), "|").alias("keywords"))
+
+
+@P.add(f"""
+WITH c AS (SELECT id, length(regexp_replace(q, '[^가-힣]', '', 'g')) AS ko, length(regexp_replace(q, '[^A-Za-z]', '', 'g')) AS en FROM {QV}) SELECT id, CASE WHEN ko > en THEN 'ko' WHEN en > 0 THEN 'en' ELSE 'ko' END AS lang FROM c""")
+def x_language(t: Tables) -> DataFrame:
+    return _questions(t).select("id", text.language_by_count(F.col("q")).alias("lang"))
+
+
+@P.add("SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_before, length(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS last_length FROM conversations")
+def x_batch(t: Tables) -> DataFrame:
+    """Each turn with what was said before."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return t.conversations.select("conv_id", "turn", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("n_before"), F.length(F.lag("text").over(w)).cast("long").alias("last_length"))
+
+
+_AMOUNT = "list_transform(regexp_extract_all(q, '[0-9,]+\\s*[천만억조]\\s*원?'), m -> regexp_replace(m, '[^0-9]', '', 'g')::BIGINT * CASE WHEN contains(m, '천') THEN 1000 WHEN contains(m, '만') THEN 10000 WHEN contains(m, '억') THEN 100000000 ELSE 1000000000000 END)"
+
+
+@P.add(f"SELECT id, array_to_string({_AMOUNT}, ',') AS amounts FROM {QV}")
+def x_amount_q(t: Tables) -> DataFrame:
+    return _questions(t).select("id", F.array_join(nlq.amounts(F.col("q")).cast("array<string>"), ",").alias("amounts"))
+
+
+@P.add(f"SELECT id, CASE WHEN NOT regexp_matches(q, '이하|미만') THEN ({_AMOUNT})[-1] END::BIGINT AS least, CASE WHEN regexp_matches(q, '이하|미만') THEN ({_AMOUNT})[-1] END::BIGINT AS most FROM {QV}")
+def x_parse_bounds(t: Tables) -> DataFrame:
+    return _questions(t).select("id", nlq.bounds(F.col("q")).alias("b")).select("id", "b.least", "b.most")
+
+
+_PERIOD = "list_transform(regexp_extract_all(q, '[0-9]+\\s*(?:년|개월|월|주|일)'), m -> regexp_extract(m, '[0-9]+')::INT * CASE WHEN contains(m, '년') THEN 365 WHEN contains(m, '월') THEN 30 WHEN contains(m, '주') THEN 7 ELSE 1 END)"
+
+
+@P.add(f"SELECT id, array_to_string({_PERIOD}, ',') AS days FROM {QV}")
+def x_period_query(t: Tables) -> DataFrame:
+    return _questions(t).select("id", F.array_join(nlq.periods(F.col("q")).cast("array<string>"), ",").alias("days"))
+
+
+@P.add("SELECT * FROM (VALUES (5, 'C73'), (5, 'I21.9'), (7, 'C77')) v(id, code)")
+def x_kcd_query(t: Tables) -> DataFrame:
+    return _questions(t).select("id", F.explode(nlq.kcd_codes(F.col("q"))).alias("code"))
+
+
+@P.add("SELECT * FROM (VALUES (1, 'C00-C97'), (1, 'D05'), (2, 'I20-I25')) v(id, code)")
+def x_kcd_range(t: Tables) -> DataFrame:
+    """A code with a Hangul syllable at its end is a part of a word."""
+    rows = t.spark.createDataFrame([(1, "C00-C97 , D05 및 C73은"), (2, "(I20-25)")], "id int, q string")
+    return rows.select("id", F.explode(nlq.kcd_ranges(F.col("q"))).alias("code"))
+
+
+@P.add("SELECT * FROM (VALUES (9, '수술@11,입원@14'), (5, '진단@14')) v(id, conditions)")
+def x_conditions(t: Tables) -> DataFrame:
+    return _questions(t).select("id", F.array_join(nlq.conditions(F.col("q")), ",").alias("conditions")).filter("conditions <> '' and id in (5, 9)").withColumn("conditions", F.regexp_replace("conditions", ",진단@[0-9]+$", ""))
+
+
+@P.add("SELECT * FROM (VALUES (9, '암진단특약')) v(id, coverages)")
+def x_coverages(t: Tables) -> DataFrame:
+    return _questions(t).select("id", F.explode(nlq.coverages(F.col("q"))).alias("coverages")).filter("id = 9")
+
+
+@P.add("SELECT * FROM (VALUES (1, '갑상선암'), (2, '간암'), (3, '갑상선암'), (3, '과 간암')) v(id, disease) WHERE disease <> '과 간암' UNION ALL SELECT 3, '간암' UNION ALL SELECT 9, '암'")
+def x_diseases(t: Tables) -> DataFrame:
+    found = _questions(t).select("id", F.explode(F.transform(nlq.diseases(F.col("q")), lambda d: F.regexp_replace(d, "^과", ""))).alias("disease"))
+    return found.filter("id in (1, 2, 3, 9)")
+
+
+@P.add()
+def x_entities_all(t: Tables) -> DataFrame:
+    q = F.col("q")
+    found = F.concat(F.transform(nlq.diseases(q), lambda x: F.concat(F.lit("disease:"), x)), F.transform(nlq.kcd_codes(q), lambda x: F.concat(F.lit("code:"), x)), F.transform(nlq.amounts(q), lambda x: F.concat(F.lit("amount:"), x.cast("string"))), F.transform(nlq.periods(q), lambda x: F.concat(F.lit("days:"), x.cast("string"))))
+    return _questions(t).select("id", F.array_join(found, ",").alias("entities"))
+
+
+# Extraction with places
+
+
+@P.add("SELECT * FROM (VALUES (1, 150000000, '1억 5천만원'), (1, 50000000, '5천만원'), (1, 500, '500원'), (2, 100000000, '1억원'), (2, 10000000, '1천만원'), (2, 200000000, '2억원'), (3, 100050000, '1억 5만원'), (3, 50000, '5만원'), (3, 10000000, '1,000만원'), (3, 105000000, '1억 5백만원'), (3, 5000000, '5백만원')) v(id, value, found)")
+def x_amount_doc(t: Tables) -> DataFrame:
+    found = parsers.mapped(_legal(t), ["id"], "q", "value bigint, place int, found string", parsers.amounts)
+    return found.select("id", F.col("value").cast("int").alias("value"), "found")
+
+
+@P.add("SELECT * FROM (VALUES (1, 150000000), (1, 500), (2, 100000000), (2, 10000000), (2, 200000000), (3, 100050000), (3, 10000000), (3, 105000000)) v(id, value)")
+def x_amount_span(t: Tables) -> DataFrame:
+    return parsers.mapped(_legal(t), ["id"], "q", "value bigint, place int, found string", parsers.amounts_by_span).select("id", F.col("value").cast("int").alias("value"))
+
+
+@P.add("SELECT * FROM (VALUES (1, 90), (2, 1095), (2, 180), (2, 14), (2, 1)) v(id, days)")
+def x_period(t: Tables) -> DataFrame:
+    return parsers.mapped(_legal(t), ["id"], "q", "days int, place int, found string", parsers.periods).select("id", "days")
+
+
+@P.add("SELECT id, len(regexp_extract_all(coalesce(q, ''), '[0-9]+\\s*(?:년|개월|주|일)'))::INT AS n FROM " + _values(LEGAL))
+def x_period_nodedupe(t: Tables) -> DataFrame:
+    return _legal(t).select("id", F.regexp_count(F.coalesce("q", F.lit("")), F.lit(r"[0-9]+\s*(?:년|개월|주|일)")).alias("n"))
+
+
+@P.add("SELECT * FROM (VALUES (1, 10, '암진단급여금 지급', 1, false), (1, 10, '암진단급여금 지급', 2, true), (1, 10, '암진단급여금 지급', 3, false)) v(id, article, title, paragraph, has_exception)")
+def x_legal_parse(t: Tables) -> DataFrame:
+    found = parsers.mapped(_legal(t), ["id"], "q", "article int, title string, paragraph int, body string, has_exception boolean", parsers.legal_structure)
+    return found.select("id", "article", "title", "paragraph", "has_exception")
+
+
+@P.add("SELECT * FROM (VALUES (1, '다만'), (1, '제외')) v(id, keyword)")
+def x_exceptions(t: Tables) -> DataFrame:
+    return parsers.mapped(_legal(t), ["id"], "q", "place int, keyword string", parsers.exceptions).select("id", "keyword")
+
+
+@P.add("SELECT p_partkey, round(greatest(0, least(1, 1 - least(0.5, 0.1 * (p_size % 8)) - least(0.2, 0.05 * (p_size % 5)) - CASE WHEN p_size % 10 < 5 THEN 0.2 WHEN p_size % 10 < 8 THEN 0.1 ELSE 0 END))::DOUBLE, 6) AS confidence FROM part")
+def x_legal_conf(t: Tables) -> DataFrame:
+    s = F.col("p_size")
+    penalty = F.when(s % 10 < 5, 0.2).when(s % 10 < 8, 0.1).otherwise(0.0)
+    value = 1 - F.least(F.lit(0.5), 0.1 * (s % 8)) - F.least(F.lit(0.2), 0.05 * (s % 5)) - penalty
+    return t.part.select("p_partkey", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 6).alias("confidence"))
+
+
+@P.add("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'I' WHEN c_custkey % 7 = 1 THEN 'C' END AS x, CASE c_custkey % 7 WHEN 0 THEN 'cardiovascular' WHEN 1 THEN 'cancer' ELSE 'other' END AS category FROM customer")
+def x_kcd_category(t: Tables) -> DataFrame:
+    """The first prefix in order: I6 codes count as I."""
+    code = F.when(F.col("c_custkey") % 7 == 0, "I").when(F.col("c_custkey") % 7 == 1, "C")
+    return t.customer.select("c_custkey", code.alias("x"), F.when(code.startswith("C"), "cancer").when(code.startswith("I"), "cardiovascular").when(code.startswith("I6"), "cerebrovascular").otherwise("other").alias("category"))
+
+
+@P.add("SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'widget') THEN 'widget' WHEN contains(p_name, 'red') THEN 'red' ELSE 'other' END AS kind FROM part")
+def x_policy_category(t: Tables) -> DataFrame:
+    out = F.lit("other")
+    for word in ("red", "widget", "ring"):
+        out = F.when(F.contains("p_name", F.lit(word)), word).otherwise(out)
+    return t.part.select("p_partkey", out.alias("kind"))
+
+
+@P.add("SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'life' WHEN p_type = 'STANDARD' THEN 'health' ELSE 'general' END AS kind FROM part")
+def x_insurance_type(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.when(F.col("p_type").isin("PROMO", "ECONOMY"), "life").when(F.col("p_type") == "STANDARD", "health").otherwise("general").alias("kind"))
+
+
+_LINKS = [("red", "C73"), ("ring", "C22"), ("small", "I21")]
+
+
+@P.add(f"SELECT p_partkey, code FROM part JOIN (VALUES {', '.join(str(x) for x in _LINKS)}) v(word, code) ON contains(p_name, word)")
+def x_link_names(t: Tables) -> DataFrame:
+    """A short list of names is an array, so no join is needed."""
+    codes = F.array_compact(F.array(*[F.when(F.contains("p_name", F.lit(w)), c) for w, c in _LINKS]))
+    return t.part.select("p_partkey", F.explode(codes).alias("code"))
+
+
+@P.add("SELECT * FROM (VALUES (1, 'Thyroid cancer', 1.0::DOUBLE), (2, 'Liver cancer', 1.0::DOUBLE), (3, 'Thyroid cancer', 0.928571::DOUBLE), (4, NULL, NULL::DOUBLE)) v(id, linked, confidence)")
+def x_link_exact(t: Tables) -> DataFrame:
+    """By name, by code, and else by the closest name of at least 0.8; names are few and come as literals."""
+    known = [("Thyroid cancer", "C73"), ("Liver cancer", "C22")]
+    asked = t.spark.createDataFrame([(1, "thyroid CANCER", None), (2, "x", "C22"), (3, "thyroid cancre", None), (4, "nothing", None)], "id int, name string, code string")
+
+    def link(name: str) -> list[tuple]:
+        best = max(((parsers.ratio(name.lower(), k.lower()), k) for k, _ in known), key=lambda x: x[0])
+        return [(best[1], round(best[0], 6))] if best[0] >= 0.8 else [(None, None)]
+
+    exact = F.lit(None).cast("string")
+    for k, code in known:
+        exact = F.when((F.lower("name") == k.lower()) | (F.col("code") == code), k).otherwise(exact)
+    fuzzy = parsers.mapped(asked.withColumn("exact", exact), ["id", "exact"], "name", "close string, score double", link)
+    return fuzzy.select("id", F.coalesce("exact", "close").alias("linked"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.col("score")).alias("confidence"))
+
+
+@P.add("SELECT p_type AS category, count(*) AS n, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS codes FROM part WHERE p_size > 40 GROUP BY p_type")
+def x_ontology_lookups(t: Tables) -> DataFrame:
+    return t.part.filter("p_size > 40").groupBy(F.col("p_type").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("codes"))
+
+
+@P.add("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}'))), ',') AS found FROM documents WHERE regexp_matches(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')")
+def x_rule_entities(t: Tables) -> DataFrame:
+    pattern = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+    return t.documents.filter(F.col("text").rlike(pattern)).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))), ",").alias("found"))
+
+
+_JSON = [(1, 'x ```json\n{"relations": [{"subject": "a", "object": "b", "confidence": 0.9}]}\n``` y'), (2, '{"relations": [{"subject": "c", "object": "d"}]}'), (3, "none")]
+
+
+@P.add("SELECT * FROM (VALUES (1, 'a', 'b', 0.9::DOUBLE), (2, 'c', 'd', 0.85::DOUBLE)) v(id, subject, object, confidence)")
+def x_relation_json(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame(_JSON, "id int, said string")
+    body = F.regexp_extract("said", r"(?s)(\{.*\})", 1)
+    parsed = F.from_json(body, "relations array<struct<subject:string,object:string,confidence:double>>")
+    return rows.select("id", F.explode(parsed["relations"]).alias("r")).select("id", "r.subject", "r.object", F.coalesce("r.confidence", F.lit(0.85)).alias("confidence"))
+
+
+@P.add("SELECT p_partkey, list_min(list_transform([900, 950, 1000, 1050], x -> abs(x - p_retailprice)))::DOUBLE <= 0.1 * p_retailprice AS near, round(list_min(list_transform([900, 950, 1000, 1050], x -> abs(x - p_retailprice))), 4)::DOUBLE AS away FROM part")
+def x_relation_validate(t: Tables) -> DataFrame:
+    away = F.array_min(F.transform(F.array(*[F.lit(float(x)) for x in (900, 950, 1000, 1050)]), lambda x: F.abs(x - F.col("p_retailprice"))))
+    return t.part.select("p_partkey", (away <= 0.1 * F.col("p_retailprice")).alias("near"), F.round(away, 4).alias("away"))
+
+
+@P.add("SELECT p_partkey, round((0.85::DOUBLE + p_size / 50) / 2 - least(0.3::DOUBLE, 0.1::DOUBLE * (p_size % 5)), 6) AS confidence, (0.85::DOUBLE + p_size / 50) / 2 - least(0.3::DOUBLE, 0.1::DOUBLE * (p_size % 5)) < 0.7 AS retry FROM part")
+def x_relation_conf(t: Tables) -> DataFrame:
+    value = (F.lit(0.85) + F.col("p_size") / 50) / 2 - F.least(F.lit(0.3), F.lit(0.1) * (F.col("p_size") % 5))
+    return t.part.select("p_partkey", F.round(value, 6).alias("confidence"), (value < 0.7).alias("retry"))
+
+
+# Chunks
+
+
+@P.add("SELECT doc_id, len(regexp_extract_all(text, '[^.!?]+[.!?]+'))::INT AS n FROM documents")
+def c_sentence_count(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"))
+
+
+@P.add()
+def c_sentence(t: Tables) -> DataFrame:
+    """Packed sentences; tests hold them against a fold in Python."""
+    return t.documents.select("doc_id", F.posexplode(text.packed(text.sentences(F.col("text")), 1000)).alias("chunk_index", "chunk"))
+
+
+@P.add("""
+SELECT doc_id, count(*) AS n, sum(length(c))::BIGINT AS chars FROM (SELECT doc_id, trim(substr(text, i::INT, 1000), ' ') AS c FROM documents, unnest(generate_series(1, greatest(length(text), 1), 900)) s(i)) WHERE c <> '' GROUP BY doc_id""")
+def c_size(t: Tables) -> DataFrame:
+    chunks = t.documents.select("doc_id", F.explode(text.windows(F.col("text"), 1000, 900)).alias("c"))
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("c")).alias("chars"))
+
+
+@P.add("SELECT id, md5(list[1]) AS first, md5(right(list[1], 100) || chr(10) || '...' || chr(10) || list[2]) AS second FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS list FROM documents) WHERE len(list) > 1")
+def c_overlap(t: Tables) -> DataFrame:
+    lines = t.documents.select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("x")).filter("size(x) > 1")
+    over = lines.select("id", text.overlapped(F.col("x"), 100).alias("x"))
+    return over.select("id", F.md5(F.encode(F.get("x", F.lit(0)), "UTF-8")).alias("first"), F.md5(F.encode(F.get("x", F.lit(1)), "UTF-8")).alias("second"))
+
+
+_CONTRACT = "머리말 제1조 목적 이 약관은. 제2조 정의 보험금은. 제3장 지급 제4조 지급 사유."
+
+
+@P.add("SELECT * FROM (VALUES (0, '제1조 목적 이 약관은. ', 'article'), (1, '제2조 정의 보험금은. ', 'article'), (2, '제3장 지급 ', 'chapter'), (3, '제4조 지급 사유.', 'article')) v(place, chunk, kind)")
+def c_article(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([(_CONTRACT,)], "q string").select(F.posexplode(text.articles(F.col("q"))).alias("place", "chunk"))
+    return rows.withColumn("kind", text.chunk_type(F.col("chunk")))
+
+
+@P.add("SELECT * FROM (VALUES ('article', 3), ('chapter', 1)) v(kind, n)")
+def c_type(t: Tables) -> DataFrame:
+    return c_article(t).groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@P.add()
+def c_main(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.posexplode(text.chunked(F.col("text"))).alias("chunk_index", "chunk"))
+
+
+@P.add("""
+WITH l AS (SELECT conv_id, turn, text, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS chunk FROM conversations)
+SELECT conv_id, chunk::BIGINT AS chunk, min(turn) AS line_start, max(turn) AS line_end, sum(length(text))::BIGINT AS chars FROM l GROUP BY conv_id, chunk""")
+def c_semantic(t: Tables) -> DataFrame:
+    """A new chunk begins at every line of a kind: here at the user's turns."""
+    starts = F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.withColumn("chunk", starts).groupBy("conv_id", "chunk").agg(F.min("turn").alias("line_start"), F.max("turn").alias("line_end"), F.sum(F.length("text")).alias("chars"))
+
+
+@P.add("SELECT doc_id, contains(text, '|') AS is_table, ceil(length(text) / 1500)::BIGINT AS parts FROM documents")
+def c_structure(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.contains("text", F.lit("|")).alias("is_table"), F.ceil(F.length("text") / 1500).alias("parts"))
+
+
+@P.add("SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS md FROM region")
+def c_table_md(t: Tables) -> DataFrame:
+    rows = t.region.groupBy().agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("x"))
+    cells = F.concat(F.array(F.array(F.lit("r_regionkey"), F.lit("r_name"))), F.transform("x", lambda r: F.array(r["r_regionkey"].cast("string"), r["r_name"])))
+    return rows.select(text.table_markdown(cells).alias("md"))
+
+
+@P.add()
+def c_sent_period(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.size(text.packed(F.split("text", r"\. "), 2048, ". ")).alias("n"))
+
+
+@P.add("SELECT doc_id, ceil(length(text) / 4000)::BIGINT AS n FROM documents WHERE length(text) > 0")
+def r_fixed_chunk(t: Tables) -> DataFrame:
+    return t.documents.filter(F.length("text") > 0).select("doc_id", F.size(F.transform(F.sequence(F.lit(1), F.length("text"), F.lit(4000)), lambda i: F.substring("text", i, F.lit(4000)))).cast("long").alias("n"))
+
+
+# Hashes and similarity
+
+
+@P.add("SELECT doc_id, sha256(text) AS sha, md5(text) AS md FROM documents")
+def s_hash(t: Tables) -> DataFrame:
+    raw = F.encode("text", "UTF-8")
+    return t.documents.select("doc_id", F.sha2(raw, 256).alias("sha"), F.md5(raw).alias("md"))
+
+
+@P.add("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
+def s_dedup_hash(t: Tables) -> DataFrame:
+    return t.documents.groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("h")
+
+
+@P.add("""
+WITH n AS (SELECT source, md5(text) AS h, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents) SELECT source, count(*) FILTER (k > 1) AS cached, count(*) AS total, round(count(*) FILTER (k > 1) / count(*) * 0.7, 6)::DOUBLE AS saving FROM n GROUP BY source""")
+def s_cache_ratio(t: Tables) -> DataFrame:
+    first = t.documents.select("source", "doc_id", F.md5(F.encode("text", "UTF-8")).alias("h"))
+    known = first.groupBy("h").agg(F.min("doc_id").alias("first"))
+    cached = F.count_if(F.col("doc_id") != F.col("first"))
+    return first.join(known, "h").groupBy("source").agg(cached.alias("cached"), F.count(F.lit(1)).alias("total"), F.round(cached / F.count(F.lit(1)) * 0.7, 6).alias("saving"))
+
+
+@P.add("SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def src_cache(t: Tables) -> DataFrame:
+    """Hashes that a cache would have answered."""
+    return t.documents.groupBy(F.md5(F.encode("text", "UTF-8")).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def _versions(t: Tables) -> DataFrame:
+    """Each benchmark text beside itself with its first word doubled or a line added."""
+    return t.benchmark.select("item_id", "text", F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit("\nadded line"))).otherwise(F.concat(F.substring_index("text", " ", 1), F.lit(" "), F.col("text"))).alias("newer"))
+
+
+@P.add()
+def s_ratio(t: Tables) -> DataFrame:
+    return parsers.compared(_versions(t), ["item_id"], "text", "newer").select("item_id", "ratio", (F.col("ratio") >= 0.85).alias("same_version"))
+
+
+@P.add("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 1 END::INT AS added, CASE WHEN item_id % 2 = 0 THEN 0 ELSE 1 END::INT AS removed FROM benchmark")
+def s_diff(t: Tables) -> DataFrame:
+    return parsers.compared(_versions(t), ["item_id"], "text", "newer").select("item_id", "added", "removed")
+
+
+@P.add()
+def s_incremental(t: Tables) -> DataFrame:
+    found = parsers.compared(_versions(t), ["item_id"], "text", "newer")
+    return found.select("item_id", F.when(F.col("change_ratio") > 0.3, "full").otherwise("incremental").alias("mode"), F.round(1 - F.col("change_ratio"), 6).alias("saving"))
+
+
+@P.add()
+def s_similar_docs(t: Tables) -> DataFrame:
+    """Benchmark texts of similar length and equal first word, at least half alike."""
+    rows = t.benchmark.select("item_id", "text", F.substring_index("text", " ", 1).alias("head"))
+    other = rows.select(F.col("item_id").alias("other_id"), F.col("text").alias("other"), "head")
+    near = rows.join(other, "head").filter("item_id < other_id")
+    return parsers.compared(near, ["item_id", "other_id"], "text", "other").filter("ratio >= 0.5").select("item_id", "other_id", "ratio")
+
+
+@P.add("""
+WITH l AS (SELECT DISTINCT lang, doc_id, regexp_replace(line, '\\s', '', 'g') AS line FROM (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)), n AS (SELECT lang, count(DISTINCT doc_id) AS docs FROM documents GROUP BY lang)
+SELECT lang, line, count(*) AS n FROM l JOIN n USING (lang) WHERE line <> '' GROUP BY lang, line, docs HAVING count(*) >= 0.02 * docs""")
+def s_template_common(t: Tables) -> DataFrame:
+    """Lines, white space aside, that a fiftieth of a language's documents share."""
+    lines = t.documents.select("lang", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    clean = lines.select("lang", "doc_id", F.regexp_replace("line", r"\s", "").alias("line")).filter("line <> ''").distinct()
+    counts = clean.groupBy("lang", "line").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(t.documents.groupBy("lang").agg(F.countDistinct("doc_id").alias("docs")), "lang").filter("n >= 0.02 * docs").select("lang", "line", "n")
+
+
+@P.add("SELECT * FROM (VALUES ('DATE:2024-01-31'), ('PERCENT:3.5%'), ('AMOUNT:1,000만원'), ('PERIOD:90일'), ('NUMBER:12345')) v(variable)")
+def s_template_vars(t: Tables) -> DataFrame:
+    row = t.spark.createDataFrame([("2024-01-31 부터 90일 동안 3.5% 이율로 1,000만원, 번호 12345",)], "q string")
+    return row.select(F.explode(text.template_variables(F.col("q"))).alias("variable"))
+
+
+@P.add("""
+WITH b AS (SELECT doc_id, text, list_transform(range(0, length(text) // 100), i -> substr(text, (i * 100 + 1)::INT, 100)) AS x, (SELECT text FROM documents WHERE doc_id = 0) AS t FROM documents WHERE doc_id < 20)
+SELECT doc_id, CASE WHEN len(x) > 0 THEN len(list_filter(x, y -> contains(text, y))) / len(x) ELSE 0 END::DOUBLE AS share FROM b""")
+def s_template_match(t: Tables) -> DataFrame:
+    some = t.documents.filter("doc_id < 20")
+    return some.select("doc_id", text.template_share(F.col("text"), F.col("text")).cast("double").alias("share"))
+
+
+@P.add("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'template' WHEN p_size > 20 THEN 'incremental' ELSE 'chunking' END AS strategy FROM part")
+def s_strategy(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.coalesce(F.when(F.col("p_size") > 40, "template"), F.when(F.col("p_size") > 20, "incremental"), F.lit("chunking")).alias("strategy"))
+
+
+# Quality
+
+
+_Q = """
+WITH n AS (SELECT doc_id, greatest(length(text), 1) AS n, length(regexp_replace(text, '[^가-힣A-Za-z]', '', 'g')) AS letters, length(regexp_replace(text, '[가-힣A-Za-z0-9 \\t\\n\\x0B\\f\\r.,]', '', 'g')) AS special FROM documents),
+s AS (SELECT doc_id, CASE WHEN n >= 500 THEN 40 WHEN n >= 200 THEN 30 WHEN n >= 50 THEN 15 ELSE 0 END + CASE WHEN letters / n >= 0.6 THEN 30 WHEN letters / n >= 0.3 THEN 20 ELSE 5 END + CASE WHEN special / n <= 0.1 THEN 20 WHEN special / n <= 0.3 THEN 10 ELSE 0 END + 10 AS score FROM n)
+SELECT doc_id, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' WHEN score >= 30 THEN 'poor' ELSE 'failed' END AS level FROM s"""
+
+
+@P.add(_Q)
+def txt_quality(t: Tables) -> DataFrame:
+    scored = t.documents.select("doc_id", text.text_quality(F.col("text"), F.lit(1)).alias("score"))
+    return scored.select("doc_id", "score", text.quality_level(F.col("score")).alias("level"))
+
+
+@P.add("""
+WITH n AS (SELECT doc_id, greatest(length(text), 1) AS n, len(string_split(text, chr(10))) AS lines, length(regexp_replace(text, '[^│┃|─━┌┐└┘├┤]', '', 'g')) AS tables, length(regexp_replace(text, '[\\p{L}\\p{N} \\t\\n\\x0B\\f\\r.,]', '', 'g')) AS special FROM documents)
+SELECT doc_id, round(least(least(tables / n * 500, 30.0::DOUBLE) + least(special / n * 100, 25.0::DOUBLE) + CASE WHEN n / lines < 20 THEN 20 WHEN n / lines < 40 THEN 10 ELSE 0 END + 25, 100), 4) AS score FROM n""")
+def txt_complexity(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.complexity(F.col("text")).alias("score"))
+
+
+@P.add("SELECT conv_id, turn, 0.0::DOUBLE AS score FROM conversations")
+def txt_struct_quality(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", text.structure_quality(F.col("text")).alias("score"))
+
+
+@P.add("SELECT doc_id, length(text) < 10000 AND regexp_matches(text, '^[^|]*$') AS simple FROM documents")
+def src_pdf_hybrid(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", ((F.length("text") < 10_000) & ~F.contains("text", F.lit("|"))).alias("simple"))
+
+
+# Personal data
+
+_EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+
+
+@P.add(f"SELECT doc_id, array_to_string(list_sort(regexp_extract_all(text, '\\b{_EMAIL}\\b')), ',') AS emails FROM documents WHERE regexp_matches(text, '\\b{_EMAIL}\\b')")
+def p_detect(t: Tables) -> DataFrame:
+    found = t.documents.select("doc_id", pii.detected(F.col("text"))["email"].alias("x")).filter("x is not null")
+    return found.select("doc_id", F.array_join(F.array_sort("x"), ",").alias("emails"))
+
+
+@P.add()
+def p_contains(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", pii.contains_pii(F.col("text")).alias("found"))
+
+
+_PII = [
+    ("email", "a@b.com", "a@b.com"), ("email", "abc@b.com", "a**@b.com"), ("email", "hong.gil@b.co.kr", "h******l@b.co.kr"), ("phone", "010-1234-5678", "010-****-5678"), ("phone", "123-456", "123-456"), ("phone", "02-345-6789", "02345****"),
+    ("ssn", "900101-1234567", "900101-1******"), ("credit_card", "1234-5678-9012-3456", "****-****-****-3456"), ("bank_account", "110-123-456789", "110-***-******789"), ("ip_address", "192.168.0.1", "192.168.***.***"),
+]
+
+
+@P.add("SELECT kind, value, masked FROM (VALUES " + ", ".join(str(x) for x in _PII) + ") v(kind, value, masked)")
+def p_masks(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([(k, v) for k, v, _ in _PII], "kind string, value string")
+    out = F.col("value")
+    for kind, mask in pii.MASKS.items():
+        out = F.when(F.col("kind") == kind, mask(F.col("value"))).otherwise(out)
+    return rows.select("kind", "value", out.alias("masked"))
+
+
+@P.add("SELECT * FROM (VALUES ('홍길동', '홍**'), ('John Doe', 'J*** D**')) v(name, masked)")
+def p_mask_name(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([("홍길동",), ("John Doe",)], "name string").select("name", pii.masked_name(F.col("name")).alias("masked"))
+
+
+@P.add("SELECT 'call 010-****-5678 or h******l@b.co.kr from 10.0.***.*** card ****-****-****-3456 id 900101-1****** acc 110-123-456789' AS masked")
+def p_mask_text(t: Tables) -> DataFrame:
+    row = t.spark.createDataFrame([("call 010-1234-5678 or hong.gil@b.co.kr from 10.0.0.1 card 1234-5678-9012-3456 id 900101-1234567 acc 110-123-456789",)], "q string")
+    return row.select(pii.masked_text(F.col("q")).alias("masked"))
+
+
+@P.add("SELECT c_custkey, substr(c_name, 1, 1) || repeat('*', length(c_name) - 1) AS name, '[REDACTED]' AS token FROM customer")
+def p_sanitize(t: Tables) -> DataFrame:
+    rows = t.customer.select("c_custkey", pii.masked_name(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("token"))
+    return rows.select(*pii.redacted_fields(rows.columns))
+
+
+@P.add("SELECT c_custkey, '[REDACTED]' AS password FROM customer")
+def p_redact(t: Tables) -> DataFrame:
+    rows = t.customer.select("c_custkey", F.col("c_name").alias("password"))
+    return rows.select(*pii.redacted_fields(rows.columns))
+
+
+@P.add("SELECT c_custkey, c_name AS name FROM customer")
+def p_encrypt(t: Tables) -> DataFrame:
+    """A round trip: what is encrypted comes back."""
+    key = "0123456789abcdef"
+    return t.customer.select("c_custkey", pii.encrypted(F.col("c_name"), key).alias("e")).select("c_custkey", pii.decrypted(F.col("e"), key).alias("name"))
+
+
+@P.add("SELECT c_custkey, sha256(c_name || 'pepper') AS h, md5(c_name) AS m FROM customer")
+def p_hash(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", pii.salted_hash(F.col("c_name"), "pepper").alias("h"), F.md5(F.encode("c_name", "UTF-8")).alias("m"))
+
+
+@P.add("SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_replace(left(html, 200), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS safe FROM pages")
+def i_sanitize(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", pii.escaped(F.left("html", F.lit(200))).alias("safe"))
+
+
+_INPUTS = [(1, "x UNION y SELECT z"), (2, "plain"), (3, "<script>alert(1)</script>"), (4, "../../etc/passwd"), (5, "a'; drop TABLE b;")]
+
+
+@P.add("SELECT * FROM (VALUES (1, 0, NULL, NULL), (2, NULL, NULL, NULL), (3, NULL, 0, NULL), (4, NULL, NULL, 0), (5, 4, NULL, NULL)) v(id, sqli, xss, path)")
+def i_sqli(t: Tables) -> DataFrame:
+    q = F.col("q")
+    return t.spark.createDataFrame(_INPUTS, "id int, q string").select("id", pii.first_matching(q, pii.SQL_INJECTION).alias("sqli"), pii.first_matching(q, pii.XSS).alias("xss"), pii.first_matching(q, pii.PATH_TRAVERSAL).alias("path"))
+
+
+@P.add("SELECT page_id, regexp_matches(url, '^https?://[A-Za-z0-9.-]+(:[0-9]+)?(/\\S*)?$') AS ok, left(regexp_replace(regexp_replace(url, '^.*[/\\\\]', ''), '[^A-Za-z0-9가-힣._-]', '_', 'g'), 255) AS file FROM pages")
+def i_url(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", pii.valid_url(F.col("url")).alias("ok"), pii.safe_filename(F.col("url")).alias("file"))
+
+
+@P.add("SELECT * FROM (VALUES ('a@b.com', true, false), ('010-1234-5678', false, true), ('x', false, false)) v(value, email, phone)")
+def i_email_phone(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([("a@b.com",), ("010-1234-5678",), ("x",)], "value string")
+    return rows.select("value", pii.valid_email(F.col("value")).alias("email"), pii.valid_phone(F.col("value")).alias("phone"))
+
+
+@P.add("SELECT conv_id, turn, length(text) <= 1000 AS query_ok, length(text) <= 10000 AS input_ok FROM conversations")
+def i_length(t: Tables) -> DataFrame:
+    n = F.length("text")
+    return t.conversations.select("conv_id", "turn", (n <= 1000).alias("query_ok"), (n <= 10_000).alias("input_ok"))
+
+
+# Formats
+
+
+@P.add("""
+WITH x AS (SELECT o_orderkey, (o_totalprice * 1000)::BIGINT AS a FROM orders) SELECT o_orderkey, CASE WHEN a // 100000000 > 0 AND a % 100000000 // 10000 > 0 THEN (a // 100000000) || '억 ' || (a % 100000000 // 10000) || '만원' WHEN a // 100000000 > 0 THEN (a // 100000000) || '억원'
+WHEN a % 100000000 // 10000 > 0 THEN (a % 100000000 // 10000) || '만원' ELSE a || '원' END AS shown FROM x""")
+def fmt_krw(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", text.krw(F.round(F.col("o_totalprice") * 1000).cast("long")).alias("shown"))
+
+
+@P.add("SELECT p_partkey, CASE WHEN d % 365 = 0 THEN (d // 365) || '년' WHEN d % 30 = 0 THEN (d // 30) || '개월' ELSE d || '일' END AS shown FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size * 365 WHEN p_size % 3 = 1 THEN p_size * 30 ELSE p_size END AS d FROM part)")
+def fmt_period(t: Tables) -> DataFrame:
+    s = F.col("p_size")
+    return t.part.select("p_partkey", text.period(F.when(s % 3 == 0, s * 365).when(s % 3 == 1, s * 30).otherwise(s)).alias("shown"))
+
+
+# HTML
+
+
+@P.add()
+def src_html_text(t: Tables) -> DataFrame:
+    return parsers.mapped(t.pages, ["page_id"], "html", "text string", parsers.html_text)
+
+
+@P.add()
+def src_html_links(t: Tables) -> DataFrame:
+    found = parsers.mapped(t.pages, ["page_id"], "html", "href string, label string", parsers.html_links)
+    return found.filter(F.contains(F.lower("href"), F.lit(".pdf")) | F.lower("label").rlike("pdf|약관") | F.col("href").startswith("/t"))
+
+
+@P.add()
+def src_html_table(t: Tables) -> DataFrame:
+    return parsers.mapped(t.pages, ["page_id"], "html", "row int, cells string", parsers.html_tables)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+MODULES = ("relational", "analytics", "graph", "retrieval", "texts", "rules", "sinks", "streams")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
