@@ -11,13 +11,10 @@ from veldgraph.plans import EVENTS_AS_OF, ORDERS_AS_OF, Plans, Tables
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
-ONE = F.lit(1)
-NOW = F.lit(EVENTS_AS_OF).cast("timestamp_ntz")
-TODAY = F.lit(ORDERS_AS_OF).cast("timestamp_ntz")
 
 
 def _since(days: int) -> F.Column:
-    return NOW - F.expr(f"INTERVAL {days} DAYS")
+    return F.lit(EVENTS_AS_OF).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
 
 
 # Aggregates
@@ -28,7 +25,7 @@ SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS pe
 FROM orders GROUP BY o_custkey""")
 def agg_count_filter(t: Tables) -> DataFrame:
     of = lambda s: aggregates.count_where(F.col("o_orderstatus") == s)
-    return t.orders.groupBy("o_custkey").agg(F.count(ONE).alias("total"), of("O").alias("pending"), of("P").alias("processing"), of("F").alias("completed"))
+    return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("total"), of("O").alias("pending"), of("P").alias("processing"), of("F").alias("completed"))
 
 
 @P.add("SELECT o_orderpriority, max(o_orderdate) FILTER (o_orderstatus = 'F') AS last_processed FROM orders GROUP BY o_orderpriority")
@@ -63,13 +60,13 @@ def agg_sum_coalesce(t: Tables) -> DataFrame:
 
 @P.add("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def agg_group_count(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(ONE).alias("n"))
+    return t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
 @P.add("SELECT coalesce(CASE WHEN p_size > 5 THEN p_type END, '기타') AS kind, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1")
 def agg_group_sum(t: Tables) -> DataFrame:
     kind = F.coalesce(F.when(F.col("p_size") > 5, F.col("p_type")), F.lit("기타"))
-    return t.part.groupBy(kind.alias("kind")).agg(F.count(ONE).alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
+    return t.part.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
 @P.add("SELECT p_brand, count(*) AS count FROM part GROUP BY p_brand ORDER BY count DESC, p_brand LIMIT 5")
@@ -79,7 +76,7 @@ def agg_topn_group(t: Tables) -> DataFrame:
 
 @P.add("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY 1")
 def agg_month(t: Tables) -> DataFrame:
-    return t.orders.groupBy(F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM").alias("month")).agg(F.count(ONE).alias("n"), aggregates.count_where(F.col("o_orderstatus") == "F").alias("done"))
+    return t.orders.groupBy(F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), aggregates.count_where(F.col("o_orderstatus") == "F").alias("done"))
 
 
 @P.add("SELECT DISTINCT p_brand FROM part")
@@ -101,14 +98,14 @@ def agg_collect_distinct(t: Tables) -> DataFrame:
 
 @P.add("SELECT label, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ') || [p_type]) AS label FROM part) GROUP BY label")
 def agg_label_unwind(t: Tables) -> DataFrame:
-    return t.part.select(F.explode(F.concat(F.split("p_name", " "), F.array("p_type"))).alias("label")).groupBy("label").agg(F.count(ONE).alias("n"))
+    return t.part.select(F.explode(F.concat(F.split("p_name", " "), F.array("p_type"))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @P.add("""
 SELECT 'supplier' AS kind, count(*) AS n FROM supplier UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'edge', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)""")
 def agg_graph_totals(t: Tables) -> DataFrame:
     parts = {"supplier": t.supplier.select("s_suppkey"), "part": t.part.select("p_partkey"), "edge": t.lineitem.select("l_suppkey", "l_partkey").distinct()}
-    return joins.union_all([df.agg(F.count(ONE).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in parts.items()])
+    return joins.union_all([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in parts.items()])
 
 
 @P.add("""
@@ -130,14 +127,14 @@ SELECT user_id, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (event_type =
 FROM events GROUP BY user_id""")
 def agg_rate(t: Tables) -> DataFrame:
     errors = aggregates.count_where(F.col("event_type") == "error")
-    return t.events.groupBy("user_id").agg(F.round(aggregates.rate(errors, F.count(ONE)), 6).alias("error_rate"), F.round(F.count(ONE) / F.lit(30 * 86400.0), 9).alias("rps"))
+    return t.events.groupBy("user_id").agg(F.round(aggregates.rate(errors, F.count(F.lit(1))), 6).alias("error_rate"), F.round(F.count(F.lit(1)) / F.lit(30 * 86400.0), 9).alias("rps"))
 
 
 @P.add("""
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 1000 GROUP BY event_type""")
 def agg_moving_cap(t: Tables) -> DataFrame:
     last = aggregates.last_n(t.events, ["event_type"], [F.desc("ts"), F.desc("event_id")], 1000)
-    return last.groupBy("event_type").agg(F.count(ONE).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+    return last.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
 
 
 @P.add("""
@@ -148,7 +145,7 @@ def agg_error_summary(t: Tables) -> DataFrame:
     errors = t.events.filter("event_type = 'error'").withColumn("kind", F.get_json_object("props", "$.k").cast("int") % 4)
     w = Window.partitionBy("kind").orderBy(F.desc("ts"), F.desc("event_id"))
     last = errors.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_id"))), lambda x: x["event_id"]), ",").alias("last_ids"))
-    return errors.groupBy("kind").agg(F.count(ONE).alias("n")).join(last, "kind")
+    return errors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(last, "kind")
 
 
 @P.add("""
@@ -158,7 +155,7 @@ SELECT (SELECT count(*) FROM events) AS total, (SELECT count(*) FROM events WHER
 (SELECT string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FROM (SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 20)) AS alerts""")
 def agg_audit_report(t: Tables) -> DataFrame:
     kind = F.col("event_type")
-    totals = t.events.agg(F.count(ONE).alias("total"), aggregates.count_where(kind.isin("signup", "purchase")).alias("account_events"), aggregates.count_where(kind == "error").alias("failed"), F.countDistinct(F.when(F.col("value") > 90, F.col("user_id"))).alias("pii_users"))
+    totals = t.events.agg(F.count(F.lit(1)).alias("total"), aggregates.count_where(kind.isin("signup", "purchase")).alias("account_events"), aggregates.count_where(kind == "error").alias("failed"), F.countDistinct(F.when(F.col("value") > 90, F.col("user_id"))).alias("pii_users"))
     top = aggregates.top_groups(t.events, "user_id", 10).agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "user_id"))).alias("x"))
     top = top.select(F.lit(1).alias("one"), F.array_join(F.transform("x", lambda u: F.concat_ws(":", u["user_id"], -u["n"])), ",").alias("top_users"))
     alerts = t.events.filter("event_type = 'error'").orderBy("ts", "event_id").limit(20).agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("alerts"))
@@ -187,18 +184,18 @@ SELECT source, count(*) AS total, count(*) FILTER (contains(text, '|')) AS table
 FROM documents GROUP BY source""")
 def agg_chunk_stats(t: Tables) -> DataFrame:
     n = F.length("text").cast("long")
-    return t.documents.groupBy("source").agg(F.count(ONE).alias("total"), aggregates.count_where(F.contains("text", F.lit("|"))).alias("tables"), F.round(F.avg(n), 6).alias("avg_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.sum(n).alias("sum_length"))
+    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("total"), aggregates.count_where(F.contains("text", F.lit("|"))).alias("tables"), F.round(F.avg(n), 6).alias("avg_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.sum(n).alias("sum_length"))
 
 
-@P.add("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM events")
+@P.add("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS running FROM events")
 def agg_running_avg(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", F.round(F.avg("value").over(w), 6).alias("running"))
+    return t.events.select("event_id", F.round(F.avg("value").over(w) + 1e-9, 6).alias("running"))
 
 
 @P.add("SELECT user_id, count(*) AS total, count(*) FILTER (value < 10) AS unread, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def agg_notif(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.count(ONE).alias("total"), aggregates.count_where(F.col("value") < 10).alias("unread"), F.countDistinct("event_type").alias("kinds"))
+    return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), aggregates.count_where(F.col("value") < 10).alias("unread"), F.countDistinct("event_type").alias("kinds"))
 
 
 # Rankings
@@ -247,7 +244,7 @@ def win_dedup_text(t: Tables) -> DataFrame:
 
 @P.add("SELECT p_partkey, p_name FROM (SELECT *, count(*) OVER (PARTITION BY p_name, p_size, p_type) AS n FROM part) WHERE n > 1")
 def win_dup_nums(t: Tables) -> DataFrame:
-    return t.part.withColumn("n", F.count(ONE).over(Window.partitionBy("p_name", "p_size", "p_type"))).filter("n > 1").select("p_partkey", "p_name")
+    return t.part.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("p_name", "p_size", "p_type"))).filter("n > 1").select("p_partkey", "p_name")
 
 
 @P.add("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5")
@@ -264,10 +261,10 @@ WITH c AS (SELECT count(*) AS customers FROM customer), o AS (SELECT count(*) AS
  count(DISTINCT o_custkey) FILTER (o_orderdate >= TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 60 DAY AND o_orderdate < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 30 DAY) AS before FROM orders)
 SELECT customers, policies, coverage, active, before, round(CASE WHEN before > 0 THEN (active - before) * 100.0 / before ELSE 0 END, 1)::DOUBLE AS trend FROM c, o""")
 def an_dashboard(t: Tables) -> DataFrame:
-    since = lambda d: TODAY - F.expr(f"INTERVAL {d} DAYS")
+    since = lambda d: F.lit(ORDERS_AS_OF).cast("timestamp_ntz") - F.expr(f"INTERVAL {d} DAYS")
     day = F.col("o_orderdate")
-    o = t.orders.agg(F.count(ONE).alias("policies"), F.round(F.sum("o_totalprice"), 2).alias("coverage"), F.countDistinct(F.when(day >= since(30), F.col("o_custkey"))).alias("active"), F.countDistinct(F.when((day >= since(60)) & (day < since(30)), F.col("o_custkey"))).alias("before"))
-    c = t.customer.agg(F.count(ONE).alias("customers"))
+    o = t.orders.agg(F.count(F.lit(1)).alias("policies"), F.round(F.sum("o_totalprice"), 2).alias("coverage"), F.countDistinct(F.when(day >= since(30), F.col("o_custkey"))).alias("active"), F.countDistinct(F.when((day >= since(60)) & (day < since(30)), F.col("o_custkey"))).alias("before"))
+    c = t.customer.agg(F.count(F.lit(1)).alias("customers"))
     trend = F.round(aggregates.rate((F.col("active") - F.col("before")) * 100.0, F.col("before")), 1).alias("trend")
     one = F.lit(1).alias("one")  # single rows
     return c.select(one, "*").join(o.select(one, "*"), "one").select("customers", "policies", "coverage", "active", "before", trend)
@@ -278,7 +275,7 @@ SELECT c_custkey, c_name, count(o_orderkey) AS n, coalesce(round(sum(o_totalpric
 def an_dashboard_recent(t: Tables) -> DataFrame:
     recent = t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").limit(10).select("c_custkey", "c_name")
     own = t.orders.join(F.broadcast(recent.select(F.col("c_custkey").alias("o_custkey"))), "o_custkey", "left_semi")  # ten rows
-    sums = own.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(ONE).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    sums = own.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     return recent.join(sums, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
@@ -288,8 +285,8 @@ FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nat
 
 
 def _team(t: Tables) -> DataFrame:
-    per = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(ONE).alias("n"), F.sum("o_totalprice").alias("s"), aggregates.count_where(F.col("o_orderstatus") == "O").alias("k"))
-    by_nation = t.customer.join(per, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(ONE).alias("customers"), F.coalesce(F.sum("n"), F.lit(0)).alias("policies"), F.round(F.sum("s"), 2).alias("premium"), F.coalesce(F.sum("k"), F.lit(0)).alias("active"))
+    per = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"), aggregates.count_where(F.col("o_orderstatus") == "O").alias("k"))
+    by_nation = t.customer.join(per, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"), F.coalesce(F.sum("n"), F.lit(0)).alias("policies"), F.round(F.sum("s"), 2).alias("premium"), F.coalesce(F.sum("k"), F.lit(0)).alias("active"))
     named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).join(by_nation, "n_nationkey", "left")
     return named.select("r_name", "n_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("customers", "policies")], "premium", F.coalesce("active", F.lit(0)).alias("active"))
 
@@ -309,7 +306,7 @@ SELECT count(*) AS total, count(*) FILTER (ts >= TIMESTAMP '{EVENTS_AS_OF}' - IN
 (SELECT string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 5)) AS intents FROM events""")
 def an_query_stats(t: Tables) -> DataFrame:
     within = lambda days: aggregates.count_where(F.col("ts") >= _since(days))
-    totals = t.events.agg(F.count(ONE).alias("total"), within(1).alias("today"), within(7).alias("week"), F.round(F.avg("value"), 6).alias("avg_confidence"))
+    totals = t.events.agg(F.count(F.lit(1)).alias("total"), within(1).alias("today"), within(7).alias("week"), F.round(F.avg("value"), 6).alias("avg_confidence"))
     top = aggregates.top_groups(t.events, "event_type", 5).agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "event_type"))).alias("x"))
     one = F.lit(1).alias("one")
     return totals.select(one, "*").join(top.select(one, F.array_join(F.transform("x", lambda u: F.concat_ws(":", u["event_type"], -u["n"])), ",").alias("intents")), "one").drop("one")
@@ -330,7 +327,7 @@ SELECT c_custkey, c_name, count(o_orderkey) AS policy_count, max(o_orderdate) AS
 GROUP BY c_custkey, c_name ORDER BY last_contact DESC NULLS LAST, c_custkey LIMIT 20 OFFSET 20""")
 def an_customers(t: Tables) -> DataFrame:
     found = t.customer.filter(filters.ilike_any("00", "c_name") & (F.col("c_mktsegment") == "BUILDING"))
-    counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(ONE).alias("n"), F.max("o_orderdate").alias("last_contact"))
+    counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last_contact"))
     rows = found.join(counts, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("policy_count"), "last_contact")
     return filters.page(rows, [F.desc_nulls_last("last_contact"), F.asc("c_custkey")], 2, 20)
 
@@ -338,8 +335,8 @@ def an_customers(t: Tables) -> DataFrame:
 @P.add("""
 SELECT c_custkey, count(DISTINCT o_orderkey) AS consultations, count(DISTINCT event_id) AS products, max(o_orderdate) AS last_consultation FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey""")
 def an_fp_customers(t: Tables) -> DataFrame:
-    a = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(ONE).alias("a"), F.max("o_orderdate").alias("last_consultation"))
-    b = t.events.groupBy(F.col("user_id").alias("c_custkey")).agg(F.count(ONE).alias("b"))
+    a = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("a"), F.max("o_orderdate").alias("last_consultation"))
+    b = t.events.groupBy(F.col("user_id").alias("c_custkey")).agg(F.count(F.lit(1)).alias("b"))
     return t.customer.select("c_custkey").join(a, "c_custkey", "left").join(b, "c_custkey", "left").select("c_custkey", F.coalesce("a", F.lit(0)).alias("consultations"), F.coalesce("b", F.lit(0)).alias("products"), "last_consultation")
 
 
@@ -348,21 +345,21 @@ WITH spine AS (SELECT (DATE '2001-08-01' - to_months(i))::DATE AS m FROM range(1
 SELECT strftime(m, '%Y-%m') AS month, coalesce(docs, 0) AS docs FROM spine LEFT JOIN stats USING (m)""")
 def an_docs_monthly(t: Tables) -> DataFrame:
     rare = t.orders.filter("o_orderpriority = '1-URGENT' and o_totalprice > 480000")
-    return joins.month_spine(rare.groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.count(ONE).alias("docs")), "month", "2001-08-01", 12, ["docs"])
+    return joins.month_spine(rare.groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.count(F.lit(1)).alias("docs")), "month", "2001-08-01", 12, ["docs"])
 
 
 @P.add("""
 SELECT o_orderpriority, count(DISTINCT o_orderkey) AS documents, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'F') AS learned, count(l_linenumber) AS entities, max(o_orderdate) FILTER (o_orderstatus = 'F') AS last_processed
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderpriority""")
 def an_learning(t: Tables) -> DataFrame:
-    sizes = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(ONE).alias("n"))
+    sizes = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
     done = F.col("o_orderstatus") == "F"
-    return t.orders.join(sizes, "o_orderkey", "left").groupBy("o_orderpriority").agg(F.count(ONE).alias("documents"), aggregates.count_where(done).alias("learned"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities"), F.max(F.when(done, F.col("o_orderdate"))).alias("last_processed"))
+    return t.orders.join(sizes, "o_orderkey", "left").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("documents"), aggregates.count_where(done).alias("learned"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities"), F.max(F.when(done, F.col("o_orderdate"))).alias("last_processed"))
 
 
 @P.add("SELECT count(*) AS documents, count(*) FILTER (o_orderstatus <> 'O') AS processed, count(*) FILTER (o_orderstatus = 'F') AS completed FROM orders")
 def an_relearn(t: Tables) -> DataFrame:
-    return t.orders.agg(F.count(ONE).alias("documents"), aggregates.count_where(F.col("o_orderstatus") != "O").alias("processed"), aggregates.count_where(F.col("o_orderstatus") == "F").alias("completed"))
+    return t.orders.agg(F.count(F.lit(1)).alias("documents"), aggregates.count_where(F.col("o_orderstatus") != "O").alias("processed"), aggregates.count_where(F.col("o_orderstatus") == "F").alias("completed"))
 
 
 @P.add("""
@@ -371,7 +368,7 @@ SELECT p_partkey, round(rank, 6)::DOUBLE AS rank, count(*) OVER () AS total FROM
 def an_search_docs(t: Tables) -> DataFrame:
     found = filters.full_text(t.part.filter("p_size > 20").withColumn("promo", F.when(F.col("p_type") == "PROMO", "red")), "red", {"p_name": 1.0, "promo": 0.4})
     found = found.filter(F.array_contains(F.split("p_name", " "), "red"))
-    total = found.agg(F.count(ONE).alias("total")).select(F.lit(1).alias("one"), "total")
+    total = found.agg(F.count(F.lit(1)).alias("total")).select(F.lit(1).alias("one"), "total")
     return found.orderBy(F.desc("rank"), "p_partkey").limit(20).select("p_partkey", "rank", F.lit(1).alias("one")).join(total, "one").drop("one")
 
 
@@ -384,7 +381,7 @@ def an_jobs(t: Tables) -> DataFrame:
 SELECT n_name, s_name, count(*) AS documents, count(p_partkey) AS parsed FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25 GROUP BY n_name, s_name""")
 def an_crawl_docs(t: Tables) -> DataFrame:
     lines = t.lineitem.select("l_suppkey", F.col("l_partkey").alias("p_partkey")).join(t.part.filter("p_size > 25").select("p_partkey", F.lit(1).alias("parsed")), "p_partkey", "left")
-    per = lines.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(ONE).alias("documents"), F.count("parsed").alias("parsed"))
+    per = lines.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("documents"), F.count("parsed").alias("parsed"))
     return per.join(t.supplier, "s_suppkey").join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select("n_name", "s_name", "documents", "parsed")
 
 
@@ -401,7 +398,7 @@ def an_audit_logs(t: Tables) -> DataFrame:
     found = t.events.filter(filters.all_of(F.col("event_type").isin("error", "signup"), F.col("ts") >= day("2024-01-05"), F.col("ts") < day("2024-01-25"), F.col("user_id") < 100))
     one = F.lit(1).alias("one")
     rows = filters.page(found, [F.desc("ts"), F.asc("event_id")], 2, 50).select("event_id", "user_id", one)
-    return rows.join(found.agg(F.count(ONE).alias("total")).select(one, "total"), "one").drop("one")
+    return rows.join(found.agg(F.count(F.lit(1)).alias("total")).select(one, "total"), "one").drop("one")
 
 
 @P.add("SELECT event_id, ts FROM events WHERE user_id = 11 AND event_type = 'view' ORDER BY ts DESC, event_id LIMIT 100")
@@ -414,7 +411,7 @@ WITH s AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate FROM orders)
 SELECT o_custkey AS job, count(*) AS stages, (count(*) FILTER (o_orderstatus = 'F') * 100 // count(*))::BIGINT AS progress, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS detail FROM s GROUP BY o_custkey""")
 def r_job_status(t: Tables) -> DataFrame:
     stages = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")))
-    g = t.orders.groupBy(F.col("o_custkey").alias("job")).agg(F.count(ONE).alias("stages"), aggregates.count_where(F.col("o_orderstatus") == "F").alias("done"), stages.alias("x"))
+    g = t.orders.groupBy(F.col("o_custkey").alias("job")).agg(F.count(F.lit(1)).alias("stages"), aggregates.count_where(F.col("o_orderstatus") == "F").alias("done"), stages.alias("x"))
     return g.select("job", "stages", F.expr("done * 100 div stages").alias("progress"), F.array_join(F.transform("x", lambda s: F.concat_ws(":", s["o_orderkey"], s["o_orderstatus"])), ",").alias("detail"))
 
 
@@ -443,14 +440,14 @@ def r_url_list(t: Tables) -> DataFrame:
 
 @P.add("SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(DISTINCT lang) AS languages, sum(n_chars)::BIGINT AS chars FROM documents")
 def r_kstats(t: Tables) -> DataFrame:
-    return t.documents.agg(F.count(ONE).alias("documents"), F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("languages"), F.sum("n_chars").alias("chars"))
+    return t.documents.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("languages"), F.sum("n_chars").alias("chars"))
 
 
 @P.add("""
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value, CASE WHEN count(*) FILTER (value > 95) / count(*) > 0.05 THEN 'unhealthy' ELSE 'healthy' END AS health FROM events GROUP BY event_type""")
 def r_monitor(t: Tables) -> DataFrame:
-    slow = aggregates.rate(aggregates.count_where(F.col("value") > 95), F.count(ONE))
-    return t.events.groupBy("event_type").agg(F.count(ONE).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.when(slow > 0.05, "unhealthy").otherwise("healthy").alias("health"))
+    slow = aggregates.rate(aggregates.count_where(F.col("value") > 95), F.count(F.lit(1)))
+    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.when(slow > 0.05, "unhealthy").otherwise("healthy").alias("health"))
 
 
 @P.add("SELECT source, lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents WHERE length(text) > 100 AND lang IS NOT NULL) WHERE rn <= 4")

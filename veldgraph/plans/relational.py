@@ -72,8 +72,8 @@ def flt_json_exists(t: Tables) -> DataFrame:
 
 
 @P.add("""
-SELECT p_partkey, round(1.0 * len(list_filter(string_split(lower(p_name), ' '), x -> x IN ('red', 'promo')))
-  + 0.4 * len(list_filter([lower(p_type)], x -> x IN ('red', 'promo'))), 6)::DOUBLE AS rank
+SELECT p_partkey, round(1.0 * len(list_filter(string_split(lower(p_name), ' '), lambda x: x IN ('red', 'promo')))
+  + 0.4 * len(list_filter([lower(p_type)], lambda x: x IN ('red', 'promo'))), 6)::DOUBLE AS rank
 FROM part WHERE list_contains(string_split(lower(p_name || ' ' || p_type), ' '), 'red') AND list_contains(string_split(lower(p_name || ' ' || p_type), ' '), 'promo')""")
 def flt_fulltext(t: Tables) -> DataFrame:
     return filters.full_text(t.part, "red promo", {"p_name": 1.0, "p_type": 0.4}).select("p_partkey", "rank")
@@ -409,7 +409,7 @@ def set_invalid_citations(t: Tables) -> DataFrame:
 
 
 @P.add("""
-SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}')), x -> NOT contains(lower(p), x))), ',') AS unknown
+SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}')), lambda x: NOT contains(lower(p), x))), ',') AS unknown
 FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS p FROM conversations) c""")
 def set_fact_diff(t: Tables) -> DataFrame:
     """Long words of an answer that its source, the turn before, doesn't hold."""
@@ -425,9 +425,9 @@ def set_node_union(t: Tables) -> DataFrame:
 
 
 @P.add("""
-SELECT conv_id, turn, array_to_string(list_filter(list_distinct_first, x -> true)[1:10], ',') AS keywords FROM (
-  SELECT conv_id, turn, list_transform(list_sort(list_transform(list_distinct(w), x -> {'i': list_position(w, x), 'x': x})), s -> s.x) AS list_distinct_first
-  FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z]+'), x -> length(x) > 1) AS w FROM conversations))""")
+SELECT conv_id, turn, array_to_string(list_filter(list_distinct_first, lambda x: true)[1:10], ',') AS keywords FROM (
+  SELECT conv_id, turn, list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'i': list_position(w, x), 'x': x})), lambda s: s.x) AS list_distinct_first
+  FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 1) AS w FROM conversations))""")
 def set_keyword_dedupe(t: Tables) -> DataFrame:
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) > 1)
     return t.conversations.select("conv_id", "turn", F.array_join(F.slice(F.array_distinct(words), 1, 10), ",").alias("keywords"))

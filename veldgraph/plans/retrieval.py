@@ -46,7 +46,7 @@ def v_euclid(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(vector.euclidean(F.col("embedding"), F.array(*[F.lit(float(x)) for x in _query(t)])), 5).alias("distance"))
 
 
-@P.add("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], x -> x * x))), 6) AS first FROM embeddings")
+@P.add("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings")
 def v_normalize(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(F.get(vector.normalized(F.col("embedding")), F.lit(0)), 6).alias("first"))
 

@@ -13,7 +13,6 @@ from veldgraph.plans.graph import GRAPH, edges_of, nodes_of
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
-ONE = F.lit(1)
 
 
 @P.add("SELECT c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'B: ' || c_name WHEN 'FURNITURE' THEN 'F: ' || c_name ELSE 'X: ' || c_name END AS answer, c_custkey FROM customer")
@@ -62,7 +61,7 @@ def a_context(t: Tables) -> DataFrame:
 WITH g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') > 0 AS path, sum(length(o_orderpriority))::INT AS len FROM orders GROUP BY o_custkey)
 SELECT o_custkey, round(least(0.5 + CASE WHEN n >= 5 THEN 0.3 WHEN n >= 3 THEN 0.2 WHEN n >= 1 THEN 0.1 ELSE 0 END + CASE WHEN path THEN 0.1 ELSE 0 END + CASE WHEN len > 200 THEN 0.1 ELSE 0 END, 1), 6)::DOUBLE AS confidence FROM g""")
 def a_confidence(t: Tables) -> DataFrame:
-    g = t.orders.groupBy("o_custkey").agg(F.count(ONE).alias("n"), (F.count_if(F.col("o_orderstatus") == "O") > 0).alias("path"), F.sum(F.length("o_orderpriority")).alias("len"))
+    g = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("o_orderstatus") == "O") > 0).alias("path"), F.sum(F.length("o_orderpriority")).alias("len"))
     return g.select("o_custkey", nlq.answer_confidence(F.col("n"), F.col("path"), F.col("len")).alias("confidence"))
 
 
@@ -92,7 +91,7 @@ def k_citation(t: Tables) -> DataFrame:
 @P.add("""
 WITH g AS (SELECT conv_id, count(*) AS n, max(length(text)) AS longest FROM conversations GROUP BY conv_id) SELECT conv_id, n >= CASE WHEN longest > 1000 THEN 3 WHEN longest > 500 THEN 2 ELSE 1 END AS enough FROM g""")
 def k_coverage(t: Tables) -> DataFrame:
-    g = t.conversations.groupBy("conv_id").agg(F.count(ONE).alias("n"), F.max(F.length("text")).alias("longest"))
+    g = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest"))
     return g.select("conv_id", (F.col("n") >= F.when(F.col("longest") > 1000, 3).when(F.col("longest") > 500, 2).otherwise(1)).alias("enough"))
 
 
@@ -129,7 +128,7 @@ SELECT l_orderkey, count(*) - count(DISTINCT l_linenumber) AS duplicates, count(
 def d_data_valid(t: Tables) -> DataFrame:
     price = F.col("l_extendedprice")
     return t.lineitem.groupBy("l_orderkey").agg(
-        (F.count(ONE) - F.countDistinct("l_linenumber")).alias("duplicates"), F.count_if((price <= 0) | (price > 100_000)).alias("bad_amounts"), F.count_if(F.col("l_quantity") <= 0).alias("bad_periods"), F.round(F.count_if(F.col("l_discount") > 0) / F.count(ONE), 6).alias("link_rate")
+        (F.count(F.lit(1)) - F.countDistinct("l_linenumber")).alias("duplicates"), F.count_if((price <= 0) | (price > 100_000)).alias("bad_amounts"), F.count_if(F.col("l_quantity") <= 0).alias("bad_periods"), F.round(F.count_if(F.col("l_discount") > 0) / F.count(F.lit(1)), 6).alias("link_rate")
     )
 
 
@@ -138,7 +137,7 @@ WITH {GRAPH} SELECT label, count(*) AS nodes, count(*) FILTER (NOT EXISTS (SELEC
 def d_graph_valid(t: Tables) -> DataFrame:
     n, e = nodes_of(t), edges_of(t)
     touched = e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct().withColumn("touched", F.lit(True))
-    return n.join(touched, "node_id", "left").groupBy("label").agg(F.count(ONE).alias("nodes"), F.count_if(F.col("touched").isNull()).alias("alone"))
+    return n.join(touched, "node_id", "left").groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("touched").isNull()).alias("alone"))
 
 
 _PARTS = "count(o_orderdate) / count(*) AS completeness, count(*) FILTER (o_totalprice > 10000) / count(*) AS accuracy, count(*) FILTER (o_orderstatus <> 'P') / count(*) AS consistency, least(count(*) / 20, 1) AS coverage"
@@ -146,7 +145,7 @@ _PARTS = "count(o_orderdate) / count(*) AS completeness, count(*) FILTER (o_tota
 
 @P.add(f"WITH g AS (SELECT o_custkey, {_PARTS} FROM orders GROUP BY o_custkey) SELECT o_custkey, round(0.3::DOUBLE * completeness + 0.3::DOUBLE * accuracy + 0.25::DOUBLE * consistency + 0.15::DOUBLE * coverage, 6) AS quality FROM g")
 def d_quality(t: Tables) -> DataFrame:
-    n = F.count(ONE)
+    n = F.count(F.lit(1))
     g = t.orders.groupBy("o_custkey").agg((F.count("o_orderdate") / n).alias("a"), (F.count_if(F.col("o_totalprice") > 10_000) / n).alias("b"), (F.count_if(F.col("o_orderstatus") != "P") / n).alias("c"), F.least(n / 20, F.lit(1.0)).alias("d"))
     return g.select("o_custkey", F.round(0.3 * F.col("a") + 0.3 * F.col("b") + 0.25 * F.col("c") + 0.15 * F.col("d"), 6).alias("quality"))
 
@@ -156,16 +155,16 @@ SELECT (SELECT count(*) FROM documents) AS parsed, (SELECT count(*) FROM embeddi
 (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS dangling""")
 def d_pipeline(t: Tables) -> DataFrame:
     one = F.lit(1).alias("one")  # single rows
-    e = t.embeddings.agg(F.count(ONE).alias("embedded"), (F.countDistinct(F.size("embedding")) == 1).alias("same_dim"), (F.count(ONE) - F.countDistinct("vec_id")).alias("duplicates")).select(one, "*")
-    dangling = t.embeddings.select(F.col("vec_id").alias("doc_id")).join(t.documents.select("doc_id"), "doc_id", "left_anti").agg(F.count(ONE).alias("dangling")).select(one, "*")
-    return t.documents.agg(F.count(ONE).alias("parsed")).select(one, "*").join(e, "one").join(dangling, "one").drop("one")
+    e = t.embeddings.agg(F.count(F.lit(1)).alias("embedded"), (F.countDistinct(F.size("embedding")) == 1).alias("same_dim"), (F.count(F.lit(1)) - F.countDistinct("vec_id")).alias("duplicates")).select(one, "*")
+    dangling = t.embeddings.select(F.col("vec_id").alias("doc_id")).join(t.documents.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("dangling")).select(one, "*")
+    return t.documents.agg(F.count(F.lit(1)).alias("parsed")).select(one, "*").join(e, "one").join(dangling, "one").drop("one")
 
 
 @P.add("""
 WITH c AS (SELECT c_custkey, c_acctbal, c_mktsegment, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
 SELECT c_custkey, greatest(0, least(100, 50 + CASE WHEN c_acctbal > 5000 THEN 20 WHEN c_acctbal < 0 THEN -10 ELSE 0 END + CASE WHEN n > 15 THEN -30 ELSE 15 END + (c_mktsegment = 'BUILDING')::INT * 5 + (n > 3)::INT * 10))::INT AS score FROM c""")
 def m_matching(t: Tables) -> DataFrame:
-    counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(ONE).alias("n"))
+    counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
     rows = t.customer.join(counts, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     score = 50 + F.when(F.col("c_acctbal") > 5000, 20).when(F.col("c_acctbal") < 0, -10).otherwise(0) + F.when(F.col("n") > 15, -30).otherwise(15) + F.when(F.col("c_mktsegment") == "BUILDING", 5).otherwise(0) + F.when(F.col("n") > 3, 10).otherwise(0)
     return rows.select("c_custkey", F.greatest(F.lit(0), F.least(F.lit(100), score)).alias("score"))
@@ -187,18 +186,18 @@ SELECT o_custkey, count(*) FILTER (severity = 'error') AS errors, count(*) FILTE
 def r_validate_all(t: Tables) -> DataFrame:
     severity = F.when(F.col("o_totalprice") < 5000, "error").when(F.col("o_orderpriority") == "5-LOW", "warning").otherwise("info")
     i = t.orders.select("o_custkey", severity.alias("s"))
-    return i.groupBy("o_custkey").agg(F.count_if(F.col("s") == "error").alias("errors"), F.count_if(F.col("s") == "warning").alias("warnings"), (1 - F.count_if(F.col("s") != "info") / F.count(ONE) >= 0.7).alias("acceptable"))
+    return i.groupBy("o_custkey").agg(F.count_if(F.col("s") == "error").alias("errors"), F.count_if(F.col("s") == "warning").alias("warnings"), (1 - F.count_if(F.col("s") != "info") / F.count(F.lit(1)) >= 0.7).alias("acceptable"))
 
 
 @P.add("SELECT p_name AS label, min(p_partkey) AS id, count(*) AS mentions FROM part GROUP BY p_name")
 def r_chunk_merge(t: Tables) -> DataFrame:
     """The first entity of a label stands for all; relations go by label, so none dangles."""
-    return t.part.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("id"), F.count(ONE).alias("mentions"))
+    return t.part.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("mentions"))
 
 
 @P.add("SELECT p_type, p_brand, count(*) AS n, sum(p_size)::BIGINT AS tokens FROM part GROUP BY p_type, p_brand")
 def r_chunk_agg(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_type", "p_brand").agg(F.count(ONE).alias("n"), F.sum("p_size").alias("tokens"))
+    return t.part.groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("tokens"))
 
 
 @P.add("SELECT l_orderkey, l_linenumber, p.p_name AS src, s.s_name AS dst FROM lineitem JOIN part p ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND p_size < 25 AND s_acctbal > 5000")

@@ -38,7 +38,7 @@ def st_rate_limit(t: Tables) -> DataFrame:
 @P.add("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def st_rate_limit_stream(t: Tables) -> DataFrame:
     """The stateful form, counted by user: every event comes out once."""
-    out = windows.drained(windows.rate_limited_stream(_stream(t), 3, 36_000), "limited")
+    out = windows.drained(windows.rate_limited_stream(_stream(t), 3, 36_000, late="40 days"), "limited")
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 

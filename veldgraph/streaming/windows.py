@@ -57,8 +57,8 @@ def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
     return folded.select("user_id", "o.event_id", n.alias("n"), (n <= most).alias("allowed"), F.greatest(F.lit(0), most - n).alias("remaining"))
 
 
-def rate_limited_stream(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """The same on a stream, with start and count as each user's state, which expires with its window."""
+def rate_limited_stream(events: DataFrame, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """The same on a stream, with start and count as each user's state, which goes when the watermark has passed its window. Events later than ``late`` are dropped."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -74,11 +74,11 @@ def rate_limited_stream(events: DataFrame, most: int, seconds: int) -> DataFrame
                 n += 1
                 out.append((key[0], event_id, n, n <= most, max(0, most - n)))
         state.update((since, n))
-        state.setTimeoutDuration(2000 * seconds)
+        state.setTimeoutTimestamp(max(since // 1000 + 2000 * seconds, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "n", "allowed", "remaining"])
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(
-        fold, "user_id bigint, event_id bigint, n int, allowed boolean, remaining int", "since bigint, n int", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", late).select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(
+        fold, "user_id bigint, event_id bigint, n int, allowed boolean, remaining int", "since bigint, n int", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
