@@ -22,7 +22,8 @@ Nulls, empty and repeated rows: a null level is the node ``(null)``. A text with
 words, or null, has no tokens; it follows its leaf's epochs and its place in the
 order. A null doc_id is hashed as an empty one. Rows that repeat a doc_id share its
 place and are taken or left together at the end of a prefix. An empty table gives no
-rows. Columns other than those named are kept. Names ending in ``_`` are reserved.
+rows. Other columns are kept, but for n_tokens and n_epochs of the input. Names
+ending in ``_`` are reserved.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def mixture(docs: DataFrame, levels: list[str], weights: list[dict[str, int]], p
     others weigh 1, and 0 leaves a child out. The budget is ``percent`` of all tokens.
     """
     tree = [f"level{i}_" for i in range(len(levels))]
-    named = docs.withColumns({t: F.coalesce(F.col(c).cast("string"), F.lit("(null)")) for t, c in zip(tree, levels, strict=True)})
+    named = docs.drop("n_tokens", "n_epochs").withColumns({t: F.coalesce(F.col(c).cast("string"), F.lit("(null)")) for t, c in zip(tree, levels, strict=True)})
     counted = named.withColumn("tokens_", token_count())
     rows = stored(counted.drop("text"), "mixed")
     leaves = stored(rows.groupBy(*tree).agg(F.sum("tokens_").alias("tokens")), "leaves")

@@ -11,7 +11,7 @@ candidates; every candidate is confirmed on the two full sets.
 Cost is linear in the documents. Documents with one and the same set are one class
 from the start. Within a bucket, members are tested against a few hubs, not against
 each other. What then is apart from the bucket's main component is tested against
-all its members if it is little, else the bucket takes more hubs, four times as many
+all its members if it is little, else the bucket takes more hubs, eight times as many
 in each round. From the first round it is known how each member's set differs from
 its bucket's pivot, as signatures of 512 bits; they bound the similarity of two
 members, and pairs that can't reach the limit are never made. So a bucket's links
@@ -48,11 +48,12 @@ ROWS = 6
 SIMILARITY = 80
 #: In round i a bucket takes about HUBS * GROWTH**i hubs, and is finished pair by pair if no more than APART * GROWTH**i members are outside its main component.
 HUBS = 2
-APART = 32
-GROWTH = 4
+APART = 256
+GROWTH = 8
 #: 64-bit words of a signature.
 SIGNATURE = 8
-MEMBER = ("id", "n", "label", "pivot_n", "shared", "more", "less")
+MORE, LESS = [f"more{i}" for i in range(SIGNATURE)], [f"less{i}" for i in range(SIGNATURE)]
+MEMBER = ("id", "n", "label", "pivot_n", "shared", *MORE, *LESS)
 
 _ROUND_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -132,10 +133,6 @@ def _measured(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int)
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, fields)
 
 
-def _bits(words: Column) -> Column:
-    return F.aggregate(F.transform(words, lambda w: F.bit_count(w)), F.lit(0), lambda s, x: s + x)
-
-
 def _possible(similarity: int) -> Column:
     """Whether two members can be similar enough by what is known of their set sizes and of their differences from the band's pivot.
 
@@ -143,8 +140,8 @@ def _possible(similarity: int) -> Column:
     what both have besides: both numbers are bounded by the signatures' bits.
     """
     size = 100 * F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y")
-    inside = F.col("pivot_n_x") - _bits(F.zip_with("less_x", "less_y", lambda p, q: p.bitwiseOR(q)))
-    besides = lambda p, q: F.col(f"n_{p}") - F.col(f"shared_{p}") - _bits(F.zip_with(f"more_{p}", f"more_{q}", lambda u, v: u.bitwiseAND(F.bitwise_not(v))))
+    inside = F.col("pivot_n_x") - sum(F.bit_count(F.col(f"{w}_x").bitwiseOR(F.col(f"{w}_y"))) for w in LESS)
+    besides = lambda p, q: F.col(f"n_{p}") - F.col(f"shared_{p}") - sum(F.bit_count(F.col(f"{w}_{p}").bitwiseAND(F.bitwise_not(F.col(f"{w}_{q}")))) for w in MORE)
     most = inside + F.least(besides("x", "y"), besides("y", "x"))
     return size & F.coalesce(100 * most >= similarity * (F.col("n_x") + F.col("n_y") - most), F.lit(True))
 
@@ -156,33 +153,32 @@ def _pairs(left: DataFrame, right: DataFrame, similarity: int) -> DataFrame:
     return side(left, "x").join(side(right, "y"), "band").filter(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
-def _with_differences(members: DataFrame, hubs: DataFrame, tested: DataFrame) -> DataFrame:
+def _with_differences(members: DataFrame, tested: DataFrame) -> DataFrame:
     """Members with what is known of the least hub of their band, their pivot: its size, what they share, and signatures of what they have more and less."""
-    pivots = hubs.groupBy("band").agg(F.min("id").alias("pivot"))
-    ends = members.select("band", "id", "n", "label").join(pivots, "band").withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")})
+    pivots = members.filter("hub").groupBy("band").agg(F.min("id").alias("pivot"))
+    ends = members.select("band", "id", "n", "label", "hub").join(pivots, "band").withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")})
     own, first = F.col("id") == F.col("pivot"), F.col("id") == F.col("a")
-    none = F.array_repeat(F.lit(0).cast("long"), SIGNATURE)
     pick = lambda mine, other: F.when(first, F.col(mine)).otherwise(F.col(other))
     known = {
         "pivot_n": F.when(own, F.col("n")).otherwise(pick("n_b", "n_a")), "shared": F.when(own, F.col("n")).otherwise(F.col("shared")),
-        "more": F.when(own, none).otherwise(pick("only_a", "only_b")), "less": F.when(own, none).otherwise(pick("only_b", "only_a")),
     }
-    return ends.join(tested.drop("linked"), ["a", "b"], "left").withColumns(known).select("band", *MEMBER)
+    for i in range(SIGNATURE):
+        word = lambda side, i=i: F.get(side, F.lit(i))
+        known |= {MORE[i]: F.when(own, F.lit(0)).otherwise(F.when(first, word("only_a")).otherwise(word("only_b"))), LESS[i]: F.when(own, F.lit(0)).otherwise(F.when(first, word("only_b")).otherwise(word("only_a")))}
+    return ends.join(tested.drop("linked"), ["a", "b"], "left").withColumns(known).select("band", *MEMBER, "hub")
 
 
-def _hubs(members: DataFrame, few: int, turn: int) -> DataFrame:
-    """About ``few`` members of each band, one at least. Similar bands choose the same ones, and no window sorts a band."""
+def _with_hubs(members: DataFrame, few: int, turn: int) -> DataFrame:
+    """Members with ``hub``, true for about ``few`` of each band, one at least. Similar bands choose the same ones, and no window sorts a band."""
     order = F.xxhash64("id", F.lit(turn))
     sizes = members.groupBy("band").agg(F.count("*").alias("size"), F.min(order).alias("least"))
-    sized = members.join(sizes, "band")
     chosen = (order == F.col("least")) | (F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.ceil(F.col("size") / few))) == 0)
-    return sized.filter(chosen).select("band", *MEMBER)
+    return members.join(sizes, "band").select("band", *MEMBER, chosen.alias("hub"))
 
 
-def _unfinished(members: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members but for the hubs, which are through with their bands, of bands that more than one component shares."""
-    rest = members.drop("label").join(hubs.select("band", "id"), ["band", "id"], "left_anti")
-    rest = rest.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).select("band", *MEMBER)
+def _unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, but for the hubs that are through with their bands, of bands that more than one component shares."""
+    rest = members.filter("not hub").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).select("band", *MEMBER)
     sizes = rest.groupBy("band", "label").agg(F.countDistinct("id").alias("size"))
     bands = sizes.groupBy("band").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("main"))
     bands = bands.filter("all > main.size").select("band", F.col("main.label").alias("main"), (F.col("all") - F.col("main.size")).alias("apart"))
@@ -203,29 +199,28 @@ def links(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int
     alone = known.join(classes, ["set_a", "set_b"], "left").filter("class_id is null or class_id = doc_id")
     bucketed = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     crowded = bucketed.groupBy("band").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("band")
-    unknown = {"pivot_n": "long", "shared": "long", "more": "array<long>", "less": "array<long>"}
-    fresh = {"label": F.col("id")} | {k: F.lit(None).cast(t) for k, t in unknown.items()}
+    fresh = {"label": F.col("id")} | {k: F.lit(None).cast("long") for k in MEMBER[3:]}
     members = stored(bucketed.join(crowded, "band", "left_semi").withColumns(fresh), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     texts = stored(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    hubs = stored(_hubs(members, HUBS, 0), "hubs")
-    pairs, tested, turn = _pairs(members, hubs, similarity), [], 0
+    members = stored(_with_hubs(members, HUBS, 0), "members")
+    pairs, tested, labels, turn = _pairs(members, members.filter("hub"), similarity), [], None, 0
     while True:
         for old in tested:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         tested.append(stored(_measured(stored(pairs, "pairs"), texts, shingle, similarity), "tested"))
-        labels = stored(connected(reduce(DataFrame.unionByName, tested).filter("linked").select("a", "b")), "labels")
+        if labels is None or not tested[-1].filter("linked").isEmpty():
+            labels = stored(connected(reduce(DataFrame.unionByName, tested).filter("linked").select("a", "b")), "labels")
         if turn == 0:
-            members = _with_differences(members, hubs, tested[0])
-        rest = stored(_unfinished(members, hubs, labels), "members")
+            members = _with_differences(members, tested[0])
+        rest = stored(_unfinished(members, labels), "members")
         if rest.isEmpty():
             return base, classes, labels
+        most = APART * GROWTH**turn
         turn += 1
-        most = APART * GROWTH ** (turn - 1)
         few, many = rest.filter(F.col("apart") <= most), rest.filter(F.col("apart") > most)
-        members = many.select("band", *MEMBER)
-        hubs = stored(_hubs(members, HUBS * GROWTH**turn, turn), "hubs")
-        pairs = _pairs(few.filter("label <> main"), few, similarity).unionByName(_pairs(members, hubs, similarity)).distinct()
+        members = stored(_with_hubs(many.select("band", *MEMBER), HUBS * GROWTH**turn, turn), "members")
+        pairs = _pairs(few.filter("label <> main"), few, similarity).unionByName(_pairs(members, members.filter("hub"), similarity)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: int = SIMILARITY) -> DataFrame:

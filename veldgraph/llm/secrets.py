@@ -120,5 +120,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         F.greatest(acc["at"], x["end"]).alias("at"),
     )
     walked = F.aggregate("all_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = scanned(docs).withColumn("text", F.when(F.size("all_spans") > 0, walked).otherwise(F.col("text"))).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    found = scanned(docs.select(F.struct("*").alias("row"), "text")).withColumn("text", F.when(F.size("all_spans") > 0, walked).otherwise(F.col("text")))
+    kept = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        kept["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[kept[c].alias(c) for c in docs.columns])

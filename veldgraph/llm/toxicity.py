@@ -3,13 +3,13 @@
 1. *Voters.* The distinct word beginnings of 4, 5 and 6 bytes (a shorter word counts
    with its end) of the labelled rows are counted in toxic and in clean documents;
    the most telling ones become the lexicon, each a voter. Three patterns (shouting,
-   rows of exclamation marks, remarks on the reader) vote as well, and so does the
-   given label.
+   rows of exclamation marks, remarks on the reader) vote toxic as well; a text on
+   which all of these abstain gets a vote for clean; and the given label votes.
 2. *Label model.* A generative model with the true class hidden and each voter's
-   rates of firing in either class is estimated by expectation-maximisation. Voters
-   that fire together within a class are not independent evidence: the correlations
-   within the classes are estimated in each step, and a voter's log odds are divided
-   by one plus the sum of its positive correlations with others.
+   accuracy is estimated by expectation-maximisation. Voters that vote together
+   within a class are not independent evidence: the correlations within the classes
+   are estimated in each step, and a voter's log odds are divided by one plus the
+   sum of its positive correlations with others.
 3. *Classifier.* A logistic regression on the lexicon and the patterns is trained on
    the posterior labels, not on the given ones. It alone scores documents.
 
@@ -44,6 +44,8 @@ SIZES = (4, 5, 6)
 #: A beginning that fewer toxic rows have is no voter.
 LEAST_SUPPORT = 4
 THRESHOLD = 0.3
+#: Weaker correlations of voters are taken as chance.
+CORRELATED = 0.25
 #: RE2 patterns on the text as it is.
 PATTERNS = (r"\b[A-Z]{4,}\b[^a-z]{0,40}\b[A-Z]{4,}\b", r"!!", r"(?i)\byou(?:'re| are| r)? (?:a|an|so|such|all)\b")
 
@@ -53,7 +55,7 @@ class Model:
     features: np.ndarray  # sorted hashes
     weights: np.ndarray  # of the features, then of the patterns
     bias: float
-    accuracies: list[tuple[float, float]]  # of the voters: rates of firing in clean and in toxic documents
+    accuracies: np.ndarray  # of the voters; the last two are the one for texts without any hit and the given label
 
 
 def _distinct(hashes: list[np.ndarray], at: np.ndarray, i: int) -> np.ndarray:
@@ -119,54 +121,69 @@ def _patterns(texts: pa.Array) -> np.ndarray:
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of class 1 for each row, rates of firing by class and voter) of a matrix of votes.
+    """(posterior of toxic for each row, accuracy of each voter) of a matrix of votes: 1 toxic, -1 clean, 0 abstains.
 
-    ``start`` is a first guess of the posteriors. A voter never counts for class 0 by firing.
+    ``start`` is a first guess of the posteriors, and its mean the share of toxic rows. A voter is right with its accuracy
+    whenever it votes, and never worse than chance; abstaining says nothing.
     """
-    posterior, rates = start.astype(float), np.zeros((2, votes.shape[1]))
+    posterior, accuracy = start.astype(float), np.full(votes.shape[1], 0.5)
     if not votes.size:
-        return posterior, rates
+        return posterior, accuracy
     v = votes.astype(np.float64)
+    toxic, clean, cast = v > 0, v < 0, np.abs(v)
+    share = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
     for _ in range(steps):
-        share = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
+        right = posterior @ toxic + (1 - posterior) @ clean
+        accuracy = np.clip((right + 1) / (cast.sum(axis=0) + 2), 0.5, 0.999)
         together = np.zeros((v.shape[1], v.shape[1]))
-        for y, w in ((0, 1 - posterior), (1, posterior)):
+        for w in (1 - posterior, posterior):
             total = w.sum() + 2
-            rates[y] = (w @ v + (0.1 if y == 0 else 1.0)) / total
-            middle = v - rates[y]
-            spread = np.sqrt(np.maximum(rates[y] * (1 - rates[y]), 1e-9))
+            rate = w @ cast / total
+            middle = cast - rate
+            spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
             together += (w.sum() / len(v)) * ((middle * w[:, None]).T @ middle) / total / np.outer(spread, spread)
-        rates[1] = np.maximum(rates[1], rates[0])
         np.fill_diagonal(together, 0)
-        alone = 1 / (1 + np.clip(together, 0, 1).sum(axis=1))
-        fired = np.log(rates[1] / rates[0]) * alone
-        silent = np.log((1 - rates[1]) / (1 - rates[0])) * alone
-        odds = np.log(share / (1 - share)) + v @ (fired - silent) + silent.sum()
+        together[together < CORRELATED] = 0
+        alone = 1 / (1 + np.minimum(together, 1).sum(axis=1))
+        odds = np.log(share / (1 - share)) + v @ (np.log(accuracy / (1 - accuracy)) * alone)
         now = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         moved = np.abs(now - posterior).max()
         posterior = now
         if moved < 1e-6:
             break
-    return posterior, rates
-
-
-def logistic(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width: int, ridge: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression of soft targets on a sparse 0/1 matrix, by accelerated gradient steps."""
-    n = max(1, len(target))
-    per_row = np.bincount(rows, minlength=n)
-    rate = 4.0 / (1 + per_row.max(initial=0))
-    w, b, last_w, last_b = np.zeros(width), 0.0, np.zeros(width), 0.0
-    balance = np.where(target > 0.5, max(1.0, (1 - target).sum() / max(1.0, target.sum())) ** 0.5, 1.0)
-    for i in range(steps):
-        k = i / (i + 3)
-        at_w, at_b = w + k * (w - last_w), b + k * (b - last_b)
-        odds = at_b + np.bincount(rows, weights=at_w[columns], minlength=n)[: len(target)]
-        wrong = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - target) * balance
-        scale = n / balance.sum() if len(target) else 1.0
-        last_w, last_b = w, b
-        w = at_w - rate * scale * (np.bincount(columns, weights=wrong[rows], minlength=width) / n * 50 + ridge * at_w) / 50 * 10
-        b = at_b - rate * scale * wrong.sum() / n
-    return w, float(b)
+    return posterior, accuracy
+
+
+def logistic(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width: int, ridge: float = 0.1, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression of soft targets on a sparse 0/1 matrix, by Newton steps that conjugate gradients solve."""
+    n, w = len(target), np.zeros(width + 1)
+    if not n:
+        return w[:-1], 0.0
+    times = lambda v: np.bincount(rows, weights=v[:-1][columns], minlength=n) + v[-1]
+    back = lambda u: np.append(np.bincount(columns, weights=u[rows], minlength=width), u.sum())
+    hold = np.append(np.full(width, ridge), 1e-3)
+    w[-1] = np.log((target.sum() + 0.5) / (n - target.sum() + 0.5))
+    loss = lambda v: float(np.logaddexp(0, times(v)).sum() - target @ times(v) + 0.5 * (hold * v * v).sum())
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        slope, curve = back(p - target) + hold * w, np.maximum(p * (1 - p), 1e-9)
+        move, left = np.zeros(width + 1), -slope
+        way, size = left.copy(), left @ left
+        for _ in range(60):
+            if size < 1e-12:
+                break
+            turned = back(curve * times(way)) + hold * way
+            far = size / (way @ turned)
+            move, left = move + far * way, left - far * turned
+            way, size = left + (left @ left) / size * way, left @ left
+        scale = 1.0
+        while (then := loss(w + scale * move)) > now and scale > 1e-4:
+            scale /= 2
+        if now - then < 1e-6 * n * 1e-3:
+            break
+        w, now = w + scale * move, then
+    return w[:-1], float(w[-1])
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, max_voters: int = MAX_VOTERS) -> Model:
@@ -205,15 +222,16 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_fea
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     column = np.concatenate([np.zeros(0, np.int64), *hits])
     voters = np.concatenate((np.searchsorted(features, by_worth[:max_voters]), np.arange(len(features), width)))
-    votes = np.zeros((len(hits), len(voters) + 1), dtype=bool)
+    votes = np.zeros((len(hits), len(voters) + 2), dtype=np.int8)
     place = np.full(width, -1)
     place[voters] = np.arange(len(voters))
     inside = place[column] >= 0
-    votes[row[inside], place[column[inside]]] = True
-    votes[:, -1] = label > 0
-    posterior, rates = label_model(votes, 0.05 + 0.9 * label)
+    votes[row[inside], place[column[inside]]] = 1
+    votes[:, -2] = -1 * ~votes.any(axis=1)
+    votes[:, -1] = np.where(label > 0, 1, -1)
+    posterior, accuracies = label_model(votes, 0.05 + 0.9 * label)
     weights, bias = logistic(row, column, posterior, width)
-    return Model(features, weights, bias, [(float(a), float(b)) for a, b in rates.T])
+    return Model(features, weights, bias, accuracies)
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
