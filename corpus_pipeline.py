@@ -25,7 +25,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents but those of no language."""
     known = language_id.profiles(docs.filter(~language_id.held_out()))
-    return language_id.predicted(docs.withColumn("whole_text_", F.col("text")), known, language_id.PROFILE_SIZE, *docs.columns).filter("lang_pred <> 'und'").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return language_id.predicted(rows, known, language_id.PROFILE_SIZE, "row").filter("lang_pred <> 'und'").select("row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
