@@ -40,21 +40,23 @@ def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
     """Each event with its number in its user's window and whether it is allowed.
 
     A window opens at a user's first event and closes when more than ``seconds`` have
-    passed; the next event opens another. The fold over a user's sorted events keeps
-    only the window's start and count.
+    passed; the next event opens another. That is a fold in order: a task reads its
+    users' events sorted and keeps one window's start and count.
     """
-    rows = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("x"))
-    seconds_of = lambda ts: F.unix_micros(ts.cast("timestamp"))
-    start = F.struct(F.lit(None).cast("bigint").alias("since"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:bigint,n:int>>").alias("out"))
-
-    def step(acc: F.Column, e: F.Column) -> F.Column:
-        fresh = acc["since"].isNull() | (seconds_of(e["ts"]) - acc["since"] > seconds * 1_000_000)
-        n = F.when(fresh, 1).otherwise(acc["n"] + 1)
-        return F.struct(F.when(fresh, seconds_of(e["ts"])).otherwise(acc["since"]).alias("since"), n.alias("n"), F.array_append(acc["out"], F.struct(e["event_id"].alias("event_id"), n.alias("n"))).alias("out"))
-
-    folded = rows.select("user_id", F.explode(F.aggregate("x", start, step, lambda acc: acc["out"])).alias("o"))
-    n = F.col("o.n")
-    return folded.select("user_id", "o.event_id", n.alias("n"), (n <= most).alias("allowed"), F.greatest(F.lit(0), most - n).alias("remaining"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, since, n = None, None, 0
+        for rows in batches:
+            out = []
+            for u, event_id, at in zip(rows["user_id"], rows["event_id"], rows["us"], strict=True):
+                if u != user or at - since > seconds * 1_000_000:
+                    user, since, n = u, at, 0
+                n += 1
+                out.append((u, event_id, n, n <= most, max(0, most - n)))
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "n", "allowed", "remaining"])
+
+    known = events.filter("user_id is not null and ts is not null").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return known.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id").mapInPandas(run, "user_id bigint, event_id bigint, n int, allowed boolean, remaining int")
 
 
 def rate_limited_stream(events: DataFrame, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
