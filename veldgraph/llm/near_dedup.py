@@ -31,7 +31,6 @@ whole. Other columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,7 @@ BANDS = 40
 ROWS = 6
 SIMILARITY = 80
 #: In round i a bucket takes about HUBS * GROWTH**i hubs, and is finished pair by pair if no more than APART * GROWTH**i members are outside its main component.
-HUBS = 2
+HUBS = 1
 APART = 256
 GROWTH = 8
 #: 64-bit words of a signature.
@@ -172,7 +171,9 @@ def _with_hubs(members: DataFrame, few: int, turn: int) -> DataFrame:
     """Members with ``hub``, true for about ``few`` of each band, one at least. Similar bands choose the same ones, and no window sorts a band."""
     order = F.xxhash64("id", F.lit(turn))
     sizes = members.groupBy("band").agg(F.count("*").alias("size"), F.min(order).alias("least"))
-    chosen = (order == F.col("least")) | (F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.ceil(F.col("size") / few))) == 0)
+    chosen = order == F.col("least")
+    if few > 1:
+        chosen |= F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.ceil(F.col("size") / few))) == 0
     return members.join(sizes, "band").select("band", *MEMBER, chosen.alias("hub"))
 
 
@@ -202,15 +203,22 @@ def links(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int
     fresh = {"label": F.col("id")} | {k: F.lit(None).cast("long") for k in MEMBER[3:]}
     members = stored(bucketed.join(crowded, "band", "left_semi").withColumns(fresh), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    texts = stored(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # The ids grow with the corpus, so they are never broadcast, not even where they happen to be few.
+    wanted = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    texts = stored(texts.join(wanted, "doc_id", "left_semi"), "texts")
     members = stored(_with_hubs(members, HUBS, 0), "members")
     pairs, tested, labels, turn = _pairs(members, members.filter("hub"), similarity), [], None, 0
     while True:
         for old in tested:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         tested.append(stored(_measured(stored(pairs, "pairs"), texts, shingle, similarity), "tested"))
-        if labels is None or not tested[-1].filter("linked").isEmpty():
-            labels = stored(connected(reduce(DataFrame.unionByName, tested).filter("linked").select("a", "b")), "labels")
+        fresh_links = tested[-1].filter("linked").select("a", "b")
+        if labels is None:
+            labels = stored(connected(fresh_links), "labels")
+        elif not fresh_links.isEmpty():
+            # What is known is a star for each component, so only those and the new links are gone through.
+            known_links = labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            labels = stored(connected(known_links.unionByName(fresh_links)), "labels")
         if turn == 0:
             members = _with_differences(members, tested[0])
         rest = stored(_unfinished(members, labels), "members")
