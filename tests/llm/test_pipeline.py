@@ -20,7 +20,7 @@ def _tables(spark, tmp_path) -> tuple[list[tuple], list[tuple], str]:  # noqa: A
     rows = [(r[0], r[1], r[2], r[3], r[4]) for r in _fixture()]
     passage = " ".join("".join(rng.choice("mnopq") for _ in range(5)) for _ in range(24))
     half = passage.split()
-    rows += [(100, f"before {passage} after", "en", "src1", 9), (101, f"{' '.join(half[12:])} then {' '.join(half[:12])}", "en", "src2", 9), (102, "12345 !!", "en", "src3", 8)]
+    rows += [(100, f"before {passage} after", "en", "src1", 9), (101, f"{' '.join(half[12:])} then something quite different stands here {' '.join(half[:12])}", "en", "src2", 9), (102, "12345 !!", "en", "src3", 8)]
     items = [(0, passage)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
