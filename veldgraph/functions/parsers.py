@@ -100,6 +100,22 @@ def legal_structure(text: str) -> list[tuple]:
     return rows
 
 
+def legal_lines(text: str) -> list[tuple]:
+    """(article, title, body): articles that begin a line; a text without any is one body, number 0."""
+    heads = list(re.finditer(r"(?m)^\s*제\s*([0-9]+)\s*조\s*(?:[\[(]([^\])]*)[\])])?", text))
+    if not heads:
+        return [(0, "본문", text.strip())] if text.strip() else []
+    ends = [h.start() for h in heads[1:]] + [len(text)]
+    return [(int(h[1]), (h[2] or "").strip(), text[h.end() : end].strip()) for h, end in zip(heads, ends, strict=True)]
+
+
+def titled_articles(text: str) -> list[tuple]:
+    """(article, title, paragraphs): articles with a title in parentheses, paragraphs between blank lines."""
+    heads = list(re.finditer(r"제\s*([0-9]+)\s*조\s*\(([^)]*)\)", text))
+    ends = [h.start() for h in heads[1:]] + [len(text)] * bool(heads)
+    return [(int(h[1]), h[2].strip(), sum(bool(p.strip()) for p in re.split(r"\n\s*\n", text[h.end() : end]))) for h, end in zip(heads, ends, strict=True)]
+
+
 def exceptions(text: str) -> list[tuple]:
     """(place, keyword) in order."""
     return sorted((m.start(), k) for k in EXCEPTIONS for m in re.finditer(re.escape(k), text))
