@@ -180,6 +180,33 @@ def test_pseudonyms_keep_formats_and_links(spark, nothing):
     assert pseudonyms.pseudonym_counts(nothing, "k").count() == 0
 
 
+def test_pseudonyms_of_each_kind_alone(spark):
+    """Each kind in a text with no other digits, and the same value beside other digits."""
+    values = {
+        "email": ["a.b@x.com"], "iban": ["DE89370400440532013000", "FR42AB12CD34EF56", "FR42 AB12 CD34 EF56"], "ip": ["10.0.0.1"], "date": ["2001-02-28", "28.02.2001", "28/02/2001", "2001/02/28"], "ssn": ["123-45-6789"],
+        "phone": ["+45 12 34 56 78", "+33-12-34-56-78-90", "+33 6 12 34 56 78", "+33 (0)6 12 34 56 78", "+4 5 1 2 3 4 5 6 7 8", "+1 (743) 555-3824", "+4512345678"], "card": ["4671502062972109"],
+    }
+    flat = [(kind, v) for kind, own in values.items() for v in own]
+    rows = [(2 * i + k, f"{'in 2024, ' if k else ''}see {v} there") for i, (_, v) in enumerate(flat) for k in (0, 1)]
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonym_counts(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (kind, v) in enumerate(flat):
+        alone, beside = got[2 * i], got[2 * i + 1]
+        assert (alone[f"n_{kind}"], alone["n_replaced"]) == (1, 1), v
+        assert v not in alone["text"]
+        assert beside["text"] == f"in 2024, {alone['text']}"
+        assert re.sub("[0-9]", "0", alone["text"]) == re.sub("[0-9]", "0", f"see {v} there") or kind in ("email", "iban", "ip"), v
+
+
+def test_phones_end_where_they_did(spark):
+    """Numbers that follow are no part of a phone number if it is whole before them."""
+    texts = ["+1 (743) 555-3824", "+1 (743) 555-3824 5 people", "+45 12 34 56 78 3 times", "+45 12 34 56 78", "+1234567", "+1234567890123456", "(+45 12 34 56 78) 12"]
+    got = [r["text"] for r in pseudonyms.pseudonym_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got[1] == f"{got[0]} 5 people" != texts[1]
+    assert got[2] == f"{got[3]} 3 times" != texts[2]
+    assert got[4:6] == texts[4:6]
+    assert got[6] == f"({got[3]}) 12"
+
+
 def test_pair_permutation_is_a_bijection(spark):
     rows = spark.range(7 * 9).select(pseudonyms.permuted_pair(F.floor(F.col("id") / 9), F.col("id") % 9, 7, 9, "k", "x").alias("p"))
     assert {(r["p"]["l"], r["p"]["r"]) for r in rows.collect()} == {(a, b) for a in range(7) for b in range(9)}

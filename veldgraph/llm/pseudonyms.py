@@ -39,12 +39,18 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![./-]?[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,5}){2,5}(?![0-9])"
+def _phone_tail(n: int) -> str:
+    """The digits after the first ``n`` of a number of 8 to 15, each with at most one separator before it. A last group of one digit is taken only if no longer one ends the number."""
+    return rf"(?:(?:[ .-]?[0-9]){{{7 - n},{14 - n}}}[0-9]|(?:[ .-]?[0-9]){{{8 - n},{15 - n}}})"
+
+
+_AREAS = "|".join(rf"[0-9]{{{c}}}[ .-]?\([0-9]{{{a}}}\){_phone_tail(c + a)}" for c in (1, 2, 3) for a in (1, 2, 3, 4))
+PHONE = rf"(?<![0-9+])\+(?:[0-9]{_phone_tail(1)}|{_AREAS})(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 PATTERNS = dict(zip(KINDS, (EMAIL, IBAN, IP, DATE, SSN, PHONE, CARD), strict=True))
 ANY = "|".join(PATTERNS.values())
-#: A cheap test that every candidate passes.
-HINT = r"[0-9]{3}|@|[0-9]\.[0-9]"
+#: A cheap test that every candidate passes: a phone number by its start, an IBAN by its country and check digits, an address by its dots, an email by its sign and the others by three digits in a row.
+HINT = r"[0-9]{3}|@|[0-9]\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}"
 ROUNDS = 8
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Days of 1900-1999 and 2000-2099 as products, for a permutation of each century.
@@ -201,7 +207,7 @@ def pseudonym(found: Column, key: str) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
-    """All columns of docs; ``text`` has pseudonyms, ``replaced`` the kind of each one in order. A longer list of lookups is never built: a text without digits in a row or ``@`` is passed on as it is."""
+    """All columns of docs; ``text`` has pseudonyms, ``replaced`` the kind of each one in order. A longer list of lookups is never built: a text that fails ``HINT`` holds no candidate and is passed on as it is."""
     plain = F.coalesce(F.col("text"), F.lit(""))
     has = plain.rlike(HINT)
     none = F.array().cast("array<string>")
