@@ -1,12 +1,13 @@
 """Secret scans over whole texts, with DataFrame functions only.
 
 Three fixed patterns give the base spans. Besides, every run of key-like characters
-of ``WINDOW`` and more that holds letters and digits is a candidate: the Shannon
-entropy of its windows is kept by incremental counts - a step adds what the entering
-character contributes and takes away what the leaving one did, both from their
-counts among the characters that stay. The highest entropy decides against the
-limit of the candidate's character class (hexadecimal or other), unless an
-allow-list pattern or a base span covers the candidate.
+of ``WINDOW`` and more is a candidate. What base spans leave of it is judged part by
+part: the Shannon entropy of the windows of a part with letters and digits is kept by
+incremental counts - a step adds what the entering character contributes and takes
+away what the leaving one did, both from their counts among the characters that stay.
+The highest entropy decides against the limit of the part's character class
+(hexadecimal or other). An allow-list pattern for whole texts clears a part, one for
+places only the windows that hold it.
 
 Spans are code points, end exclusive. Nulls, empty and repeated rows: a null text
 is an empty one and has no spans. Rows stand for themselves. Other columns are
@@ -30,15 +31,16 @@ WINDOW = 20
 #: The least entropy in bits of a window: of hexadecimal candidates and of others.
 HEX_BITS = 3.0
 OTHER_BITS = 3.6
-#: Candidates that look random and are no secrets.
+#: Parts that look random and are no secrets.
 ALLOW = (
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[0-9+/_=-]+$",
     r"^([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]{1,4})([-_/=+]([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]{1,4}))*$",
-    r"(.)\1{7}",
 )
+#: A window that holds one of these is no secret; other windows of its part may be.
+ALLOW_WINDOW = r"(?i:example|sample|dummy|placeholder|changeme|xxxx)|(.)\1{7}"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+FOUND = "array<struct<start:int,found:string>>"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -48,7 +50,7 @@ def located(text: Column, pattern: str) -> Column:
         (acc["at"] + F.length(F.get(gaps, F.size(acc["out"]))) + F.length(m)).alias("at"),
         F.array_append(acc["out"], F.struct((acc["at"] + F.length(F.get(gaps, F.size(acc["out"])))).alias("start"), m.alias("found"))).alias("out"),
     )
-    none = F.array().cast("array<struct<start:int,found:string>>")
+    none = F.array().cast(FOUND)
     walked = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
@@ -57,8 +59,8 @@ def _spans(found: Column, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["found"])).alias("end"))).cast(SPANS)
 
 
-def window_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits a character, of any ``window`` characters; null if there are fewer.
+def window_entropy(text: Column, window: int = WINDOW, skip: str | None = None) -> Column:
+    """The highest Shannon entropy, in bits a character, of any ``window`` characters that don't hold the pattern ``skip``; null if there are none.
 
     The entropy is log2(w) - S / w with S the sum of c * log2(c) over the counts c.
     """
@@ -69,8 +71,11 @@ def window_entropy(text: Column, window: int = WINDOW) -> Column:
         core = F.substring(text, F.greatest(F.lit(1), i - window + 1), F.least(i - 1, F.lit(window - 1)))
         return once(core, F.substring(text, i, F.lit(1))) - F.when(i > window, once(core, F.substring(text, i - window, F.lit(1)))).otherwise(0.0)
 
+    def counts(n: Column) -> Column:
+        return n >= window if skip is None else (n >= window) & ~F.substring(text, n - window + 1, F.lit(window)).rlike(skip)
+
     step = lambda acc, d: F.struct(
-        (acc["n"] + 1).alias("n"), (acc["s"] + d).alias("s"), F.when(acc["n"] + 1 >= window, F.least(acc["least"], acc["s"] + d)).otherwise(acc["least"]).alias("least")
+        (acc["n"] + 1).alias("n"), (acc["s"] + d).alias("s"), F.when(counts(acc["n"] + 1), F.least(acc["least"], acc["s"] + d)).otherwise(acc["least"]).alias("least")
     )
     changes = F.transform(F.sequence(F.lit(1), F.length(text)), change)
     start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("least"))
@@ -78,11 +83,25 @@ def window_entropy(text: Column, window: int = WINDOW) -> Column:
 
 
 def _suspicious(text: Column) -> Column:
-    mixed = text.rlike("[0-9]") & text.rlike("[A-Za-z]")
+    mixed = (F.length(text) >= WINDOW) & text.rlike("[0-9]") & text.rlike("[A-Za-z]")
     for pattern in ALLOW:
         mixed &= ~text.rlike(pattern)
     limit = F.when(text.rlike("^[0-9A-Fa-f]+$"), HEX_BITS).otherwise(OTHER_BITS)
-    return F.when(mixed, window_entropy(text) >= limit).otherwise(False)
+    highest = F.when(text.rlike(ALLOW_WINDOW), window_entropy(text, skip=ALLOW_WINDOW)).otherwise(window_entropy(text))
+    return F.when(mixed, F.coalesce(highest >= limit, F.lit(False))).otherwise(False)
+
+
+def _uncovered(run: Column, base: Column) -> Column:
+    """(start, found) of what base spans, which are in order, leave of a run."""
+    end = run["start"] + F.length(run["found"])
+
+    def grown(acc: Column, until: Column) -> Column:
+        part = F.struct(acc["at"].alias("start"), F.substring(run["found"], acc["at"] - run["start"] + 1, until - acc["at"]).alias("found"))
+        return F.when(until > acc["at"], F.array_append(acc["out"], part)).otherwise(acc["out"])
+
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), grown(acc, b["start"]).alias("out"))
+    over = F.filter(base, lambda b: (b["start"] < end) & (run["start"] < b["end"]))
+    return F.aggregate(over, F.struct(run["start"].alias("at"), F.array().cast(FOUND).alias("out")), step, lambda acc: grown(acc, end))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -91,9 +110,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     assign = F.filter(located(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= 6)
     found = docs.withColumns({"assign_": _spans(assign, 0), "access_": _spans(located(text, ACCESS), 1), "hex_": _spans(located(text, HEX), 2)})
     found = found.withColumn("base_spans", F.array_sort(F.concat("assign_", "access_", "hex_"))).drop("assign_", "access_", "hex_")
-    more = F.filter(located(text, CANDIDATE), lambda x: _suspicious(x["found"]))
-    apart = F.filter(_spans(more, 3), lambda x: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", apart)))
+    parts = F.flatten(F.transform(located(text, CANDIDATE), lambda x: _uncovered(x, F.col("base_spans"))))
+    more = _spans(F.filter(parts, lambda x: _suspicious(x["found"])), 3)
+    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", more)))
 
 
 def _joined(spans: Column) -> Column:
