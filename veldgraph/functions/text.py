@@ -160,6 +160,21 @@ def template_share(template: Column, text: Column, block: int = 100) -> Column:
     return F.when(n > 0, F.size(F.filter(blocks, lambda b: F.contains(text, b))) / n).otherwise(0.0)
 
 
+def template_of(text: Column) -> Column:
+    """The text with its variable parts as placeholders."""
+    for name, p in VARIABLES.items():
+        text = F.regexp_replace(text, p, f"{{{name}}}")
+    return text
+
+
+def template_score(template: Column, text: Column, block: int = 100) -> Column:
+    """The share of the template's characters in blocks that the text holds, the last block too; placeholders and white space don't count."""
+    kept = F.regexp_replace(template, r"\{[^}]+\}|\s+", "")
+    both = F.struct(F.regexp_extract_all(kept, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"), F.regexp_replace(text, r"\s+", "").alias("text"))
+    held = lambda x: F.aggregate(F.filter(x["blocks"], lambda b: F.contains(x["text"], b)), F.lit(0), lambda s, b: s + F.length(b))
+    return F.coalesce(F.when(F.length(kept) > 0, F.get(F.transform(F.array(both), held), F.lit(0)) / F.length(kept)), F.lit(0.0))
+
+
 def table_markdown(rows: Column) -> Column:
     """An array of arrays of cells as a Markdown table with its first row as the head."""
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))

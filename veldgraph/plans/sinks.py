@@ -133,6 +133,15 @@ def snk_chunk_files(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
+@P.add("SELECT doc_id, sum((coalesce(length(text), 0) + 99) // 100)::BIGINT AS n, sum(coalesce(length(text), 0))::BIGINT AS length FROM documents GROUP BY doc_id")
+def snk_chunk_files_all(t: Tables) -> DataFrame:
+    """All chunks of the whole texts; ``snk_chunk_files`` writes the first one of each."""
+    path = scratch_path(t.spark, "all_chunks")
+    chunks = F.regexp_extract_all("text", F.lit("(?s).{1,100}"), F.lit(0))
+    t.documents.select("doc_id", "lang", F.posexplode_outer(chunks).alias("place", "chunk")).write.partitionBy("lang").parquet(path)
+    return t.spark.read.parquet(path).groupBy("doc_id").agg(F.count("chunk").alias("n"), F.coalesce(F.sum(F.length("chunk")), F.lit(0)).alias("length"))
+
+
 @P.add("SELECT 'requests_total{event_type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
 def snk_prom(t: Tables) -> DataFrame:
     return sinks.exposition(t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "requests_total", "n", "event_type")

@@ -471,6 +471,15 @@ def s_template_match(t: Tables) -> DataFrame:
     return some.select("doc_id", text.template_share(F.col("text"), F.col("text")).cast("double").alias("share"))
 
 
+@P.add()
+def s_template_match_all(t: Tables) -> DataFrame:
+    """All documents against the template of their source: its first text, variable parts as placeholders. ``s_template_match`` is the part that its SQL names."""
+    known = t.documents.filter("text is not null").groupBy(F.col("source").alias("of")).agg(F.min_by("text", "doc_id").alias("first"))
+    known = known.select("of", text.template_of(F.col("first")).alias("template"))
+    found = t.documents.join(known, F.col("source").eqNullSafe(F.col("of")), "left")
+    return found.select("doc_id", "source", text.template_score(F.col("template"), F.col("text")).alias("share"))
+
+
 @P.add("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'template' WHEN p_size > 20 THEN 'incremental' ELSE 'chunking' END AS strategy FROM part")
 def s_strategy(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.coalesce(F.when(F.col("p_size") > 40, "template"), F.when(F.col("p_size") > 20, "incremental"), F.lit("chunking")).alias("strategy"))
