@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldgraph.llm.skew import split_join
 from veldgraph.storage import stored
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """u, its least neighbour m and its number of neighbours. A star's centre has many, so what is joined on ``u`` is split by them."""
+    return stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour greater than a node moves to the least of the node's neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both).withColumn("m", F.least("u", "m"))
+    return split_join(both.filter("v > u"), least, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its lesser neighbours move to the least of them. Edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(edges)
+    moved = split_join(edges, least, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -37,5 +43,5 @@ def connected(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen or mark[0] == 0:
             break
         seen = tuple(mark)
-        now = stored(_small_star(_large_star(now)), "edges")
+        now = stored(_small_star(stored(_large_star(now), "stars")), "edges")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -8,16 +8,19 @@ agree in a coordinate with the Jaccard similarity as probability and are
 concentrated as if coordinates were independent. Bands of coordinates give
 candidates; every candidate is confirmed on the two full sets.
 
-Cost is linear in the documents. Documents with one and the same set are one class
-from the start. Within a bucket, members are tested against a few hubs, not against
-each other. What then is apart from the bucket's main component is tested against
-all its members if it is little, else the bucket takes more hubs, eight times as many
-in each round. From the first round it is known how each member's set differs from
-its bucket's pivot, as signatures of 512 bits; they bound the similarity of two
-members, and pairs that can't reach the limit are never made. So a bucket's links
-stay whole without its pairs, in a few rounds.
-Texts of documents that share a bucket are set apart once and only these are read
-to confirm pairs.
+Documents with one and the same set are one class from the start. Within a bucket,
+members are tested against one hub, not against each other. Buckets of one hub make a
+group, and groups that links have not yet made one component are finished around the
+centre of the component that most of their members have: the document closest to that
+component's hub. Let a difference be the elements that only one of a document and the
+centre has. If a document x is not similar to the centre but is similar to y, then the
+differences of x and y share elements, since else y would be as far from x as x is from
+the centre; how many at least follows from the sizes. So pairs meet in lists of such
+elements, by prefixes of the differences that can't both miss all shared elements, what
+only few documents have first. In a list, only those outside its main component are
+held against the others, and only if signatures of 512 bits allow enough shared
+elements. No link is lost, and the number of pairs follows the links and not the square
+of a group. Every pair is confirmed on the two whole sets.
 
 Sets hold 64-bit hashes of shingles; a wrong verdict needs hashes of two different
 shingles of one pair to be equal, about 1e-13 for texts of 1,000 words.
@@ -38,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldgraph.llm.components import connected
+from veldgraph.llm.skew import split_join
 from veldgraph.llm.tokens import U, blocks, mix, shingle_sets
 from veldgraph.storage import stored
 
@@ -45,14 +49,11 @@ SHINGLE = 2
 BANDS = 40
 ROWS = 6
 SIMILARITY = 80
-#: In round i a bucket takes about HUBS * GROWTH**i hubs, and is finished pair by pair if no more than APART * GROWTH**i members are outside its main component.
-HUBS = 1
-APART = 256
-GROWTH = 8
 #: 64-bit words of a signature.
 SIGNATURE = 8
-MORE, LESS = [f"more{i}" for i in range(SIGNATURE)], [f"less{i}" for i in range(SIGNATURE)]
-MEMBER = ("id", "n", "label", "pivot_n", "shared", *MORE, *LESS)
+#: Rows of one key that a task takes before the key is split.
+SPLIT = 256
+WORDS = [f"word{i}" for i in range(SIGNATURE)]
 
 _ROUND_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -111,79 +112,128 @@ def _signature(elements: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-def _measured(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) with the size of their full sets' intersection, whether they are similar enough, and signatures of what only one of them has."""
-    fields = "a long, b long, n_a long, n_b long, shared long, linked boolean, only_a array<long>, only_b array<long>"
+def _prefixes(x: np.ndarray, centre: np.ndarray, similarity: int) -> tuple[int, int, bool, list[int], list[int], list[int]]:
+    """How a set differs from a centre: sizes of intersection and difference, whether it is similar, signature, and the prefixes ``far`` and ``any``.
+
+    With P = 100 + similarity and Q = 100 - similarity, two sets are similar if and only
+    if P * |difference| <= Q * (sum of sizes). From this for a set y similar to an x that
+    is not similar to the centre: their differences share more than
+    (P * |own| - Q * (n - n_centre)) / 2P elements, and at least
+    (P * |x's| - Q * (n_x + n_centre)) / 200. A prefix leaves out one element less.
+    """
+    inside = np.isin(x, centre, assume_unique=True)
+    more, less = x[~inside], np.setdiff1d(centre, x, assume_unique=True)
+    differ, both = np.concatenate((more, less)), int(inside.sum())
+    p, q, d = 100 + similarity, 100 - similarity, len(differ)
+    linked = both > 0 and p * d <= q * (len(x) + len(centre))
+    least_any = (p * d - q * (len(x) - len(centre))) // (2 * p) + 1
+    least_far = max(1, -(-(p * d - q * (len(x) + len(centre))) // 200))
+    signed = differ.view(np.int64)
+    far = [] if linked else signed[: d - least_far + 1].tolist()
+    return both, d, linked, _signature(differ), far, signed[: max(0, d - least_any + 1)].tolist()
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, splits) with both texts. ``a`` may stand in any number of pairs, so its text is repeated for each of its splits and joined with these."""
+    of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    firsts = pairs.groupBy("a").agg(F.max("splits").alias("splits")).join(of("a").hint("merge"), "a")
+    firsts = firsts.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part"))
+    split = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("splits")).cast("int").alias("part"))
+    return split.join(of("b").hint("merge"), "b").join(firsts.hint("merge"), ["a", "part"]).select("a", "b", "text_a", "text_b")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int, differences: bool = False) -> DataFrame:
+    """The pairs with ``shared``, the size of their full sets' intersection, and ``linked``; with ``differences`` also how b differs from a."""
+    fields = "a long, b long, n_a long, n_b long, shared long, linked boolean"
+    if differences:
+        fields += ", differ long, signature array<long>, far array<long>, any array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *((pa.int64(), longs, longs, longs) if differences else ()))
         for batch in batches:
-            for part in blocks([batch], "text_a", 4 << 20):
+            for part in blocks([batch], "text_b", 4 << 20):
+                firsts = part.column("text_a").dictionary_encode()
+                sets = shingle_sets(firsts.dictionary, shingle)
                 rows: list[tuple] = []
-                for x, y in zip(shingle_sets(part.column("text_a"), shingle), shingle_sets(part.column("text_b"), shingle), strict=True):
-                    in_y, in_x = np.isin(x, y, assume_unique=True), np.isin(y, x, assume_unique=True)
-                    both = int(in_y.sum())
-                    rows.append((len(x), len(y), both, both > 0 and 100 * both >= similarity * (len(x) + len(y) - both), _signature(x[~in_y]), _signature(y[~in_x])))
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                for k, y in zip(firsts.indices.to_pylist(), shingle_sets(part.column("text_b"), shingle), strict=True):
+                    x = sets[k]
+                    if differences:
+                        both, differ, linked, signature, far, short = _prefixes(y, x, similarity)
+                        rows.append((len(x), len(y), both, linked, differ, signature, far, short))
+                    else:
+                        both = int(np.isin(x, y, assume_unique=True).sum())
+                        rows.append((len(x), len(y), both, both > 0 and 100 * both >= similarity * (len(x) + len(y) - both)))
+                columns = list(zip(*rows, strict=True)) or [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[f.split()[0] for f in fields.split(", ")])
 
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, fields)
+    return _with_texts(pairs, texts).mapInArrow(run, fields)
+
+
+def _groups(bucketed: DataFrame) -> DataFrame:
+    """(hub, id, splits): each member with the hub of each of its buckets, the member itself where it is the hub. Similar buckets choose the same one, and no window sorts a bucket."""
+    hubs = bucketed.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    hubs = stored(hubs.select("band", "hub", F.ceil(F.col("size") / SPLIT).cast("int").alias("splits"), "size"), "hubs")
+    return split_join(bucketed, hubs, ["band"]).groupBy("hub", "id").agg(F.max("splits").alias("splits"))
+
+
+def _labelled(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """df with the component of a column's documents as ``label``; a document without links is its own."""
+    named = labels.select(F.col("id").alias(column), "component").hint("merge")
+    return df.join(named, column, "left").withColumn("label", F.coalesce("component", column)).drop("component")
+
+
+def _centred(groups: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, splits) of the centre of each unfinished group with its members."""
+    mine = stored(_labelled(groups, labels, "id"), "groups")
+    shares = mine.groupBy("hub", "label").agg(F.count("*").alias("members")).groupBy("hub")
+    shares = shares.agg(F.max(F.struct("members", "label")).alias("main"), F.count("*").alias("labels"), F.sum("members").alias("size")).filter("labels > 1")
+    linked = tested.filter("linked")
+    closest = linked.groupBy(F.col("a").alias("hub")).agg(F.max(F.struct(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), -F.col("b"))).alias("best"), F.count("*").alias("links"))
+    centres = _labelled(closest, labels, "hub").groupBy("label").agg(F.max(F.struct("links", -F.col("hub"), "best")).alias("top"))
+    centres = centres.select("label", (-F.col("top.best.col2")).alias("centre")).hint("merge")
+    named = shares.select("hub", F.col("main.label").alias("label"), "size").join(centres, "label", "left").select("hub", F.coalesce("centre", "label").alias("a"), F.ceil(F.col("size") / SPLIT).cast("int").alias("splits"), "size")
+    pairs = split_join(mine.select("hub", F.col("id").alias("b")), stored(named, "centres"), ["hub"])
+    return pairs.filter("a <> b").groupBy("a", "b").agg(F.max("splits").alias("splits"))
 
 
-def _possible(similarity: int) -> Column:
-    """Whether two members can be similar enough by what is known of their set sizes and of their differences from the band's pivot.
+def _listed(around: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, lists): the elements of all prefixes, and of each element's list its main component and size. Lists of one component or without two ends of a pair are none."""
+    entry = lambda prefix, far: around.select("a", "b", "label", F.explode(prefix).alias("element"), F.lit(far).alias("far"))
+    entries = entry("far", True).unionByName(entry("any", False))
+    counts = entries.groupBy("a", "element", "label").agg(F.count("*").alias("size"), F.count_if("far").alias("far"))
+    lists = counts.groupBy("a", "element").agg(F.max(F.struct("size", "label")).alias("main"), F.count("*").alias("labels"), F.sum("far").alias("far"), F.sum("size").alias("size"))
+    lists = lists.filter("labels > 1 and far > 0 and far < size").select("a", "element", F.col("main.label").alias("main"), F.ceil(F.col("size") / SPLIT).cast("int").alias("splits"), "size")
+    return entries, stored(lists, "lists")
 
-    With c the pivot's set, x and y share what c has but for what x or y lacks, and
-    what both have besides: both numbers are bounded by the signatures' bits.
+
+def _apart(around: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b, splits) of different components that the lists bring together and that signatures allow to be similar.
+
+    Of the two ends of a pair one at least is outside the list's main component. That
+    end is repeated for each split of the list, the other end stands in one of them.
     """
-    size = 100 * F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y")
-    inside = F.col("pivot_n_x") - sum(F.bit_count(F.col(f"{w}_x").bitwiseOR(F.col(f"{w}_y"))) for w in LESS)
-    besides = lambda p, q: F.col(f"n_{p}") - F.col(f"shared_{p}") - sum(F.bit_count(F.col(f"{w}_{p}").bitwiseAND(F.bitwise_not(F.col(f"{w}_{q}")))) for w in MORE)
-    most = inside + F.least(besides("x", "y"), besides("y", "x"))
-    return size & F.coalesce(100 * most >= similarity * (F.col("n_x") + F.col("n_y") - most), F.lit(True))
-
-
-def _pairs(left: DataFrame, right: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of one band between members that no link joins yet and that may be similar enough."""
-    side = lambda df, x: df.select("band", *[F.col(c).alias(f"{c}_{x}") for c in MEMBER])
-    fits = (F.col("label_x") != F.col("label_y")) & _possible(similarity)
-    return side(left, "x").join(side(right, "y"), "band").filter(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-
-
-def _with_differences(members: DataFrame, tested: DataFrame) -> DataFrame:
-    """Members with what is known of the least hub of their band, their pivot: its size, what they share, and signatures of what they have more and less."""
-    pivots = members.filter("hub").groupBy("band").agg(F.min("id").alias("pivot"))
-    ends = members.select("band", "id", "n", "label", "hub").join(pivots, "band").withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")})
-    own, first = F.col("id") == F.col("pivot"), F.col("id") == F.col("a")
-    pick = lambda mine, other: F.when(first, F.col(mine)).otherwise(F.col(other))
-    known = {
-        "pivot_n": F.when(own, F.col("n")).otherwise(pick("n_b", "n_a")), "shared": F.when(own, F.col("n")).otherwise(F.col("shared")),
-    }
-    for i in range(SIGNATURE):
-        word = lambda side, i=i: F.get(side, F.lit(i))
-        known |= {MORE[i]: F.when(own, F.lit(0)).otherwise(F.when(first, word("only_a")).otherwise(word("only_b"))), LESS[i]: F.when(own, F.lit(0)).otherwise(F.when(first, word("only_b")).otherwise(word("only_a")))}
-    return ends.join(tested.drop("linked"), ["a", "b"], "left").withColumns(known).select("band", *MEMBER, "hub")
-
-
-def _with_hubs(members: DataFrame, few: int, turn: int) -> DataFrame:
-    """Members with ``hub``, true for about ``few`` of each band, one at least. Similar bands choose the same ones, and no window sorts a band."""
-    order = F.xxhash64("id", F.lit(turn))
-    sizes = members.groupBy("band").agg(F.count("*").alias("size"), F.min(order).alias("least"))
-    chosen = order == F.col("least")
-    if few > 1:
-        chosen |= F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.ceil(F.col("size") / few))) == 0
-    return members.join(sizes, "band").select("band", *MEMBER, chosen.alias("hub"))
-
-
-def _unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, but for the hubs that are through with their bands, of bands that more than one component shares."""
-    rest = members.filter("not hub").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).select("band", *MEMBER)
-    sizes = rest.groupBy("band", "label").agg(F.countDistinct("id").alias("size"))
-    bands = sizes.groupBy("band").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("main"))
-    bands = bands.filter("all > main.size").select("band", F.col("main.label").alias("main"), (F.col("all") - F.col("main.size")).alias("apart"))
-    return rest.join(bands, "band")
+    entries, lists = _listed(around)
+    traits = around.select("a", "b", "n_b", "differ", *[F.get("signature", F.lit(i)).alias(w) for i, w in enumerate(WORDS)])
+    rows = stored(split_join(entries, lists, ["a", "element"]).join(traits.hint("merge"), ["a", "b"]), "entries")
+    outside, every = F.col("label") != F.col("main"), F.sequence(F.lit(0), F.col("splits") - 1)
+    own = F.array(F.pmod(F.xxhash64("b"), F.col("splits")).cast("int"))
+
+    def side(far: bool, x: str) -> DataFrame:
+        # In kind 0 the far end is outside the main component, in kind 1 it is within and the other end is outside.
+        kinds = F.when(outside, F.array(F.lit(0)) if far else F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)) if far else F.array(F.lit(0)))
+        kept = rows.filter(F.col("far") == far).withColumn("kind", F.explode(kinds))
+        kept = kept.withColumn("part", F.explode(F.when((F.col("kind") == 0) == F.lit(far), every).otherwise(own)))
+        return kept.select("a", "element", "kind", "part", *[F.col(c).alias(f"{c}_{x}") for c in ("b", "label", "n_b", "differ", *WORDS)])
+
+    def most(x: str, y: str) -> Column:
+        """An upper bound of the shared elements: what x differs by but for those that y can't have."""
+        return F.col(f"differ_{x}") - sum(F.bit_count(F.col(f"{w}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{w}_{y}")))) for w in WORDS)
+
+    apart = F.col("differ_x") + F.col("differ_y") - 2 * F.least(most("x", "y"), most("y", "x"))
+    possible = (F.col("label_x") != F.col("label_y")) & ((100 + similarity) * apart <= (100 - similarity) * (F.col("n_b_x") + F.col("n_b_y")))
+    pairs = side(True, "x").hint("merge").join(side(False, "y").hint("merge"), ["a", "element", "kind", "part"]).filter(possible)
+    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct().withColumn("splits", F.lit(1))
 
 
 def links(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -196,44 +246,38 @@ def links(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int
     base = stored(_sketched(docs, shingle, bands, rows), "sketches")
     known = base.filter("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    classes = stored(classes.filter("copies > 1").drop("copies"), "classes")
-    alone = known.join(classes, ["set_a", "set_b"], "left").filter("class_id is null or class_id = doc_id")
-    bucketed = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    crowded = bucketed.groupBy("band").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("band")
-    fresh = {"label": F.col("id")} | {k: F.lit(None).cast("long") for k in MEMBER[3:]}
-    members = stored(bucketed.join(crowded, "band", "left_semi").withColumns(fresh), "members")
+    classes = stored(classes.filter("copies > 1"), "classes")
+    alone = split_join(known.select("doc_id", "set_a", "set_b", "bands"), classes, ["set_a", "set_b"], "copies", "left").filter("class_id is null or class_id = doc_id")
+    bucketed = stored(alone.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "buckets")
+    groups = stored(_groups(bucketed), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     # The ids grow with the corpus, so they are never broadcast, not even where they happen to be few.
-    wanted = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    wanted = groups.select(F.col("id").alias("doc_id")).distinct().hint("merge")
     texts = stored(texts.join(wanted, "doc_id", "left_semi"), "texts")
-    members = stored(_with_hubs(members, HUBS, 0), "members")
-    pairs, tested, labels, turn = _pairs(members, members.filter("hub"), similarity), [], None, 0
-    while True:
-        for old in tested:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        tested.append(stored(_measured(stored(pairs, "pairs"), texts, shingle, similarity), "tested"))
-        fresh_links = tested[-1].filter("linked").select("a", "b")
-        if labels is None:
-            labels = stored(connected(fresh_links), "labels")
-        elif not fresh_links.isEmpty():
-            # What is known is a star for each component, so only those and the new links are gone through.
-            known_links = labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-            labels = stored(connected(known_links.unionByName(fresh_links)), "labels")
-        if turn == 0:
-            members = _with_differences(members, tested[0])
-        rest = stored(_unfinished(members, labels), "members")
-        if rest.isEmpty():
-            return base, classes, labels
-        most = APART * GROWTH**turn
-        turn += 1
-        few, many = rest.filter(F.col("apart") <= most), rest.filter(F.col("apart") > most)
-        members = stored(_with_hubs(many.select("band", *MEMBER), HUBS * GROWTH**turn, turn), "members")
-        pairs = _pairs(few.filter("label <> main"), few, similarity).unionByName(_pairs(members, members.filter("hub"), similarity)).distinct()
+    tested = stored(_compared(groups.filter("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b"), "splits"), texts, shingle, similarity), "tested")
+    labels = stored(connected(tested.filter("linked").select("a", "b")), "labels")
+    around = stored(_compared(_centred(groups.select("hub", "id"), tested, labels), texts, shingle, similarity, differences=True), "differences")
+    labels = _more(labels, around)
+    found = stored(_apart(stored(_labelled(around, labels, "b"), "around"), similarity), "pairs")
+    return base, classes, _more(labels, stored(_compared(found, texts, shingle, similarity), "confirmed"))
+
+
+def _more(labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """The components with further links. What is known is a star for each component, so only those and the new links are gone through."""
+    fresh = tested.filter("linked").select("a", "b")
+    if fresh.isEmpty():
+        return labels
+    stars = labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return stored(connected(stars.unionByName(fresh)), "labels")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     base, classes, labels = links(docs, shingle, bands, rows, similarity)
-    known = base.drop("bands").join(classes, ["set_a", "set_b"], "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
-    out = known.join(labels, F.col("class_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # The component of a class comes with it, so no row looks for it by an id that many share.
+    own = labels.select(F.col("id").alias("class_id"), "component").hint("merge")
+    classes = stored(classes.join(own, "class_id", "left").select("set_a", "set_b", "copies", F.coalesce("component", "class_id").alias("class_component")), "classes")
+    known = split_join(base.drop("bands"), classes, ["set_a", "set_b"], "copies", "left")
+    out = known.join(labels.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("class_component", "component", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
