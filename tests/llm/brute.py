@@ -193,3 +193,36 @@ def mixture(rows: list[tuple], weights: list[dict], percent: int, epochs: int, s
             if whole + (not over):
                 taken[d] = whole + (not over)
     return taken
+
+
+def secret_spans(text: str | None, rules) -> list[tuple[int, int, int]]:  # noqa: ANN001
+    """All spans (start, kind, end): base spans, and each part of a candidate that they leave and that looks random. ``rules`` is the module with the fixed values."""
+    text = text or ""
+    base = base_spans(text)
+    free = [True] * len(text)
+    for start, _, end in base:
+        free[start:end] = [False] * (end - start)
+    masked = "".join(c if f else " " for c, f in zip(text, free, strict=True))
+    out = list(base)
+    for m in re.finditer(rules.CANDIDATE, masked):
+        part = m[0]
+        if not re.search("[0-9]", part) or not re.search("[A-Za-z]", part) or any(re.search(a, part) for a in rules.ALLOW):
+            continue
+        limit = rules.HEX_BITS if re.fullmatch("[0-9A-Fa-f]+", part) else rules.OTHER_BITS
+        windows = [part[i : i + rules.WINDOW] for i in range(len(part) - rules.WINDOW + 1)]
+        bits = [entropy(w, rules.WINDOW) for w in windows if not re.search(rules.ALLOW_WINDOW, w)]
+        if bits and max(bits) >= limit:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def redacted(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str | None:
+    """The text with spans replaced, overlapping ones as one."""
+    if text is None or not spans:
+        return text
+    out, at = "", 0
+    for start, _, end in spans:
+        if start >= at:
+            out += text[at:start] + mark
+        at = max(at, end)
+    return out + text[at:]

@@ -314,6 +314,50 @@ def test_redaction_keeps_other_columns(docs):
     assert out[8]["text"] == _fixture()[8][1]
 
 
+def _secret_texts() -> list[str | None]:
+    """Random mixtures of keys, hashes, listed words, runs, separators and other characters, some of them long."""
+    rng = random.Random(11)
+    alphabet = "".join(chr(c) for c in range(127) if re.match("[A-Za-z0-9+/_=-]", chr(c)))
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    makers = [
+        lambda: some("0123456789abcdef", rng.randint(10, 40)), lambda: some(alphabet, rng.randint(5, 60)), lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", rng.randint(10, 30)),
+        lambda: rng.choice(("password=", "Token: ", "api_key='", "secret = ")) + some("abcXYZ019/+", rng.randint(3, 30)), lambda: rng.choice(secrets.ALLOW_WORDS + ("EXAMPLE", "Sample")), lambda: rng.choice("aZ7=") * rng.randint(5, 14),
+        lambda: some("ABCDEF0123", rng.randint(18, 30)), lambda: "plain words here", lambda: "日本é😀", lambda: "123e4567-e89b-42d3-a456-426614174000",
+    ]
+    texts: list[str | None] = [None, ""]
+    for k in range(250):
+        texts.append("".join(rng.choice(makers)() + rng.choice(("", "", " ", "_", "/", "\n", '"')) for _ in range(rng.randint(1, 12) if k % 50 else 400)))
+    return texts
+
+
+def test_all_secret_spans_match_brute_force(spark):
+    texts = _secret_texts()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    want = [brute.secret_spans(t, secrets) for t in texts]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == [",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans) for spans in want]
+    assert sum(k == 3 for spans in want for _, k, _ in spans) > 100
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()}
+    assert [out[i] for i in range(len(texts))] == [brute.redacted(t, s, "[SECRET]") for t, s in zip(texts, want, strict=True)]
+
+
+def test_secrets_of_very_long_texts(spark):
+    """A long run of key characters, and many spans in one text, take time in proportion to the length."""
+    import time
+
+    rng = random.Random(1)
+    run = "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789+/_-") for _ in range(1_000_000))
+    hashes = [f"{rng.getrandbits(128):032x}" for _ in range(50_000)]
+    rows = spark.createDataFrame([(1, run), (2, " é ".join(hashes))], "doc_id long, text string").repartition(2, "doc_id")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.secret_spans(rows).collect()}
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()}
+    assert time.time() - began < 120
+    assert got[1]["n_entropy"] >= 1
+    assert got[2]["n_hex"] == 50_000
+    assert out[2] == " é ".join(["[SECRET]"] * 50_000)
+
+
 # 6
 
 
