@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime
 import hashlib
+import hmac
 import math
 import re
 from collections import Counter, defaultdict
@@ -226,3 +229,126 @@ def redacted(text: str | None, spans: list[tuple[int, int, int]], mark: str) ->
             out += text[at:start] + mark
         at = max(at, end)
     return out + text[at:]
+
+
+def hmac_hex(key: str, text: str) -> str:
+    return hmac.new(key.encode(), text.encode(), "sha256").hexdigest()
+
+
+def luhn(digits: str) -> int:
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits)))
+
+
+def _permuted(text: str, key: str, kind: str) -> str:
+    cut = len(text) // 2
+    halves = [text[:cut], text[cut:]]
+    for i in range(1, 9):
+        mine = 1 - i % 2
+        digest = hmac_hex(key, f"{kind}|{i}|{halves[1 - mine]}")
+        out = []
+        for j, c in enumerate(halves[mine]):
+            by = int(digest[j % 15 * 4 : j % 15 * 4 + 4], 16)
+            low = next(((x, n) for x, n in (("0", 10), ("a", 26), ("A", 26)) if x <= c < chr(ord(x) + n)), None)
+            out.append(c if low is None else chr((ord(c) - ord(low[0]) + by) % low[1] + ord(low[0])))
+        halves[mine] = "".join(out)
+    return "".join(halves)
+
+
+def _pair(left: int, right: int, a: int, b: int, key: str, kind: str) -> tuple[int, int]:
+    for i in range(1, 9):
+        if i % 2:
+            left = (left + int(hmac_hex(key, f"{kind}|{i}|{right}")[:15], 16) % a) % a
+        else:
+            right = (right + int(hmac_hex(key, f"{kind}|{i}|{left}")[:15], 16) % b) % b
+    return left, right
+
+
+def _laid(chars: str, like: str, kept: str) -> str:
+    rest = iter(chars)
+    return "".join(next(rest) if re.fullmatch(f"[{kept}]", c) else c for c in like)
+
+
+def _iban_rest(compact: str) -> int:
+    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97
+
+
+def _day(d: datetime.date, key: str) -> datetime.date:
+    first = d.year // 100 * 100
+    if d.day <= 12:
+        m, r = _pair((d.year - first) * 12 + d.month - 1, d.day - 1, 1200, 12, key, f"early{first}")
+        return datetime.date(first + m // 12, m % 12 + 1, r + 1)
+    late = [datetime.date(y, m, x) for y in range(first, first + 100) for m in range(1, 13) for x in range(13, calendar.monthrange(y, m)[1] + 1)]
+    a, b = (4, 5531) if first == 1900 else (125, 177)
+    n = late.index(d)
+    p, q = _pair(n // b, n % b, a, b, key, f"late{first}")
+    return late[p * b + q]
+
+
+def _date(y: int, m: int, d: int) -> datetime.date | None:
+    try:
+        return datetime.date(y, m, d) if 1900 <= y < 2100 else None
+    except ValueError:
+        return None
+
+
+def _pseudonym(kind: str, m: str, key: str, rules) -> str | None:  # noqa: ANN001, PLR0911
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "email":
+        at = m.index("@")
+        return _permuted(m[:at], key, kind) + m[at:]
+    if kind == "iban":
+        compact = m.replace(" ", "")
+        if not 15 <= len(compact) <= 34 or _iban_rest(compact) != 1:
+            return None
+        body = _permuted(compact[4:], key, kind)
+        return _laid(f"{compact[:2]}{98 - _iban_rest(compact[:2] + '00' + body):02d}{body}", m, "A-Z0-9")
+    if kind == "ip":
+        p = [int(x) for x in m.split(".")]
+        if max(p) > 255:
+            return None
+        left, right = _pair(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, kind)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if kind == "date":
+        parts = [int(x) for x in re.split("[-/.]", m)]
+        sep = re.search("[-/.]", m)[0]
+        if len(re.split("[-/.]", m)[0]) == 4:
+            d, order = _date(*parts), "ymd"
+        elif sep == "/" and parts[1] > 12:
+            d, order = _date(parts[2], parts[0], parts[1]), "mdy"
+        else:
+            d, order = _date(parts[2], parts[1], parts[0]), "dmy"
+        if d is None:
+            return None
+        new = _day(d, key)
+        return sep.join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[x] for x in order)
+    if kind == "ssn":
+        area, group, serial = int(m[:3]), int(m[4:6]), int(m[7:])
+        if area in (0, 666) or area >= 900 or not group or not serial:
+            return None
+        left, right = _pair(area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, kind)
+        return f"{left + (2 if left >= 665 else 1):03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
+    if kind == "phone":
+        plain = m.replace("(0)", "(_)")
+        own = re.sub("[^0-9]", "", plain)
+        if not 8 <= len(digits) <= 15:
+            return None
+        code = next((c for c in rules.CALLING if own.startswith(c)), own[:3])
+        return _laid(code + _permuted(own[len(code) :], key, kind), plain, "0-9").replace("(_)", "(0)")
+    if luhn(digits) % 10 or len(set(digits)) == 1:
+        return None
+    body = digits[0] + _permuted(digits[1:-1], key, kind)
+    return _laid(body + str(-luhn(body + "0") % 10), m, "0-9")
+
+
+def pseudonymised(text: str | None, key: str, rules) -> tuple[str | None, list[str]]:  # noqa: ANN001
+    """The text with pseudonyms, and their kinds in order. ``rules`` is the module with the patterns."""
+    kinds: list[str] = []
+
+    def new(m: re.Match) -> str:
+        for kind in rules.KINDS:
+            if re.fullmatch(rules.PATTERNS[kind], m[0]) and (found := _pseudonym(kind, m[0], key, rules)) is not None:
+                kinds.append(kind)
+                return found
+        return m[0]
+
+    return (text, []) if text is None else (re.sub(rules.ANY, new, text), kinds)

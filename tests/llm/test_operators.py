@@ -136,15 +136,13 @@ def _unshift(half: str, digest: str) -> str:
 
 
 def test_text_permutation_can_be_undone(spark):
-    import hashlib
-
     values = ["a", "ab", "4785380592391141", "Joe.Doe_77", "", "ZZ99é"]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", pseudonyms.permuted_text(F.col("v"), "k", "x").alias("p")).collect()
     for r in rows:
         cut = len(r["p"]) // 2
         left, right = r["p"][:cut], r["p"][cut:]
         for i in range(pseudonyms.ROUNDS, 0, -1):
-            digest = hashlib.sha256(f"k|x|{i}|{right if i % 2 else left}".encode()).hexdigest()
+            digest = brute.hmac_hex("k", f"x|{i}|{right if i % 2 else left}")
             left, right = (_unshift(left, digest), right) if i % 2 else (left, _unshift(right, digest))
         assert left + right == r["v"]
 
@@ -202,6 +200,52 @@ def test_phones_end_where_they_did(spark):
     assert got[6] == f"({got[3]}) 12"
 
 
+def test_pseudonyms_match_brute_force(spark, docs, nothing):
+    """A plain version of the whole operator: what is found, what is valid, and what replaces it."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    luhn = lambda body: body + str(-brute.luhn(body + "0") % 10)
+    makers = [
+        lambda: f"{rng.choice('abX')}{digits(2)}.{rng.choice('pq_')}@mail{digits(1)}.example.org", lambda: f"10.{rng.randint(0, 300)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}", lambda: f"{rng.randint(1890, 2110)}-{rng.randint(0, 13):02d}-{rng.randint(0, 32):02d}",
+        lambda: f"{rng.randint(1, 31):02d}{rng.choice('./')}{rng.randint(1, 31):02d}.{rng.randint(1900, 2099)}".replace("/", "/").replace(".", rng.choice("./")), lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"+{rng.randint(1, 99)}{rng.choice([' ', '-', '', ' (0)'])}{digits(3)} {digits(rng.randint(3, 7))}",
+        lambda: luhn(rng.choice("345") + digits(14)), lambda: digits(16), lambda: "DE89 3704 0044 0532 0130 00", lambda: "GB82WEST12345698765432", lambda: "word", lambda: digits(rng.randint(1, 9)), lambda: "日本é",
+    ]
+    texts = [None, ""] + [rng.choice((" ", ", ", "\n")).join(rng.choice(makers)() for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonym_counts(rows, "k").collect()}
+    for i, text in enumerate(texts):
+        want, kinds = brute.pseudonymised(text, "k", pseudonyms)
+        assert (got[i]["text"], got[i]["n_replaced"]) == (want, len(kinds)), text
+        assert all(got[i][f"n_{k}"] == kinds.count(k) for k in pseudonyms.KINDS)
+    clashing = pseudonyms.pseudonymised(docs.unionByName(docs), "k")
+    assert clashing.count() == 2 * docs.count()
+    assert pseudonyms.pseudonymised(nothing, "k").count() == 0
+
+
+def test_dates_of_two_centuries_stay_apart_and_linked(spark):
+    """Every day in every form: no two pseudonyms of a form are equal, and all forms of a day mean one day."""
+    days = spark.sql("SELECT explode(sequence(date'1900-01-01', date'2099-12-31')) AS d")
+    forms = {"iso": "yyyy-MM-dd", "strokes": "yyyy/MM/dd", "dots": "dd.MM.yyyy", "day_first": "dd/MM/yyyy", "month_first": "MM/dd/yyyy"}
+    rows = days.select("d", *[pseudonyms.pseudonym(F.date_format("d", f), "k")["text"].alias(n) for n, f in forms.items()]).toPandas()
+    for n in ("iso", "strokes", "dots", "day_first"):
+        assert rows[n].is_unique
+    late = rows[[d.day > 12 for d in rows["d"]]]
+    assert late["month_first"].is_unique
+    assert not set(late["month_first"]) & set(rows["day_first"])
+    parts = lambda x, order: tuple(re.split("[-/.]", x)[i] for i in order)
+    for n, order in (("strokes", (0, 1, 2)), ("dots", (2, 1, 0)), ("day_first", (2, 1, 0))):
+        assert [parts(x, order) for x in rows[n]] == [parts(x, (0, 1, 2)) for x in rows["iso"]]
+    assert [parts(x, (2, 0, 1)) for x in late["month_first"]] == [parts(x, (0, 1, 2)) for x in late["iso"]]
+
+
+def test_separators_do_not_change_a_phone_number(spark):
+    texts = ["+49 30 1234567", "+49301234567", "+49-30-123 45 67", "+49 (0)30 1234567"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pseudonyms.pseudonym_counts(rows, "k").orderBy("doc_id").collect()]
+    assert len({re.sub("[^0-9]", "", t.replace("(0)", "")) for t in got}) == 1
+    assert got[0].startswith("+49 ") and got[0] != texts[0]
+
+
 def test_pair_permutation_is_a_bijection(spark):
     rows = spark.range(7 * 9).select(pseudonyms.permuted_pair(F.floor(F.col("id") / 9), F.col("id") % 9, 7, 9, "k", "x").alias("p"))
     assert {(r["p"]["l"], r["p"]["r"]) for r in rows.collect()} == {(a, b) for a in range(7) for b in range(9)}

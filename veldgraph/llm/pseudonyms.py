@@ -5,9 +5,13 @@ number ranges) and a valid one is replaced by a keyed permutation of itself with
 its format, so the pseudonym validates by the same rule and equal values get equal
 pseudonyms in all documents. The permutation is an alternating Feistel network: in
 each round one half is shifted, character by character within its class or as a
-number within its range, by a SHA-256 of key, kind, round and the other half. It is a
+number within its range, by an HMAC-SHA-256 of kind, round and the other half. It is a
 bijection of every format, so different values never meet and the holder of the key
-can undo it.
+can undo it. A value's separators have no part in it: a number gets one pseudonym in
+all its spellings, and a day one in all forms of dates.
+
+The key is in the query's plan. Set ``spark.redaction.string.regex`` to a pattern that
+matches ``KEY_MARK`` and what follows it to keep it out of the UI and of event logs.
 
 ====== =============================== ================================================
 kind   valid if                        what is permuted
@@ -15,9 +19,9 @@ kind   valid if                        what is permuted
 email  the pattern matches             letters and digits of the local part
 iban   check digits (mod 97) are right letters and digits after them; they are recomputed
 ip     four numbers up to 255          both halves of the address
-date   in the calendar, 1900 to 2099   the day within its century
+date   in the calendar, 1900 to 2099   the day within its century, days of the month up to 12 and later ones apart
 ssn    no field is reserved            area, and group with serial
-phone  8 to 15 digits after ``+``      the digits after the country code
+phone  8 to 15 digits after ``+``      the digits after the country code, but for a trunk zero in brackets
 card   the Luhn digit is right         the digits between the first and the last; that is recomputed
 ====== =============================== ================================================
 
@@ -28,6 +32,8 @@ time linear in their length. Other columns are kept by ``pseudonymised``.
 
 from __future__ import annotations
 
+import calendar
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -53,8 +59,14 @@ ANY = "|".join(PATTERNS.values())
 HINT = r"[0-9]{3}|@|[0-9]\.[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}"
 ROUNDS = 8
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Days of 1900-1999 and 2000-2099 as products, for a permutation of each century.
-CENTURIES = ((1900, 92, 397), (2000, 75, 487))
+#: The days after the 12th of all months of 1900-1999 and 2000-2099 as products, for a permutation of each century.
+CENTURIES = ((1900, 4, 5531), (2000, 125, 177))
+#: Calling codes of one and two digits; all others have three.
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+#: Stands before the key in a plan's literals.
+KEY_MARK = "pseudonym-key:"
+#: Days after the 12th before each month of four years, the first of them a leap year.
+LATE_DAYS = [sum(calendar.monthrange(2000 + m // 12, m % 12 + 1)[1] - 12 for m in range(n)) for n in range(48)]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -63,7 +75,11 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _digest(key: str, kind: str, turn: Column, other: Column) -> Column:
-    return F.sha2(F.encode(F.concat_ws("|", F.lit(key), F.lit(kind), turn, other), "UTF-8"), 256)
+    """HMAC-SHA-256 in hexadecimal digits."""
+    own = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    pad = lambda by: F.unhex(F.substring(F.lit(KEY_MARK + bytes(c ^ by for c in own.ljust(64, b"\0")).hex()), len(KEY_MARK) + 1, 128))
+    inner = F.sha2(F.concat(pad(0x36), F.encode(F.concat_ws("|", F.lit(kind), turn, other), "UTF-8")), 256)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
 
 def _shifted(half: Column, digest: Column) -> Column:
@@ -139,13 +155,27 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _in_century(day: Column, first: int, a: int, b: int, key: str) -> Column:
-    start = F.lit(f"{first}-01-01").cast("date")
-    n = F.datediff(day, start)
-    return _let(permuted_pair(F.floor(n / b), n % b, a, b, key, f"date{first}"), lambda p: F.date_add(start, (p["l"] * b + p["r"]).cast("int")))
+    """Another day of the century whose day of the month is up to 12 if the day's is, and after the 12th if it is not."""
+    month, dom = (F.year(day) - first) * 12 + F.month(day) - 1, F.dayofmonth(day)
+    made = lambda m, d: F.make_date(F.lit(first) + F.floor(m / 12).cast("int"), F.pmod(m, F.lit(12)).cast("int") + 1, d.cast("int"))
+    early = _let(permuted_pair(month, dom - 1, 1200, 12, key, f"early{first}"), lambda p: made(p["l"].cast("int"), p["r"] + 1))
+    before = F.array(*[F.lit(n) for n in LATE_DAYS])
+    whole = 4 * 365 + 1 - 48 * 12
+
+    def late(n: Column) -> Column:
+        # 1900 had no 29 February, the 36th such day of its century.
+        n = n + F.when(n >= 35, 1).otherwise(0) if first == 1900 else n
+        rest = F.pmod(n, F.lit(whole)).cast("int")
+        m = F.size(F.filter(before, lambda x: x <= rest)) - 1
+        return made((F.floor(n / whole) * 48).cast("int") + m, rest - F.get(before, m) + 13)
+
+    n = F.datediff(day, F.lit(f"{first}-01-01").cast("date")) - 12 * (month + 1)
+    moved = permuted_pair(F.floor(n / b), F.pmod(n, F.lit(b)), a, b, key, f"late{first}")
+    return F.when(dom <= 12, early).otherwise(_let(_let(moved, lambda p: p["l"] * b + p["r"]), late))
 
 
 def _date(m: Column, key: str) -> Column:
-    # The middle number of a date with strokes is the month unless it can't be.
+    # The middle number of a date with strokes is the month unless it can't be. A day after the 12th stays one, so its form can be told again.
     day_last = lambda form: F.when(form == "MM/dd/yyyy", F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2))).otherwise(
         F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))
     )
@@ -179,11 +209,15 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}?(?=[ .(-])|^\+[0-9]", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    digits = F.regexp_replace(rest, "[^0-9]", "")
+    plain = F.replace(m, F.lit("(0)"), F.lit("(_)"))
+    digits = F.regexp_replace(plain, "[^0-9]", "")
     n = F.length(F.regexp_replace(m, "[^0-9]", ""))
-    return F.when((n >= 8) & (n <= 15), F.concat(code, _let(permuted_text(digits, key, "phone"), lambda d: _laid(d, rest, "0-9"))))
+
+    def moved(d: Column) -> Column:
+        code = F.regexp_extract(d, f"^(?:{'|'.join(CALLING)}|[0-9]{{3}})", 0)
+        return F.concat(code, permuted_text(F.substring(d, F.length(code) + 1, F.length(d)), key, "phone"))
+
+    return F.when((n >= 8) & (n <= 15), F.replace(_let(_let(digits, moved), lambda d: _laid(d, plain, "0-9")), F.lit("(_)"), F.lit("(0)")))
 
 
 def _card(m: Column, key: str) -> Column:
