@@ -68,13 +68,14 @@ def items_words(text: str | None) -> list[str]:
     return [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", lower(text or "")) if w]
 
 
-def contaminated(docs: list[tuple], items: list[tuple], match: int, coverage: float) -> set[tuple[int, int]]:
+def contaminated(docs: list[tuple], items: list[tuple], match: int, coverage: float) -> set[tuple[int, int, int, int]]:
     out = set()
     for d, text in docs:
         for i, item in items:
             words = items_words(item)
-            if len(words) >= match and tiled(words, items_words(text), match) >= coverage * len(words):
-                out.add((d, i))
+            covered = tiled(words, items_words(text), min(match, len(words))) if words else 0
+            if covered and covered >= coverage * len(words):
+                out.add((d, i, len(words), covered))
     return out
 
 

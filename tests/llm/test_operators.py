@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -113,13 +114,32 @@ def test_tiling_matches_brute_force(spark, docs, nothing):
     source = re.split(r"\s+", own[30])
     items = [(0, " ".join(source[:20])), (1, " ".join(source[10:16] + source[:7])), (2, " ".join(_words(rng, 20))), (3, None), (4, ""), (5, "a b"), (6, " ".join(source[:9] + _words(rng, 12))), (0, " ".join(source[:20]))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, benchmark).collect()}
+    rows = decontaminate.contamination(docs, benchmark).collect()
+    got = {(r["doc_id"], r["item_id"], r["n_item_words"], r["n_covered"]) for r in rows}
+    assert len(rows) == len(got) and all(r["coverage"] == r["n_covered"] / r["n_item_words"] for r in rows)
     assert got == brute.contaminated([(r[0], r[1]) for r in _fixture()], items, decontaminate.MATCH, decontaminate.COVERAGE)
-    assert decontaminate.contamination(docs, benchmark, block_bytes=64).distinct().count() == len(got)
+    assert {(r["doc_id"], r["item_id"], r["n_item_words"], r["n_covered"]) for r in decontaminate.contamination(docs.unionByName(docs), benchmark, filter_bytes=64).collect()} == got
+    best = {r["doc_id"]: r for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert {d: r["n_items"] for d, r in best.items()} == dict(Counter(d for d, _ in {x[:2] for x in got}))
+    assert all(r["coverage"] == max(c / n for d2, _, n, c in got if d2 == d) for d, r in best.items())
     assert decontaminate.contaminated(nothing, benchmark).count() == 0
     assert decontaminate.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_tiles_of_random_and_repetitive_texts():
+    rng = random.Random(8)
+    for _ in range(300):
+        item, doc = [rng.choice("abc") for _ in range(rng.randint(0, 40))], [rng.choice("abc") for _ in range(rng.randint(0, 60))]
+        hashed = lambda words: tokens.word_hashes(pa.array([" ".join(words)]))[0]
+        match = rng.randint(1, 5)
+        found = decontaminate.tiles(hashed(item), hashed(doc), match)
+        assert all(item[i : i + n] == doc[j : j + n] and n >= match for i, j, n in found)
+        assert sum(n for _, _, n in found) == brute.tiled(item, doc, match)
+    same = tokens.word_hashes(pa.array(["word " * 20_000]))[0]
+    assert decontaminate.tiles(same[:1000], same, 5) == [(0, 0, 1000)]
+    assert sum(n for _, _, n in decontaminate.tiles(same, same[:15_001], 5)) == 15_001
+
+
 # 2
 
 

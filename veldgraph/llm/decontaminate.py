@@ -1,139 +1,226 @@
 """Benchmark decontamination by greedy string tiling.
 
 A benchmark item and a document that share a run of ``match`` words (a seed, found
-by rolling hash) are tiled: the longest common run of words that no tile holds yet
-is marked in both texts, again and again, until none of ``match`` words is left.
-Tiles are found wherever they stand, so an item whose sentences were dealt anew or
+by running Karp-Rabin hash) are tiled: the longest common run of words that no tile
+holds yet is marked in both texts, again and again, until none of ``match`` words is
+left. Tiles are found wherever they stand, so an item whose sentences were dealt anew or
 set apart by other text is still covered. A document is contaminated if the tiles
 of one item cover ``coverage`` of its words. Words are runs of letters and digits
-in lower case; an item of fewer than ``match`` words has no seed and matches nothing,
-since so short a phrase also occurs in clean text.
+in lower case; an item of fewer than ``match`` words is one seed, so it matches where
+it stands whole.
 
-The benchmark is sent to the tasks, in blocks of ``block_bytes`` of text at most
-(an item longer than that is a block of its own); each block is one pass over the documents. So what
-is broadcast has a fixed bound, and documents are never shuffled.
+Seeds are joined, not sent: tasks hold a bit table of the benchmark's seeds of
+``filter_bytes`` at most, whatever the benchmark's size, and only what passes it is
+joined with the table of seeds. So one pass reads the documents, only those with a
+possible seed are written out, and the driver holds the bit table and nothing else.
+A pair whose shared seeds could cover enough of the item is tiled. Seeds and items that
+many documents share are split.
 
 Nulls, empty and repeated rows: null or wordless texts match nothing, on either
-side. Repeated documents and items are reported each. Long texts are read whole.
+side. Rows that repeat doc_id and text, or item_id and text, count once; a doc_id or
+item_id with several texts is held with each of them, and the best counts. A null doc_id
+is reported by ``contamination`` and left out by ``contaminated``. Long texts are read
+whole; time and memory grow with their length and not with the product of equal seeds.
 Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldgraph.llm.tokens import PUNCTUATION, blocks, windows, word_hashes
+from veldgraph.llm.skew import split_join
+from veldgraph.llm.tokens import PUNCTUATION, U, blocks, rolling, running_hash, word_hashes
+from veldgraph.storage import stored
 
 MATCH = 5
 COVERAGE = 0.5
-BLOCK_BYTES = 16 << 20
+FILTER_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, n_item_words int, n_covered int, n_tiles int, coverage double"
 
 
-def tiles(item_seeds: np.ndarray, doc_seeds: np.ndarray, match: int) -> list[tuple[int, int, int]]:
+class _Side:
+    """One text's words with its running hash and what no tile holds yet."""
+
+    def __init__(self, words: np.ndarray, free: np.ndarray):
+        self.words, self.free, self.sums = words, free, running_hash(words)
+        self.renew()
+
+    def renew(self) -> None:
+        """How many free words follow from each place on."""
+        taken = np.append(np.flatnonzero(~self.free), len(self.free))
+        at = np.arange(len(self.free))
+        self.room = taken[np.searchsorted(taken, at)] - at
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of free runs of n words and their hashes."""
+        at = np.flatnonzero(self.room >= n)
+        return at, rolling(self.sums, at, n)
+
+
+def _longest(item: _Side, doc: _Side, least: int, most: int) -> int:
+    """The length of the longest common free run, 0 if it is below ``least``: where there is a run, there is a shorter one."""
+    low, high = least - 1, most
+    while low < high:
+        n = (low + high + 1) // 2
+        if np.isin(item.runs(n)[1], doc.runs(n)[1]).any():
+            low = n
+        else:
+            high = n - 1
+    return low if low >= least else 0
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, match: int) -> list[tuple[int, int, int]]:
     """Non-overlapping tiles (item position, document position, words), longest first; then leftmost in the item, then in the document.
 
-    Seeds are the rolling hashes of runs of ``match`` words. A run of equal seeds
-    on one diagonal is a maximal match; one that earlier tiles cut into is queued
-    again with what is left of it.
+    Both texts are word hashes. All tiles of one length are marked in one pass, and a
+    run whose hashes agree is compared word by word.
     """
-    order = np.argsort(item_seeds, kind="stable")
-    low = np.searchsorted(item_seeds, doc_seeds, "left", sorter=order)
-    high = np.searchsorted(item_seeds, doc_seeds, "right", sorter=order)
-    at = np.repeat(np.arange(len(doc_seeds)), high - low)
-    rank = np.arange(len(at)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-    item_at = order[low[at] + rank] if len(at) else at
-    queue = []
-    by = np.lexsort((item_at, at - item_at))
-    item_at, at = item_at[by], at[by]
-    breaks = np.flatnonzero((np.diff(item_at) != 1) | (np.diff(at) != 1)) + 1
-    for run in np.split(np.arange(len(at)), breaks) if len(at) else ():
-        queue.append((-(len(run) + match - 1), int(item_at[run[0]]), int(at[run[0]])))
-    heapify(queue)
-    item_used, doc_used, out = np.zeros(len(item_seeds) + match, bool), np.zeros(len(doc_seeds) + match, bool), []
-    while queue:
-        n, i, j = heappop(queue)
-        free = ~(item_used[i : i - n] | doc_used[j : j - n])
-        if free.all():
-            item_used[i : i - n] = doc_used[j : j - n] = True
-            out.append((i, j, -n))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], free, [False]))))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a >= match:
-                heappush(queue, (-(b - a), i + a, j + a))
+    if min(len(item), len(doc)) < match:
+        return []
+    one, other = _Side(item, np.ones(len(item), bool)), _Side(doc, np.ones(len(doc), bool))
+    # Words of the document in no shared seed can be in no tile.
+    at, seeds = other.runs(match)
+    near = np.zeros(len(doc) + 1, np.int64)
+    shared = at[np.isin(seeds, one.runs(match)[1])]
+    np.add.at(near, shared, 1)
+    np.add.at(near, shared + match, -1)
+    other.free = np.cumsum(near[:-1]) > 0
+    other.renew()
+    out: list[tuple[int, int, int]] = []
+    n = _longest(one, other, match, min(len(item), len(doc)))
+    while n:
+        places, hashes = other.runs(n)
+        order = np.argsort(hashes, kind="stable")
+        hashes, places = hashes[order], places[order]
+        mine, own = one.runs(n)
+        first, end = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+        reached: dict[int, int] = {}
+        for i, a, b in zip(mine.tolist(), first.tolist(), end.tolist(), strict=True):
+            if a == b or not one.free[i : i + n].all():
+                continue
+            for k in range(reached.get(a, a), b):
+                j = int(places[k])
+                if other.free[j : j + n].all() and (item[i : i + n] == doc[j : j + n]).all():
+                    one.free[i : i + n] = other.free[j : j + n] = False
+                    out.append((i, j, n))
+                    reached[a] = k + 1
+                    break
+            else:
+                reached[a] = b
+        one.renew()
+        other.renew()
+        n = _longest(one, other, match, n - 1)
     return out
 
 
-class _Items:
-    """A block of the benchmark with its seeds in one sorted array."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], match: int):
-        words, at = word_hashes(pa.array(texts, pa.string()), PUNCTUATION)
-        self.ids, self.sizes, self.match = ids, np.diff(at), match
-        self.seeds = [windows(words[at[i] : at[i + 1]], match) if at[i + 1] - at[i] >= match else words[:0] for i in range(len(ids))]
-        every = np.concatenate([words[:0], *self.seeds])
-        order = np.argsort(every, kind="stable")
-        self.every, self.owner = every[order], np.repeat(np.arange(len(ids)), [len(x) for x in self.seeds])[order]
-
-    def tiled(self, words: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int, int]]:
-        """(item, its words, words covered, tiles) of each item whose shared seeds could cover enough."""
-        if len(words) < self.match or not len(self.every):
-            return
-        seeds = windows(words, self.match)
-        low = np.searchsorted(self.every, seeds)
-        low[low == len(self.every)] = 0
-        hits = np.unique(seeds[self.every[low] == seeds])
-        shared: dict[int, int] = defaultdict(int)
-        for a, b in zip(np.searchsorted(self.every, hits, "left").tolist(), np.searchsorted(self.every, hits, "right").tolist(), strict=True):
-            for i in self.owner[a:b].tolist():
-                shared[i] += 1
-        for i, n in shared.items():
-            if n * self.match >= coverage * self.sizes[i]:
-                found = tiles(self.seeds[i], seeds, self.match)
-                yield i, int(self.sizes[i]), sum(t[2] for t in found), len(found)
-
-
-def _tiled_with(docs: DataFrame, ids: list[int], texts: list[str | None], match: int, coverage: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+def _seeds(words: np.ndarray, n: int) -> np.ndarray:
+    return rolling(running_hash(words), np.arange(max(0, len(words) - n + 1)), n)
+
+
+def _benchmark_seeds(items: DataFrame, match: int) -> DataFrame:
+    """(item_id, item_hash, n_words, length, seed, times): an item's seeds, of ``match`` words or of the whole item if it is shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _Items(*sent.value, match)
         for batch in blocks(batches, "text"):
             words, at = word_hashes(batch.column("text"), PUNCTUATION)
-            rows = []
-            for d, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                for i, size, covered, n in items.tiled(words[at[d] : at[d + 1]], coverage):
-                    if covered >= coverage * size:
-                        rows.append((doc_id, items.ids[i], size, covered, n, covered / size))
+            rows: list[tuple] = []
+            for k, (item_id, item_hash) in enumerate(zip(batch.column("item_id").to_pylist(), batch.column("item_hash").to_pylist(), strict=True)):
+                own = words[at[k] : at[k + 1]]
+                if len(own):
+                    n = min(match, len(own))
+                    rows += [(item_id, item_hash, len(own), n, s, t) for s, t in zip(*(x.tolist() for x in np.unique(_seeds(own, n).view(np.int64), return_counts=True)), strict=True)]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "item_hash", "n_words", "length", "seed", "times"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return items.mapInArrow(run, "item_id long, item_hash long, n_words long, length long, seed long, times long")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each document with each benchmark item of which its tiles cover at least ``coverage``."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n = -(-int(total) * 2 // block_bytes) or 1
-    found = []
-    for block in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).toArrow()
-        found.append(_tiled_with(docs, part.column("item_id").to_pylist(), part.column("text").to_pylist(), match, coverage))
-    return reduce(DataFrame.unionByName, found)
+def _with_seeds(docs: DataFrame, seeds: DataFrame, filter_bytes: int) -> DataFrame:
+    """(doc_id, doc_hash, text, seeds) of the documents with runs that pass the bit table of the benchmark's seeds."""
+    size = max(1, filter_bytes // 8)
+    word, bit = F.pmod(F.shiftright("seed", 6), F.lit(size)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("seed").bitwiseAND(F.lit(63)).cast("int"))
+    table = seeds.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())
+    sent = docs.sparkSession.sparkContext.broadcast((table.column("word").to_numpy(), table.column("bits").to_numpy(), lengths))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_word, at_bits, lengths = sent.value
+        bits = np.zeros(size, np.int64)
+        bits[at_word] = at_bits
+        for batch in blocks(batches, "text"):
+            words, at = word_hashes(batch.column("text"), PUNCTUATION)
+            sums, found = running_hash(words), [np.zeros(0, U)]
+            owners = [np.zeros(0, np.int64)]
+            for n in lengths:
+                starts = np.arange(max(0, len(words) - n + 1))
+                owner = np.searchsorted(at, starts, "right") - 1
+                starts, owner = starts[starts + n <= at[owner + 1]], owner[starts + n <= at[owner + 1]]
+                hashes = rolling(sums, starts, n)
+                signed = hashes.view(np.int64)
+                hit = (bits[(signed >> 6) % size] >> (signed & 63)) & 1 == 1
+                found.append(hashes[hit])
+                owners.append(owner[hit])
+            hashes, owner = np.concatenate(found).view(np.int64), np.concatenate(owners)
+            order = np.argsort(owner, kind="stable")
+            rows, begin = np.unique(owner[order], return_index=True)
+            lists = [np.unique(x).tolist() for x in np.split(hashes[order], begin[1:])] if len(rows) else []
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "doc_hash", "text", "seeds"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"), "text").filter("text is not null")
+    return own.mapInArrow(run, "doc_id long, doc_hash long, text string, seeds array<long>")
+
+
+def _tiled(pairs: DataFrame, match: int, coverage: float) -> DataFrame:
+    """Pairs (doc_id, text, item_id, item_text) of which the tiles cover enough."""
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks([batch], "text"):
+                docs, items = part.column("text").dictionary_encode(), part.column("item_text").dictionary_encode()
+                (words, at), (own, begin) = word_hashes(docs.dictionary, PUNCTUATION), word_hashes(items.dictionary, PUNCTUATION)
+                rows = []
+                for doc_id, d, item_id, i in zip(part.column("doc_id").to_pylist(), docs.indices.to_pylist(), part.column("item_id").to_pylist(), items.indices.to_pylist(), strict=True):
+                    item = own[begin[i] : begin[i + 1]]
+                    found = tiles(item, words[at[d] : at[d + 1]], min(match, len(item)))
+                    covered = sum(t[2] for t in found)
+                    if found and covered >= coverage * len(item):
+                        rows.append((doc_id, item_id, len(item), covered, len(found), covered / len(item)))
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return pairs.select("doc_id", "text", "item_id", "item_text").mapInArrow(run, SCHEMA)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """Each document with each benchmark item of which its tiles cover at least ``coverage``."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_hash"), "text").filter("text is not null").distinct()
+    seeds = stored(_benchmark_seeds(items, match), "seeds")
+    hits = stored(_with_seeds(docs, seeds, filter_bytes), "hits")
+    found = hits.select("doc_id", "doc_hash", F.explode("seeds").alias("seed"))
+    owners = seeds.groupBy("seed").agg(F.collect_list(F.struct("item_id", "item_hash", "n_words", "times")).alias("items"))
+    sizes = found.groupBy("seed").agg(F.count("*").alias("size"))
+    shared = split_join(found.distinct(), stored(owners.join(sizes.hint("merge"), "seed"), "owners"), ["seed"]).withColumn("item", F.explode("items"))
+    keys = ["doc_id", "doc_hash", F.col("item.item_id").alias("item_id"), F.col("item.item_hash").alias("item_hash")]
+    pairs = shared.groupBy(*keys).agg(F.sum("item.times").alias("places"), F.first("item.n_words").alias("n_words"))
+    pairs = stored(pairs.filter(F.col("places") * match >= F.lit(coverage) * F.col("n_words")).drop("places", "n_words"), "pairs")
+    texts = items.withColumnRenamed("text", "item_text")
+    # An item may be in any share of the documents; ids may be null, so both sides are told apart by hashes too.
+    keyed = lambda df: df.withColumn("item_key", F.xxhash64("item_id", "item_hash"))
+    sizes = keyed(pairs).groupBy("item_key").agg(F.count("*").alias("size"))
+    texts = stored(keyed(texts).select("item_key", "item_text").join(sizes.hint("merge"), "item_key"), "items")
+    near = split_join(keyed(pairs), texts, ["item_key"]).withColumn("doc_key", F.xxhash64("doc_id", "doc_hash")).drop("doc_id")
+    own = hits.select(F.xxhash64("doc_id", "doc_hash").alias("doc_key"), "doc_id", "text").dropDuplicates(["doc_key"])
+    return _tiled(own.join(near.hint("merge"), "doc_key"), match, coverage)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row for each contaminated document: its number of items and the one covered most."""
     best = F.struct(F.col("coverage"), (-F.col("item_id")).alias("item"))
-    found = contamination(docs, benchmark, match, coverage, block_bytes).filter("doc_id is not null")
+    found = contamination(docs, benchmark, match, coverage, filter_bytes).filter("doc_id is not null")
     return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max(best).alias("best")).select("doc_id", "n_items", (-F.col("best.item")).alias("item_id"), F.col("best.coverage").alias("coverage"))

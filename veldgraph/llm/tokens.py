@@ -138,6 +138,18 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def running_hash(words: np.ndarray) -> np.ndarray:
+    """The Karp-Rabin sums of a sequence of words up to each place, one more than words."""
+    sums = np.zeros(len(words) + 1, dtype=U)
+    np.cumsum(words * _power(MULTIPLIER, len(words)), out=sums[1:])
+    return sums
+
+
+def rolling(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words that begin at some places: two sums and one multiplication for each."""
+    return mix((sums[at + n] - sums[at]) * _power(INVERSE, len(sums))[at] + U(n))
+
+
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted hashes."""
     words, at = word_hashes(texts)
