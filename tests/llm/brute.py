@@ -353,3 +353,40 @@ def pseudonymised(text: str | None, key: str, rules) -> tuple[str | None, list[s
         return m[0]
 
     return (text, []) if text is None else (re.sub(rules.ANY, new, text), kinds)
+
+
+def quality_votes(text: str | None) -> list[int]:
+    """The outcomes of the eight quality rules in their order: 2 good, 1 bad, 0 neither."""
+    text = text or ""
+    n, chars, symbols, again, repeated = measures(text)
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    letters, distinct = sum(c.isalpha() for c in text), len(set(words))
+    ended = sum(bool(re.search(r"[.!?:;\"')\]\u2026\u201d][\x20\x09-\x0D]*$", x)) for x in lines)
+    vote = lambda bad, good: 1 if bad else 2 if good else 0
+    if not n:
+        return [1] + [0] * 7
+    return [
+        vote(n < 50 or n > 100_000, n >= 100), vote(chars / n < 3 or chars / n > 12, 3.5 <= chars / n <= 9), vote(symbols / n > 0.1, symbols / n < 0.02 and n >= 20), vote(len(lines) >= 3 and again / len(lines) > 0.3, again == 0 and len(lines) >= 3),
+        vote(repeated / n > 0.2, repeated / n < 0.05 and n >= 50), vote(letters / chars < 0.8, letters / chars > 0.9 and n >= 20), vote(len(lines) >= 3 and ended / len(lines) < 0.2, ended / len(lines) > 0.7 and n >= 20), vote(distinct / n < 0.15 and 50 <= n < 2000, distinct / n > 0.3 and n >= 50),
+    ]
+
+
+def quality_posteriors(votes: list[list[int]], steps: int) -> list[float]:
+    """EM over all rows one by one, with one vote of each kind beforehand."""
+    good = [1 / (1 + math.exp(-sum((v == 2) - (v == 1) for v in row))) for row in votes]
+    before = -1.0
+    for _ in range(steps):
+        share = sum(good)
+        prior = math.log((share + 1) / (len(votes) - share + 1))
+        adds = []
+        for r in range(len(votes[0])):
+            rate = {}
+            for side in (0, 1):
+                n = {v: 1 + sum(g if side else 1 - g for row, g in zip(votes, good, strict=True) if row[r] == v) for v in (1, 2)}
+                rate[side] = {v: n[v] / (n[1] + n[2]) for v in n}
+            adds.append({0: 0.0, 1: min(0.0, math.log(rate[1][1] / rate[0][1])), 2: max(0.0, math.log(rate[1][2] / rate[0][2]))})
+        good = [1 / (1 + math.exp(-(prior + sum(adds[r][v] for r, v in enumerate(row))))) for row in votes]
+        if abs(share - before) < 1e-9 * len(votes):
+            break
+        before = share
+    return good

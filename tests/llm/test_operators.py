@@ -312,6 +312,23 @@ def test_toxicity_edges(spark, docs, nothing):
     assert toxicity.scored(docs, empty, "doc_id").count() == docs.count()
 
 
+def test_toxicity_does_not_depend_on_order(spark):
+    """Rows that repeat a doc_id with other texts, in several orders and partitions: one model. Long texts and clashing columns are passed through."""
+    rng = random.Random(3)
+    rows = [(i % 60, " ".join(_words(rng, 8) + (["scumbag", "idiots", "you are a fool!!"] if i % 3 == 0 else [])), 1.0, "x") for i in range(180)] + [(99, "word " * 200_000 + "idiots", 1.0, "x")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, label int")
+    scores = []
+    for order in (1, -1):
+        docs = spark.createDataFrame(rows[::order], "doc_id long, text string, score double, predicted string").repartition(3 + order)
+        model = toxicity.fitted(docs.select("doc_id", "text"), labels)
+        scores.append((model.weights.tolist(), model.bias, sorted((r["doc_id"], r["score"]) for r in toxicity.scored(docs.select("doc_id", "text"), model, "doc_id").collect())))
+    assert scores[0] == scores[1]
+    by_text = {}
+    for d, s in scores[0][2]:
+        by_text.setdefault(d % 3 == 0 and d < 60, []).append(s)
+    assert min(by_text[True]) > max(s for d, s in scores[0][2] if d < 60 and d % 3)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     truth = np.where(rng.random(6000) < 0.3, 1, -1)
@@ -466,6 +483,23 @@ def test_em_learns_which_rules_to_trust():
     assert prior > 0
 
 
+def test_quality_verdicts_match_brute_force(spark, docs):
+    rng = random.Random(9)
+    texts = [r[1] for r in _fixture()]
+    for k in range(120):
+        sentences = [" ".join(_words(rng, 12)) + "." for _ in range(rng.randint(1, 12))]
+        texts.append(("\n" if k % 2 else " ").join(sentences if k % 3 else sentences[:2] * 6) + ("# $ | <> " * 20 if k % 5 == 0 else ""))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    votes = [brute.quality_votes(t) for t in texts]
+    want = brute.quality_posteriors(votes, quality.STEPS)
+    got = {r["doc_id"]: r for r in quality.quality(rows).collect()}
+    assert [got[i]["votes"] for i in range(len(texts))] == ["".join(map(str, v)) for v in votes]
+    for i, posterior in enumerate(want):
+        assert abs(got[i]["posterior"] - posterior) < 1e-6
+        assert got[i]["kept"] == (not got[i]["base_failed"] and got[i]["posterior"] >= quality.LEAST_POSTERIOR)
+    assert 0 < sum(r["kept"] for r in got.values()) < len(texts)
+
+
 # 8
 
 
@@ -520,6 +554,30 @@ def test_archives_round_trip(spark, pages):
     assert {(1, "response", None), (2, "revisit", 1), (None, "revisit", 1), (3, "response", None), (4, "response", None)} <= kinds
 
 
+def test_archives_of_attempts_that_failed(spark, pages):
+    """Files that no accepted attempt lists are not read; every name has its attempt."""
+    from veldgraph.storage import scratch_path
+
+    folder = scratch_path(spark, "warc")
+    manifest = warc.write(pages, folder)
+    paths = [r["path"] for r in manifest.collect()]
+    assert all(re.fullmatch(r".*/part-[0-9]{6}-[0-9]+-[0-9]{4}\.warc\.zst", p) for p in paths)
+    fs, base = warc.filesystem(folder)
+    for name in ("part-000000-9999-0000.warc.zst", "part-000000-9999-0001.warc.zst.part"):
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+            out.write(b"half a record")
+    assert warc.read(spark, manifest, folder).count() == pages.count()
+
+
+def test_duplicate_payloads_by_shuffle(spark, pages, monkeypatch):
+    """The same kinds of records whether groups are sent to tasks or joined; rows that repeat the smallest page_id are all responses."""
+    want = sorted(str(tuple(r)) for r in warc.classified(pages).collect())
+    monkeypatch.setattr(warc, "SENT_GROUPS", 0)
+    assert sorted(str(tuple(r)) for r in warc.classified(pages).collect()) == want
+    kinds = [(r["page_id"], r["record_type"]) for r in warc.classified(pages).collect()]
+    assert kinds.count((7, "response")) == 2
+
+
 def test_archives_of_nothing(pages):
     assert warc.archived(pages.limit(0)).count() == 0
 

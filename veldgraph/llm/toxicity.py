@@ -214,7 +214,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_fea
             )
 
     seen = sample.withColumn("label", F.col("label").cast("int")).mapInArrow(run, "doc_id long, label int, hits array<int>, patterns array<int>")
-    rows = seen.groupBy("doc_id", "label").agg(F.first("hits").alias("hits"), F.first("patterns").alias("patterns")).toPandas()
+    # Of several texts of one doc_id the one with the least hits counts, whatever the order of arrival.
+    rows = seen.groupBy("doc_id", "label").agg(F.min(F.struct("hits", "patterns")).alias("least")).select("doc_id", "label", "least.*").toPandas()
     rows = rows.sort_values("doc_id")
     label = rows["label"].to_numpy(dtype=float)
     width = len(features) + len(PATTERNS)

@@ -8,13 +8,15 @@ be read without the others. Of records with equal payloads of at least
 are revisits that refer to it and hold no payload.
 
 A file is written under a name of its own and moved in place when complete; its name
-depends only on the run, the partition and its number, so a task that runs again
-replaces its files. The manifest is a stored table, and only listed files are read.
+has the run, the partition, the task's attempt and its number, so two attempts of one
+task never write the same file. The manifest is a stored table of the attempts that
+Spark accepted, and only listed files are read.
 
 Nulls, empty and repeated rows: a null html is an empty payload. A null url leaves
-the target out. Rows that repeat a page_id are records of their own, the first of
-which is the response; a null page_id is written and comes back as null, and is the
-smallest of its payload only among nulls. Other columns are ignored.
+the target out. Rows that repeat a page_id are records of their own: all of them are
+responses if the page_id is the smallest of their payload, else revisits. A null
+page_id is written and comes back as null; it is a revisit if a row of its payload has
+a page_id, else a response. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -31,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldgraph.llm.skew import split_join
 from veldgraph.llm.tokens import blocks
 from veldgraph.storage import scratch_path, stored
 
@@ -39,7 +43,7 @@ FILE_BYTES = 256 << 20
 SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
-#: Duplicate groups up to this many are sent to all tasks; more are joined by a shuffle.
+#: Duplicate groups up to this many are sent to all tasks; more are joined by a shuffle, with the same result.
 SENT_GROUPS = 100_000
 #: The skippable frame that holds a dictionary for the frames after it.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -53,11 +57,14 @@ def classified(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("payload_digest"))
     long_enough = rows.filter(F.octet_length("html") >= least_bytes)
-    groups = long_enough.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    groups = long_enough.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("size")).filter("size > 1")
     groups = stored(groups, "payloads")
     if groups.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS:
-        groups = F.broadcast(groups)
-    out = rows.join(groups, "payload_digest", "left")
+        out = rows.join(F.broadcast(groups.drop("size")), "payload_digest", "left")
+    else:
+        # Null, empty and short payloads, which share few digests, take no part; digests of many pages are split.
+        short = rows.filter(F.octet_length("html") < least_bytes).withColumn("first_id", F.lit(None).cast("long"))
+        out = split_join(long_enough, groups, ["payload_digest"], how="left").unionByName(short)
     revisit = F.col("first_id").isNotNull() & (F.octet_length("html") >= least_bytes) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
     return out.select("page_id", "url", "html", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
@@ -119,14 +126,29 @@ class _File:
         self.fs.move(self.path + ".part", self.path)
 
 
+#: Names of one store in Hadoop and in pyarrow.fs.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasbs": "abfss"}
+
+
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder that Spark knows, and its path there. What pyarrow has no store for goes through Hadoop's client."""
+    scheme = urlsplit(folder).scheme
+    known = folder.replace(scheme, SCHEMES[scheme], 1) if scheme in SCHEMES else folder
+    try:
+        return pafs.FileSystem.from_uri(known)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        parts = urlsplit(folder)
+        return pafs.HadoopFileSystem(f"{parts.scheme}://{parts.netloc}"), parts.path
+
+
 def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """Writes the archives below ``folder`` (a URI that pyarrow.fs knows); the manifest has path and n_records."""
+    """Writes the archives below ``folder`` (a URI in the shared folder); the manifest has path and n_records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()
-        mine, done, current = f"{base}/part-{task.partitionId():06d}", [], None
+        mine, done, current = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}", [], None
         for batch in blocks(batches, "html"):
             for page_id, url, html, digest, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if current is None:
@@ -183,7 +205,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, keep_payload: bo
     """The archives' records. Digest and length of a response are computed from the payload that is read, and checked against its head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = filesystem(folder)
         number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
         for batch in batches:
             for path in batch.column("path").to_pylist():
