@@ -7,35 +7,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldgraph.functions.text import keywords
 from veldgraph.operators import graph
 
 # Intents with their priority, patterns and keywords.
 INTENTS = [
-    ("coverage_amount", 3, ["보장.*금액", "얼마", "금액은", "지급.*금액"], ["금액", "얼마", "보험금"]),
-    ("coverage_check", 3, ["보장.*되", "보장.*하나", "받을 수"], ["보장", "되나요", "가능"]),
-    ("exclusion", 3, ["면책", "제외", "안 되"], ["면책", "제외", "보장하지"]),
-    ("waiting_period", 2, ["대기.*기간", "면책.*기간", "언제부터"], ["대기기간", "기간", "언제"]),
-    ("coverage_inquiry", 2, ["어떤.*보장", "보장.*내용"], ["보장내용", "종류"]),
-    ("condition", 2, ["조건", "요건"], ["조건", "요건", "경우"]),
-    ("product_summary", 1, ["상품.*요약", "약관.*요약"], ["요약", "상품"]),
+    ("coverage_amount", 3, ["보장금", "보험금", "지급", "얼마"], ["금액", "얼마", "보장금", "보험금"]),
+    ("coverage_check", 3, ["보장", "커버", "포함", "해당"], ["보장", "되나요", "해당", "포함"]),
+    ("exclusion_check", 3, ["제외", "면책", "보장안", "안되"], ["제외", "면책", "제외"]),
+    ("waiting_period", 2, ["대기기간", "기다려야", "얼마나", "언제부터"], ["대기기간", "기간"]),
+    ("coverage_inquiry", 2, ["무엇", "어떤", "뭘", "보장"], ["보장", "무엇", "어떤"]),
+    ("condition_inquiry", 2, ["조건", "요건", "필요", "받으려면"], ["조건", "요건"]),
+    ("product_summary", 1, ["요약", "설명", "개요", "소개"], ["요약", "설명"]),
 ]
 LEAST_SCORE = 0.3
-#: The first family with a hit names the intent of the simple path.
+# Word families of the simple path, the first with a hit names the intent.
 SIMPLE_INTENTS = [
-    ("comparison", ["비교", "차이"]), ("exclusion", ["면책", "제외"]), ("coverage", ["보장", "보험금"]),
-    ("period", ["기간", "언제"]), ("amount", ["금액", "얼마"]),
-]
-STOPWORDS = ["이", "그", "저", "것", "수", "등", "및", "은", "는", "을", "를", "에", "의", "가"]
-#: What an intent can't be answered without.
-REQUIRED = {"coverage_amount": 1, "coverage_check": 1, "exclusion": 0, "waiting_period": 0, "comparison": 2}
+    ("comparison", ["비교", "차이", "어떤게", "어느게", "vs"]),
+    ("exclusion_check", ["면책", "제외", "안되는", "못받는", "불가"]),
+    ("coverage_check", ["보장", "지급", "받을 수", "해당", "포함"]),
+    ("period_check", ["기간", "대기", "경과", "후", "이내"]),
+]
+# An amount in a question.
+SIMPLE_AMOUNT = r"[0-9]\s*억\s*([0-9]+\s*만\s*)?원|[0-9]\s*천\s*만\s*원|[0-9]\s*만\s*원|[0-9]\s*천\s*원|[0-9]\s*원"
+# Words that are no keywords.
+STOPWORDS = ["은", "는", "이", "가", "을", "를", "의", "에", "에서", "로", "으로", "과", "와", "도", "만", "까지", "부터", "뿐", "이나", "나", "하고", "이다", "있다", "없다", "되다", "하다", "그", "저", "것", "수", "등", "및"]
 UNITS = {"천": 1_000, "만": 10_000, "억": 100_000_000, "조": 1_000_000_000_000}
 DAYS = {"년": 365, "개월": 30, "월": 30, "주": 7, "일": 1}
-CONDITIONS = ["입원", "수술", "진단", "통원", "사망", "후유장해", "골절", "화상", "장해"]
+# Conditions that a question may name.
+CONDITIONS = ["대기기간", "면책기간", "나이제한", "연령제한", "가입나이", "최고나이", "최저나이", "보장개시일", "계약일"]
+# Endings of disease names.
+SUFFIXES = ["암", "종양", "질환", "질병", "증후군", "염", "출혈"]
 
 
 def intent_score(question: Column, priority: int, patterns: list[str], words: list[str]) -> Column:
-    hit = sum((question.rlike(p).cast("int") for p in patterns), F.lit(0)) / len(patterns)
+    hit = sum((F.contains(question, F.lit(p)).cast("int") for p in patterns), F.lit(0)) / len(patterns)
     said = sum((F.contains(question, F.lit(w)).cast("int") for w in words), F.lit(0)) / len(words)
     return F.round(0.5 * hit + 0.3 * said + 0.2 * min(priority / 5, 1.0), 6)
 
@@ -61,31 +66,57 @@ def is_complex(question: Column, gap: float = 0.2) -> Column:
 
 
 def simple_intent(question: Column) -> Column:
-    out = F.lit("search")
+    """The first word family with a hit, else a filter by an amount, else a search."""
+    out = F.when(question.rlike(SIMPLE_AMOUNT), "amount_filter").otherwise("search")
     for name, words in reversed(SIMPLE_INTENTS):
-        hit = reduce(lambda a, b: a | b, [F.contains(question, F.lit(w)) for w in words])
+        hit = reduce(lambda a, b: a | b, [F.contains(F.lower(question), F.lit(w)) for w in words])
         out = F.when(hit, name).otherwise(out)
     return out
 
 
-def query_type(intent: Column, n_entities: Column) -> Column:
+def query_type(intent: Column, n_diseases: Column, n_coverages: Column) -> Column:
     """Which engine a question goes to."""
-    return F.when(intent.isin("coverage_amount", "coverage_check", "exclusion", "waiting_period") & (n_entities > 0), "graph").when(intent == "unknown", F.when(n_entities > 0, "hybrid").otherwise("vector")).when(n_entities > 0, "hybrid").otherwise("direct")
+    named = (n_diseases > 0) | (n_coverages > 0)
+    return (
+        F.when(intent.isin("disease_comparison", "coverage_comparison"), "graph_traversal")
+        .when(named & intent.isin("coverage_amount", "coverage_check", "condition_inquiry"), "graph_traversal")
+        .when(named, "hybrid")
+        .when(intent.isin("general_info", "product_summary", "coverage_inquiry"), "vector_search")
+        .when(intent.isin("waiting_period", "age_limit", "exclusion_check"), "direct_lookup")
+        .otherwise("hybrid")
+    )
 
 
-def answerable(intent: Column, n_entities: Column) -> Column:
-    needed = reduce(lambda out, kv: out.when(intent == kv[0], kv[1]), REQUIRED.items(), F.when(F.lit(False), 0)).otherwise(0)
-    return n_entities >= needed
+def answerable(intent: Column, n_diseases: Column, n_coverages: Column) -> Column:
+    """False for an unknown intent and where what the intent asks about is not named."""
+    return (
+        F.when(intent == "unknown", F.lit(False))
+        .when(intent == "coverage_amount", (n_diseases > 0) | (n_coverages > 0))
+        .when(intent.isin("coverage_check", "exclusion_check"), n_diseases > 0)
+        .when(intent == "disease_comparison", n_diseases >= 2)
+        .when(intent == "coverage_comparison", n_coverages >= 2)
+        .otherwise(F.lit(True))
+    )
 
 
-def clarification(intent: Column, n_entities: Column) -> Column:
-    """What to ask back; null if the question can be answered."""
-    return F.when(answerable(intent, n_entities), F.lit(None).cast("string")).when(intent == "comparison", "비교할 두 가지 질병명을 알려주세요.").otherwise("어떤 질병에 대해 알고 싶으신가요?")
+def clarification(intent: Column, diseases_: Column, coverages_: Column) -> Column:
+    """What to ask back; null if the question can be answered. ``diseases_`` and ``coverages_`` are the names found."""
+    compared = lambda names, one, none: F.when(F.size(names) == 1, F.concat(F.get(names, F.lit(0)), F.lit(one))).otherwise(none)
+    return (
+        F.when(answerable(intent, F.size(diseases_), F.size(coverages_)), F.lit(None).cast("string"))
+        .when(intent == "unknown", "질문을 좀 더 구체적으로 말씀해 주시겠어요?")
+        .when(intent == "coverage_amount", "어떤 질병이나 보장에 대한 금액을 알고 싶으신가요?")
+        .when(intent.isin("coverage_check", "exclusion_check"), "어떤 질병에 대해 확인하고 싶으신가요?")
+        .when(intent == "disease_comparison", compared(diseases_, "와 어떤 질병을 비교하고 싶으신가요?", "어떤 질병들을 비교하고 싶으신가요?"))
+        .when(intent == "coverage_comparison", compared(coverages_, "와 어떤 보장을 비교하고 싶으신가요?", "어떤 보장들을 비교하고 싶으신가요?"))
+        .otherwise("질문을 좀 더 명확하게 말씀해 주시겠어요?")
+    )
 
 
 def question_keywords(question: Column, entities: Column, most: int = 10) -> Column:
-    """Entities, then other words, each once."""
-    return F.slice(F.array_distinct(F.concat(entities, keywords(question, STOPWORDS))), 1, most)
+    """Entities, then words that are no stopwords and in no entity, each once."""
+    words = F.filter(F.split(F.trim(question), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS) & ~F.exists(entities, lambda e: F.contains(e, w)))
+    return F.slice(F.array_distinct(F.concat(entities, words)), 1, most)
 
 
 # Entities
@@ -125,11 +156,12 @@ def conditions(text: Column) -> Column:
 
 def coverages(text: Column) -> Column:
     """Names that end in 특약, 보장 or 담보."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\w+?(?:특약|보장|담보)"), F.lit(0)), lambda w: F.length(w) >= 3))
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\w+(?:특약|보장|담보)"), F.lit(0)), lambda w: F.length(w) >= 3))
 
 
 def diseases(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("[가-힣]+?(?:암|염|경색|출혈|종양|질환|장애)"), F.lit(0)))
+    """Names that end as diseases do, ending by ending."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?U)\w{{2,}}{x}"), F.lit(0)) for x in SUFFIXES]))
 
 
 def bounds(question: Column) -> Column:

@@ -12,22 +12,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Patterns of amounts, longest forms first, with the worth of each group.
+# Patterns of amounts in documents, longest forms first, with the worth of each group.
+NUMBER = r"(\d+(?:,\d{3})*)"
 AMOUNTS = [
-    (r"([0-9,]+)억\s*([0-9,]+)천\s*([0-9,]+)만\s*원", (100_000_000, 10_000_000, 10_000)),
-    (r"([0-9,]+)억\s*([0-9,]+)천만\s*원", (100_000_000, 10_000_000)),
-    (r"([0-9,]+)억\s*([0-9,]+)백만\s*원", (100_000_000, 1_000_000)),
-    (r"([0-9,]+)억\s*([0-9,]+)만\s*원", (100_000_000, 10_000)),
-    (r"([0-9,]+)억\s*원", (100_000_000,)),
-    (r"([0-9,]+)천만\s*원", (10_000_000,)),
-    (r"([0-9,]+)백만\s*원", (1_000_000,)),
-    (r"([0-9,]+)만\s*원", (10_000,)),
-    (r"([0-9,]+)천\s*원", (1_000,)),
-    (r"([0-9,]+)\s*원", (1,)),
+    (NUMBER + r"\s*억\s*" + NUMBER + r"\s*천\s*" + NUMBER + r"\s*만\s*원?", (100_000_000, 10_000_000, 10_000)),
+    (NUMBER + r"\s*억\s*" + NUMBER + r"\s*천만\s*원?", (100_000_000, 10_000_000)),
+    (NUMBER + r"\s*억\s*" + NUMBER + r"\s*백만\s*원?", (100_000_000, 1_000_000)),
+    (NUMBER + r"\s*억\s*" + NUMBER + r"\s*만\s*원?", (100_000_000, 10_000)),
+    (NUMBER + r"\s*억\s*원?", (100_000_000,)),
+    (NUMBER + r"\s*천만\s*원?", (10_000_000,)),
+    (NUMBER + r"\s*백만\s*원?", (1_000_000,)),
+    (NUMBER + r"\s*만\s*원?", (10_000,)),
+    (NUMBER + r"\s*천\s*원?", (1_000,)),
+    (NUMBER + r"\s*원", (1,)),
+]
+# The patterns of the extraction by spans, which ask for the unit.
+SPAN_NUMBER = r"(\d+(?:,\d+)?)"
+SPAN_AMOUNTS = [
+    (SPAN_NUMBER + r"\s*억\s*" + SPAN_NUMBER + r"\s*만\s*원", (100_000_000, 10_000)),
+    (SPAN_NUMBER + r"\s*억\s*원", (100_000_000,)),
+    (SPAN_NUMBER + r"\s*천\s*만\s*원", (10_000_000,)),
+    (SPAN_NUMBER + r"\s*만\s*원", (10_000,)),
+    (SPAN_NUMBER + r"\s*천\s*원", (1_000,)),
+    (SPAN_NUMBER + r"\s*원", (1,)),
 ]
 PERIODS = [(r"([0-9]+)\s*년", 365), (r"([0-9]+)\s*개월", 30), (r"([0-9]+)\s*주", 7), (r"([0-9]+)\s*일", 1)]
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
-EXCEPTIONS = ("다만", "단,", "제외", "그러하지 아니", "불구하고")
+# Words that begin an exception.
+EXCEPTIONS = ("다만", "단서", "제외하고", "제외한", "단,")
 
 
 def mapped(df: DataFrame, keep: list[str], column: str, schema: str, parse: Callable[[str], list[tuple]]) -> DataFrame:
@@ -69,9 +81,9 @@ def amounts(text: str) -> list[tuple]:
 
 
 def amounts_by_span(text: str) -> list[tuple]:
-    """The same, but a match that overlaps a longer form is left out."""
+    """Amounts with their unit; a match that overlaps one of an earlier form is left out."""
     found: list[tuple[int, int, tuple]] = []
-    for pattern, worth in AMOUNTS:
+    for pattern, worth in SPAN_AMOUNTS:
         for m in re.finditer(pattern, text):
             if all(m.end() <= a or b <= m.start() for a, b, _ in found):
                 found.append((m.start(), m.end(), (sum(_number(g) * w for g, w in zip(m.groups(), worth, strict=True)), m.start(), m[0])))

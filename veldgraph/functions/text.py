@@ -103,56 +103,78 @@ def chunked(text: Column, small: int = 200, most: int = 1000, overlap: int = 100
 # Quality
 
 
+def _banded(value: Column, bands: list[tuple[float, int]]) -> Column:
+    """The points of the first band whose least value is reached, else 0."""
+    out = F.lit(0)
+    for least, points in reversed(bands):
+        out = F.when(value >= least, points).otherwise(out)
+    return out
+
+
 def text_quality(text: Column, pages: Column) -> Column:
-    """0 to 100: characters a page, letters, few special characters, no broken ones."""
+    """0 to 100: characters a page, share of letters, few special characters, no broken ones. An empty text has 0."""
     n = F.length(text)
-    per_page = n / F.greatest(pages, F.lit(1))
-    volume = F.when(per_page >= 500, 40).when(per_page >= 200, 30).when(per_page >= 50, 15).otherwise(0)
-    letters = (n_hangul(text) + n_latin(text)) / F.greatest(n, F.lit(1))
-    special = F.regexp_count(text, F.lit(r"[^가-힣A-Za-z0-9\s.,]")) / F.greatest(n, F.lit(1))
-    return volume + F.when(letters >= 0.6, 30).when(letters >= 0.3, 20).otherwise(5) + F.when(special <= 0.1, 20).when(special <= 0.3, 10).otherwise(0) + F.when(F.contains(text, F.lit("�")), 0).otherwise(10)
+    meant = (n_hangul(text) + n_latin(text)) / n * 100
+    special = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}_\s\p{Z}]")) / n * 100
+    broken = text.rlike(r"[■□○●◎◇◆△▲▽▼]{3,}|[\x00-\x1F]{2,}|�")
+    score = _banded(n / F.greatest(pages, F.lit(1)), [(500, 40), (200, 30), (100, 20), (50, 10)]) + _banded(meant, [(70, 30), (50, 20), (30, 10)])
+    score = score + F.when(special < 10, 20).when(special < 20, 15).when(special < 30, 10).when(special < 50, 5).otherwise(0) + F.when(broken, 0).otherwise(10)
+    return F.when(n > 0, score).otherwise(0)
 
 
 def quality_level(score: Column) -> Column:
-    return F.when(score >= 90, "excellent").when(score >= 70, "good").when(score >= 50, "fair").when(score >= 30, "poor").otherwise("failed")
+    return F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").when(score >= 20, "poor").otherwise("very_poor")
 
 
 def complexity(text: Column) -> Column:
-    """0 to 100: little Hangul, table glyphs, little structure, special characters and short lines make a text hard to take in."""
-    n = F.greatest(F.length(text), F.lit(1))
-    lines = F.size(F.split(text, "\n"))
-    tables = F.least(F.regexp_count(text, F.lit(r"[│┃|─━┌┐└┘├┤]")) / n * 500, F.lit(30.0))
-    special = F.least(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")) / n * 100, F.lit(25.0))
-    short = F.when(n / lines < 20, 20.0).when(n / lines < 40, 10.0).otherwise(0.0)
-    return F.round(F.least(tables + special + short + F.when(n_hangul(text) / n < 0.3, 25.0).otherwise(0.0), F.lit(100.0)), 4)
+    """0 to 100: little Hangul, many table glyphs, no articles or chapters, special characters and short lines make a text hard to take in. An empty text has 100."""
+    n = F.length(text)
+    hangul, tables = n_hangul(text) / n, F.regexp_count(text, F.lit("[┌┐└┘│─┼┬┴├┤]"))
+    plain = (F.regexp_count(text, F.lit(r"제\d+조")) < 2) & (F.regexp_count(text, F.lit(r"제\d+장")) < 1)
+    special = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s\p{Z}]")) / n
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\s\p{Z}]"))
+    length = let(lines, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0), lambda s, y: s + F.length(y)) / F.size(x)).otherwise(0.0))
+    score = F.when(hangul < 0.2, 35).when(hangul < 0.4, 20).otherwise(0) + F.when(tables > 50, 25).when(tables > 20, 15).otherwise(0) + F.when(plain, 20).otherwise(0)
+    score = score + F.when(special > 0.4, 15).when(special > 0.3, 10).otherwise(0) + F.when(length < 10, 10).otherwise(0)
+    return F.when(n > 0, F.least(score, F.lit(100))).otherwise(100)
 
 
 def structure_quality(text: Column) -> Column:
-    chapters, found = F.regexp_count(text, F.lit(r"제\s*\d+\s*장")), F.regexp_count(text, F.lit(r"제\s*\d+\s*조"))
-    return F.round(0.6 * n_hangul(text) / F.greatest(F.length(text), F.lit(1)) + 0.4 * F.least((2 * chapters + found) / 50, F.lit(1.0)), 6)
+    chapters, found = F.regexp_count(text, F.lit(r"제\d+장")), F.regexp_count(text, F.lit(r"제\d+조"))
+    return F.round(0.6 * n_hangul(text) / F.greatest(F.length(text), F.lit(1)) + 0.4 * F.least((2 * chapters + found) / 50, F.lit(1.0)), 3)
 
 
 # Templates
 
 
+# Variable parts of a text, and what their values are by their beginning.
 VARIABLES = {
-    "DATE": r"[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}",
-    "PERCENT": r"[0-9]+(?:\.[0-9]+)?%",
-    "AMOUNT": r"[0-9][0-9,]*(?:억|만|천)?원",
-    "PERIOD": r"[0-9]+(?:년|개월|일)",
-    "NUMBER": r"[0-9]{5,}",
+    "article": r"제\s*\d+\s*조\s*\(.*?\)",
+    "chapter": r"제\s*\d+\s*장\s*.*?\n",
+    "number": r"\d+\.\s+",
+    "amount": r"[\d,]+원",
+    "percentage": r"\d+%",
+    "days": r"\d+일",
+    "months": r"\d+개월",
+    "years": r"\d+년",
 }
+VARIABLE_TYPES = ("amount", "percentage", "days", "months", "years", "article")
 
 
 def template_variables(text: Column) -> Column:
-    """kind:value of every variable part, kinds in order."""
-    return F.concat(*[_tagged(name, p, text) for name, p in VARIABLES.items()])
+    """type:value of every variable part, pattern by pattern; a value that begins as no type is an other one."""
+    return F.concat(*[_tagged(name if name in VARIABLE_TYPES else "other", p, text) for name, p in VARIABLES.items()])
 
 
 def _tagged(name: str, pattern: str, text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.concat(F.lit(f"{name}:"), v))
 
 
+def structural(line: Column) -> Column:
+    """Whether a line is a heading or a numbered one."""
+    return F.trim(line).rlike(r"^(제\s*\d+\s*[조장]|\d+\.|[①②③④⑤⑥⑦⑧⑨⑩])")
+
+
 def template_share(template: Column, text: Column, block: int = 100) -> Column:
     """The share of the template's whole blocks that the text holds."""
     n = F.floor(F.length(template) / block).cast("int")
@@ -183,11 +205,13 @@ def table_markdown(rows: Column) -> Column:
 
 
 def krw(amount: Column) -> Column:
-    """An amount in 억 and 만원."""
-    eok, man = F.floor(amount / 100_000_000), F.floor(amount % 100_000_000 / 10_000)
-    return F.when((eok > 0) & (man > 0), F.concat(eok.cast("string"), F.lit("억 "), man.cast("string"), F.lit("만원"))).when(eok > 0, F.concat(eok.cast("string"), F.lit("억원"))).when(man > 0, F.concat(man.cast("string"), F.lit("만원"))).otherwise(F.concat(amount.cast("string"), F.lit("원")))
+    """An amount in 억 and 만원; below 만 with thousands separators."""
+    eok, rest = F.floor(amount / 100_000_000), amount % 100_000_000
+    man = lambda x: F.concat(F.floor(x / 10_000).cast("string"), F.lit("만원"))
+    return F.when((eok > 0) & (rest == 0), F.concat(eok.cast("string"), F.lit("억원"))).when(eok > 0, F.concat(eok.cast("string"), F.lit("억 "), man(rest))).when(amount >= 10_000, man(amount)).otherwise(F.concat(F.format_number(amount, 0), F.lit("원")))
 
 
 def period(days: Column) -> Column:
-    """Days as years, months or days, whichever they are whole in."""
-    return F.when(days % 365 == 0, F.concat((days / 365).cast("int").cast("string"), F.lit("년"))).when(days % 30 == 0, F.concat((days / 30).cast("int").cast("string"), F.lit("개월"))).otherwise(F.concat(days.cast("string"), F.lit("일")))
+    """Days as whole years, else as whole months, else as days; what is left over is dropped."""
+    shown = lambda by, unit: F.concat(F.floor(days / by).cast("string"), F.lit(unit))
+    return F.when(days >= 365, shown(365, "년")).when(days >= 30, shown(30, "개월")).otherwise(shown(1, "일"))
