@@ -35,7 +35,7 @@ def test_fanout_of_all_customers(spark, business):
         orders, events = [o for o in rows["orders"] if o[1] in users], [e for e in rows["events"] if e[1] in users]
         fanned = [v for c in users for _ in range(max(1, sum(o[1] == c for o in orders))) for _, u, v in events if u == c and v is not None]
         want[nation] = (len(users), len(orders), len(events), round(sum(fanned) / len(fanned), 6) if fanned else None)
-    got = {r["n_nationkey"]: (r["customers"], r["policies"], r["queries"], r["avg_value"]) for r in QUERIES["jn_fanout3_all"](spark, sf).collect()}
+    got = {r["n_nationkey"]: (r["customers"], r["policies"], r["queries"], r["avg_value"]) for r in QUERIES["jn_fanout3"](spark, sf).collect()}
     assert got == want
 
 
@@ -48,10 +48,10 @@ def test_tree_holds_all_customers_and_orders(spark, business):
         while at in up:
             at, depth = up[at], depth + 1
             want.add((node, at, depth))
-    assert {(r["node"], r["ancestor"], r["depth"]) for r in QUERIES["g_subtype_all"](spark, sf).collect()} == want
+    assert {(r["node"], r["ancestor"], r["depth"]) for r in QUERIES["g_subtype"](spark, sf).collect()} == want
     owners = {(o, up[c]) for o, c in up.items() if o.startswith("o")}
-    assert {(r["node"], r["ancestor"]) for r in QUERIES["g_hier_expand_all"](spark, sf).collect()} == owners
-    children = {r["node"]: r["children"] for r in QUERIES["g_context_all"](spark, sf).collect()}
+    assert {(r["node"], r["ancestor"]) for r in QUERIES["g_hier_expand"](spark, sf).collect()} == owners
+    children = {r["node"]: r["children"] for r in QUERIES["g_context"](spark, sf).collect()}
     assert children == {n: ",".join(sorted(x for x in up if up[x] == n)) for n in {v for v in up.values() if v.startswith("n")}}
 
 
@@ -72,5 +72,5 @@ def test_templates_and_chunks_of_all_documents(spark, tmp_path):
     got = {r["doc_id"]: r["share"] for r in QUERIES["s_template_match"](spark, str(tmp_path)).collect()}
     assert got == {i: score(templates[source], body or "") for i, body, _, source in rows}
     assert got[50] == got[52] == got[54] == 1 and 0 < got[51] < 1
-    sizes = {r["doc_id"]: (r["n"], r["length"]) for r in QUERIES["snk_chunk_files_all"](spark, str(tmp_path)).collect()}
+    sizes = {r["doc_id"]: (r["n"], r["length"]) for r in QUERIES["snk_chunk_files"](spark, str(tmp_path)).collect()}
     assert sizes == {i: (-(-len(body or "") // 100), len(body or "")) for i, body, _, _ in rows}

@@ -194,6 +194,64 @@ def validated_confidence(base: Column, n_fail: Column, n_warning: Column) -> Col
     return F.round(base * F.pow(F.lit(0.5), n_fail) * F.pow(F.lit(0.9), n_warning), 6)
 
 
+# Categories and links
+
+# Code prefixes, word families and names, in the order in which they are tried.
+CODE_CATEGORIES = [("cancer", ["C", "D0", "D1", "D2", "D3", "D4"]), ("cardiovascular", ["I"]), ("cerebrovascular", ["I6"]), ("endocrine", ["E"])]
+INSURANCE_WORDS = [("cancer", ["암", "암보험", "cancer"]), ("health", ["건강", "건강보험", "질병"]), ("life", ["생명", "사망", "life"]), ("accident", ["상해", "재해", "accident"]), ("long_term_care", ["장기요양", "요양", "간병"])]
+POLICY_WORDS = [
+    ("cancer", ["암", "cancer", "종양"]), ("cardiovascular", ["심혈관", "뇌혈관", "심장", "뇌졸중"]), ("life", ["종신", "정기", "생명"]), ("annuity", ["연금", "펜션"]), ("disability", ["장애", "간병"]),
+    ("health", ["건강", "의료", "실손"]), ("accident", ["상해", "사고"]), ("dental", ["치아", "치과"]), ("long_term_care", ["간병", "요양"]), ("savings", ["저축", "적금"]),
+]
+NAMED_CODES = {
+    "암": ["C"], "일반암": ["C"], "소액암": ["C77"], "유사암": ["D0", "D1", "D2", "D3"], "위암": ["C16"], "간암": ["C22"], "폐암": ["C34"], "유방암": ["C50"], "심근경색": ["I21", "I22", "I23"],
+    "뇌졸중": ["I60", "I61", "I62", "I63", "I64"], "뇌출혈": ["I60", "I61", "I62"], "뇌경색": ["I63"], "당뇨": ["E10", "E11", "E12", "E13", "E14"], "고혈압": ["I10", "I11", "I12", "I13", "I15"],
+}
+
+
+def code_category(code: Column) -> Column:
+    """The first category of which the code has a prefix."""
+    out = F.lit("unknown")
+    for name, prefixes in reversed(CODE_CATEGORIES):
+        out = F.when(reduce(lambda a, b: a | b, [code.startswith(p) for p in prefixes]), name).otherwise(out)
+    return out
+
+
+def first_family(text: Column, families: list[tuple[str, list[str]]]) -> Column:
+    """The first family of words with one in the lower-case text; null if none has."""
+    out = F.lit(None).cast("string")
+    for name, words in reversed(families):
+        out = F.when(reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words]), name).otherwise(out)
+    return out
+
+
+def linked_codes(text: Column) -> Column:
+    """(name, codes) of each known name in the text."""
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(n)), F.struct(F.lit(n).alias("name"), F.array(*[F.lit(c) for c in codes]).alias("codes"))) for n, codes in NAMED_CODES.items()]))
+
+
+def parse_confidence(errors: Column, warnings: Column, parsed: Column) -> Column:
+    """1 less a tenth for each error, half of it for each warning, and for what was not parsed, within bounds."""
+    value = 1 - F.least(F.lit(0.5), 0.1 * errors) - F.least(F.lit(0.2), 0.05 * warnings) - F.when(parsed < 0.5, 0.2).when(parsed < 0.8, 0.1).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 6)
+
+
+def named_period(days: Column, named: Column) -> Column:
+    """The period if the text names it, else the first one named."""
+    return F.when(F.array_contains(named, days) | (F.size(named) == 0), days).otherwise(F.get(named, F.lit(0)))
+
+
+def named_amount(amount: Column, named: Column, share: float = 0.1) -> Column:
+    """The nearest named amount, if it is within a share; null if none is. Of two as near the first counts."""
+    away = F.transform(named, lambda x, i: F.struct(F.abs(x - amount).alias("away"), i.alias("i"), x.alias("x")))
+    best = F.array_min(away)
+    return F.when(best["away"] <= share * amount, best["x"])
+
+
+def relation_confidence(said: Column, found: Column, errors: Column) -> Column:
+    return F.round((said + found) / 2 - F.least(F.lit(0.3), 0.1 * errors), 6)
+
+
 def dispatch(analysis: dict, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph query of an analysed question; an intent that needs a disease without one is an error."""
     intent, disease = analysis.get("intent"), analysis.get("disease")

@@ -133,6 +133,97 @@ def exceptions(text: str) -> list[tuple]:
     return sorted((m.start(), k) for k in EXCEPTIONS for m in re.finditer(re.escape(k), text))
 
 
+# The patterns of each type of entity. A pattern's first group is the label, or the whole match if it has none.
+ENTITIES = {
+    "coverage_item": [r"([가-힣]{2,10})\s*보장", r"([가-힣]{2,10})\s*담보", r"([가-힣]{2,10})\s*급부", r"([가-힣]{2,10})\s*보험금", r"(암|질병|상해|사망|후유장해|입원|수술|통원)\s*[보담급]"],
+    "benefit_amount": [r"([\d,]+원|[\d,]+만원|[\d,]+억원)", r"보험금\s*([\d,]+원)", r"급부금\s*([\d,]+원)", r"([\d,]+)%\s*지급"],
+    "payment_condition": [r"(진단\s*확정\s*시|사망\s*시|발생\s*시)\s*지급", r"([가-힣\s]+)\s*경우\s*지급", r"지급사유\s*:\s*([^\.]+)", r"다음\s*각\s*호의\s*([^\.]+)\s*지급"],
+    "exclusion": [r"보장하지\s*[않아아니]", r"면책\s*기간", r"지급\s*[불부]\s*가", r"제외\s*[됩되]", r"([가-힣\s]+)\s*경우에는\s*[보지않]", r"다음\s*각\s*호의\s*경우\s*[보지않]"],
+    "deductible": [r"자기부담금\s*([\d,]+원)", r"본인부담금\s*([\d,]+원)", r"공제금액\s*([\d,]+원)", r"([\d,]+원)\s*공제"],
+    "rider": [r"([가-힣]{2,15})\s*특약", r"특약\s*:\s*([가-힣]{2,15})"],
+    "eligibility": [r"가입\s*연령\s*:\s*([^\.]+)", r"(만\s*[\d]+세\s*~\s*만\s*[\d]+세)", r"가입\s*조건\s*:\s*([^\.]+)", r"피보험자\s*자격\s*:\s*([^\.]+)"],
+    "article": [r"제\s*([\d]+)\s*조", r"제\s*([\d]+)\s*항", r"제\s*([\d]+)\s*호", r"조항\s*([\d]+)"],
+    "term": [r"(피보험자|보험수익자|보험계약자|보험료|보험기간)", r"(보험가입금액|책임준비금|해약환급금)", r"(진단확정|후유장해|상해|질병|암)"],
+    "period": [r"([\d]+일|[\d]+개월|[\d]+년)", r"보험기간\s*:\s*([^\.]+)", r"납입기간\s*:\s*([^\.]+)", r"면책기간\s*:\s*([^\.]+)"],
+}
+LEAST_LABEL, MOST_LABEL, AROUND = 2, 50, 50
+
+
+def entities(text: str) -> list[tuple]:
+    """(type, label, context): each label of 2 to 50 characters once a type, with what stands around its first place."""
+    rows = []
+    for kind, patterns in ENTITIES.items():
+        seen: set[str] = set()
+        for m in (m for p in patterns for m in re.finditer(p, text)):
+            label = (m[1] if m.re.groups else m[0]).strip()
+            if LEAST_LABEL <= len(label) <= MOST_LABEL and label not in seen:
+                seen.add(label)
+                rows.append((kind, label, text[max(0, m.start() - AROUND) : m.end() + AROUND].strip()))
+    return rows
+
+
+def semantic_chunks(text: str) -> list[tuple]:
+    """(chunk, type, line_start, line_end, body): a chunk begins at each line that begins an article or a chapter. What a chapter line ends is called a chapter, whatever it holds."""
+    rows, held, article = [], [], False
+    lines = text.splitlines()
+
+    def close(kind: str, end: int) -> None:
+        if held:
+            rows.append((len(rows), kind, end - len(held) + 1, end, "\n".join(held)))
+            held.clear()
+
+    for i, line in enumerate(lines):
+        if re.match(r"제\s*\d+\s*조", line.strip()):
+            close("article", i - 1)
+            article = True
+        elif re.match(r"제\s*\d+\s*장", line.strip()):
+            close("chapter", i - 1)
+        held.append(line)
+    close("article" if article else "paragraph", len(lines) - 1)
+    return rows
+
+
+# Sizes of structural chunks in characters.
+TARGET_CHARS, MOST_CHARS, LEAST_CHARS = 1200, 1500, 200
+
+
+def _kind(line: str) -> str:
+    if line.startswith("|"):
+        return "table"
+    if re.match(r"제\s*\d+\s*장", line):
+        return "chapter"
+    return "article" if re.match(r"제\s*\d+\s*조", line) else "text"
+
+
+def structural_chunks(text: str) -> list[tuple]:
+    """(chunk, is_table, elements, body) of a text's blocks: a table stands alone, a heading closes a chunk that is large enough, any block one that is too large, and a small chunk joins the one before."""
+    blocks = [(_kind(b.strip()), b.strip()) for b in re.split(r"\n\s*\n|\n(?=제\s*\d+\s*[조장])", text) if b.strip()]
+    made: list[tuple[bool, list[str]]] = []
+    held: list[str] = []
+    for kind, body in blocks:
+        size = sum(map(len, held))
+        if held and (kind == "table" or (kind in ("chapter", "article") and size >= TARGET_CHARS)):
+            made.append((False, held))
+            held = []
+        if kind == "table":
+            made.append((True, [body]))
+            continue
+        held.append(body)
+        if sum(map(len, held)) >= MOST_CHARS:
+            made.append((False, held))
+            held = []
+    if held:
+        made.append((False, held))
+    merged: list[list] = []
+    for table, parts in made:
+        if merged and not table and sum(map(len, parts)) < LEAST_CHARS:
+            merged[-1][1] += len(parts)
+            merged[-1][2] += "\n\n" + "\n".join(parts)
+        else:
+            merged.append([table, len(parts), "\n".join(parts)])
+    return [(i, *m) for i, m in enumerate(merged)]
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = r"[ \t\n\x0B\f\r]+"
@@ -175,11 +175,34 @@ def structural(line: Column) -> Column:
     return F.trim(line).rlike(r"^(제\s*\d+\s*[조장]|\d+\.|[①②③④⑤⑥⑦⑧⑨⑩])")
 
 
-def template_share(template: Column, text: Column, block: int = 100) -> Column:
-    """The share of the template's whole blocks that the text holds."""
-    n = F.floor(F.length(template) / block).cast("int")
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(template, i * block + 1, F.lit(block)))).otherwise(F.array().cast("array<string>"))
-    return F.when(n > 0, F.size(F.filter(blocks, lambda b: F.contains(text, b))) / n).otherwise(0.0)
+def common_lines(docs: DataFrame, group: str) -> DataFrame:
+    """(group, place, line): structural lines of the group's first document, by doc_id, that are in all others of the group, white space aside.
+
+    The lines of one document meet each text of its group; texts are stripped of white
+    space once, and lines of a group are counted, not gathered.
+    """
+    first = docs.groupBy(group).agg(F.min_by("text", "doc_id").alias("first"), F.min("doc_id").alias("first_id"), F.countDistinct("doc_id").alias("docs"))
+    lines = first.select(group, "first_id", "docs", F.posexplode(F.split("first", "\n")).alias("place", "line")).filter(structural(F.col("line")))
+    lines = lines.withColumn("bare", F.regexp_replace("line", r"\s+", ""))
+    others = docs.select(group, "doc_id", F.regexp_replace("text", r"\s+", "").alias("plain"))
+    held = lines.join(others, group).filter((F.col("doc_id") != F.col("first_id")) & F.contains("plain", F.col("bare")))
+    counts = held.groupBy(group, "place").agg(F.countDistinct("doc_id").alias("n"), F.first("line").alias("line"), F.first("docs").alias("docs"))
+    return counts.filter("n = docs - 1").select(group, "place", "line")
+
+
+def sketch_candidates(docs: DataFrame, key: str, group: str, asked: Column, size: int = 16, words: int = 3) -> DataFrame:
+    """(key, other_id, text, other): documents that are asked about, each with those of its group that share one of the ``size`` least hashes of runs of words.
+
+    Two texts that share half of their runs are missed about once in 50,000 times. Only
+    the asked documents meet others, and texts are joined after pairs are distinct.
+    """
+    split = F.split(F.lower("text"), WHITE)
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " ")))
+    marks = docs.select(F.col(key), F.col(group), asked.alias("asked"), F.explode(F.slice(F.array_sort(F.array_distinct(let(split, runs))), 1, size)).alias("mark"))
+    mine = marks.filter("asked").select(F.col(key).alias("mine"), F.col(group).alias("g"), "mark")
+    pairs = marks.join(mine, (marks[group].eqNullSafe(mine["g"])) & (marks["mark"] == mine["mark"])).filter(F.col("mine") != F.col(key)).select("mine", F.col(key).alias("other_id")).distinct()
+    own, other = docs.select(F.col(key).alias("mine"), "text"), docs.select(F.col(key).alias("other_id"), F.col("text").alias("other"))
+    return pairs.join(own, "mine").join(other, "other_id").select(F.col("mine").alias(key), "other_id", "text", "other")
 
 
 def template_of(text: Column) -> Column:

@@ -1,9 +1,10 @@
 """A property graph as two tables and what is asked of it.
 
 ``nodes``: node_id, label, name, code, amount. ``edges``: src, dst, rel_type. Patterns
-are joins; traversals are a join for each step, with bounded depth, so nothing is
-collected and every step is planned anew by the optimizer. Edges are not repeated
-within a path; nodes may be.
+are joins; traversals are a join for each step, with bounded depth. Each step is
+written to the shared folder, so nothing is collected, lineage stays short and the
+size of a plan grows with the depth only. Edges are not repeated within a path; nodes
+may be.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldgraph.operators.joins import union_all
+from veldgraph.storage import stored
 
 NODE = ("node_id", "label", "name", "code", "amount")
 
@@ -72,7 +74,7 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int, least: int = 1) -> Da
     now = starts.select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("used"), F.lit(0).alias("depth"))
     found = [now] if least == 0 else []
     for level in range(1, depth + 1):
-        now = step(now, edges, level)
+        now = stored(step(now, edges, level), "walk")
         if level >= least:
             found.append(now)
     return union_all(found)
@@ -85,12 +87,14 @@ def scored(found: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, end, depth) of the nodes within ``depth`` steps, each at its least depth. Sets, not paths, are carried from step to step."""
+    """(start, end, depth) of the nodes within ``depth`` steps, each at its least depth. Sets, not paths, are carried from step to step; each step is written once, so plans grow by a line and not by a factor."""
     seen = starts.select("start", F.col("start").alias("end"), F.lit(0).alias("depth")).distinct()
     front = seen
     for level in range(1, depth + 1):
         found = front.select("start", "end").join(edges.select(F.col("src").alias("end"), F.col("dst").alias("next_")), "end").select("start", F.col("next_").alias("end")).distinct()
-        front = found.join(seen.select("start", "end"), ["start", "end"], "left_anti").withColumn("depth", F.lit(level))
+        front = stored(found.join(seen.select("start", "end"), ["start", "end"], "left_anti").withColumn("depth", F.lit(level)), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -107,7 +111,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     for _ in range(depth):
         grown = front.join(links, "end").select("start", F.col("next_").alias("end"), F.array_append("nodes", F.col("next_")).alias("nodes"))
         least = grown.groupBy("start", "end").agg(F.min("nodes").alias("nodes"))
-        front = least.join(seen.select("start", "end"), ["start", "end"], "left_anti")
+        front = stored(least.join(seen.select("start", "end"), ["start", "end"], "left_anti"), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return goals.join(seen, "start").filter("end = goal").select("start", "goal", "nodes")
 
@@ -143,3 +149,21 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
     """(node, ancestor, depth) over SUBTYPE_OF-like edges src -> dst."""
     starts = edges.select(F.col("src").alias("start")).distinct()
     return reachable(edges, starts, depth).filter("depth > 0").select(F.col("start").alias("node"), F.col("end").alias("ancestor"), "depth")
+
+
+# Labels and relations that a graph must have, and how bad it is if not.
+NEEDED_LABELS = {"Product": "error", "Clause": "error", "Coverage": "warning", "Disease": "warning"}
+NEEDED_RELATIONS = {"COVERS": "warning", "HAS_COVERAGE": "warning"}
+
+
+def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(issue, severity, n) of a graph: nothing in it, labels and relations that are missing, several products, nodes without an edge, coverage edges between wrong labels. Each check is one row of an aggregate."""
+    none = lambda df, condition: df.agg((F.count_if(condition) == 0).cast("long").alias("n"))
+    found = [("no nodes", "critical", none(nodes, F.lit(True))), ("no edges", "warning", none(edges, F.lit(True)))]
+    found += [(f"no {k}", s, none(nodes, F.col("label") == k)) for k, s in NEEDED_LABELS.items()]
+    found += [(f"no {k}", s, none(edges, F.col("rel_type") == k)) for k, s in NEEDED_RELATIONS.items()]
+    products = F.count_if(F.col("label") == "Product")
+    found.append(("several Product", "warning", nodes.agg(F.when(products > 1, products).otherwise(0).alias("n"))))
+    found.append(("orphans", "warning", orphans(nodes, edges, "").agg(F.count("*").alias("n"))))
+    found.append(("invalid COVERS", "error", mislabelled(nodes, edges, "COVERS", "Coverage", "Disease").agg(F.count("*").alias("n"))))
+    return union_all([df.select(F.lit(k).alias("issue"), F.lit(s).alias("severity"), "n") for k, s, df in found]).filter("n > 0")

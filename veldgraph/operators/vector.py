@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RRF_K = 60
+#: Scores of matrix products that agree in so many places are ties; the order of their sums depends on the block.
+TIES = 12
 
 
 def _doubles(v: Column) -> Column:
@@ -46,7 +48,7 @@ def normalized(v: Column) -> Column:
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", column: str = "embedding", min_score: float = 0.0) -> DataFrame:
     """The k most similar rows with ``score``; ties go to the lower id, and a least score only narrows those k. Each task keeps its own k."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    found = vectors.withColumn("score", F.round(cosine(F.col(column), q), 6)).orderBy(F.desc("score"), id_col).limit(k)
+    found = vectors.withColumn("score", cosine(F.col(column), q)).orderBy(F.desc("score"), id_col).limit(k).withColumn("score", F.round("score", 6))
     return found.filter(F.col("score") >= min_score) if min_score > 0 else found
 
 
@@ -67,7 +69,7 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     for p in parts[1:]:
         every = every.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return every.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
 
 def _best(ids: np.ndarray, queries: np.ndarray, k: int):  # noqa: ANN202
@@ -83,7 +85,7 @@ def _best(ids: np.ndarray, queries: np.ndarray, k: int):  # noqa: ANN202
             matrix = np.array([v for _, v in rows], dtype=float)
             size = np.linalg.norm(matrix, axis=1)
             size[size == 0] = np.inf
-            scores = np.concatenate((best_scores, np.round((queries @ matrix.T) / length[:, None] / size[None, :], 6)), axis=1)
+            scores = np.concatenate((best_scores, np.round((queries @ matrix.T) / length[:, None] / size[None, :], TIES)), axis=1)
             own = np.concatenate((best_ids, np.broadcast_to(np.array([i for i, _ in rows], dtype=np.int64), (len(ids), len(rows)))), axis=1)
             order = np.lexsort((own, -scores), axis=1)[:, :k]
             best_scores, best_ids = np.take_along_axis(scores, order, 1), np.take_along_axis(own, order, 1)
@@ -96,8 +98,9 @@ def _best(ids: np.ndarray, queries: np.ndarray, k: int):  # noqa: ANN202
 def top_k_per_index(vectors: DataFrame, query: list[float], k: int, index: str, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The k most similar rows of every index; those of an index that has none are empty."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select(index, id_col, F.round(cosine(F.col(column), q), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(index).orderBy(F.desc("score"), id_col))).filter(F.col("rank") <= k)
+    scored = vectors.select(index, id_col, cosine(F.col(column), q).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(index).orderBy(F.desc("score"), id_col))).filter(F.col("rank") <= k)
+    return ranked.withColumn("score", F.round("score", 6))
 
 
 def _full(graph: DataFrame, vector: DataFrame, key: str) -> DataFrame:
@@ -109,7 +112,7 @@ def _full(graph: DataFrame, vector: DataFrame, key: str) -> DataFrame:
 def reciprocal_rank_fusion(graph: DataFrame, vector: DataFrame, key: str, graph_weight: float = 0.5, vector_weight: float = 0.5) -> DataFrame:
     """Sum of weight / (60 + rank) over two ranked lists (rank from 1), best first; equal scores keep the graph list's order before the vector list's."""
     part = lambda rank, w: F.when(F.col(rank).isNotNull(), F.lit(w) / (RRF_K + F.col(rank))).otherwise(0.0)
-    return _full(graph, vector, key).select(key, F.round(part("g_rank", graph_weight) + part("v_rank", vector_weight), 9).alias("score"), F.coalesce("g_rank", F.lit(1_000_000) + F.col("v_rank")).alias("first_seen"))
+    return _full(graph, vector, key).select(key, F.round(part("g_rank", graph_weight) + part("v_rank", vector_weight), 9).alias("score"), F.struct(F.col("g_rank").isNull().alias("late"), F.coalesce("g_rank", "v_rank").alias("rank")).alias("first_seen"))
 
 
 def weighted_sum(graph: DataFrame, vector: DataFrame, key: str, graph_weight: float = 0.5, vector_weight: float = 0.5) -> DataFrame:

@@ -23,10 +23,8 @@ edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'HAS
 
 TREE = """
 tree AS (SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst, 'HAS_PARAGRAPH' AS rel_type FROM region JOIN nation ON n_regionkey = r_regionkey
- UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'HAS_SUBCLAUSE' FROM customer WHERE c_custkey % 10 = 0
- UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'HAS_SUBCLAUSE' FROM orders WHERE o_custkey % 10 = 0 AND o_totalprice > 300000)"""
-
-WHOLE_TREE = TREE.replace(" WHERE c_custkey % 10 = 0", "").replace(" WHERE o_custkey % 10 = 0 AND o_totalprice > 300000", "")
+ UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'HAS_SUBCLAUSE' FROM customer
+ UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'HAS_SUBCLAUSE' FROM orders)"""
 
 
 def _key(prefix: str, column: str) -> F.Column:
@@ -59,18 +57,16 @@ def edges_of(t: Tables) -> DataFrame:
     ])
 
 
-def tree_of(t: Tables, whole: bool = False) -> DataFrame:
-    """The hierarchy of all customers and orders, or of the part that the SQL of the queries without ``_all`` names."""
-    customers = t.customer if whole else t.customer.filter("c_custkey % 10 = 0")
-    orders = t.orders if whole else t.orders.filter("o_custkey % 10 = 0 and o_totalprice > 300000")
+def tree_of(t: Tables) -> DataFrame:
+    """The hierarchy of all regions, nations, customers and orders."""
 
     def edges(df: DataFrame, src: F.Column, dst: F.Column, rel_type: str) -> DataFrame:
         return df.select(src.alias("src"), dst.alias("dst"), F.lit(rel_type).alias("rel_type"))
 
     return joins.union_all([
         edges(t.nation, _key("r", "n_regionkey"), _key("n", "n_nationkey"), "HAS_PARAGRAPH"),
-        edges(customers, _key("n", "c_nationkey"), _key("c", "c_custkey"), "HAS_SUBCLAUSE"),
-        edges(orders, _key("c", "o_custkey"), _key("o", "o_orderkey"), "HAS_SUBCLAUSE"),
+        edges(t.customer, _key("n", "c_nationkey"), _key("c", "c_custkey"), "HAS_SUBCLAUSE"),
+        edges(t.orders, _key("c", "o_custkey"), _key("o", "o_orderkey"), "HAS_SUBCLAUSE"),
     ])
 
 
@@ -237,13 +233,13 @@ found AS (SELECT start, last AS "end", array_to_string(nodes, '>') AS path, len(
 
 
 @P.add(f"WITH RECURSIVE {TREE}, {_walk_sql('tree', 'SELECT unnest([$$r1$$]) AS id', 5, 'down')} SELECT * FROM found")
-def g_traverse_down(t: Tables, whole: bool = False) -> DataFrame:
-    return graph.scored(graph.paths(tree_of(t, whole), _start(t, "r1"), 5))
+def g_traverse_down(t: Tables) -> DataFrame:
+    return graph.scored(graph.paths(tree_of(t), _start(t, "r1"), 5))
 
 
 @P.add(f"WITH RECURSIVE {TREE}, {_walk_sql('tree', 'SELECT DISTINCT dst AS id FROM tree WHERE dst[1] = $$c$$', 3, 'up')} SELECT * FROM found")
-def g_traverse_up(t: Tables, whole: bool = False) -> DataFrame:
-    tree = tree_of(t, whole)
+def g_traverse_up(t: Tables) -> DataFrame:
+    tree = tree_of(t)
     back = tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type")
     starts = tree.filter(F.col("dst").startswith("c")).select(F.col("dst").alias("start")).distinct()
     return graph.scored(graph.paths(back, starts, 3))
@@ -258,8 +254,8 @@ def g_traverse_entity(t: Tables) -> DataFrame:
 
 
 @P.add(f"WITH RECURSIVE {TREE}, {_walk_sql('tree', 'SELECT unnest([$$c10$$, $$c20$$]) AS id', 3, 'both')} SELECT * FROM found WHERE \"end\"[1] = 'c' AND \"end\" <> start ORDER BY path_length, path LIMIT 50")
-def g_related(t: Tables, whole: bool = False) -> DataFrame:
-    found = graph.paths(graph.both_ways(tree_of(t, whole)), _start(t, "c10", "c20"), 3).filter(F.col("end").startswith("c") & (F.col("end") != F.col("start")))
+def g_related(t: Tables) -> DataFrame:
+    found = graph.paths(graph.both_ways(tree_of(t)), _start(t, "c10", "c20"), 3).filter(F.col("end").startswith("c") & (F.col("end") != F.col("start")))
     return graph.scored(found).orderBy("path_length", "path").limit(50)
 
 
@@ -267,11 +263,11 @@ def g_related(t: Tables, whole: bool = False) -> DataFrame:
 WITH c AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey IN (10, 20, 30, 40))
 SELECT 'c' || a.c_custkey AS start, 'c' || b.c_custkey AS goal, CASE WHEN a.c_custkey = b.c_custkey THEN 'c' || a.c_custkey WHEN a.c_nationkey = b.c_nationkey THEN concat_ws('>', 'c' || a.c_custkey, 'n' || a.c_nationkey, 'c' || b.c_custkey)
  ELSE concat_ws('>', 'c' || a.c_custkey, 'n' || a.c_nationkey, 'r' || a.n_regionkey, 'n' || b.c_nationkey, 'c' || b.c_custkey) END AS path FROM c a, c b WHERE a.n_regionkey = b.n_regionkey""")
-def g_shortest(t: Tables, whole: bool = False) -> DataFrame:
+def g_shortest(t: Tables) -> DataFrame:
     ids = t.customer.filter("c_custkey in (10, 20, 30, 40)").select(_key("c", "c_custkey").alias("start"))
     every = [f"c{i}" for i in (10, 20, 30, 40)]
     pairs = ids.withColumn("goal", F.explode(F.array(*[F.lit(i) for i in every])))
-    return graph.shortest_paths(tree_of(t, whole), pairs, 4).select("start", "goal", F.array_join("nodes", ">").alias("path"))
+    return graph.shortest_paths(tree_of(t), pairs, 4).select("start", "goal", F.array_join("nodes", ">").alias("path"))
 
 
 @P.add("SELECT n AS path_length, round(1.0 / (n + 1), 6)::DOUBLE AS relevance FROM (SELECT DISTINCT p_size::BIGINT AS n FROM part)")
@@ -283,8 +279,8 @@ def g_path_score(t: Tables) -> DataFrame:
 @P.add(f"""
 WITH {TREE} SELECT n.id AS node, (SELECT coalesce(string_agg(src, ',' ORDER BY src), '') FROM tree WHERE dst = n.id) AS parents, (SELECT coalesce(string_agg(dst, ',' ORDER BY dst), '') FROM tree WHERE src = n.id) AS children
 FROM (SELECT DISTINCT src AS id FROM tree WHERE src[1] = 'n') n""")
-def g_context(t: Tables, whole: bool = False) -> DataFrame:
-    tree = tree_of(t, whole)
+def g_context(t: Tables) -> DataFrame:
+    tree = tree_of(t)
     around = lambda key, other, name: tree.groupBy(F.col(key).alias("node")).agg(F.array_join(F.array_sort(F.collect_set(other)), ",").alias(name))
     centres = tree.filter(F.col("src").startswith("n")).select(F.col("src").alias("node")).distinct()
     found = centres.join(around("dst", "src", "parents"), "node", "left").join(around("src", "dst", "children"), "node", "left")
@@ -294,8 +290,8 @@ def g_context(t: Tables, whole: bool = False) -> DataFrame:
 @P.add(f"""
 WITH {TREE}, e AS (SELECT src, dst FROM tree UNION ALL SELECT dst, src FROM tree), one AS (SELECT dst AS id FROM e WHERE src = 'n3'), two AS (SELECT id FROM one UNION SELECT dst FROM e JOIN one ON e.src = one.id UNION SELECT 'n3')
 SELECT src, dst, rel_type FROM tree WHERE src IN (FROM two) AND dst IN (FROM two)""")
-def g_neighborhood(t: Tables, whole: bool = False) -> DataFrame:
-    tree = tree_of(t, whole)
+def g_neighborhood(t: Tables) -> DataFrame:
+    tree = tree_of(t)
     near = graph.reachable(graph.both_ways(tree), _start(t, "n3"), 2).select(F.col("end").alias("node_id"))
     return graph.induced(tree, near)
 
@@ -326,9 +322,9 @@ def g_subgraph_v2(t: Tables) -> DataFrame:
 
 
 @P.add(f"WITH RECURSIVE {TREE}, {_walk_sql('tree', 'SELECT DISTINCT dst AS id FROM tree WHERE dst[1] = $$o$$', 2, 'up', 0)} SELECT start AS node, \"end\" AS ancestor FROM found WHERE \"end\"[1] = 'n'")
-def g_hier_expand(t: Tables, whole: bool = False) -> DataFrame:
+def g_hier_expand(t: Tables) -> DataFrame:
     """The owner of a node at most two steps above it."""
-    tree = tree_of(t, whole)
+    tree = tree_of(t)
     back = tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type")
     starts = tree.filter(F.col("dst").startswith("o")).select(F.col("dst").alias("start")).distinct()
     return graph.paths(back, starts, 2, least=0).filter(F.col("end").startswith("n")).select(F.col("start").alias("node"), F.col("end").alias("ancestor"))
@@ -349,8 +345,8 @@ def g_bad_edges(t: Tables) -> DataFrame:
 
 
 @P.add(f"WITH RECURSIVE {TREE}, up(node, ancestor, depth) AS (SELECT dst, src, 1 FROM tree UNION ALL SELECT node, t.src, depth + 1 FROM up JOIN tree t ON t.dst = up.ancestor) SELECT node, ancestor, depth::INT AS depth FROM up")
-def g_subtype(t: Tables, whole: bool = False) -> DataFrame:
-    tree = tree_of(t, whole)
+def g_subtype(t: Tables) -> DataFrame:
+    tree = tree_of(t)
     return graph.closure(tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type"), 3)
 
 
@@ -407,11 +403,3 @@ def g_enhance_all(t: Tables) -> DataFrame:
     same = joins.pairs(parts.drop("p_brand"), ["p_name", "p_type", "p_size"], "p_partkey").select(*ends, F.lit("same_as").alias("rel_type"))
     near = joins.pairs(parts, ["p_brand", "p_size", "p_type"], "p_partkey").select(*ends, F.lit("related_to").alias("rel_type"))
     return same.unionByName(joins.without_edge(near, same))
-
-
-# The tree queries on the whole hierarchy
-
-
-for _f in (g_traverse_down, g_traverse_up, g_related, g_shortest, g_context, g_neighborhood, g_hier_expand, g_subtype):
-    QUERIES[f"{_f.__name__}_all"] = lambda spark, sf_dir, f=_f: f(Tables(spark, sf_dir), whole=True)
-    ORACLES[f"{_f.__name__}_all"] = ORACLES[_f.__name__].replace(TREE, WHOLE_TREE)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veldgraph.functions import nlq, parsers, pii
 from veldgraph.operators import vector
 from veldgraph.plans import Plans, Tables
-from veldgraph.plans.retrieval import COS
+from veldgraph.plans.retrieval import COS, RAW
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
@@ -22,7 +22,7 @@ def _contracts(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(CONTRACTS, "id int, q string")
 
 
-@P.add(f"SELECT vec_id, {COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 5")
+@P.add(f"SELECT vec_id, {COS} AS score FROM embeddings ORDER BY {RAW} DESC, vec_id LIMIT 5")
 def g_vector_similarity(t: Tables) -> DataFrame:
     query = list(t.embeddings.filter("vec_id = 3").select("embedding").first()[0])
     return vector.top_k(t.embeddings, query, 5).select("vec_id", "score")

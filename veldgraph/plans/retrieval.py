@@ -14,9 +14,10 @@ P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
 
 Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)"
-COS = f"round(list_cosine_similarity(embedding::DOUBLE[], {Q}), 6)"
+RAW = f"list_cosine_similarity(embedding::DOUBLE[], {Q})"
+COS = f"round({RAW}, 6)"
 LISTS = f"""
-v AS (SELECT vec_id, {COS} AS score, row_number() OVER (ORDER BY {COS} DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 50),
+v AS (SELECT vec_id, {COS} AS score, row_number() OVER (ORDER BY {RAW} DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 50),
 g AS (SELECT vec_id, 0.8::DOUBLE AS score, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings WHERE label = 3 QUALIFY rank <= 50)"""
 
 
@@ -51,31 +52,31 @@ def v_normalize(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(F.get(vector.normalized(F.col("embedding")), F.lit(0)), 6).alias("first"))
 
 
-@P.add(f"SELECT vec_id, {COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+@P.add(f"SELECT vec_id, {COS} AS score FROM embeddings ORDER BY {RAW} DESC, vec_id LIMIT 10")
 def v_topk(t: Tables) -> DataFrame:
     return vector.top_k(t.embeddings, _query(t), 10).select("vec_id", "score")
 
 
-@P.add(f"SELECT * FROM (SELECT vec_id, {COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10) WHERE score >= 0.3")
+@P.add(f"SELECT * FROM (SELECT vec_id, {COS} AS score FROM embeddings ORDER BY {RAW} DESC, vec_id LIMIT 10) WHERE score >= 0.3")
 def flt_min_score(t: Tables) -> DataFrame:
     return vector.top_k(t.embeddings, _query(t), 10, min_score=0.3).select("vec_id", "score")
 
 
 @P.add("""
 SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
-row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id)::INT AS rank
+row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) DESC, b.vec_id)::INT AS rank
 FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10""")
 def v_topk_graph(t: Tables) -> DataFrame:
     """Every fiftieth row as a query against all rows."""
     return vector.top_k_each(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), 10)
 
 
-@P.add(f"SELECT label, vec_id, {COS} AS score, row_number() OVER (PARTITION BY label ORDER BY {COS} DESC, vec_id)::INT AS rank FROM embeddings QUALIFY rank <= 5")
+@P.add(f"SELECT label, vec_id, {COS} AS score, row_number() OVER (PARTITION BY label ORDER BY {RAW} DESC, vec_id)::INT AS rank FROM embeddings QUALIFY rank <= 5")
 def v_multi_index(t: Tables) -> DataFrame:
     return vector.top_k_per_index(t.embeddings, _query(t), 5, "label")
 
 
-@P.add(f"SELECT * FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {COS} DESC, vec_id) AS rank FROM embeddings WHERE label IN (1, 2, 3)) WHERE rank <= 3")
+@P.add(f"SELECT * FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {RAW} DESC, vec_id) AS rank FROM embeddings WHERE label IN (1, 2, 3)) WHERE rank <= 3")
 def set_multi_index(t: Tables) -> DataFrame:
     found = vector.top_k_per_index(t.embeddings.filter("label in (1, 2, 3)"), _query(t), 3, "label")
     return found.select("label", "vec_id", F.col("rank").cast("long").alias("rank"))
@@ -88,7 +89,7 @@ def v_expand(t: Tables) -> DataFrame:
 
 @P.add(f"""
 SELECT vec_id, round(least(e.score * CASE WHEN contains(lower(text), 'from') OR contains(lower(text), 'with') THEN 1.2 ELSE 1 END, 1), 6)::DOUBLE AS score
-FROM (SELECT vec_id, {COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20) e JOIN documents ON doc_id = vec_id""")
+FROM (SELECT vec_id, {COS} AS score FROM embeddings ORDER BY {RAW} DESC, vec_id LIMIT 20) e JOIN documents ON doc_id = vec_id""")
 def v_context_boost(t: Tables) -> DataFrame:
     top = vector.top_k(t.embeddings, _query(t), 20).select("vec_id", "score")
     found = t.documents.select(F.col("doc_id").alias("vec_id"), "text").join(F.broadcast(top), "vec_id")  # twenty rows
@@ -106,10 +107,10 @@ def h_strategy(t: Tables) -> DataFrame:
 
 
 @P.add(f"""
-WITH {LISTS} SELECT vec_id, round(coalesce(0.7 / (60 + g.rank), 0) + coalesce(0.3 / (60 + v.rank), 0), 9)::DOUBLE AS score, coalesce(g.rank, 1000000 + v.rank) AS first_seen FROM g FULL JOIN v USING (vec_id)""")
+WITH {LISTS} SELECT vec_id, round(coalesce(0.7 / (60 + g.rank), 0) + coalesce(0.3 / (60 + v.rank), 0), 9)::DOUBLE AS score, g.rank IS NULL AS late, coalesce(g.rank, v.rank) AS first_seen FROM g FULL JOIN v USING (vec_id)""")
 def h_rrf(t: Tables) -> DataFrame:
     g, v = _lists(t)
-    return vector.reciprocal_rank_fusion(g, v, "vec_id", 0.7, 0.3).withColumn("first_seen", F.col("first_seen").cast("long"))
+    return vector.reciprocal_rank_fusion(g, v, "vec_id", 0.7, 0.3).select("vec_id", "score", "first_seen.late", F.col("first_seen.rank").cast("long").alias("first_seen"))
 
 
 @P.add("SELECT i AS rank0, round(1.0::DOUBLE / (60 + i + 1), 9)::DOUBLE AS score FROM range(20) s(i)")
@@ -131,7 +132,7 @@ def h_other_fusion(t: Tables) -> DataFrame:
 
 @P.add(f"""
 SELECT vec_id, round(least(e.score * CASE WHEN contains(lower(text), 'the') THEN 1.5 ELSE 1 END * CASE WHEN length(text) > 500 THEN 0.9 ELSE 1 END, 1), 6)::DOUBLE AS score
-FROM (SELECT vec_id, {COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20) e JOIN documents ON doc_id = vec_id""")
+FROM (SELECT vec_id, {COS} AS score FROM embeddings ORDER BY {RAW} DESC, vec_id LIMIT 20) e JOIN documents ON doc_id = vec_id""")
 def h_rerank(t: Tables) -> DataFrame:
     top = vector.top_k(t.embeddings, _query(t), 20).select("vec_id", "score")
     return vector.reranked(t.documents.select(F.col("doc_id").alias("vec_id"), "text").join(F.broadcast(top), "vec_id"), "The").select("vec_id", "score")  # twenty rows

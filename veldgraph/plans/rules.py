@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veldgraph.functions import nlq
+from veldgraph.functions import answers, compliance, nlq
 from veldgraph.operators import aggregates, graph
 from veldgraph.plans import Plans, Tables
 from veldgraph.plans.graph import GRAPH, edges_of, nodes_of
@@ -15,13 +15,35 @@ P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
 
 
-@P.add("SELECT c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'B: ' || c_name WHEN 'FURNITURE' THEN 'F: ' || c_name ELSE 'X: ' || c_name END AS answer, c_custkey FROM customer")
+#: Answers with their citations (document_id, text, confidence).
+ANSWERS = [
+    (1, "암 진단금?", "보험금은 전액 지급됩니다.", []),
+    (2, "면책 사항은?", "면책기간은 90일입니다.", [("d1", "제5조 면책기간은 90일로 한다.", 0.9)]),
+    (3, "비교", "가" * 400, [("d1", "short", 0.5)]),
+    (4, "금액", "1,000원, 2,000원, 30원 그리고 4.5%", [("d2", "x" * 20, None), ("", "x" * 20, 0.8)]),
+    (5, "?", "무조건 가입 가능, 반드시 100% 지급", []),
+    (6, "?", "보장" * 600, [("d3", "x" * 20, 0.6), ("d4", "x" * 20, 0.95)]),
+    (7, "?", "모든 경우 보장", [("d5", "x" * 20, 0.9)]),
+]
+
+
+def _answers(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(ANSWERS, f"id int, question string, answer string, citations {compliance.CITATIONS}")
+
+
+def _sql(columns: str, *rows: tuple) -> str:
+    shown = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) v({columns})"
+
+
+@P.add(_sql("id, shown", (1, "간암의 경우 다음과 같이 보장됩니다:\n\n- 암진단\n\n총 1억원원의 보장을 받으실 수 있습니다."), (2, "가입 가능 연령은 15세부터 60세까지입니다."), (3, "답"), (4, "죄송합니다. 치매에 대한 정보를 찾을 수 없습니다.\n\n다른 질문을 해주시거나, 더 구체적으로 질문해주세요.")))
 def a_templates(t: Tables) -> DataFrame:
-    templates = {"BUILDING": "B: %s", "FURNITURE": "F: %s"}
-    out = F.format_string("X: %s", "c_name")
-    for k, form in templates.items():
-        out = F.when(F.col("c_mktsegment") == k, F.format_string(form, "c_name")).otherwise(out)
-    return t.customer.select("c_mktsegment", out.alias("answer"), "c_custkey")
+    """The template of an intent with its variables filled in; another intent has the general one."""
+    rows = [
+        (1, "coverage_amount", True, {"disease_name": "간암", "coverage_list": "- 암진단", "total_amount": "1억원"}), (2, "age_limit", True, {"min_age": "15", "max_age": "60"}), (3, "complex_query", True, {"answer": "답"}), (4, "coverage_amount", False, {"query": "치매"}),
+    ]
+    asked = t.spark.createDataFrame(rows, "id int, intent string, has_results boolean, variables map<string,string>")
+    return asked.select("id", answers.rendered(answers.template(F.col("intent"), F.col("has_results")), F.col("variables")).alias("shown"))
 
 
 @P.add("""
@@ -74,53 +96,49 @@ def a_validate(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.when(fail > 0, "FAIL").when(warn > 0, "WARNING").otherwise("PASS").alias("status"), nlq.validated_confidence(F.lit(1.0), fail, warn).alias("confidence"))
 
 
-@P.add("""
-SELECT conv_id, turn, contains(lower(coalesce(p, '')), ' de ') AND NOT contains(lower(text), ' de ') AS missing FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)""")
+@P.add(_sql("id, issues", (1, "exclusions"), (2, "query"), (3, ""), (4, "query"), (5, "")))
 def a_complete(t: Tables) -> DataFrame:
-    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    rows = t.conversations.withColumn("p", F.lower(before))
-    return rows.select("conv_id", "turn", (F.contains("p", F.lit(" de ")) & ~F.contains(F.lower("text"), F.lit(" de "))).alias("missing"))
+    rows = [(1, ["암"], "암은 보장됩니다", ["다만 90일 이내 제외"]), (2, ["암"], "지급합니다", ["plain"]), (3, [], "ok", []), (4, ["암"], "다만 안 됩니다", ["제외"]), (5, ["a"], "A", ["s1", "s2", "s3", "s4", "s5", "제외"])]
+    asked = t.spark.createDataFrame(rows, "id int, words array<string>, answer string, sources array<string>")
+    return asked.select("id", F.array_join(compliance.completeness_issues(F.col("words"), F.col("answer"), F.col("sources")), ",").alias("issues"))
 
 
-@P.add("SELECT conv_id, turn, conv_id IS NOT NULL AND length(text) BETWEEN 10 AND 5000 AND (turn % 11) / 10 BETWEEN 0 AND 0.9 AS valid FROM conversations")
+@P.add(_sql("id, place, error", (2, 0, None), (3, 0, "Citation text too short (< 10 characters)"), (4, 0, None), (4, 1, "Missing required field: document_id"), (6, 0, None), (6, 1, None), (7, 0, None)))
 def k_citation(t: Tables) -> DataFrame:
-    valid = F.col("conv_id").isNotNull() & F.length("text").between(10, 5000) & (F.col("turn") % 11 / 10).between(0, 0.9)
-    return t.conversations.select("conv_id", "turn", valid.alias("valid"))
+    return _answers(t).select("id", F.posexplode("citations").alias("place", "c")).select("id", "place", compliance.citation_error(F.col("c")).alias("error"))
 
 
-@P.add("""
-WITH g AS (SELECT conv_id, count(*) AS n, max(length(text)) AS longest FROM conversations GROUP BY conv_id) SELECT conv_id, n >= CASE WHEN longest > 1000 THEN 3 WHEN longest > 500 THEN 2 ELSE 1 END AS enough FROM g""")
+@P.add(_sql("id, enough", (1, False), (2, True), (3, True), (4, True), (5, False), (6, False), (7, True)))
 def k_coverage(t: Tables) -> DataFrame:
-    g = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest"))
-    return g.select("conv_id", (F.col("n") >= F.when(F.col("longest") > 1000, 3).when(F.col("longest") > 500, 2).otherwise(1)).alias("enough"))
+    return _answers(t).select("id", compliance.enough_citations(F.col("answer"), F.col("citations")).alias("enough"))
 
 
-_RISK = "(o_orderstatus = 'P')::INT * 40 + (o_orderpriority = '1-URGENT')::INT * 20 + (o_custkey % 3) * 15 + (o_totalprice > 400000)::INT * 10"
-
-
-@P.add(f"SELECT o_orderkey, ({_RISK})::BIGINT AS points, CASE WHEN {_RISK} >= 50 THEN 'high' WHEN {_RISK} >= 25 THEN 'medium' ELSE 'low' END AS risk FROM orders")
+@P.add(_sql("id, points, risk", (1, 50, "high"), (2, 0, "low"), (3, 35, "medium"), (4, 0, "low"), (5, 50, "high"), (6, 15, "low"), (7, 0, "low")))
 def k_risk(t: Tables) -> DataFrame:
-    points = (F.col("o_orderstatus") == "P").cast("long") * 40 + (F.col("o_orderpriority") == "1-URGENT").cast("long") * 20 + F.col("o_custkey") % 3 * 15 + (F.col("o_totalprice") > 400_000).cast("long") * 10
-    return t.orders.select("o_orderkey", points.alias("points"), F.when(points >= 50, "high").when(points >= 25, "medium").otherwise("low").alias("risk"))
+    points = compliance.risk_points(F.col("answer"), F.col("citations"))
+    return _answers(t).select("id", points.alias("points"), compliance.risk_level(points).alias("risk"))
 
 
-@P.add("SELECT o_orderkey, o_orderstatus || '/' || o_orderpriority AS trace, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+@P.add(_sql("id, citations, valid, confidence, points, risk", (1, 0, 0, 0.0, 50, "high"), (2, 1, 1, 0.9, 0, "low"), (3, 1, 0, 0.5, 35, "medium"), (4, 2, 1, 0.8, 0, "low"), (5, 0, 0, 0.0, 50, "high"), (6, 2, 2, 0.775, 15, "low"), (7, 1, 1, 0.9, 0, "low")))
 def k_trace(t: Tables) -> DataFrame:
-    report = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    return t.orders.select("o_orderkey", report.alias("r")).select("o_orderkey", F.concat_ws("/", "r.status", "r.priority").alias("trace"), "r.day")
+    return _answers(t).select("id", compliance.trace(F.col("answer"), F.col("citations")).alias("r")).select("id", "r.*")
 
 
-@P.add("""
-SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the') THEN 'required' WHEN contains(lower(text), 'la ') THEN 'caution' ELSE 'none' END AS duty, text || CASE WHEN contains(lower(text), 'the') THEN ' [note]' ELSE '' END AS shown FROM conversations""")
+@P.add(_sql("id, category, explained, caution, prohibited", (1, "coverage", True, "전액", ""), (2, "exclusion", True, "", ""), (3, "other", True, "", ""), (4, "other", True, "", ""), (5, "coverage", True, "100%,무조건,반드시", "무조건 가입"), (6, "coverage", True, "", ""), (7, "coverage", True, "모든", "")))
 def k_duty(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    duty = F.when(F.contains(low, F.lit("the")), "required").when(F.contains(low, F.lit("la ")), "caution").otherwise("none")
-    return t.conversations.select("conv_id", "turn", duty.alias("duty"), F.concat("text", F.when(duty == "required", " [note]").otherwise("")).alias("shown"))
+    """What has to be explained, whether it is, and words that ask for care or are not to be used."""
+    kind = compliance.category(F.col("question"), F.col("answer"))
+    words = lambda w: F.array_join(compliance.words_in(F.col("answer"), w), ",")
+    return _answers(t).select("id", kind.alias("category"), compliance.explained(F.col("answer"), kind).alias("explained"), words(compliance.CAUTION_WORDS).alias("caution"), words(compliance.PROHIBITED_WORDS).alias("prohibited"))
 
 
-@P.add("SELECT o_orderkey, CASE WHEN o_totalprice < 5000 OR o_orderpriority = '1-URGENT' THEN 'fail' WHEN o_orderstatus = 'P' THEN 'warning' ELSE 'pass' END AS level FROM orders")
+@P.add(_sql("id, level", (1, "fail"), (2, "pass"), (3, "fail"), (4, "fail"), (5, "fail"), (6, "fail"), (7, "warning")))
 def k_level(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.when((F.col("o_totalprice") < 5000) | (F.col("o_orderpriority") == "1-URGENT"), "fail").when(F.col("o_orderstatus") == "P", "warning").otherwise("pass").alias("level"))
+    a, c = F.col("answer"), F.col("citations")
+    issues = F.when(compliance.enough_citations(a, c), 0).otherwise(1) + F.size(compliance.words_in(a, compliance.PROHIBITED_WORDS))
+    valid = F.forall(c, lambda x: compliance.citation_error(x).isNull())
+    found = compliance.level(issues, F.size(compliance.words_in(a, compliance.CAUTION_WORDS)), compliance.risk_level(compliance.risk_points(a, c)), valid, compliance.explained(a, compliance.category(F.col("question"), a)))
+    return _answers(t).select("id", found.alias("level"))
 
 
 @P.add("""
@@ -133,21 +151,22 @@ def d_data_valid(t: Tables) -> DataFrame:
 
 
 @P.add(f"""
-WITH {GRAPH} SELECT label, count(*) AS nodes, count(*) FILTER (NOT EXISTS (SELECT 1 FROM edges WHERE src = node_id OR dst = node_id)) AS alone FROM nodes GROUP BY label""")
+WITH {GRAPH}, i AS (SELECT 'no nodes' AS issue, 'critical' AS severity, ((SELECT count(*) FROM nodes) = 0)::BIGINT AS n UNION ALL SELECT 'no edges', 'warning', ((SELECT count(*) FROM edges) = 0)::BIGINT
+UNION ALL SELECT 'no ' || l, s, ((SELECT count(*) FROM nodes WHERE label = l) = 0)::BIGINT FROM (VALUES ('Product', 'error'), ('Clause', 'error'), ('Coverage', 'warning'), ('Disease', 'warning')) v(l, s)
+UNION ALL SELECT 'several Product', 'warning', CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END FROM nodes WHERE label = 'Product'
+UNION ALL SELECT 'no ' || r, 'warning', ((SELECT count(*) FROM edges WHERE rel_type = r) = 0)::BIGINT FROM (VALUES ('COVERS'), ('HAS_COVERAGE')) v(r)
+UNION ALL SELECT 'orphans', 'warning', count(*) FROM nodes WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = node_id OR dst = node_id)
+UNION ALL SELECT 'invalid COVERS', 'error', count(*) FROM edges e LEFT JOIN nodes a ON e.src = a.node_id LEFT JOIN nodes b ON e.dst = b.node_id WHERE rel_type = 'COVERS' AND NOT coalesce(a.label = 'Coverage' AND b.label = 'Disease', false))
+SELECT issue, severity, n FROM i WHERE n > 0""")
 def d_graph_valid(t: Tables) -> DataFrame:
-    n, e = nodes_of(t), edges_of(t)
-    touched = e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct().withColumn("touched", F.lit(True))
-    return n.join(touched, "node_id", "left").groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("touched").isNull()).alias("alone"))
-
+    return graph.issues(nodes_of(t), edges_of(t))
 
-_PARTS = "count(o_orderdate) / count(*) AS completeness, count(*) FILTER (o_totalprice > 10000) / count(*) AS accuracy, count(*) FILTER (o_orderstatus <> 'P') / count(*) AS consistency, least(count(*) / 20, 1) AS coverage"
 
-
-@P.add(f"WITH g AS (SELECT o_custkey, {_PARTS} FROM orders GROUP BY o_custkey) SELECT o_custkey, round(0.3::DOUBLE * completeness + 0.3::DOUBLE * accuracy + 0.25::DOUBLE * consistency + 0.15::DOUBLE * coverage, 6) AS quality FROM g")
+@P.add(_sql("id, completeness, accuracy, consistency, coverage, overall", (1, 1.0, 1.0, 1.0, 1.0, 1.0), (2, 0.7, 0.4, 0.55, 0.3, 0.5125), (3, 0.0, 0.0, 0.0, 0.0, 0.0)))
 def d_quality(t: Tables) -> DataFrame:
-    n = F.count(F.lit(1))
-    g = t.orders.groupBy("o_custkey").agg((F.count("o_orderdate") / n).alias("a"), (F.count_if(F.col("o_totalprice") > 10_000) / n).alias("b"), (F.count_if(F.col("o_orderstatus") != "P") / n).alias("c"), F.least(n / 20, F.lit(1.0)).alias("d"))
-    return g.select("o_custkey", F.round(0.3 * F.col("a") + 0.3 * F.col("b") + 0.25 * F.col("c") + 0.15 * F.col("d"), 6).alias("quality"))
+    """The quality of what was read from a document, from the outcome of its checks."""
+    rows = [(1, *[True] * 7, 0, 0, 0, 0, 0, 0, 100, 50, 10, 50, 1, 1, 1, 10, 1.0), (2, False, *[True] * 5, False, 1, 2, 5, 10, 0, 5, 100, 50, 1, 0, 0, 0, 0, 0, 0.5), (3, *[False] * 7, 5, 5, 5, 9, 9, 9, 9, 9, 0, 0, 0, 0, 0, 0, 0.0)]
+    return t.spark.createDataFrame(rows, answers.CHECKED).select("id", *[c.alias(k) for k, c in answers.quality().items()])
 
 
 @P.add("""
@@ -160,24 +179,21 @@ def d_pipeline(t: Tables) -> DataFrame:
     return t.documents.agg(F.count(F.lit(1)).alias("parsed")).select(one, "*").join(e, "one").join(dangling, "one").drop("one")
 
 
-@P.add("""
-WITH c AS (SELECT c_custkey, c_acctbal, c_mktsegment, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
-SELECT c_custkey, greatest(0, least(100, 50 + CASE WHEN c_acctbal > 5000 THEN 20 WHEN c_acctbal < 0 THEN -10 ELSE 0 END + CASE WHEN n > 15 THEN -30 ELSE 15 END + (c_mktsegment = 'BUILDING')::INT * 5 + (n > 3)::INT * 10))::INT AS score FROM c""")
+@P.add(_sql("id, score", (1, 100), (2, 30), (3, 90), (4, 40), (5, 20), (6, 80)))
 def m_matching(t: Tables) -> DataFrame:
-    counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    rows = t.customer.join(counts, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    score = 50 + F.when(F.col("c_acctbal") > 5000, 20).when(F.col("c_acctbal") < 0, -10).otherwise(0) + F.when(F.col("n") > 15, -30).otherwise(15) + F.when(F.col("c_mktsegment") == "BUILDING", 5).otherwise(0) + F.when(F.col("n") > 3, 10).otherwise(0)
-    return rows.select("c_custkey", F.greatest(F.lit(0), F.least(F.lit(100), score)).alias("score"))
+    rows = [(1, 40, "life", False, "Seoul", 4), (2, 55, "life", True, None, 0), (3, 30, "health", False, "", 0), (4, 45, "health", True, "x", 3), (5, None, "life", True, None, 0), (6, 35, "auto", False, "B", 9)]
+    asked = t.spark.createDataFrame(rows, "id int, age int, product string, has_same boolean, city string, consultations int")
+    return asked.select("id", compliance.matching_score(F.col("age"), F.col("product"), F.col("has_same"), F.col("city"), F.col("consultations")).alias("score"))
 
 
-@P.add("""
-WITH h AS (SELECT o_custkey, o_orderkey, o_orderstatus AS s, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders)
-SELECT o_orderkey, p || '>' || s AS step, (p, s) IN (('O', 'P'), ('P', 'F'), ('O', 'F'), ('F', 'O')) AS allowed FROM h WHERE p IS NOT NULL""")
+@P.add(_sql("id, place, step, allowed", (1, 1, "discovered>queued", True), (1, 2, "queued>downloading", True), (1, 3, "downloading>processing", True), (1, 4, "processing>completed", True), (1, 5, "completed>queued", False), (2, 1, "discovered>failed", False), (2, 2, "failed>queued", True), (2, 3, "queued>ignored", True), (2, 4, "ignored>discovered", True)))
 def m_transition(t: Tables) -> DataFrame:
-    """Steps between the statuses of a customer's orders, against the allowed ones."""
-    before = F.lag("o_orderstatus").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    steps = t.orders.withColumn("p", before).filter("p is not null").select("o_orderkey", F.concat_ws(">", "p", "o_orderstatus").alias("step"))
-    return steps.withColumn("allowed", F.col("step").isin("O>P", "P>F", "O>F", "F>O"))
+    """Steps between the statuses of a document, against the allowed ones."""
+    history = {1: ["discovered", "queued", "downloading", "processing", "completed", "queued"], 2: ["discovered", "failed", "queued", "ignored", "discovered"]}
+    rows = t.spark.createDataFrame([(i, k, x) for i, h in history.items() for k, x in enumerate(h)], "id int, place int, status string")
+    before = F.lag("status").over(Window.partitionBy("id").orderBy("place"))
+    steps = rows.withColumn("before", before).filter("before is not null")
+    return steps.select("id", "place", F.concat_ws(">", "before", "status").alias("step"), compliance.allowed_step(F.col("before"), F.col("status")).alias("allowed"))
 
 
 @P.add("""

@@ -98,9 +98,22 @@ def snk_merge_edge(t: Tables) -> DataFrame:
     return sinks.merge_edges(edges("l_quantity >= 48").distinct(), edges("l_quantity >= 45"), nodes)
 
 
-@P.add("SELECT p_type AS label, count(*) AS created, count(*) FILTER (p_size > 45) AS failed FROM part GROUP BY p_type")
+@P.add("SELECT p_type AS label, p_size // 10 AS batch, count(*) AS created, count(*) FILTER (p_size > 45) AS failed FROM part GROUP BY ALL")
 def snk_batch(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.col("p_type").alias("label")).agg(F.count(F.lit(1)).alias("created"), F.count_if(F.col("p_size") > 45).alias("failed"))
+    """Nodes written label by label and batch by batch; what is read back was created, rows that break the rule went to a table of their own."""
+    path = scratch_path(t.spark, "batches")
+    rows = t.part.select(F.col("p_type").alias("label"), F.floor(F.col("p_size") / 10).alias("batch"), "p_partkey", (F.col("p_size") > 45).alias("failed"))
+    rows.write.partitionBy("label", "batch").parquet(path)
+    found = t.spark.read.schema("p_partkey long, failed boolean, label string, batch long").parquet(path)
+    return found.groupBy("label", "batch").agg(F.count(F.lit(1)).alias("created"), F.count_if("failed").alias("failed"))
+
+
+@P.add("SELECT p_partkey AS entity_id, p_type[1] || lower(p_type[2:]) AS label, p_name AS name FROM part")
+def snk_sync_nodes(t: Tables) -> DataFrame:
+    """The node half of a synchronisation."""
+    entities = t.part.select(F.col("p_partkey").alias("entity_id"), F.lower("p_type").alias("type"), F.col("p_name").alias("name"))
+    nodes = sinks.synced(entities, t.lineitem.limit(0).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lower("l_returnflag").alias("type")))[0]
+    return nodes
 
 
 @P.add("SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, 'RET_' || l_returnflag AS rel_type FROM lineitem WHERE l_quantity = 50")
@@ -117,26 +130,21 @@ def snk_delete(t: Tables) -> DataFrame:
 
 
 @P.add("""
-SELECT 'r' || r_regionkey AS id, r_name AS name, 'region' AS kind FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation' FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, 'supplier' FROM supplier""")
+SELECT 'r' || r_regionkey AS id, r_name AS name, 'region' AS kind, NULL::VARCHAR AS target FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', NULL FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, 'supplier', NULL FROM supplier
+UNION ALL SELECT 'n' || n_nationkey, NULL, 'edge', 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, NULL, 'edge', 'n' || s_nationkey FROM supplier""")
 def snk_graph_json(t: Tables) -> DataFrame:
-    """Nodes of all levels, written as JSON and read again."""
+    """Nodes of all levels and the edges between them, written as JSON and read again."""
     level = lambda df, p, key, name, kind: df.select(F.concat(F.lit(p), F.col(key).cast("string")).alias("id"), F.col(name).alias("name"), F.lit(kind).alias("kind"))
     nodes = joins.union_all([level(t.region, "r", "r_regionkey", "r_name", "region"), level(t.nation, "n", "n_nationkey", "n_name", "nation"), level(t.supplier, "s", "s_suppkey", "s_name", "supplier")])
-    return files.round_trip(nodes, "json")
+    link = lambda df, p, key, q, up: df.select(F.concat(F.lit(p), F.col(key).cast("string")).alias("id"), F.lit(None).cast("string").alias("name"), F.lit("edge").alias("kind"), F.concat(F.lit(q), F.col(up).cast("string")).alias("target"))
+    edges = link(t.nation, "n", "n_nationkey", "r", "n_regionkey").unionByName(link(t.supplier, "s", "s_suppkey", "n", "s_nationkey"))
+    return files.round_trip(nodes.withColumn("target", F.lit(None).cast("string")).unionByName(edges), "json")
 
 
-@P.add("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@P.add("SELECT doc_id, sum((coalesce(length(text), 0) + 99) // 100)::BIGINT AS n, sum(coalesce(length(text), 0))::BIGINT AS length FROM documents GROUP BY doc_id")
 def snk_chunk_files(t: Tables) -> DataFrame:
-    """Chunks in a folder for each language; a reader of one language opens only that."""
+    """All chunks of the whole texts, in a folder for each language; a reader of one language opens only that."""
     path = scratch_path(t.spark, "chunks")
-    t.documents.select("doc_id", "lang", F.substring("text", 1, 100).alias("chunk")).write.partitionBy("lang").parquet(path)
-    return t.spark.read.parquet(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-
-
-@P.add("SELECT doc_id, sum((coalesce(length(text), 0) + 99) // 100)::BIGINT AS n, sum(coalesce(length(text), 0))::BIGINT AS length FROM documents GROUP BY doc_id")
-def snk_chunk_files_all(t: Tables) -> DataFrame:
-    """All chunks of the whole texts; ``snk_chunk_files`` writes the first one of each."""
-    path = scratch_path(t.spark, "all_chunks")
     chunks = F.regexp_extract_all("text", F.lit("(?s).{1,100}"), F.lit(0))
     t.documents.select("doc_id", "lang", F.posexplode_outer(chunks).alias("place", "chunk")).write.partitionBy("lang").parquet(path)
     return t.spark.read.parquet(path).groupBy("doc_id").agg(F.count("chunk").alias("n"), F.coalesce(F.sum(F.length("chunk")), F.lit(0)).alias("length"))

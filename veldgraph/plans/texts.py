@@ -38,6 +38,11 @@ def _legal(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(LEGAL, "id int, q string")
 
 
+def _sql(columns: str, *rows: tuple) -> str:
+    shown = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) v({columns})"
+
+
 # Questions
 
 
@@ -230,42 +235,36 @@ def x_exceptions(t: Tables) -> DataFrame:
     return parsers.mapped(_legal(t), ["id"], "q", "place int, keyword string", parsers.exceptions).select("id", "keyword")
 
 
-@P.add("SELECT p_partkey, round(greatest(0, least(1, 1 - least(0.5, 0.1 * (p_size % 8)) - least(0.2, 0.05 * (p_size % 5)) - CASE WHEN p_size % 10 < 5 THEN 0.2 WHEN p_size % 10 < 8 THEN 0.1 ELSE 0 END))::DOUBLE, 6) AS confidence FROM part")
+@P.add(_sql("errors, warnings, parsed, confidence", (0, 0, 1.0, 1.0), (2, 1, 0.6, 0.65), (9, 9, 0.1, 0.1), (0, 0, 0.49, 0.8)))
 def x_legal_conf(t: Tables) -> DataFrame:
-    s = F.col("p_size")
-    penalty = F.when(s % 10 < 5, 0.2).when(s % 10 < 8, 0.1).otherwise(0.0)
-    value = 1 - F.least(F.lit(0.5), 0.1 * (s % 8)) - F.least(F.lit(0.2), 0.05 * (s % 5)) - penalty
-    return t.part.select("p_partkey", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 6).alias("confidence"))
+    rows = t.spark.createDataFrame([(0, 0, 1.0), (2, 1, 0.6), (9, 9, 0.1), (0, 0, 0.49)], "errors int, warnings int, parsed double")
+    return rows.select("*", nlq.parse_confidence(F.col("errors"), F.col("warnings"), F.col("parsed")).alias("confidence"))
 
 
-@P.add("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'I' WHEN c_custkey % 7 = 1 THEN 'C' END AS x, CASE c_custkey % 7 WHEN 0 THEN 'cardiovascular' WHEN 1 THEN 'cancer' ELSE 'other' END AS category FROM customer")
+@P.add(_sql("code, category", ("C73", "cancer"), ("D05", "cancer"), ("D30", "cancer"), ("D50", "unknown"), ("I21", "cardiovascular"), ("I63", "cardiovascular"), ("E11", "endocrine"), ("J10", "unknown")))
 def x_kcd_category(t: Tables) -> DataFrame:
     """The first prefix in order: I6 codes count as I."""
-    code = F.when(F.col("c_custkey") % 7 == 0, "I").when(F.col("c_custkey") % 7 == 1, "C")
-    return t.customer.select("c_custkey", code.alias("x"), F.when(code.startswith("C"), "cancer").when(code.startswith("I"), "cardiovascular").when(code.startswith("I6"), "cerebrovascular").otherwise("other").alias("category"))
+    rows = t.spark.createDataFrame([(c,) for c in ("C73", "D05", "D30", "D50", "I21", "I63", "E11", "J10")], "code string")
+    return rows.select("code", nlq.code_category(F.col("code")).alias("category"))
 
 
-@P.add("SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'widget') THEN 'widget' WHEN contains(p_name, 'red') THEN 'red' ELSE 'other' END AS kind FROM part")
+@P.add(_sql("name, kind", ("무배당 암보험", "cancer"), ("뇌졸중 보험", "cardiovascular"), ("종신", "life"), ("연금", "annuity"), ("간병", "disability"), ("실손", "health"), ("사고", "accident"), ("치과", "dental"), ("요양", "long_term_care"), ("적금", "savings"), ("기타", None)))
 def x_policy_category(t: Tables) -> DataFrame:
-    out = F.lit("other")
-    for word in ("red", "widget", "ring"):
-        out = F.when(F.contains("p_name", F.lit(word)), word).otherwise(out)
-    return t.part.select("p_partkey", out.alias("kind"))
+    rows = t.spark.createDataFrame([(n,) for n in ("무배당 암보험", "뇌졸중 보험", "종신", "연금", "간병", "실손", "사고", "치과", "요양", "적금", "기타")], "name string")
+    return rows.select("name", nlq.first_family(F.col("name"), nlq.POLICY_WORDS).alias("kind"))
 
 
-@P.add("SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'life' WHEN p_type = 'STANDARD' THEN 'health' ELSE 'general' END AS kind FROM part")
+@P.add(_sql("name, kind", ("암보험 상품", "cancer"), ("건강 플랜", "health"), ("질병 사망", "health"), ("Term LIFE", "life"), ("재해", "accident"), ("간병", "long_term_care"), ("자동차", "unknown")))
 def x_insurance_type(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.when(F.col("p_type").isin("PROMO", "ECONOMY"), "life").when(F.col("p_type") == "STANDARD", "health").otherwise("general").alias("kind"))
-
+    rows = t.spark.createDataFrame([(n,) for n in ("암보험 상품", "건강 플랜", "질병 사망", "Term LIFE", "재해", "간병", "자동차")], "name string")
+    return rows.select("name", F.coalesce(nlq.first_family(F.col("name"), nlq.INSURANCE_WORDS), F.lit("unknown")).alias("kind"))
 
-_LINKS = [("red", "C73"), ("ring", "C22"), ("small", "I21")]
 
-
-@P.add(f"SELECT p_partkey, code FROM part JOIN (VALUES {', '.join(str(x) for x in _LINKS)}) v(word, code) ON contains(p_name, word)")
+@P.add(_sql("id, name, codes", (1, "암", "C"), (1, "위암", "C16"), (1, "뇌출혈", "I60,I61,I62"), (2, "당뇨", "E10,E11,E12,E13,E14"), (2, "고혈압", "I10,I11,I12,I13,I15")))
 def x_link_names(t: Tables) -> DataFrame:
     """A short list of names is an array, so no join is needed."""
-    codes = F.array_compact(F.array(*[F.when(F.contains("p_name", F.lit(w)), c) for w, c in _LINKS]))
-    return t.part.select("p_partkey", F.explode(codes).alias("code"))
+    rows = t.spark.createDataFrame([(1, "위암과 뇌출혈 진단"), (2, "당뇨 또는 고혈압"), (3, "골절")], "id int, q string")
+    return rows.select("id", F.explode(nlq.linked_codes(F.col("q"))).alias("x")).select("id", "x.name", F.array_join("x.codes", ",").alias("codes"))
 
 
 @P.add("SELECT * FROM (VALUES (1, 'Thyroid cancer', 1.0::DOUBLE), (2, 'Liver cancer', 1.0::DOUBLE), (3, 'Thyroid cancer', 0.928571::DOUBLE), (4, NULL, NULL::DOUBLE)) v(id, linked, confidence)")
@@ -290,10 +289,11 @@ def x_ontology_lookups(t: Tables) -> DataFrame:
     return t.part.filter("p_size > 40").groupBy(F.col("p_type").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("codes"))
 
 
-@P.add("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}'))), ',') AS found FROM documents WHERE regexp_matches(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')")
+@P.add(_sql("id, kind, label", (1, "coverage_item", "입원"), (1, "period", "90일"), (2, "benefit_amount", "10,000원"), (2, "deductible", "10,000원"), (2, "rider", "암수술"), (2, "eligibility", "만 15세 ~ 만 60세"), (2, "article", "12")))
 def x_rule_entities(t: Tables) -> DataFrame:
-    pattern = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-    return t.documents.filter(F.col("text").rlike(pattern)).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))), ",").alias("found"))
+    """Ten types of entities by pattern lists, each label of a type once."""
+    rows = t.spark.createDataFrame([(1, "제3조 입원 보장 90일"), (2, "자기부담금 10,000원, 암수술 특약, 만 15세 ~ 만 60세, 제12조"), (3, "")], "id int, q string")
+    return parsers.mapped(rows, ["id"], "q", "kind string, label string, context string", parsers.entities).drop("context")
 
 
 _JSON = [(1, 'x ```json\n{"relations": [{"subject": "a", "object": "b", "confidence": 0.9}]}\n``` y'), (2, '{"relations": [{"subject": "c", "object": "d"}]}'), (3, "none")]
@@ -307,16 +307,18 @@ def x_relation_json(t: Tables) -> DataFrame:
     return rows.select("id", F.explode(parsed["relations"]).alias("r")).select("id", "r.subject", "r.object", F.coalesce("r.confidence", F.lit(0.85)).alias("confidence"))
 
 
-@P.add("SELECT p_partkey, list_min(list_transform([900, 950, 1000, 1050], lambda x: abs(x - p_retailprice)))::DOUBLE <= 0.1 * p_retailprice AS near, round(list_min(list_transform([900, 950, 1000, 1050], lambda x: abs(x - p_retailprice))), 4)::DOUBLE AS away FROM part")
+@P.add(_sql("id, days, amount", (1, 90, 1050), (2, 30, None), (3, 30, 1000)))
 def x_relation_validate(t: Tables) -> DataFrame:
-    away = F.array_min(F.transform(F.array(*[F.lit(float(x)) for x in (900, 950, 1000, 1050)]), lambda x: F.abs(x - F.col("p_retailprice"))))
-    return t.part.select("p_partkey", (away <= 0.1 * F.col("p_retailprice")).alias("near"), F.round(away, 4).alias("away"))
+    """A period that the text does not name becomes the first one named; an amount becomes the nearest named one within a tenth, else it is an error (null)."""
+    rows = t.spark.createDataFrame([(1, 90, [30, 90], 1000, [1050, 2000]), (2, 45, [30, 90], 1000, [2000]), (3, 45, [30], 1000, [1000, 1010])], "id int, days int, named_days array<int>, amount int, named array<int>")
+    return rows.select("id", nlq.named_period(F.col("days"), F.col("named_days")).alias("days"), nlq.named_amount(F.col("amount"), F.col("named")).alias("amount"))
 
 
-@P.add("SELECT p_partkey, round((0.85::DOUBLE + p_size / 50) / 2 - least(0.3::DOUBLE, 0.1::DOUBLE * (p_size % 5)), 6) AS confidence, (0.85::DOUBLE + p_size / 50) / 2 - least(0.3::DOUBLE, 0.1::DOUBLE * (p_size % 5)) < 0.7 AS retry FROM part")
+@P.add(_sql("said, found, errors, confidence, retry", (0.9, 0.8, 0, 0.85, False), (0.9, 0.7, 2, 0.6, True), (0.5, 0.5, 9, 0.2, True)))
 def x_relation_conf(t: Tables) -> DataFrame:
-    value = (F.lit(0.85) + F.col("p_size") / 50) / 2 - F.least(F.lit(0.3), F.lit(0.1) * (F.col("p_size") % 5))
-    return t.part.select("p_partkey", F.round(value, 6).alias("confidence"), (value < 0.7).alias("retry"))
+    rows = t.spark.createDataFrame([(0.9, 0.8, 0), (0.9, 0.7, 2), (0.5, 0.5, 9)], "said double, found double, errors int")
+    value = nlq.relation_confidence(F.col("said"), F.col("found"), F.col("errors"))
+    return rows.select("*", value.alias("confidence"), (value < 0.7).alias("retry"))
 
 
 # Chunks
@@ -366,18 +368,19 @@ def c_main(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(text.chunked(F.col("text"))).alias("chunk_index", "chunk"))
 
 
-@P.add("""
-WITH l AS (SELECT conv_id, turn, text, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS chunk FROM conversations)
-SELECT conv_id, chunk::BIGINT AS chunk, min(turn) AS line_start, max(turn) AS line_end, sum(length(text))::BIGINT AS chars FROM l GROUP BY conv_id, chunk""")
+@P.add(_sql("chunk, kind, line_start, line_end, body", (0, "article", 0, 0, "머리말"), (1, "chapter", 1, 2, "제1조 목적\n이 약관은"), (2, "article", 3, 3, "제2장 지급"), (3, "article", 4, 5, "제3조 사유\n끝")))
 def c_semantic(t: Tables) -> DataFrame:
-    """A new chunk begins at every line of a kind: here at the user's turns."""
-    starts = F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.withColumn("chunk", starts).groupBy("conv_id", "chunk").agg(F.min("turn").alias("line_start"), F.max("turn").alias("line_end"), F.sum(F.length("text")).alias("chars"))
+    rows = t.spark.createDataFrame([("머리말\n제1조 목적\n이 약관은\n제2장 지급\n제3조 사유\n끝",)], "q string")
+    return parsers.mapped(rows, [], "q", "chunk int, kind string, line_start int, line_end int, body string", parsers.semantic_chunks)
 
 
-@P.add("SELECT doc_id, contains(text, '|') AS is_table, ceil(length(text) / 1500)::BIGINT AS parts FROM documents")
+@P.add(_sql("chunk, is_table, parts, length", (0, False, 1, 1304), (1, True, 1, 9), (2, False, 3, 1765)))
 def c_structure(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.contains("text", F.lit("|")).alias("is_table"), F.ceil(F.length("text") / 1500).alias("parts"))
+    """A table stands alone, a heading closes what is large enough, and a small rest joins the chunk before."""
+    blocks = ["제1조 " + "가" * 1300, "| a | b |", "제2조 " + "나" * 100, "제3조 " + "다" * 1600, "제4조 " + "라" * 50]
+    rows = t.spark.createDataFrame([("\n\n".join(blocks),)], "q string")
+    found = parsers.mapped(rows, [], "q", "chunk int, is_table boolean, parts int, body string", parsers.structural_chunks)
+    return found.select("chunk", "is_table", "parts", F.length("body").alias("length"))
 
 
 @P.add("SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS md FROM region")
@@ -427,8 +430,10 @@ def src_cache(t: Tables) -> DataFrame:
 
 
 def _versions(t: Tables) -> DataFrame:
-    """Each benchmark text beside itself with its first word doubled or a line added."""
-    return t.benchmark.select("item_id", "text", F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit("\nadded line"))).otherwise(F.concat(F.substring_index("text", " ", 1), F.lit(" "), F.col("text"))).alias("newer"))
+    """Each benchmark text beside a newer one: with a line added, the same, or with its first word doubled, by the remainder of its id by three."""
+    doubled = F.concat(F.substring_index("text", " ", 1), F.lit(" "), F.col("text"))
+    newer = F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit("\nadded line"))).when(F.col("item_id") % 3 == 1, F.col("text")).otherwise(doubled)
+    return t.benchmark.select("item_id", "text", newer.alias("newer"))
 
 
 @P.add()
@@ -436,35 +441,34 @@ def s_ratio(t: Tables) -> DataFrame:
     return parsers.compared(_versions(t), ["item_id"], "text", "newer").select("item_id", "ratio", (F.col("ratio") >= 0.85).alias("same_version"))
 
 
-@P.add("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 1 END::INT AS added, CASE WHEN item_id % 2 = 0 THEN 0 ELSE 1 END::INT AS removed FROM benchmark")
+@P.add("SELECT item_id, CASE WHEN item_id % 3 = 1 THEN 0 ELSE 1 END::INT AS added, CASE WHEN item_id % 3 = 2 THEN 1 ELSE 0 END::INT AS removed FROM benchmark")
 def s_diff(t: Tables) -> DataFrame:
     return parsers.compared(_versions(t), ["item_id"], "text", "newer").select("item_id", "added", "removed")
 
 
-@P.add()
+@P.add("""
+WITH c AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 1 / (n + 1) WHEN 1 THEN 0 ELSE 2 / n END AS changed FROM (SELECT item_id, len(string_split(text, chr(10))) AS n FROM benchmark))
+SELECT item_id, CASE WHEN changed > 0.3 THEN 'full' ELSE 'incremental' END AS mode, round(1 - changed, 6)::DOUBLE AS saving FROM c""")
 def s_incremental(t: Tables) -> DataFrame:
+    """A changed line counts as one added and one removed."""
     found = parsers.compared(_versions(t), ["item_id"], "text", "newer")
     return found.select("item_id", F.when(F.col("change_ratio") > 0.3, "full").otherwise("incremental").alias("mode"), F.round(1 - F.col("change_ratio"), 6).alias("saving"))
 
 
 @P.add()
 def s_similar_docs(t: Tables) -> DataFrame:
-    """Benchmark texts of similar length and equal first word, at least half alike."""
-    rows = t.benchmark.select("item_id", "text", F.substring_index("text", " ", 1).alias("head"))
-    other = rows.select(F.col("item_id").alias("other_id"), F.col("text").alias("other"), "head")
-    near = rows.join(other, "head").filter("item_id < other_id")
-    return parsers.compared(near, ["item_id", "other_id"], "text", "other").filter("ratio >= 0.5").select("item_id", "other_id", "ratio")
+    """For every fiftieth document the five of its source that are most alike, at least by half, held against all documents of the source that share a sketch element."""
+    found = text.sketch_candidates(t.documents.filter("text is not null"), "doc_id", "source", F.col("doc_id") % 50 == 0)
+    alike = parsers.compared(found, ["doc_id", "other_id"], "text", "other").filter("ratio >= 0.5").select("doc_id", "other_id", "ratio")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("ratio"), "other_id"))
+    return alike.withColumn("rank", rank).filter("rank <= 5")
 
 
-@P.add("""
-WITH l AS (SELECT DISTINCT lang, doc_id, regexp_replace(line, '\\s', '', 'g') AS line FROM (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)), n AS (SELECT lang, count(DISTINCT doc_id) AS docs FROM documents GROUP BY lang)
-SELECT lang, line, count(*) AS n FROM l JOIN n USING (lang) WHERE line <> '' GROUP BY lang, line, docs HAVING count(*) >= 0.02 * docs""")
+@P.add(_sql("place, line", (0, "제1조 목적"), (2, "1. 보험금")))
 def s_template_common(t: Tables) -> DataFrame:
-    """Lines, white space aside, that a fiftieth of a language's documents share."""
-    lines = t.documents.select("lang", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    clean = lines.select("lang", "doc_id", F.regexp_replace("line", r"\s", "").alias("line")).filter("line <> ''").distinct()
-    counts = clean.groupBy("lang", "line").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(t.documents.groupBy("lang").agg(F.countDistinct("doc_id").alias("docs")), "lang").filter("n >= 0.02 * docs").select("lang", "line", "n")
+    """Headings and numbered lines of a group's first document that all its other documents hold, white space aside, in order."""
+    docs = [(1, "제1조 목적\n이 약관은\n1. 보험금\n제9조 기타"), (2, "제1조  목적\n다른 약관\n1.보험금 지급"), (3, "머리 제1조목적\n1. 보험금")]
+    return text.common_lines(t.spark.createDataFrame(docs, "doc_id int, text string").withColumn("source", F.lit("s")), "source").select("place", "line")
 
 
 @P.add("SELECT * FROM (VALUES ('article:제3조(지급)'), ('other:1. '), ('amount:50,000원'), ('percentage:5%'), ('days:90일'), ('months:6개월'), ('years:3년')) v(variable)")
@@ -655,6 +659,9 @@ def src_html_links(t: Tables) -> DataFrame:
     return found.filter(F.contains(F.lower("href"), F.lit(".pdf")) | F.lower("label").rlike("pdf|약관") | F.col("href").startswith("/t"))
 
 
-@P.add()
+@P.add(_sql("id, row, cells", (1, 0, "a\tb"), (1, 1, "1\t2"), (2, 1, "x")))
 def src_html_table(t: Tables) -> DataFrame:
-    return parsers.mapped(t.pages, ["page_id"], "html", "row int, cells string", parsers.html_tables)
+    pages = [(1, "<p>t</p><table><tr><th>a</th><th> b </th></tr><tr><td>1</td><td>2</td></tr></table>"), (2, "<table><tr></tr><tr><td>x</td></tr></table>"), (3, "none")]
+    return parsers.mapped(t.spark.createDataFrame(pages, "id int, html string"), ["id"], "html", "row int, cells string", parsers.html_tables)
+
+
