@@ -9,7 +9,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from veldgraph.functions import parsers, text
+from veldgraph.functions import parsers, pii, text
 from veldgraph.operators import aggregates, filters, graph, joins, sinks, vector
 
 
@@ -106,6 +106,38 @@ def test_filters_without_conditions(spark):
     assert [r["k"] for r in rows.filter(filters.contains_any("_", "v")).collect()] == [1]
 
 
+def test_a_chain_is_walked_to_any_depth(spark):
+    """Twelve steps: each is stored, so plans don't grow with the square of the depth."""
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "x") for i in range(14)], "src string, dst string, rel_type string")
+    start = spark.createDataFrame([("n00",)], "start string")
+    assert {(r["end"], r["depth"]) for r in graph.reachable(edges, start, 12).collect()} == {(f"n{i:02d}", i) for i in range(13)}
+    assert graph.shortest_paths(edges, start.selectExpr("start", "'n12' AS goal"), 12).first()["nodes"] == [f"n{i:02d}" for i in range(13)]
+    assert graph.paths(edges, start, 12, least=12).count() == 1
+
+
+def test_similar_documents_match_all_pairs(spark):
+    """Asked documents against all of their group, by all pairs."""
+    words = [f"word{i}" for i in range(60)]
+    docs = [(i, " ".join(words[(i % 4) * 7 :] + words[: i % 4] + [f"own{i}"]), "ab"[i % 2]) for i in range(20)] + [(50, "something else entirely", "a"), (60, "", "a")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = parsers.compared(text.sketch_candidates(rows, "doc_id", "source", F.col("doc_id") % 10 == 0), ["doc_id", "other_id"], "text", "other").filter("ratio >= 0.5")
+    want = {(a, b): round(parsers.ratio(x, y), 6) for a, x, s in docs for b, y, s2 in docs if a % 10 == 0 and a != b and s == s2 and parsers.ratio(x, y) >= 0.5}
+    assert {(r["doc_id"], r["other_id"]): r["ratio"] for r in found.collect()} == want
+    assert len(want) == 8
+
+
+def test_personal_data_of_the_fixture(spark):
+    cases = [
+        ("Contact us at support@example.com or admin@mail.example", {"email": 2}), ("Call me at 010-1234-5678 or 01098765432", {"phone": 2}), ("My SSN is 900101-1234567", {"ssn": 1}), ("Card: 1234-5678-9012-3456", {"credit_card": 1}), ("010 1234 5678", {"phone": 1}),
+        ("Server IP: 192.168.1.100", {"ip_address": 1}), ("This is a safe text without any PII", {}), ("", {}),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", pii.detected(F.col("t")).alias("x"), pii.contains_pii(F.col("t")).alias("any"))
+    for r in rows.collect():
+        want = cases[r["i"]][1]
+        assert want.items() <= {k: len(v) for k, v in r["x"].items()}.items()
+        assert r["any"] == bool(want)
+
+
 def test_entry_works_without_the_llm_subpackage():
     kept = {k: m for k, m in sys.modules.items() if k.startswith(("veldgraph.llm", "corpus_pipeline", "__spark_entry__"))}
     for k in kept:

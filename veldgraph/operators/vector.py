@@ -45,6 +45,12 @@ def normalized(v: Column) -> Column:
     return F.when(n == 0, _doubles(v)).otherwise(F.transform(_doubles(v), lambda x: x / n))
 
 
+def stand_in(text: Column, dim: int = 1536) -> Column:
+    """A vector of numbers from -1 to 1 by digests of the text and the place: equal texts have equal vectors, on any machine."""
+    value = lambda i: (F.conv(F.substring(F.md5(F.encode(F.concat(text, F.lit(":"), i.cast("string")), "UTF-8")), 1, 8), 16, 10).cast("long") - 2147483648) / F.lit(2147483648.0)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", column: str = "embedding", min_score: float = 0.0) -> DataFrame:
     """The k most similar rows with ``score``; ties go to the lower id, and a least score only narrows those k. Each task keeps its own k."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -187,10 +187,15 @@ def agg_chunk_stats(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("total"), aggregates.count_where(F.contains("text", F.lit("|"))).alias("tables"), F.round(F.avg(n), 6).alias("avg_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.sum(n).alias("sum_length"))
 
 
-@P.add("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS running FROM events")
+@P.add("""
+WITH r AS (SELECT event_id, sum(round(value * 10000)::BIGINT) OVER w AS s, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, (200 * s::BIGINT + n) // (2 * nullif(n, 0)) / 1000000.0::DOUBLE AS running FROM r""")
 def agg_running_avg(t: Tables) -> DataFrame:
+    """Averages of exact sums, so that halves are rounded alike everywhere."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", F.round(F.avg("value").over(w) + 1e-9, 6).alias("running"))
+    n = F.count("value").over(w)
+    twice = 200 * F.sum(F.round(F.col("value") * 10_000).cast("long")).over(w) + n
+    return t.events.select("event_id", (F.call_function("div", twice, 2 * F.nullif(n, F.lit(0))) / 1_000_000.0).alias("running"))
 
 
 @P.add("SELECT user_id, count(*) AS total, count(*) FILTER (value < 10) AS unread, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")

@@ -126,10 +126,9 @@ def g_disease_comparison(t: Tables) -> DataFrame:
     return graph.comparison(nodes_of(t), edges_of(t), "Disease", "Coverage", "Brand#1", "Brand#2")
 
 
-@P.add(_comparison_sql("dst", "src", "Brand#1", "Brand#9"))
+@P.add(_comparison_sql("dst", "src", "Brand#1", "Brand#3"))
 def jn_cartesian_match(t: Tables) -> DataFrame:
-    """No row, since nothing covers the second one."""
-    return graph.comparison(nodes_of(t), edges_of(t), "Disease", "Coverage", "Brand#1", "Brand#9")
+    return graph.comparison(nodes_of(t), edges_of(t), "Disease", "Coverage", "Brand#1", "Brand#3")
 
 
 @P.add(_comparison_sql("src", "dst", "red widget 1", "small ring 0"))
@@ -316,9 +315,9 @@ def g_subgraph(t: Tables) -> DataFrame:
     return graph.filtered_subgraph(nodes_of(t), edges_of(t), F.col("label").isin("Coverage", "Disease"), 500)[1]
 
 
-@P.add(_SUBGRAPH.format(keep="label IN ('Coverage', 'Condition', 'Product')", limit=1000))
+@P.add(_SUBGRAPH.format(keep="(label IN ('Condition', 'Product') OR code = 'PROMO')", limit=1000))
 def g_subgraph_v2(t: Tables) -> DataFrame:
-    return graph.filtered_subgraph(nodes_of(t), edges_of(t), F.col("label").isin("Coverage", "Condition", "Product"), 1000)[1]
+    return graph.filtered_subgraph(nodes_of(t), edges_of(t), F.col("label").isin("Condition", "Product") | F.coalesce(F.col("code") == "PROMO", F.lit(False)), 1000)[1]
 
 
 @P.add(f"WITH RECURSIVE {TREE}, {_walk_sql('tree', 'SELECT DISTINCT dst AS id FROM tree WHERE dst[1] = $$o$$', 2, 'up', 0)} SELECT start AS node, \"end\" AS ancestor FROM found WHERE \"end\"[1] = 'n'")
@@ -376,15 +375,15 @@ def g_build_doc(t: Tables) -> DataFrame:
     return owned.unionByName(lines.select(_key("p", "l_partkey").alias("src"), "dst", F.lit("EXTRACTED_FROM").alias("rel_type"))).distinct()
 
 
-_RULES = [("view", "click", "leads_to"), ("click", "purchase", "leads_to"), ("view", "purchase", "precedes"), ("signup", "purchase", "precedes")]
+_RULES = [("view", "click", "leads_to"), ("click", "purchase", "leads_to"), ("view", "purchase", "precedes"), ("signup", "purchase", "precedes"), ("view", "click", "precedes"), ("click", "purchase", "precedes")]
 _ENHANCED = """
-WITH e AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 80), r(a, b, rel_type, rank) AS (VALUES ('view', 'click', 'leads_to', 1), ('click', 'purchase', 'leads_to', 2), ('view', 'purchase', 'precedes', 3), ('signup', 'purchase', 'precedes', 4))
-SELECT x.user_id || x.event_type AS src, y.user_id || y.event_type AS dst, r.rel_type FROM e x JOIN r ON x.event_type = r.a JOIN e y ON y.event_type = r.b AND y.user_id = x.user_id"""
+WITH e AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 80), r(a, b, rel_type, rank) AS (VALUES ('view', 'click', 'leads_to', 1), ('click', 'purchase', 'leads_to', 2), ('view', 'purchase', 'precedes', 3), ('signup', 'purchase', 'precedes', 4), ('view', 'click', 'precedes', 5), ('click', 'purchase', 'precedes', 6))
+SELECT x.user_id || x.event_type AS src, y.user_id || y.event_type AS dst, r.rel_type FROM e x JOIN r ON x.event_type = r.a JOIN e y ON y.event_type = r.b AND y.user_id = x.user_id QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY rank) = 1"""
 
 
 @P.add(_ENHANCED)
 def g_enhance(t: Tables) -> DataFrame:
-    """Rules in order, each without the edges that earlier ones made."""
+    """Rules in order, each without the edges between nodes that an earlier one joined."""
     e = t.events.filter("value > 80").select("user_id", "event_type").distinct().withColumn("id", F.concat("user_id", "event_type"))
     made: DataFrame | None = None
     for a, b, rel in _RULES:

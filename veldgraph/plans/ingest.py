@@ -28,12 +28,14 @@ def g_vector_similarity(t: Tables) -> DataFrame:
     return vector.top_k(t.embeddings, query, 5).select("vec_id", "score")
 
 
-@P.add("SELECT conv_id, turn, i, round(('0x' || substr(md5(text || ':' || i), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1, 9) AS x FROM conversations, range(4) s(i)")
+@P.add("""
+WITH e AS (SELECT conv_id, turn, list_transform(range(1536), lambda i: ('0x' || substr(md5(text || ':' || i), 1, 8))::BIGINT - 2147483648) AS v FROM conversations)
+SELECT conv_id, turn, len(v)::INT AS dim, v[1] / 2147483648.0::DOUBLE AS first, v[1536] / 2147483648.0::DOUBLE AS last, list_sum(v)::BIGINT AS total FROM e""")
 def e_mock(t: Tables) -> DataFrame:
-    """Stand-in embeddings that depend on the text alone."""
-    value = lambda i: F.round(F.conv(F.substring(F.md5(F.encode(F.concat(F.col("text"), F.lit(":"), i.cast("string")), "UTF-8")), 1, 8), 16, 10).cast("long") / F.lit(2147483648.0) - 1, 9)
-    made = t.conversations.select("conv_id", "turn", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), value)).alias("i", "x"))
-    return made.withColumn("i", F.col("i").cast("long"))
+    """Stand-in embeddings of 1,536 numbers from -1 to 1 that depend on the text alone, shown by their ends and their sum."""
+    made = t.conversations.select("conv_id", "turn", vector.stand_in(F.col("text")).alias("v"))
+    whole = F.aggregate(F.transform("v", lambda x: (x * 2147483648).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return made.select("conv_id", "turn", F.size("v").alias("dim"), F.get("v", F.lit(0)).alias("first"), F.element_at("v", -1).alias("last"), whole.alias("total"))
 
 
 @P.add("SELECT * FROM (VALUES (1, 'C73')) v(id, code)")

@@ -96,9 +96,9 @@ def flt_contains(t: Tables) -> DataFrame:
 
 @P.add("""
 SELECT p_partkey, p_retailprice, count(DISTINCT l_suppkey) AS n_products FROM part JOIN lineitem ON l_partkey = p_partkey
-WHERE p_retailprice >= 1080 GROUP BY p_partkey, p_retailprice""")
+WHERE p_retailprice >= 950 GROUP BY p_partkey, p_retailprice""")
 def flt_range_node(t: Tables) -> DataFrame:
-    amounts = t.part.filter(filters.within(F.col("p_retailprice"), 1080, None)).select("p_partkey", "p_retailprice")
+    amounts = t.part.filter(filters.within(F.col("p_retailprice"), 950, None)).select("p_partkey", "p_retailprice")
     mentions = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
     return amounts.join(mentions, "p_partkey").groupBy("p_partkey", "p_retailprice").agg(F.count("l_suppkey").alias("n_products"))
 

@@ -82,9 +82,9 @@ def set_multi_index(t: Tables) -> DataFrame:
     return found.select("label", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-@P.add("SELECT conv_id, turn, concat_ws(' ', left(text, 40), role, CASE WHEN turn = 0 THEN 'coverage' END) AS expanded FROM conversations")
+@P.add("SELECT conv_id, turn, concat_ws(' ', text, role, CASE WHEN turn = 0 THEN 'coverage' END) AS expanded FROM conversations")
 def v_expand(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", F.concat_ws(" ", F.left("text", F.lit(40)), "role", F.when(F.col("turn") == 0, "coverage")).alias("expanded"))
+    return t.conversations.select("conv_id", "turn", F.concat_ws(" ", "text", "role", F.when(F.col("turn") == 0, "coverage")).alias("expanded"))
 
 
 @P.add(f"""

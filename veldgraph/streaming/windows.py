@@ -60,27 +60,40 @@ def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
 
 
 def rate_limited_stream(events: DataFrame, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
-    """The same on a stream, with start and count as each user's state, which goes when the watermark has passed its window. Events later than ``late`` are dropped."""
+    """The same on a stream: each event's verdict, once the watermark has passed the event.
+
+    An event is held in its user's state until no earlier one can come, so the fold is
+    in order across Arrow chunks, files and micro-batches. The state holds the open
+    window's start and count, and the events of the last ``late``. Events later than
+    that are dropped.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        since, n, at, ids = state.get if state.exists else (None, 0, [], [])
+        waiting = list(zip(at or [], ids or [], strict=True))
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += [(int(ts.value // 1000), int(i)) for i, ts in zip(rows["event_id"], rows["ts"], strict=True)]
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        ready = [x for x in waiting if x[0] < passed]
+        waiting, out = waiting[len(ready) :], []
+        for us, event_id in ready:
+            if since is None or us - since > seconds * 1_000_000:
+                since, n = us, 0
+            n += 1
+            out.append((key[0], event_id, n, n <= most, max(0, most - n)))
+        if not waiting and since is not None and passed - since > seconds * 1_000_000:
             state.remove()
-            return
-        since, n = state.get if state.exists else (None, 0)
-        out = []
-        for rows in batches:
-            for event_id, ts in sorted(zip(rows["event_id"], rows["ts"], strict=True), key=lambda r: (r[1], r[0])):
-                at = int(ts.value // 1000)
-                if since is None or at - since > seconds * 1_000_000:
-                    since, n = at, 0
-                n += 1
-                out.append((key[0], event_id, n, n <= most, max(0, most - n)))
-        state.update((since, n))
-        state.setTimeoutTimestamp(max(since // 1000 + 2000 * seconds, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.update((since, n, [x[0] for x in waiting], [x[1] for x in waiting]))
+            due = waiting[0][0] // 1000 + 1 if waiting else (since or 0) // 1000 + 1000 * seconds + 1
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "n", "allowed", "remaining"])
 
-    return events.withWatermark("ts", late).select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(
-        fold, "user_id bigint, event_id bigint, n int, allowed boolean, remaining int", "since bigint, n int", "append", GroupStateTimeout.EventTimeTimeout
+    known = events.withWatermark("ts", late).filter("user_id is not null and ts is not null")
+    return known.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(
+        fold, "user_id bigint, event_id bigint, n int, allowed boolean, remaining int", "since bigint, n int, at array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
