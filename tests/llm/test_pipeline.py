@@ -33,7 +33,7 @@ def test_run_matches_brute_force(spark, tmp_path):
     known = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     parts = brute.components([(r[0], r[1]) for r in known])
     known = [r for r in known if parts[r[0]][1] == r[0]]
-    gone = {d for d, _ in brute.contaminated([(r[0], r[1]) for r in known], items, decontaminate.MATCH, decontaminate.COVERAGE)}
+    gone = {x[0] for x in brute.contaminated([(r[0], r[1]) for r in known], items, decontaminate.MATCH, decontaminate.COVERAGE)}
     assert gone == {100, 101}
     known = [r for r in known if r[0] not in gone]
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets_stage(spark, spark.createDataFrame(known, "doc_id long, text string, lang string, source string, n_chars long"), folder).collect()}
