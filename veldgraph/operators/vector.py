@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,45 +56,56 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id"
     return found.filter(F.col("score") >= min_score) if min_score > 0 else found
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding", block: int = 1024) -> DataFrame:
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding", block: int = 8192) -> DataFrame:
     """(query_id, id, score, rank): the k most similar rows of each query, exactly.
 
-    Queries, a stated set, are taken ``block`` at a time; each task multiplies its rows
-    with the block and hands on its best k for each query, so what is shuffled is
-    tasks times queries times k rows. Vectors of another length or with a null are left out.
+    Queries, a stated set, and rows are both dealt by their ids into blocks of about
+    ``block``. Each pair of blocks is a group of its own, so a task holds two blocks, the
+    driver none, and a row is sent once for each block of queries. A pair hands on its best
+    k for each query; what is shuffled then is queries times blocks of rows times k rows.
+    Vectors meet those of their length only; null vectors and those that hold a null are
+    left out. Ids are taken for unique: rows that repeat one share its block.
     """
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v")).filter("v is not null").orderBy("id").toArrow()
-    parts = []
-    for at in range(0, max(1, asked.num_rows), block):
-        ids = np.array(asked.column("id")[at : at + block].to_pylist(), dtype=np.int64)
-        own = np.array([np.asarray(v, dtype=float) for v in asked.column("v")[at : at + block].to_pylist()]).reshape(len(ids), -1)
-        parts.append(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v")).mapInArrow(_best(ids, own, k), "query_id long, id long, score double"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    n_queries, n_rows = (F.lit(max(1, -(-df.count() // block))) for df in (queries, vectors))
+    asked = _dealt(queries, id_col, column, "query_block", n_queries).withColumn("row_block", F.explode(F.sequence(F.lit(0), n_rows - 1)))
+    rows = _dealt(vectors, id_col, column, "row_block", n_rows).withColumn("query_block", F.explode(F.sequence(F.lit(0), n_queries - 1)))
+    keys = ("query_block", "row_block", "dim")
+    every = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_best(k), "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return every.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
 
-def _best(ids: np.ndarray, queries: np.ndarray, k: int):  # noqa: ANN202
-    length = np.linalg.norm(queries, axis=1)
-    length[length == 0] = np.inf
+def _dealt(df: DataFrame, id_col: str, column: str, name: str, n: Column) -> DataFrame:
+    whole = df.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v")).filter(F.forall("v", lambda x: x.isNotNull()))
+    return whole.withColumn("dim", F.size("v")).withColumn(name, F.pmod(F.xxhash64("id"), n).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_scores, best_ids = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            rows = [(i, v) for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True) if v is not None and len(v) == queries.shape[1] and None not in v]
-            if not rows or not len(ids):
-                continue
-            matrix = np.array([v for _, v in rows], dtype=float)
-            size = np.linalg.norm(matrix, axis=1)
-            size[size == 0] = np.inf
-            scores = np.concatenate((best_scores, np.round((queries @ matrix.T) / length[:, None] / size[None, :], TIES)), axis=1)
-            own = np.concatenate((best_ids, np.broadcast_to(np.array([i for i, _ in rows], dtype=np.int64), (len(ids), len(rows)))), axis=1)
-            order = np.lexsort((own, -scores), axis=1)[:, :k]
-            best_scores, best_ids = np.take_along_axis(scores, order, 1), np.take_along_axis(own, order, 1)
-        keep = np.isfinite(best_scores)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(best_ids[keep]), pa.array(best_scores[keep])], names=["query_id", "id", "score"])
+
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and their lengths; that of a zero vector is infinite, so its scores are 0."""
+    values = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+    length = np.linalg.norm(values, axis=1)
+    length[length == 0] = np.inf
+    return t.column("id").to_numpy(), values, length
+
+
+def _best(k: int, at_once: int = 512):  # noqa: ANN202
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and rows.num_rows:
+            (query_ids, queries, query_length), (ids, matrix, length) = _matrix(asked), _matrix(rows)
+            order = np.argsort(ids, kind="stable")  # among equal scores the first is the least id
+            ids, matrix, length = ids[order], matrix[order], length[order]
+            for at in range(0, len(query_ids), at_once):
+                part = slice(at, at + at_once)
+                scores = np.round((queries[part] @ matrix.T) / query_length[part, None] / length[None, :], TIES)
+                least = np.partition(scores, len(ids) - min(k, len(ids)), axis=1)[:, [-min(k, len(ids))]]
+                q, r = np.nonzero(scores >= least)  # the best k and what ties with the last
+                order = np.lexsort((r, -scores[q, r], q))
+                q, r = q[order], r[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, r = q[place < k], r[place < k]
+                out.append(pa.table({"query_id": query_ids[part][q], "id": ids[r], "score": scores[q, r]}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     return run
 
