@@ -267,3 +267,14 @@ def dispatch(analysis: dict, nodes: DataFrame, edges: DataFrame) -> DataFrame:
             raise ValueError("comparison needs two diseases")
         return graph.comparison(nodes, edges, "Disease", "Coverage", disease, analysis["other"])
     return graph.of_label(nodes, "Coverage", "c").select(F.col("c_name").alias("coverage"), F.col("c_amount").alias("amount"))
+
+
+# Codes and categories of diseases by name.
+DISEASES = {"암": ("C00-C97", "암"), "뇌졸중": ("I60-I69", "뇌혈관질환"), "당뇨병": ("E10-E14", "내분비질환"), "심근경색": ("I21", "심혈관질환"), "급성심근경색증": ("I21", "심혈관질환")}
+
+
+def known_disease(name: Column) -> Column:
+    """Struct (name, code, category): the name without white space at its ends, and what is known of it."""
+    plain = F.trim(name)
+    of = lambda i: F.get(F.filter(F.array(*[F.when(plain == k, v[i]) for k, v in DISEASES.items()]), lambda x: x.isNotNull()), F.lit(0))
+    return F.struct(plain.alias("name"), of(0).alias("code"), of(1).alias("category"))

@@ -238,3 +238,35 @@ def period(days: Column) -> Column:
     """Days as whole years, else as whole months, else as days; what is left over is dropped."""
     shown = lambda by, unit: F.concat(F.floor(days / by).cast("string"), F.lit(unit))
     return F.when(days >= 365, shown(365, "년")).when(days >= 30, shown(30, "개월")).otherwise(shown(1, "일"))
+
+
+# Ways to read and to learn a document
+
+# Bytes up to which a file is read at once, and of a piece beyond; bytes, complexity and quality beyond which a text goes to OCR; scores that allow a cheaper way of learning.
+AT_ONCE, PIECE = 10 * 1024 * 1024, 1024 * 1024
+OCR_BYTES, OCR_COMPLEXITY, OCR_QUALITY = 5 * 1024 * 1024, 70, 0.7
+TEMPLATE_SCORE, VERSION_RATIO, MOST_CHANGED = 0.8, 0.85, 0.3
+
+
+def best_extraction(attempts: Column) -> Column:
+    """The text kept of several attempts (algorithm, text, pages), as (algorithm, score, level): the first excellent one, else the best, of equal ones the first. One without pages failed."""
+    scored = F.transform(F.filter(attempts, lambda a: a["pages"] > 0), lambda a, i: F.struct(text_quality(a["text"], a["pages"]).alias("score"), (-i).alias("place"), a["algorithm"].alias("algorithm")))
+    best = let(scored, lambda s: F.coalesce(F.get(F.filter(s, lambda x: x["score"] >= 80), F.lit(0)), F.array_max(s)))
+    return let(best, lambda b: F.when(b.isNull(), F.struct(F.lit("none").alias("algorithm"), F.lit(0).alias("score"), F.lit("very_poor").alias("level"))).otherwise(F.struct(b["algorithm"].alias("algorithm"), b["score"].alias("score"), quality_level(b["score"]).alias("level"))))
+
+
+def read_route(n_bytes: Column) -> Column:
+    """Struct (route, pieces): files of some size are read in pieces."""
+    return F.when(n_bytes < AT_ONCE, F.struct(F.lit("memory").alias("route"), F.lit(1).cast("long").alias("pieces"))).otherwise(F.struct(F.lit("stream").alias("route"), F.ceil(n_bytes / PIECE).alias("pieces")))
+
+
+def extraction_route(strategy: Column, n_bytes: Column, text: Column) -> Column:
+    """``ocr`` or ``simple`` by size, by complexity (``smart``, and others) or by the quality of what the simple way gives (``progressive``)."""
+    to_ocr = F.when(strategy == "simple", n_bytes > OCR_BYTES).when(strategy == "progressive", structure_quality(text) < OCR_QUALITY).otherwise(complexity(text) >= OCR_COMPLEXITY)
+    return F.when(to_ocr, "ocr").otherwise("simple")
+
+
+def learning_strategy(template: Column, ratio: Column, changed: Column) -> Column:
+    """Struct (strategy, saving): by a template that matches, else by the changed lines of a similar version, else by chunks. Nulls: there is no template or version."""
+    by = lambda name, saving: F.struct(F.lit(name).alias("strategy"), saving.alias("saving"))
+    return F.when(template >= TEMPLATE_SCORE, by("template", F.lit(0.95))).when((ratio >= VERSION_RATIO) & (changed <= MOST_CHANGED), by("incremental", F.round(1 - changed, 6))).otherwise(by("chunking", F.lit(0.0)))

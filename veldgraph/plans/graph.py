@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldgraph.operators import graph, joins
+from veldgraph.operators import extractions, graph, joins
 from veldgraph.plans import Plans, Tables
 
 P = Plans()
@@ -360,17 +360,25 @@ def g_build_hierarchy(t: Tables) -> DataFrame:
     return rows.select("policy", "node_id", F.lit("Article").alias("label")).unionByName(lines.select("policy", F.concat_ws("_para_", "node_id", (F.col("i") + 1).cast("string")).alias("node_id"), F.lit("Paragraph").alias("label")))
 
 
-@P.add("SELECT substr(md5(p_name), 1, 16) AS node_id, p_name AS name, min(p_partkey) AS first_key FROM part GROUP BY p_name")
+@P.add("""
+WITH r AS (SELECT l_orderkey, l_linenumber, p_name AS subject, CASE l_returnflag WHEN 'R' THEN 'EXCLUDES' WHEN 'A' THEN 'COVERS' ELSE 'NOTES' END AS action, CASE WHEN s_acctbal > 0 THEN s_name END AS object, l_linestatus AS condition FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+e AS (SELECT DISTINCT 'product' AS a, 'HAS_COVERAGE' AS rel_type, subject AS b FROM r UNION ALL SELECT DISTINCT subject, action, object FROM r WHERE action <> 'NOTES' AND object IS NOT NULL
+UNION ALL SELECT * FROM (SELECT subject, 'REQUIRES', condition FROM r QUALIFY row_number() OVER (PARTITION BY condition ORDER BY l_orderkey, l_linenumber, subject) = 1))
+SELECT substr(md5(a), 1, 16) AS src, rel_type, substr(md5(b), 1, 16) AS dst FROM e""")
 def g_build_domain(t: Tables) -> DataFrame:
-    """Nodes by the hash of their text; the first row of a text defines its node."""
-    return t.part.groupBy(F.substring(F.md5(F.encode("p_name", "UTF-8")), 1, 16).alias("node_id"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("first_key"))
+    """The graph of a product from relations of parts (coverages) and suppliers (diseases, of which some cannot be linked)."""
+    action = F.when(F.col("l_returnflag") == "R", "EXCLUDES").when(F.col("l_returnflag") == "A", "COVERS").otherwise("NOTES")
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("subject"))
+    known = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("object"))
+    found = t.lineitem.join(parts, "l_partkey").join(known, "l_suppkey").select("l_orderkey", "l_linenumber", "subject", action.alias("action"), "object", F.col("l_linestatus").alias("condition"))
+    return extractions.domain_graph(found, "product", ["l_orderkey", "l_linenumber"])
 
 
 @P.add("""
-SELECT 'o' || l_orderkey AS src, 'a' || l_orderkey || '_' || l_linenumber AS dst, 'HAS_ARTICLE' AS rel_type FROM lineitem WHERE l_quantity = 50
-UNION SELECT 'p' || l_partkey, 'a' || l_orderkey || '_' || l_linenumber, 'EXTRACTED_FROM' FROM lineitem WHERE l_quantity = 50""")
+SELECT 'o' || l_orderkey AS src, 'a' || l_orderkey || '_' || l_linenumber AS dst, 'HAS_ARTICLE' AS rel_type FROM lineitem
+UNION SELECT 'p' || l_partkey, 'a' || l_orderkey || '_' || l_linenumber, 'EXTRACTED_FROM' FROM lineitem""")
 def g_build_doc(t: Tables) -> DataFrame:
-    lines = t.lineitem.filter("l_quantity = 50").select("l_orderkey", "l_partkey", F.concat(F.lit("a"), F.concat_ws("_", "l_orderkey", "l_linenumber")).alias("dst"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", F.concat(F.lit("a"), F.concat_ws("_", "l_orderkey", "l_linenumber")).alias("dst"))
     owned = lines.select(_key("o", "l_orderkey").alias("src"), "dst", F.lit("HAS_ARTICLE").alias("rel_type"))
     return owned.unionByName(lines.select(_key("p", "l_partkey").alias("src"), "dst", F.lit("EXTRACTED_FROM").alias("rel_type"))).distinct()
 

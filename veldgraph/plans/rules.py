@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veldgraph.functions import answers, compliance, nlq
-from veldgraph.operators import aggregates, graph
+from veldgraph.functions import answers, checks, compliance, nlq, responses
+from veldgraph.operators import aggregates, extractions, graph
 from veldgraph.plans import Plans, Tables
 from veldgraph.plans.graph import GRAPH, edges_of, nodes_of
 
@@ -46,13 +46,25 @@ def a_templates(t: Tables) -> DataFrame:
     return asked.select("id", answers.rendered(answers.template(F.col("intent"), F.col("has_results")), F.col("variables")).alias("shown"))
 
 
-@P.add("""
-WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS n, sum(round(o_totalprice)::BIGINT) FILTER (o_orderstatus = 'O')::BIGINT AS total FROM orders GROUP BY o_custkey)
-SELECT o_custkey, CASE WHEN n = 0 THEN '관련 정보를 찾을 수 없습니다.' ELSE '총 ' || n || '개 보장, 합계 ' || total || '원' END AS answer FROM g""")
+def _result(**known: object) -> tuple:
+    return tuple(known.get(k) for k in "disease_name coverage_name amount is_covered coverages days min_age max_age product_name description body item1 names1 item2 names2".split())
+
+
+@P.add(_sql("id, answer, format, confidence",
+    (1, "간암의 경우 다음과 같이 보장됩니다:\n\n- 암진단: 100,000,000원\n\n총 1억원원의 보장을 받으실 수 있습니다.", "table", 0.9), (2, "간암은(는) 보장 대상입니다.\n\n다음 보장에 포함됩니다:\n- 암수술", "text", 0.95),
+    (3, "치매은(는) 현재 보장 대상이 아닙니다.\n\n보장받으시려면 다른 상품을 확인해보시기 바랍니다.", "text", 0.95), (4, "제외되는 질병 정보를 찾을 수 없습니다.", "text", 0.5), (5, "다음 질병은 보장에서 제외됩니다:\n\n- 치매\n- 간염", "list", 0.9),
+    (6, "해당 보장의 대기기간은 90일입니다.\n\n계약일로부터 90일 이후에 발생한 사고에 대해 보장받으실 수 있습니다.", "text", 0.95), (7, "죄송합니다. 나이에 대한 정보를 찾을 수 없습니다.\n\n다른 질문을 해주시거나, 더 구체적으로 질문해주세요.", "text", 0.0), (8, "본문", "text", 0.7),
+    (9, "A과(와) B의 보장 비교:\n\n**공통점:**\n- 공통 보장: y\n\n**차이점:**\n- A만 해당: w, x", "comparison", 0.85), (10, "**보험 상품**\n\n\n\n**주요 보장:**\n- 암진단: 1,000원\n- 알 수 없음", "summary", 0.85), (11, "정보를 찾았습니다.", "text", 0.7)))
 def a_generate(t: Tables) -> DataFrame:
-    open_ = F.col("o_orderstatus") == "O"
-    g = t.orders.groupBy("o_custkey").agg(F.count_if(open_).alias("n"), F.sum(F.when(open_, F.round("o_totalprice").cast("long"))).alias("total"))
-    return g.select("o_custkey", nlq.answer(F.lit("coverage_amount"), F.col("n"), F.col("total")).alias("answer"))
+    """The answer to an intent, its format and confidence, from the rows that were found."""
+    rows = [
+        (1, "coverage_amount", "?", [_result(disease_name="간암", coverage_name="암진단", amount=100_000_000), _result(disease_name="간암", coverage_name="", amount=5), _result(coverage_name="무", amount=0)]),
+        (2, "coverage_check", "?", [_result(disease_name="간암", is_covered=True, coverages=["암수술", ""])]), (3, "coverage_check", "?", [_result(disease_name="치매", is_covered=False)]),
+        (4, "exclusion_check", "?", []), (5, "exclusion_check", "?", [_result(disease_name="치매"), _result(), _result(disease_name="간염")]), (6, "waiting_period", "?", [_result(days=90)]), (7, "age_limit", "나이", []), (8, "general_info", "?", [_result(body="본문")]),
+        (9, "disease_comparison", "?", [_result(item1="A", names1=["x", "y", "w"], item2="B", names2=["y"])]), (10, "product_summary", "?", [_result(coverage_name="암진단", amount=1000), _result()]), (11, None, None, [_result()]),
+    ]
+    asked = t.spark.createDataFrame(rows, f"id int, intent string, query string, results {responses.RESULTS}")
+    return asked.select("id", responses.generated(F.col("intent"), F.col("query"), F.col("results")).alias("g")).select("id", "g.*")
 
 
 @P.add(f"WITH {GRAPH} SELECT d.name AS disease, count(c.amount) AS n, sum(c.amount)::BIGINT AS total FROM edges e JOIN nodes d ON e.dst = d.node_id JOIN nodes c ON e.src = c.node_id WHERE rel_type = 'COVERS' GROUP BY d.name")
@@ -62,13 +74,16 @@ def a_amount(t: Tables) -> DataFrame:
 
 
 @P.add("""
-WITH s AS (SELECT p_brand, list_sort(list_distinct(list(p_type || p_size % 3))) AS x FROM part GROUP BY p_brand)
-SELECT a.p_brand AS a, b.p_brand AS b, len(list_intersect(a.x, b.x)) AS common, len(a.x) - len(list_intersect(a.x, b.x)) AS only_a FROM s a JOIN s b ON b.p_brand = 'Brand#1' AND a.p_brand <> 'Brand#1'""")
+WITH s AS (SELECT p_brand, list_sort(list_distinct(list(p_type || p_size % 3))) AS x FROM part GROUP BY p_brand),
+b AS (SELECT a.p_brand AS a, b.p_brand AS b, list_sort(list_intersect(a.x, b.x)) AS common, list_filter(a.x, lambda v: NOT list_contains(b.x, v)) AS only_a, list_filter(b.x, lambda v: NOT list_contains(a.x, v)) AS only_b FROM s a JOIN s b ON b.p_brand = 'Brand#1' AND a.p_brand <> 'Brand#1')
+SELECT a, b, CASE WHEN len(common) = 0 THEN '없음' ELSE '- 공통 보장: ' || array_to_string(common, ', ') END AS similarities,
+CASE WHEN len(only_a) = 0 AND len(only_b) = 0 THEN '없음' ELSE concat_ws(chr(10), CASE WHEN len(only_a) > 0 THEN '- ' || a || '만 해당: ' || array_to_string(only_a, ', ') END, CASE WHEN len(only_b) > 0 THEN '- ' || b || '만 해당: ' || array_to_string(only_b, ', ') END) END AS differences FROM b""")
 def a_compare(t: Tables) -> DataFrame:
+    """What each brand has in common with one of them, and what not."""
     s = t.part.groupBy("p_brand").agg(F.collect_set(F.concat("p_type", (F.col("p_size") % 3).cast("string"))).alias("x"))
     one = s.filter("p_brand = 'Brand#1'").select(F.col("p_brand").alias("b"), F.col("x").alias("y"), F.lit(1).alias("one"))
     both = s.filter("p_brand <> 'Brand#1'").withColumn("one", F.lit(1)).join(F.broadcast(one), "one")  # one row
-    return both.select(F.col("p_brand").alias("a"), "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), F.size(F.array_except("x", "y")).cast("long").alias("only_a"))
+    return both.select(F.col("p_brand").alias("a"), "b", responses.compared(F.col("p_brand"), F.col("x"), F.col("b"), F.col("y")).alias("c")).select("a", "b", "c.*")
 
 
 @P.add("""
@@ -87,13 +102,17 @@ def a_confidence(t: Tables) -> DataFrame:
     return g.select("o_custkey", nlq.answer_confidence(F.col("n"), F.col("path"), F.col("len")).alias("confidence"))
 
 
-@P.add("""
-WITH i AS (SELECT o_orderkey, (o_totalprice < 5000)::INT + (o_orderdate IS NULL)::INT AS f, (o_orderpriority = '5-LOW')::INT + (o_orderstatus = 'P')::INT AS w FROM orders)
-SELECT o_orderkey, CASE WHEN f > 0 THEN 'FAIL' WHEN w > 0 THEN 'WARNING' ELSE 'PASS' END AS status, round(pow(0.5, f) * pow(0.9, w), 6)::DOUBLE AS confidence FROM i""")
+@P.add(_sql("id, level, confidence, issues", (1, "WARNING", 0.729, "facts WARNING,completeness WARNING"), (2, "PASS", 0.8, ""), (3, "FAIL", 0.091125, "source FAIL,facts WARNING,facts WARNING,invention FAIL,invention FAIL,invention WARNING"), (4, "FAIL", 0.45, "source FAIL,completeness WARNING")))
 def a_validate(t: Tables) -> DataFrame:
-    fail = (F.col("o_totalprice") < 5000).cast("int") + F.col("o_orderdate").isNull().cast("int")
-    warn = (F.col("o_orderpriority") == "5-LOW").cast("int") + (F.col("o_orderstatus") == "P").cast("int")
-    return t.orders.select("o_orderkey", F.when(fail > 0, "FAIL").when(warn > 0, "WARNING").otherwise("PASS").alias("status"), nlq.validated_confidence(F.lit(1.0), fail, warn).alias("confidence"))
+    """Answers against their sources: a short one that leaves out an exception, a sound one, an invented one, one that cites what was not found."""
+    rows = [
+        (1, "암 보험금은 얼마?", "암 보험금은 3000만원 지급됩니다.", ["n1"], [("n1", "암 진단 시 3000만원 지급")], 0.9), (2, "보험금은?", "보험금은 3000만원이며 " + "가" * 40, ["n1"], [("n1", "3000만원 지급")], 0.8),
+        (3, "", "대략 C73 치료 시 500만원", [], [("n1", "본문")], 1.0), (4, "나다", "가" * 60, ["n9"], [("n1", "본문"), ("n2", None)], 1.0),
+    ]
+    asked = t.spark.createDataFrame(rows, "id int, question string, answer string, cited array<string>, results array<struct<node_id:string,text:string>>, confidence double")
+    found = asked.withColumn("i", checks.answer_issues(F.col("question"), F.col("answer"), F.col("cited"), F.col("results")))
+    shown = F.array_join(F.transform("i", lambda x: F.concat_ws(" ", x["stage"], x["level"])), ",")
+    return found.select("id", checks.answer_verdict(F.col("i"), F.col("confidence")).alias("v"), shown.alias("issues")).select("id", "v.*", "issues")
 
 
 @P.add(_sql("id, issues", (1, "exclusions"), (2, "query"), (3, ""), (4, "query"), (5, "")))
@@ -141,13 +160,28 @@ def k_level(t: Tables) -> DataFrame:
     return _answers(t).select("id", found.alias("level"))
 
 
-@P.add("""
-SELECT l_orderkey, count(*) - count(DISTINCT l_linenumber) AS duplicates, count(*) FILTER (l_extendedprice <= 0 OR l_extendedprice > 100000) AS bad_amounts, count(*) FILTER (l_quantity <= 0) AS bad_periods, round(count(*) FILTER (l_discount > 0) / count(*), 6)::DOUBLE AS link_rate FROM lineitem GROUP BY l_orderkey""")
+#: Documents as they were read: sound, with a fault of each kind, empty, and without any result.
+READ = [
+    (1, [("1", ["a", "b"]), ("2", ["c"])], [1000.0], [90], [("C73", True)], [("a", "b", 0.9)], [("x", "y")], 0.9),
+    (2, [("1", ["", "x"]), ("1", []), ("3", None)], [0.0, 2e10, None], [-1, 4000, 30], [("ZZ", False)], [("", "b", 0.4), ("a", None, 0.9)], [("x", None), ("y", "z")], 0.69),
+    (3, [], [], [], [], [], [], 0.7),
+    (4, None, None, None, None, None, None, None),
+]
+_PARTS = ["articles", "amounts", "periods", "codes", "relations", "links"]
+
+
+def _read(t: Tables) -> DataFrame:
+    schema = "id int, articles array<struct<num:string,paragraphs:array<string>>>, amounts array<double>, periods array<int>, codes array<struct<code:string,is_valid:boolean>>, relations array<struct<subject:string,object:string,confidence:double>>, links array<struct<mention:string,matched:string>>, quality double"
+    return t.spark.createDataFrame(READ, schema).withColumn("issues", checks.data_issues(*[F.col(c) for c in _PARTS]))
+
+
+@P.add(_sql("id, issue, severity, n, link_rate", (1, None, None, None, 1.0),
+    (2, "repeated articles", "warning", 1, 0.5), (2, "articles without paragraphs", "warning", 2, 0.5), (2, "empty paragraphs", "info", 1, 0.5), (2, "invalid amounts", "error", 1, 0.5), (2, "large amounts", "warning", 1, 0.5), (2, "invalid periods", "error", 1, 0.5), (2, "long periods", "warning", 1, 0.5),
+    (2, "invalid codes", "warning", 1, 0.5), (2, "no subject", "error", 1, 0.5), (2, "no object", "error", 1, 0.5), (2, "low confidence", "info", 1, 0.5), (2, "failed links", "info", 1, 0.5),
+    (3, "no articles", "critical", 1, 0.0), (3, "no data", "warning", 1, 0.0), (3, "no relations", "warning", 1, 0.0), (3, "no links", "warning", 1, 0.0), (4, None, None, None, 0.0)))
 def d_data_valid(t: Tables) -> DataFrame:
-    price = F.col("l_extendedprice")
-    return t.lineitem.groupBy("l_orderkey").agg(
-        (F.count(F.lit(1)) - F.countDistinct("l_linenumber")).alias("duplicates"), F.count_if((price <= 0) | (price > 100_000)).alias("bad_amounts"), F.count_if(F.col("l_quantity") <= 0).alias("bad_periods"), F.round(F.count_if(F.col("l_discount") > 0) / F.count(F.lit(1)), 6).alias("link_rate")
-    )
+    shown = _read(t).select("id", F.explode_outer("issues").alias("i"), checks.link_rate(F.col("links")).alias("link_rate"))
+    return shown.select("id", "i.issue", "i.severity", "i.n", "link_rate")
 
 
 @P.add(f"""
@@ -170,13 +204,25 @@ def d_quality(t: Tables) -> DataFrame:
 
 
 @P.add("""
-SELECT (SELECT count(*) FROM documents) AS parsed, (SELECT count(*) FROM embeddings) AS embedded, (SELECT count(DISTINCT len(embedding)) = 1 FROM embeddings) AS same_dim, (SELECT count(*) - count(DISTINCT vec_id) FROM embeddings) AS duplicates,
-(SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS dangling""")
+WITH d AS (SELECT source, count(*) AS articles, count(DISTINCT doc_id) AS ids, sum(length(text)) AS chars, sum(len(string_split(text, chr(10)))) AS parts, count(*) FILTER (coalesce(text, '') = '') AS empty, count(*) FILTER (length(text) > 10000) AS long FROM documents GROUP BY source),
+l AS (SELECT source, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source), e AS (SELECT source, count(*) AS n, max(len(embedding)) AS dim FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY source),
+s AS (SELECT d.*, l.n AS entities, e.n AS embedded, e.dim, (chars IS NOT NULL AND l.n IS NOT NULL AND e.n IS NOT NULL)::INT AS every, (ids <> articles)::INT AS repeated FROM d LEFT JOIN l USING (source) LEFT JOIN e USING (source)),
+c AS (SELECT source, 10 + 4 * every AS checks, (coalesce(chars, 0) < 100)::INT + (entities IS NULL)::INT + (embedded IS NULL)::INT + every * (2 * repeated + coalesce(embedded <> articles + parts, false)::INT + coalesce(dim <> 64, false)::INT) + (empty > 0)::INT + (long > 0)::INT + repeated AS failed,
+  coalesce(chars, 0) >= 100 AND repeated = 0 AND every * coalesce(dim <> 64, false)::INT = 0 AS ok FROM s)
+SELECT source, checks::INT AS checks, (checks - failed)::INT AS passed, ok FROM c""")
 def d_pipeline(t: Tables) -> DataFrame:
-    one = F.lit(1).alias("one")  # single rows
-    e = t.embeddings.agg(F.count(F.lit(1)).alias("embedded"), (F.countDistinct(F.size("embedding")) == 1).alias("same_dim"), (F.count(F.lit(1)) - F.countDistinct("vec_id")).alias("duplicates")).select(one, "*")
-    dangling = t.embeddings.select(F.col("vec_id").alias("doc_id")).join(t.documents.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("dangling")).select(one, "*")
-    return t.documents.agg(F.count(F.lit(1)).alias("parsed")).select(one, "*").join(e, "one").join(dangling, "one").drop("one")
+    """The fourteen checks of each source's stages: documents are articles, their lines paragraphs, labels what was extracted."""
+    docs = t.documents.groupBy("source").agg(
+        F.sum(F.length("text")).alias("total_chars"), F.count(F.lit(1)).alias("articles"), F.sum(F.size(F.split("text", "\n"))).alias("paragraphs"), F.countDistinct("doc_id").alias("article_nodes"),
+        F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty_articles"), F.count_if(F.length("text") > 10_000).alias("long_articles"),
+    )
+    owner = t.documents.select("doc_id", "source")
+    labelled = t.labels.join(owner, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("entities"))
+    embedded = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("dim")).join(owner, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("embeddings"), F.max("dim").alias("dim"))
+    s = docs.join(labelled, "source", "left").join(embedded, "source", "left")
+    lines = F.coalesce("paragraphs", F.lit(0))
+    s = s.withColumns({"subclauses": F.lit(0), "duplicate_articles": F.col("articles") - F.col("article_nodes"), "policy_nodes": F.lit(1), "structural_nodes": F.col("article_nodes") + lines, "nodes": 1 + F.col("article_nodes") + lines + F.coalesce("entities", F.lit(0))})
+    return s.select("source", checks.pipeline_report(64).alias("r")).select("source", "r.checks", "r.passed", "r.ok")
 
 
 @P.add(_sql("id, score", (1, 100), (2, 30), (3, 90), (4, 40), (5, 20), (6, 80)))
@@ -196,24 +242,27 @@ def m_transition(t: Tables) -> DataFrame:
     return steps.select("id", "place", F.concat_ws(">", "before", "status").alias("step"), compliance.allowed_step(F.col("before"), F.col("status")).alias("allowed"))
 
 
-@P.add("""
-WITH i AS (SELECT o_custkey, CASE WHEN o_totalprice < 5000 THEN 'error' WHEN o_orderpriority = '5-LOW' THEN 'warning' ELSE 'info' END AS severity FROM orders)
-SELECT o_custkey, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, 1 - count(*) FILTER (severity <> 'info') / count(*) >= 0.7 AS acceptable FROM i GROUP BY o_custkey""")
+@P.add(_sql("id, total, critical, errors, warnings, valid, acceptable", (1, 0, 0, 0, 0, True, True), (2, 12, 0, 4, 5, False, False), (3, 4, 1, 0, 3, False, True), (4, 0, 0, 0, 0, True, None)))
 def r_validate_all(t: Tables) -> DataFrame:
-    severity = F.when(F.col("o_totalprice") < 5000, "error").when(F.col("o_orderpriority") == "5-LOW", "warning").otherwise("info")
-    i = t.orders.select("o_custkey", severity.alias("s"))
-    return i.groupBy("o_custkey").agg(F.count_if(F.col("s") == "error").alias("errors"), F.count_if(F.col("s") == "warning").alias("warnings"), (1 - F.count_if(F.col("s") != "info") / F.count(F.lit(1)) >= 0.7).alias("acceptable"))
+    return _read(t).select("id", checks.report(F.col("issues"), F.col("quality")).alias("r")).select("id", "r.*")
 
 
-@P.add("SELECT p_name AS label, min(p_partkey) AS id, count(*) AS mentions FROM part GROUP BY p_name")
+@P.add("""
+SELECT 'entity' AS kind, p_name AS label, min(p_partkey)::VARCHAR AS src, NULL AS dst, count(*) AS n FROM part GROUP BY p_name
+UNION ALL SELECT 'relation', l_returnflag, l_partkey::VARCHAR, l_suppkey::VARCHAR, 1 FROM lineitem GROUP BY l_returnflag, l_partkey, l_suppkey""")
 def r_chunk_merge(t: Tables) -> DataFrame:
-    """The first entity of a label stands for all; relations go by label, so none dangles."""
-    return t.part.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("mentions"))
+    """The first entity of a label stands for all; a relation counts once."""
+    entities = extractions.merged_entities(t.part, "p_name", "p_partkey", ["p_partkey"])
+    relations = extractions.merged_relations(t.lineitem, "l_partkey", "l_suppkey", "l_returnflag")
+    shown = entities.select(F.lit("entity").alias("kind"), "label", F.col("id").cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("mentions").alias("n"))
+    return shown.unionByName(relations.select(F.lit("relation").alias("kind"), F.col("type").alias("label"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit(1).cast("long").alias("n")))
 
 
-@P.add("SELECT p_type, p_brand, count(*) AS n, sum(p_size)::BIGINT AS tokens FROM part GROUP BY p_type, p_brand")
+@P.add(f"WITH {GRAPH} SELECT 'entity' AS kind, label AS type, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'relation', rel_type, count(*) FROM edges GROUP BY rel_type UNION ALL SELECT 'tokens', 'all', sum(length(text))::BIGINT FROM conversations")
 def r_chunk_agg(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("tokens"))
+    """How many entities and relations of each type all chunks gave, and the tokens they took."""
+    tokens = t.conversations.agg(F.sum(F.length("text")).alias("n")).select(F.lit("tokens").alias("kind"), F.lit("all").alias("type"), "n")
+    return extractions.histogram(nodes_of(t), F.col("label"), edges_of(t), F.col("rel_type")).unionByName(tokens)
 
 
 @P.add("SELECT l_orderkey, l_linenumber, p.p_name AS src, s.s_name AS dst FROM lineitem JOIN part p ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND p_size < 25 AND s_acctbal > 5000")
@@ -224,10 +273,10 @@ def r_llm_parse(t: Tables) -> DataFrame:
     return known.select("l_orderkey", "l_linenumber", F.col("p_name").alias("src"), F.col("s_name").alias("dst"))
 
 
-@P.add("SELECT p_partkey, coalesce(CASE p_type WHEN 'PROMO' THEN 'C73' WHEN 'SMALL' THEN 'I21' END, 'none') AS code FROM part")
+@P.add(_sql("id, name, code, category", (1, "암", "C00-C97", "암"), (2, "심근경색", "I21", "심혈관질환"), (3, "감기", None, None), (4, None, None, None)))
 def r_disease_kb(t: Tables) -> DataFrame:
-    kb = t.spark.createDataFrame([("PROMO", "C73"), ("SMALL", "I21")], "p_type string, code string")
-    return t.part.join(F.broadcast(kb), "p_type", "left").select("p_partkey", F.coalesce("code", F.lit("none")).alias("code"))
+    asked = t.spark.createDataFrame([(1, "암"), (2, " 심근경색 "), (3, "감기"), (4, None)], "id int, q string")
+    return asked.select("id", nlq.known_disease(F.col("q")).alias("k")).select("id", "k.*")
 
 
 @P.add("SELECT l.doc_id, l.quality, l.toxic, length(d.text)::BIGINT AS n FROM labels l JOIN documents d USING (doc_id) WHERE length(d.text) >= 100")

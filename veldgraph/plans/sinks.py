@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldgraph.functions import text
 from veldgraph.operators import joins, sinks
 from veldgraph.plans import Plans, Tables
 from veldgraph.sources import files
@@ -19,27 +20,14 @@ def src_sql(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", "n_name", "n_regionkey")
 
 
-@P.add("SELECT lower(name) AS name, max_by(entity, load) AS entity FROM (SELECT p_name AS name, p_brand AS entity, p_partkey AS load FROM part) GROUP BY 1")
-def src_yaml_ontology(t: Tables) -> DataFrame:
-    """An index by lower-case name in which the entry loaded last counts."""
-    return t.part.groupBy(F.lower("p_name").alias("name")).agg(F.max_by("p_brand", "p_partkey").alias("entity"))
-
-
 @P.add("SELECT n_name AS insurer, n_regionkey % 2 = 0 AS enabled FROM nation WHERE n_regionkey % 2 = 0")
 def src_yaml_crawler(t: Tables) -> DataFrame:
     return t.nation.select(F.col("n_name").alias("insurer"), (F.col("n_regionkey") % 2 == 0).alias("enabled")).filter("enabled")
 
 
-@P.add("SELECT page_id, max_by(kind, (score, -place)) AS kind FROM (SELECT page_id, 'html' AS kind, length(html) % 7 AS score, 0 AS place FROM pages UNION ALL SELECT page_id, 'url', length(url) % 7, 1 FROM pages) GROUP BY page_id")
-def src_pdf(t: Tables) -> DataFrame:
-    """The best of several extractions; of equal ones the first tried."""
-    tried = F.array(F.struct((F.length("html") % 7).alias("score"), F.lit(0).alias("place"), F.lit("html").alias("kind")), F.struct((F.length("url") % 7).alias("score"), F.lit(-1).alias("place"), F.lit("url").alias("kind")))
-    return t.pages.select("page_id", F.array_max(tried)["kind"].alias("kind"))
-
-
-@P.add("SELECT page_id, CASE WHEN strlen(html) < 5000 THEN 'memory' ELSE 'stream' END AS route FROM pages")
+@P.add("SELECT page_id, CASE WHEN strlen(html) < 10485760 THEN 'memory' ELSE 'stream' END AS route, CASE WHEN strlen(html) < 10485760 THEN 1 ELSE ceil(strlen(html) / 1048576)::BIGINT END AS pieces FROM pages")
 def src_pdf_stream(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.when(F.octet_length("html") < 5000, "memory").otherwise("stream").alias("route"))
+    return t.pages.select("page_id", text.read_route(F.octet_length("html")).alias("r")).select("page_id", "r.*")
 
 
 @P.add("SELECT n_nationkey, n_name FROM nation")

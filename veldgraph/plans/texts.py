@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from veldgraph.functions import nlq, parsers, pii, text
 from veldgraph.plans import Plans, Tables
+from veldgraph.sources import ontology
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
@@ -284,9 +285,32 @@ def x_link_exact(t: Tables) -> DataFrame:
     return fuzzy.select("id", F.coalesce("exact", "close").alias("linked"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.col("score")).alias("confidence"))
 
 
-@P.add("SELECT p_type AS category, count(*) AS n, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS codes FROM part WHERE p_size > 40 GROUP BY p_type")
+#: Two cancers that share a code, and a disease that takes the name of one of them.
+ONTOLOGY = """{"cancer": {"subtypes": {
+ "thyroid": {"standard": "갑상선암", "korean_names": ["갑상샘암"], "english_names": ["Thyroid Cancer"], "kcd_codes": ["C73"], "severity": "minor"},
+ "any": {"standard": "암", "english_names": ["Cancer"], "kcd_codes": ["C00", "C73"]}}},
+"heart": {"subtypes": {"mi": {"standard": "심근경색", "english_names": ["cancer"], "kcd_codes": ["I21"], "severity": "severe"}}}}"""
+
+
+@P.add(_sql("kind, key, standard_name", ("name", "갑상선암", "갑상선암"), ("name", "갑상샘암", "갑상선암"), ("name", "thyroid cancer", "갑상선암"), ("name", "암", "암"), ("name", "cancer", "심근경색"), ("name", "심근경색", "심근경색"), ("code", "C73", "암"), ("code", "C00", "암"), ("code", "I21", "심근경색")))
+def src_yaml_ontology(t: Tables) -> DataFrame:
+    """Indexes by lower-case name and by code in which the entity loaded last counts."""
+    known = ontology.entities(t.spark.createDataFrame([(ONTOLOGY,)], "q string"), "q")
+    names, codes = ontology.by_name(known), ontology.by_code(known)
+    return names.select(F.lit("name").alias("kind"), F.col("name").alias("key"), "standard_name").unionByName(codes.select(F.lit("code").alias("kind"), F.col("code").alias("key"), "standard_name"))
+
+
+@P.add(_sql("id, algorithm, score, level", (1, "first", 80, "excellent"), (2, "second", 60, "good"), (3, "none", 0, "very_poor"), (4, "none", 0, "very_poor")))
+def src_pdf(t: Tables) -> DataFrame:
+    """The best of several extractions: the first excellent one, of equal ones the first, none of a file without pages."""
+    rows = [(1, [("first", "가" * 120, 1), ("second", "가" * 600, 1)]), (2, [("first", "", 1), ("second", "abc", 1), ("third", "abd", 1)]), (3, [("first", "가" * 600, 0)]), (4, [])]
+    tried = t.spark.createDataFrame(rows, "id int, attempts array<struct<algorithm:string,text:string,pages:int>>")
+    return tried.select("id", text.best_extraction(F.col("attempts")).alias("b")).select("id", "b.*")
+
+
+@P.add(_sql("category, entities, codes, severities", ("cancer", 2, 2, "minor"), ("heart", 1, 1, "severe")))
 def x_ontology_lookups(t: Tables) -> DataFrame:
-    return t.part.filter("p_size > 40").groupBy(F.col("p_type").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("codes"))
+    return ontology.stats(ontology.entities(t.spark.createDataFrame([(ONTOLOGY,)], "q string"), "q"))
 
 
 @P.add(_sql("id, kind, label", (1, "coverage_item", "입원"), (1, "period", "90일"), (2, "benefit_amount", "10,000원"), (2, "deductible", "10,000원"), (2, "rider", "암수술"), (2, "eligibility", "만 15세 ~ 만 60세"), (2, "article", "12")))
@@ -486,9 +510,11 @@ def s_template_match(t: Tables) -> DataFrame:
     return found.select("doc_id", "source", text.template_score(F.col("template"), F.col("text")).alias("share"))
 
 
-@P.add("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'template' WHEN p_size > 20 THEN 'incremental' ELSE 'chunking' END AS strategy FROM part")
+@P.add(_sql("id, strategy, saving", (1, "template", 0.95), (2, "incremental", 0.7), (3, "chunking", 0.0), (4, "chunking", 0.0), (5, "chunking", 0.0)))
 def s_strategy(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.coalesce(F.when(F.col("p_size") > 40, "template"), F.when(F.col("p_size") > 20, "incremental"), F.lit("chunking")).alias("strategy"))
+    rows = [(1, 0.8, None, None), (2, 0.79, 0.85, 0.3), (3, None, 0.9, 0.31), (4, None, None, None), (5, 0.5, 0.84, 0.1)]
+    asked = t.spark.createDataFrame(rows, "id int, template double, ratio double, changed double")
+    return asked.select("id", text.learning_strategy(F.col("template"), F.col("ratio"), F.col("changed")).alias("s")).select("id", "s.*")
 
 
 # Quality
@@ -523,9 +549,10 @@ def txt_struct_quality(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "id int, q string").select("id", text.structure_quality(F.col("q")).alias("score"))
 
 
-@P.add("SELECT doc_id, length(text) < 10000 AND regexp_matches(text, '^[^|]*$') AS simple FROM documents")
+@P.add(f"SELECT doc_id, CASE WHEN score >= 70 THEN 'ocr' ELSE 'simple' END AS smart, CASE WHEN strlen(text) > 5242880 THEN 'ocr' ELSE 'simple' END AS by_size FROM ({ORACLES['txt_complexity']}) JOIN documents USING (doc_id)")
 def src_pdf_hybrid(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", ((F.length("text") < 10_000) & ~F.contains("text", F.lit("|"))).alias("simple"))
+    route = lambda strategy: text.extraction_route(F.lit(strategy), F.octet_length("text"), F.col("text"))
+    return t.documents.filter("text is not null").select("doc_id", route("smart").alias("smart"), route("simple").alias("by_size"))
 
 
 # Personal data
@@ -663,5 +690,3 @@ def src_html_links(t: Tables) -> DataFrame:
 def src_html_table(t: Tables) -> DataFrame:
     pages = [(1, "<p>t</p><table><tr><th>a</th><th> b </th></tr><tr><td>1</td><td>2</td></tr></table>"), (2, "<table><tr></tr><tr><td>x</td></tr></table>"), (3, "none")]
     return parsers.mapped(t.spark.createDataFrame(pages, "id int, html string"), ["id"], "html", "row int, cells string", parsers.html_tables)
-
-
