@@ -25,6 +25,33 @@ def pairs(df: DataFrame, equal: list[str], id_col: str, residual: Column | None
     return left.join(right, equal).filter(keep if residual is None else keep & residual)
 
 
+def stars(df: DataFrame, equal: list[str], id_col: str = "id") -> DataFrame:
+    """(src, dst): of rows equal in some columns, none null, the one of least id with each other one. As many edges as rows connect what all pairs would."""
+    first = df.groupBy(*equal).agg(F.min(id_col).alias("src"))
+    return df.select(*equal, F.col(id_col).alias("dst")).join(first, equal).filter("src <> dst").select("src", "dst")
+
+
+def stars_across(df: DataFrame, equal: list[str], apart: str, id_col: str = "id") -> DataFrame:
+    """The same between rows that differ in ``apart``: those beside the first row go to the first row elsewhere. Ends are in order."""
+    first = df.groupBy(*equal).agg(F.min(id_col).alias("a_"), F.min_by(apart, id_col).alias("own_"))
+    placed = df.select(*equal, apart, F.col(id_col).alias("id_")).join(first, equal)
+    other = placed.filter(F.col(apart) != F.col("own_")).groupBy(*equal).agg(F.min("id_").alias("c_"))
+    ends = placed.join(other, equal).filter("id_ <> a_").select(F.when(F.col(apart) != F.col("own_"), F.col("a_")).when(F.col(apart) == F.col("own_"), F.col("c_")).alias("x_"), "id_").filter("x_ is not null")
+    return ends.select(F.least("x_", "id_").alias("src"), F.greatest("x_", "id_").alias("dst")).distinct()
+
+
+def containing(df: DataFrame, label: str, id_col: str = "id", least: int = 4) -> DataFrame:
+    """(src, dst) of the first rows of labels of which one holds the other, in either case, joined by equal parts of the longer one; ends are in order.
+
+    A label of n characters makes n * n / 2 parts at most, so labels should be names, not texts.
+    """
+    named = df.filter(F.length(label) >= least).groupBy(F.lower(label).alias("name_")).agg(F.min(id_col).alias("id_"))
+    n = F.length("name_")
+    cut = F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring("name_", i, k))))
+    parts = named.select(F.col("id_").alias("x_"), F.explode(F.array_distinct(cut)).alias("name_"))
+    return parts.join(named, "name_").filter("x_ <> id_").select(F.least("x_", "id_").alias("src"), F.greatest("x_", "id_").alias("dst")).distinct()
+
+
 def undirected(edges: DataFrame, *keep: str) -> DataFrame:
     """Each edge once, its ends in order."""
     return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), *keep).distinct()

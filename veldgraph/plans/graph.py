@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veldgraph.operators import extractions, graph, joins
 from veldgraph.plans import Plans, Tables
+from veldgraph.storage import stored
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
@@ -402,11 +403,24 @@ def g_enhance(t: Tables) -> DataFrame:
 
 
 @P.add("""
-SELECT a.p_partkey AS src, b.p_partkey AS dst, 'same_as' AS rel_type FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
-UNION ALL SELECT a.p_partkey, b.p_partkey, 'related_to' FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_name <> b.p_name""")
+WITH e AS (SELECT p_partkey AS id, p_name AS label, p_type AS type, p_brand AS doc FROM part),
+f AS (SELECT label, type, min(id) AS a, arg_min(doc, id) AS own FROM e GROUP BY label, type), c AS (SELECT label, type, min(id) AS c FROM e JOIN f USING (label, type) WHERE doc <> own GROUP BY label, type),
+r AS (SELECT CASE WHEN doc <> own THEN a ELSE c END AS x, id AS y, 'similar_across_documents' AS rel_type, 1 AS rule FROM e JOIN f USING (label, type) JOIN c USING (label, type) WHERE id <> a
+UNION ALL SELECT min(id) OVER (PARTITION BY type), id, 'type_cluster', 2 FROM e
+UNION ALL SELECT min(id) OVER (PARTITION BY lower(label)), id, 'semantically_related', 3 FROM e WHERE length(label) > 3
+UNION ALL SELECT m.id, n.id, 'semantically_related', 3 FROM (SELECT lower(label) AS l, min(id) AS id FROM e WHERE length(label) > 3 GROUP BY 1) m JOIN (SELECT lower(label) AS l, min(id) AS id FROM e WHERE length(label) > 3 GROUP BY 1) n ON contains(m.l, n.l)
+UNION ALL SELECT min(id) OVER (PARTITION BY doc), id, 'in_same_document', 4 FROM e)
+SELECT least(x, y) AS src, greatest(x, y) AS dst, arg_min(rel_type, rule) AS rel_type FROM r WHERE x <> y GROUP BY 1, 2""")
 def g_enhance_all(t: Tables) -> DataFrame:
-    parts = t.part.select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
-    ends = (F.col("p_partkey_1").alias("src"), F.col("p_partkey_2").alias("dst"))
-    same = joins.pairs(parts.drop("p_brand"), ["p_name", "p_type", "p_size"], "p_partkey").select(*ends, F.lit("same_as").alias("rel_type"))
-    near = joins.pairs(parts, ["p_brand", "p_size", "p_type"], "p_partkey").select(*ends, F.lit("related_to").alias("rel_type"))
-    return same.unionByName(joins.without_edge(near, same))
+    """Four rules in order, each between what no earlier one joined; groups are joined by stars, brands stand for documents."""
+    e = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("type"), F.col("p_brand").alias("doc"))
+    named = e.filter(F.length("label") > 3).withColumn("low", F.lower("label"))
+    rules = [
+        ("similar_across_documents", joins.stars_across(e, ["label", "type"], "doc")), ("type_cluster", joins.stars(e, ["type"])),
+        ("semantically_related", joins.stars(named, ["low"]).unionByName(joins.containing(e, "label")).distinct()), ("in_same_document", joins.stars(e, ["doc"])),
+    ]
+    made: DataFrame | None = None
+    for rel, found in rules:
+        found = found.withColumn("rel_type", F.lit(rel))
+        made = stored(found if made is None else made.unionByName(joins.without_edge(found, made)), "enhanced")
+    return made

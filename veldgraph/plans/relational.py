@@ -397,13 +397,14 @@ def set_union_all_rec(t: Tables) -> DataFrame:
 
 
 @P.add("""
-WITH a AS (SELECT DISTINCT p_name FROM part WHERE p_brand = 'Brand#1'), b AS (SELECT DISTINCT p_name FROM part WHERE p_brand = 'Brand#2')
-SELECT coalesce(a.p_name, b.p_name) AS name, CASE WHEN b.p_name IS NULL THEN 'only_1' WHEN a.p_name IS NULL THEN 'only_2' ELSE 'common' END AS side FROM a FULL JOIN b ON a.p_name = b.p_name""")
+WITH g AS (SELECT p_name AS name, max(round(p_retailprice * 100)::BIGINT) FILTER (p_brand = 'Brand#1') AS a, max(round(p_retailprice * 100)::BIGINT) FILTER (p_brand = 'Brand#2') AS b FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') GROUP BY p_name)
+SELECT name, CASE WHEN b IS NULL THEN 'only_1' WHEN a IS NULL THEN 'only_2' ELSE 'common' END AS side, CASE WHEN a <> b AND a <> 0 AND b <> 0 THEN abs(a - b) END AS difference FROM g""")
 def set_diff_compare(t: Tables) -> DataFrame:
-    names = lambda brand: F.coalesce(F.collect_set(F.when(F.col("p_brand") == brand, F.col("p_name"))), F.array())
-    both = t.part.filter("p_brand in ('Brand#1', 'Brand#2')").groupBy().agg(names("Brand#1").alias("a"), names("Brand#2").alias("b"))
-    sides = {"only_1": F.array_except("a", "b"), "only_2": F.array_except("b", "a"), "common": F.array_intersect("a", "b")}
-    return joins.union_all([both.select(F.explode(x).alias("name"), F.lit(s).alias("side")) for s, x in sides.items()])
+    """Names that one or both of two brands have, and how far the amounts of common ones differ; null if they don't or one is 0."""
+    amount = lambda brand: F.max(F.when(F.col("p_brand") == brand, F.round(F.col("p_retailprice") * 100).cast("long")))
+    g = t.part.filter("p_brand in ('Brand#1', 'Brand#2')").groupBy(F.col("p_name").alias("name")).agg(amount("Brand#1").alias("a"), amount("Brand#2").alias("b"))
+    side = F.when(F.col("b").isNull(), "only_1").when(F.col("a").isNull(), "only_2").otherwise("common")
+    return g.select("name", side.alias("side"), F.when(F.expr("a <> b and a <> 0 and b <> 0"), F.abs(F.col("a") - F.col("b"))).alias("difference"))
 
 
 @P.add("SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity = 50 EXCEPT SELECT p_partkey FROM part WHERE p_size <= 40")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veldgraph.functions import text
 from veldgraph.operators import joins, sinks
 from veldgraph.plans import Plans, Tables
-from veldgraph.sources import files
+from veldgraph.sources import configs, files
 from veldgraph.storage import scratch_path
 
 P = Plans()
@@ -20,9 +20,11 @@ def src_sql(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", "n_name", "n_regionkey")
 
 
-@P.add("SELECT n_name AS insurer, n_regionkey % 2 = 0 AS enabled FROM nation WHERE n_regionkey % 2 = 0")
+@P.add("SELECT * FROM (VALUES ('a', 'https://a', 'static_html', false, 100, 1.0::DOUBLE, 3), ('b', 'https://b', 'dynamic_js', true, 5, 0.5::DOUBLE, 3)) v(insurer_code, base_url, crawl_method, has_pagination, max_pages, request_delay, max_retries)")
 def src_yaml_crawler(t: Tables) -> DataFrame:
-    return t.nation.select(F.col("n_name").alias("insurer"), (F.col("n_regionkey") % 2 == 0).alias("enabled")).filter("enabled")
+    """Settings of each insurer with the defaults of what they leave out; what can't be read or lacks an address is left out."""
+    texts = ['{"insurer_code": "a", "insurer_name": "A", "base_url": "https://a"}', '{"insurer_code": "b", "insurer_name": "B", "base_url": "https://b", "crawl_method": "dynamic_js", "has_pagination": true, "max_pages": 5, "request_delay": 0.5}', "no settings", '{"insurer_code": "c"}']
+    return configs.settings(t.spark.createDataFrame([(x,) for x in texts], "q string"), "q")
 
 
 @P.add("SELECT page_id, CASE WHEN strlen(html) < 10485760 THEN 'memory' ELSE 'stream' END AS route, CASE WHEN strlen(html) < 10485760 THEN 1 ELSE ceil(strlen(html) / 1048576)::BIGINT END AS pieces FROM pages")
