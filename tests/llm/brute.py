@@ -8,7 +8,9 @@ import hashlib
 import hmac
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -390,3 +392,73 @@ def quality_posteriors(votes: list[list[int]], steps: int) -> list[float]:
             break
         before = share
     return good
+
+
+def filled(doc_id: int | None, text: str | None, units: re.Pattern) -> tuple:
+    """(n, form, prefix, middle, output) of a text cut by units."""
+    text = text or ""
+    pieces = units.findall(text)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    x, y = sorted((h[0] % (len(pieces) + 1), h[1] % (len(pieces) + 1)))
+    prefix, middle, suffix = "".join(pieces[:x]), "".join(pieces[x:y]), "".join(pieces[y:])
+    if not text or any(t in text for t in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return len(text), "plain", None, None, text
+    if h[3] % 100 < 20:
+        return len(text), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return len(text), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def planted(doc_id: int | None, text: str | None) -> list[str]:
+    """The words of a text with the run of the query's contract."""
+    words = WORD.findall(text or "")
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if words and h is not None and h % 10 == 0:
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    return words
+
+
+def periodic(words: list[str]) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all runs, from the definition."""
+    n, found = len(words), set()
+    for p in range(1, n):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and words[j] == words[j + p]:
+                j += 1
+            start, stop = i, j + p
+            least = next(q for q in range(1, p + 1) if all(words[k] == words[k + q] for k in range(start, stop - q)))
+            if j > i and least == p and stop - start >= max(6, 4 * p):
+                found.add((start, stop - start, p))
+            i = j + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def run_row(words: list[str]) -> tuple:
+    """n_runs, the best run, its exponent and the two digests."""
+    runs = periodic(words)
+    best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    kept = [w for i, w in enumerate(words) if not any(s + p <= i < s + m for s, m, p in runs)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    top = (None,) * 4 if best is None else (*best, 1000 * best[1] // best[2])
+    return (len(runs), *top, sha("".join(f"{s},{m},{p}\n" for s, m, p in runs)), sha(" ".join(kept)))
+
+
+def without_lines(docs: list[tuple[int | None, str | None]], least_chars: int, least_docs: int) -> list[tuple]:
+    """(doc_id, n_lines, n_dropped, text) of each document."""
+    holders: dict[str, set[int]] = defaultdict(set)
+    key = lambda line: lower(line.strip(" \t\n\x0b\f\r"))
+    for i, text in docs:
+        for line in (text or "").split("\n"):
+            if i is not None and len(key(line)) >= least_chars:
+                holders[key(line)].add(i)
+    out = []
+    for i, text in docs:
+        split = (text or "").split("\n")
+        kept = [line for line in split if not (i is not None and len(holders.get(key(line), ())) >= least_docs and i != max(holders[key(line)]))]
+        out.append((i, len(split), len(split) - len(kept), "\n".join(kept)))
+    return out

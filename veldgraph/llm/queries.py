@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldgraph.llm import decontaminate, language_id, mixing, near_dedup, pseudonyms, quality, secrets, token_counts, toxicity, warc
+from veldgraph.llm import decontaminate, fill_in_middle, language_id, line_dedup, mixing, near_dedup, periodic_runs, pseudonyms, quality, secrets, token_counts, toxicity, warc
 from veldgraph.storage import load
 
 #: Stands in for a secret that production takes from its key store.
@@ -82,8 +82,46 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(load(spark, sf_dir, "documents"))
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def with_planted_run(docs: DataFrame) -> DataFrame:
+    """doc_id and text. From a drawn word on, one text in ten repeats a drawn number of words; a text without words or doc_id stays."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(periodic_runs.WORD), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.pmod(h, F.lit(10)) == 0, words).alias("words"), F.call_function("div", h, F.lit(10)).alias("g"))
+    n = F.size("words")
+    rows = rows.withColumn("a", F.when(n > 0, F.pmod("g", n).cast("int")))
+    rows = rows.withColumn("p", (F.lit(1) + F.call_function("div", n - F.col("a"), F.lit(3) + F.pmod("g", F.lit(8)))).cast("int"))
+    word = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + F.pmod(i - F.col("a"), F.col("p"))))
+    return rows.select("doc_id", F.when(F.col("p").isNull(), F.col("text")).otherwise(F.array_join(F.transform("words", word), " ")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_run(load(spark, sf_dir, "documents")), "doc_id")
+    found = found.withColumn("best", periodic_runs.best_run("runs"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic_runs.described(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_pseudonyms, op3_language_id, op4_toxicity, op5_secrets, op6_mixing, op7_quality, op8_token_counts, op9_warc, op10_near_dedup)
+    f.__name__: f for f in (op1_decontaminate, op2_pseudonyms, op3_language_id, op4_toxicity, op5_secrets, op6_mixing, op7_quality, op8_token_counts, op9_warc, op10_near_dedup, op11_fill_in_middle, op12_periodic_runs, op13_line_dedup)
 }
 
 OP9 = """
@@ -135,5 +173,28 @@ taken AS (SELECT doc_id, lang, source, domain, n_tokens, (epochs + (left_ > 0 AN
 SELECT * FROM taken WHERE n_epochs > 0
 """
 
+#: The form and cuts of each document, then the three parts by code points.
+OP11 = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y, CASE
+  WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+  WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM docs),
+parts AS (SELECT *, substr(text, 1, least(x, y)) AS prefix, substr(text, least(x, y) + 1, greatest(x, y) - least(x, y)) AS middle, substr(text, greatest(x, y) + 1) AS suffix FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(x, y) - least(x, y) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+OP13 = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+placed AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM placed),
+shared AS (SELECT key, max(doc_id) AS keeps FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT doc_id, line, place, coalesce(doc_id <> keeps, false) AS gone FROM keyed LEFT JOIN shared USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
 #: The other operators are no SQL: keyed permutations, learned models, tiling, sketches and tokenizers. tests/llm hold them against brute force.
-ORACLES: dict[str, str] = {"op6_mixing": OP6, "op9_warc": OP9}
+ORACLES: dict[str, str] = {"op6_mixing": OP6, "op9_warc": OP9, "op11_fill_in_middle": OP11, "op13_line_dedup": OP13}
