@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veldgraph.storage import stored
+
 
 def with_child_count(parent: DataFrame, child: DataFrame, key: str, child_key: str, name: str, condition: Column | None = None) -> DataFrame:
     """All parents with the number of their children; children are counted before the join."""
@@ -40,16 +42,32 @@ def stars_across(df: DataFrame, equal: list[str], apart: str, id_col: str = "id"
     return ends.select(F.least("x_", "id_").alias("src"), F.greatest("x_", "id_").alias("dst")).distinct()
 
 
-def containing(df: DataFrame, label: str, id_col: str = "id", least: int = 4) -> DataFrame:
-    """(src, dst) of the first rows of labels of which one holds the other, in either case, joined by equal parts of the longer one; ends are in order.
+#: Labels meet by parts of so many characters; shorter labels can't be contained.
+PART = 3
+
+
+def contained(df: DataFrame, label: str, id_col: str = "id", least: int = 4, equal: tuple[str, ...] = ()) -> DataFrame:
+    """(equal columns, inner, inner_id, outer, outer_id) of the distinct lower-case labels of which one holds the other, among rows equal in some columns; ids are the least of a label.
 
-    A label of n characters makes n * n / 2 parts at most, so labels should be names, not texts.
+    What holds a label holds all its parts, so a label looks for others by its rarest part
+    only, and work follows the candidates of that part. A label of n characters has n parts.
     """
-    named = df.filter(F.length(label) >= least).groupBy(F.lower(label).alias("name_")).agg(F.min(id_col).alias("id_"))
-    n = F.length("name_")
-    cut = F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring("name_", i, k))))
-    parts = named.select(F.col("id_").alias("x_"), F.explode(F.array_distinct(cut)).alias("name_"))
-    return parts.join(named, "name_").filter("x_ <> id_").select(F.least("x_", "id_").alias("src"), F.greatest("x_", "id_").alias("dst")).distinct()
+    if least < PART:
+        raise ValueError(f"labels have {PART} characters or more")
+    named = df.filter(F.length(label) >= least).groupBy(*equal, F.lower(label).alias("name_")).agg(F.min(id_col).alias("id_"))
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name_") - PART + 1), lambda i: F.substring("name_", i, F.lit(PART))))
+    rows = stored(named.select(*equal, "name_", "id_", F.explode(parts).alias("part_")), "parts")
+    counts = rows.groupBy(*equal, "part_").agg(F.count("*").alias("n_"))
+    rarest = rows.join(counts, [*equal, "part_"]).groupBy(*equal, "name_", "id_").agg(F.min(F.struct("n_", "part_")).alias("least_"))
+    inner = rarest.select(*equal, F.col("name_").alias("inner"), F.col("id_").alias("inner_id"), F.col("least_.part_").alias("part_"))
+    outer = rows.select(*equal, F.col("name_").alias("outer"), F.col("id_").alias("outer_id"), "part_")
+    return inner.join(outer, [*equal, "part_"]).filter((F.col("inner") != F.col("outer")) & F.contains("outer", "inner")).drop("part_")
+
+
+def containing(df: DataFrame, label: str, id_col: str = "id", least: int = 4) -> DataFrame:
+    """(src, dst) of the first rows of labels of which one holds the other, in either case; ends are in order."""
+    found = contained(df, label, id_col, least)
+    return found.select(F.least("inner_id", "outer_id").alias("src"), F.greatest("inner_id", "outer_id").alias("dst")).distinct()
 
 
 def undirected(edges: DataFrame, *keep: str) -> DataFrame:

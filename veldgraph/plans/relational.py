@@ -65,10 +65,18 @@ def flt_array_overlap(t: Tables) -> DataFrame:
     return t.part.filter(F.arrays_overlap(tags, F.array(F.lit("PROMO"), F.lit("Brand#3")))).select("p_partkey", "p_type", "p_brand")
 
 
-@P.add("SELECT l_orderkey, count(*) AS n_amounts FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_extendedprice BETWEEN 90000 AND 999999999) > 0")
+@P.add("SELECT event_id, (props->>'$.k')::INT AS k FROM events WHERE (props->>'$.k')::INT BETWEEN 20 AND 40")
 def flt_json_exists(t: Tables) -> DataFrame:
-    amounts = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_extendedprice").alias("amounts"))
-    return amounts.filter(filters.any_amount_between("amounts", 90_000)).select("l_orderkey", F.size("amounts").cast("long").alias("n_amounts"))
+    """A bound on a value within the JSON of each row."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return t.events.filter(filters.within(k, 20, 40)).select("event_id", k.alias("k"))
+
+
+@P.add("SELECT l_orderkey, count(*) AS n_amounts FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_extendedprice BETWEEN 90000 AND 999999999) > 0")
+def flt_json_exists_amounts(t: Tables) -> DataFrame:
+    """Some amount of a group lies between the bounds, counted without gathering the group."""
+    amounts = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_amounts"), F.count_if(F.col("l_extendedprice").between(90_000, 999_999_999)).alias("within"))
+    return amounts.filter("within > 0").select("l_orderkey", "n_amounts")
 
 
 @P.add("""
@@ -242,12 +250,24 @@ def jn_anti_typed(t: Tables) -> DataFrame:
 
 
 @P.add("""
-SELECT a.p_partkey AS p_partkey_1, b.p_partkey AS p_partkey_2, a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey
-WHERE length(a.p_name) > 3 AND contains(lower(b.p_name || ' extra'), lower(a.p_name))""")
+SELECT DISTINCT a.p_size, lower(a.p_brand) AS inner, lower(b.p_brand) AS outer, min(a.p_partkey) AS inner_id, min(b.p_partkey) AS outer_id FROM part a JOIN part b ON a.p_size = b.p_size AND lower(a.p_brand) <> lower(b.p_brand)
+WHERE length(a.p_brand) > 3 AND contains(lower(b.p_brand), lower(a.p_brand)) GROUP BY ALL""")
 def jn_theta_contains(t: Tables) -> DataFrame:
-    parts = t.part.filter(F.length("p_name") > 3).select("p_partkey", "p_brand", "p_size", "p_name")
-    inside = F.contains(F.lower(F.concat("p_name_2", F.lit(" extra"))), F.lower("p_name_1"))
-    return joins.pairs(parts, ["p_brand", "p_size"], "p_partkey", inside, ordered=False).select("p_partkey_1", "p_partkey_2", "p_brand")
+    """Labels within others among parts of one size, which stands for an insurer; brands are the labels."""
+    return joins.contained(t.part, "p_brand", "p_partkey", equal=("p_size",))
+
+
+@P.add("""
+WITH l AS (SELECT n_name AS label, 'n' || n_nationkey AS id FROM nation UNION ALL SELECT p_name, 'p' || p_partkey FROM part UNION ALL SELECT p_type, 't' || p_partkey FROM part UNION ALL SELECT s_name, 's' || s_suppkey FROM supplier UNION ALL SELECT event_type, 'e' || event_id FROM events
+UNION ALL SELECT unnest(string_split(text, ' ')), 'w' || conv_id || '_' || turn FROM conversations),
+d AS (SELECT lower(label) AS name, min(id) AS id FROM l WHERE length(label) > 3 GROUP BY 1)
+SELECT a.name AS inner, a.id AS inner_id, b.name AS outer, b.id AS outer_id FROM d a JOIN d b ON a.name <> b.name AND contains(b.name, a.name)""")
+def jn_contained_labels(t: Tables) -> DataFrame:
+    """The same over all labels of several tables and the words of all turns."""
+    key = lambda p, *c: F.concat(F.lit(p), F.concat_ws("_", *c))
+    words = t.conversations.select(F.explode(F.split("text", " ")).alias("label"), key("w", "conv_id", "turn").alias("id"))
+    named = [df.select(F.col(c).alias("label"), key(p, k).alias("id")) for df, c, p, k in ((t.nation, "n_name", "n", "n_nationkey"), (t.part, "p_name", "p", "p_partkey"), (t.part, "p_type", "t", "p_partkey"), (t.supplier, "s_name", "s", "s_suppkey"), (t.events, "event_type", "e", "event_id"))]
+    return joins.contained(joins.union_all([*named, words]), "label")
 
 
 @P.add("""

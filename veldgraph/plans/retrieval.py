@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldgraph.functions import text
-from veldgraph.operators import vector
+from veldgraph.operators import vector, vector_index
 from veldgraph.plans import Plans, Tables
+from veldgraph.storage import scratch_path
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
@@ -62,15 +63,32 @@ def flt_min_score(t: Tables) -> DataFrame:
     return vector.top_k(t.embeddings, _query(t), 10, min_score=0.3).select("vec_id", "score")
 
 
-@P.add("""
+_EACH = """
 SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
 row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) DESC, b.vec_id)::INT AS rank
-FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10""")
+FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10"""
+
+
+@P.add(_EACH)
 def v_topk_graph(t: Tables) -> DataFrame:
     """Every fiftieth row as a query against all rows."""
     return vector.top_k_each(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), 10)
 
 
+@P.add(_EACH)
+def v_index_exact(t: Tables) -> DataFrame:
+    """The same through an index of inverted lists, whose bounds keep closed what can't hold a better row."""
+    index = vector_index.written(t.embeddings, scratch_path(t.spark, "index"))
+    return vector_index.exact(index, t.embeddings.filter("vec_id % 50 = 0"), 10)
+
+
+@P.add()
+def v_index_probed(t: Tables) -> DataFrame:
+    """The same from the nearest lists alone; tests measure the recall."""
+    index = vector_index.written(t.embeddings, scratch_path(t.spark, "index"))
+    return vector_index.probed(index, t.embeddings.filter("vec_id % 50 = 0"), 10)
+
+
 @P.add(f"SELECT label, vec_id, {COS} AS score, row_number() OVER (PARTITION BY label ORDER BY {RAW} DESC, vec_id)::INT AS rank FROM embeddings QUALIFY rank <= 5")
 def v_multi_index(t: Tables) -> DataFrame:
     return vector.top_k_per_index(t.embeddings, _query(t), 5, "label")

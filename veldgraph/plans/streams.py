@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldgraph.plans import Plans, Tables
 from veldgraph.storage import scratch_path
-from veldgraph.streaming import windows
+from veldgraph.streaming import upkeep, windows
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
@@ -25,6 +25,18 @@ def _stream(t: Tables) -> DataFrame:
     return t.spark.readStream.schema(windows.EVENT).option("maxFilesPerTrigger", 4).parquet(path)
 
 
+def _slices(t: Tables, disorder: int = 0, slices: int = 5) -> DataFrame:
+    """The events as a stream of files that follow in time, with up to ``disorder`` microseconds of disorder between them, a file a batch."""
+    path = scratch_path(t.spark, "ordered")
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    shaken = F.unix_micros("ts") + (F.pmod(F.xxhash64("event_id"), F.lit(disorder)) if disorder else F.lit(0))
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")) + disorder).first()
+    for k in range(slices):
+        low, high = (first + (last + 1 - first) * x // slices for x in (k, k + 1))
+        events.filter((shaken >= low) & (shaken < high)).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(windows.EVENT).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _naive(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -38,14 +50,7 @@ def st_rate_limit(t: Tables) -> DataFrame:
 @P.add(LIMITED + " WHERE event_id IN (SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY)")
 def st_rate_limit_stream(t: Tables) -> DataFrame:
     """The stateful form: the verdicts of all events that the watermark has passed, a day before the last one. The stream's files follow in time, with half a day of disorder between them."""
-    path = scratch_path(t.spark, "ordered")
-    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    shaken = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(43_200_000_000))
-    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")) + 43_200_000_000).first()
-    for k in range(5):
-        low, high = (first + (last + 1 - first) * x // 5 for x in (k, k + 1))
-        events.filter((shaken >= low) & (shaken < high)).coalesce(1).write.mode("append").parquet(path)
-    stream = t.spark.readStream.schema(windows.EVENT).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = _slices(t, disorder=43_200_000_000)
     return windows.drained(windows.rate_limited_stream(stream, 3, 36_000, late="1 day"), "limited")
 
 
@@ -54,11 +59,11 @@ def st_rate_table(t: Tables) -> DataFrame:
     return _naive(windows.tumbling(t.events, "6 hours", "user_id"), "window_start").select("user_id", "window_start", "n", F.round("total", 4).alias("total"))
 
 
-@P.add("SELECT event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) < TIMESTAMP '2024-01-28' GROUP BY event_type")
+@P.add("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL")
 def st_tumbling_stream(t: Tables) -> DataFrame:
-    """Days that the watermark has closed, of a stream in append mode."""
-    out = windows.drained(windows.tumbling(_stream(t), "1 day", "event_type", late="30 days"), "tumbling", mode="complete")
-    return out.filter(F.col("window_start") < F.lit("2024-01-28").cast("timestamp")).groupBy("event_type").agg(F.sum("n").alias("n"))
+    """Days that the watermark, a day behind the last event, has closed, of a stream in append mode whose files follow in time."""
+    out = windows.drained(windows.tumbling(_slices(t), "1 day", "event_type", late="1 day"), "tumbling")
+    return _naive(out, "window_start").select("event_type", "window_start", "n")
 
 
 @P.add("SELECT b AS window_start, event_type, count(*) AS n FROM (SELECT event_type, ts, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS b FROM events) GROUP BY ALL")
@@ -83,20 +88,63 @@ def st_metrics(t: Tables) -> DataFrame:
 
 @P.add("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def st_progress(t: Tables) -> DataFrame:
-    """Batches are appended; the newest row of a user counts."""
+    """Batches are kept once each; the newest row of a user counts."""
     path = scratch_path(t.spark, "progress")
-    windows.drained(_stream(t), "progress", lambda df, _n: df.select("user_id", "event_id", "ts", "event_type").write.mode("append").parquet(path))
+    windows.drained(_stream(t), "progress", upkeep.append_once(path, lambda df: df.select("user_id", "event_id", "ts", "event_type")))
     return windows.latest(t.spark.read.parquet(path), "user_id", ["ts", "event_id"], "event_type")
 
 
 @P.add("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def st_poll(t: Tables) -> DataFrame:
-    """Files are found batch by batch, each once."""
+    """Files are found batch by batch; a batch that is run again replaces itself."""
     path = scratch_path(t.spark, "polled")
-    windows.drained(_stream(t), "polled", lambda df, _n: df.select("event_id").write.mode("append").parquet(path))
+    sink = upkeep.append_once(path, lambda df: df.select("event_id"))
+
+    def twice(df: DataFrame, batch: int) -> None:
+        sink(df, batch)
+        sink(df, batch)
+
+    windows.drained(_slices(t), "polled", twice)
     return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
+def _kept_up(t: Tables) -> upkeep.GraphUpkeep:
+    """Users and types as nodes, what users did as edges, merged batch by batch; the last batch comes twice."""
+    kept, user, kind = upkeep.GraphUpkeep(t.spark, scratch_path(t.spark, "upkeep"), buckets=4), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.concat(F.lit("t"), F.col("event_type"))
+
+    def use(df: DataFrame, batch: int) -> None:
+        nodes = df.select(user.alias("node_id"), F.lit("User").alias("label")).unionByName(df.select(kind.alias("node_id"), F.lit("Type").alias("label")))
+        edges = df.select(user.alias("src"), kind.alias("dst"), F.lit("DID").alias("rel_type"))
+        kept.apply(nodes, edges, batch)
+        kept.apply(nodes, edges, batch)
+
+    windows.drained(_slices(t, slices=3), "upkeep", use)
+    return kept
+
+
+@P.add("SELECT 'u' || user_id AS src, 't' || event_type AS dst, 'DID' AS rel_type, count(*) AS weight FROM events GROUP BY ALL")
+def st_graph_upkeep(t: Tables) -> DataFrame:
+    """The graph after the last batch: that of a rebuild from all events."""
+    return _kept_up(t).edges.read()
+
+
+@P.add("SELECT 'node' AS kind, 'User' AS name, count(DISTINCT user_id) AS n FROM events UNION ALL SELECT 'node', 'Type', count(DISTINCT event_type) FROM events UNION ALL SELECT 'edge', 'DID', count(DISTINCT (user_id, event_type)) FROM events")
+def st_graph_counts(t: Tables) -> DataFrame:
+    return _kept_up(t).counts.read()
+
+
+_EDGE = "CASE WHEN length(bin(v)) > 8 THEN (v >> (length(bin(v)) - 8)::INT) << (length(bin(v)) - 8)::INT ELSE v END"
+
+
+@P.add(f"""
+WITH x AS (SELECT event_type, round(value * 100)::BIGINT AS v FROM events), b AS (SELECT event_type, list_sort(list({_EDGE})) AS l, count(*) AS n FROM x GROUP BY event_type)
+SELECT event_type, n, l[least(floor(n * 0.5), n - 1)::INT + 1] AS p50, l[least(floor(n * 0.95), n - 1)::INT + 1] AS p95, l[least(floor(n * 0.99), n - 1)::INT + 1] AS p99 FROM b""")
+def st_percentiles(t: Tables) -> DataFrame:
+    """Percentiles of hundredths from counts by bucket that a stream keeps; see the error in ``upkeep.quantiles``."""
+    kept = windows.drained(upkeep.sketched(_slices(t), ["event_type"], F.round(F.col("value") * 100).cast("long")), "sketch", mode="complete")
+    return upkeep.quantiles(kept, ["event_type"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
 @P.add("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'signup') GROUP BY event_type")
 def st_learner_poll(t: Tables) -> DataFrame:
     """What is pending is drained in bounded batches."""

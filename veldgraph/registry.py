@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "analytics", "graph", "retrieval", "texts", "rules", "ingest", "sinks", "streams")
+MODULES = ("relational", "analytics", "graph", "retrieval", "texts", "rules", "ingest", "sinks", "streams", "search", "stores")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
