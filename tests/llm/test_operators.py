@@ -86,6 +86,29 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def _thue_morse(n: int) -> str:
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_of_two_letters_do_not_collide(spark):
+    """The Thue-Morse word and its complement agree modulo 2**64 for every multiplier."""
+    words = [w for n in (1024, 2048, 4096) for w in (_thue_morse(n), _thue_morse(n).translate(str.maketrans("ab", "ba")))]
+    assert len(set(tokens.word_hashes(pa.array(words))[0].tolist())) == len(words)
+    rows = spark.createDataFrame(list(enumerate(words[-2:])), "doc_id long, text string")
+    assert [r["component_id"] for r in near_dedup.near_duplicates(rows).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_near_duplicates_of_long_texts(spark):
+    """Texts of 300,000 characters, a near copy and one of other words."""
+    rng = random.Random(17)
+    base = _words(rng, 60_000)
+    near = base[:30_000] + ["changed"] + base[30_001:]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(_words(rng, 60_000)))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["component_id"], r["kept"]) for r in got] == [(1, True), (1, False), (3, True)]
+    assert [r["n_shingles"] for r in got] == [len(brute.shingles(t)) for _, t in rows]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     whole = rng.integers(0, 1 << 63, 1200).astype(np.uint64)

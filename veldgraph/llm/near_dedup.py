@@ -23,7 +23,8 @@ elements. No link is lost, and the number of pairs follows the links and not the
 of a group. Every pair is confirmed on the two whole sets.
 
 Sets hold 64-bit hashes of shingles; a wrong verdict needs hashes of two different
-shingles of one pair to be equal, about 1e-13 for texts of 1,000 words.
+shingles of one pair to be equal, about 1e-13 for texts of 1,000 words. Words are hashed
+modulo 2**64 and modulo a prime, so long words over two letters don't collide by their form.
 
 Nulls, empty and repeated rows: a null or wordless text has the empty set and is
 linked with nothing. A null doc_id can't be linked: component_id is null and the
@@ -191,8 +192,10 @@ def _centred(groups: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFra
     linked = tested.filter("linked")
     closest = linked.groupBy(F.col("a").alias("hub")).agg(F.max(F.struct(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), -F.col("b"))).alias("best"), F.count("*").alias("links"))
     centres = _labelled(closest, labels, "hub").groupBy("label").agg(F.max(F.struct("links", -F.col("hub"), "best")).alias("top"))
-    centres = centres.select("label", (-F.col("top.best.col2")).alias("centre")).hint("merge")
-    named = shares.select("hub", F.col("main.label").alias("label"), "size").join(centres, "label", "left").select("hub", F.coalesce("centre", "label").alias("a"), F.ceil(F.col("size") / SPLIT).cast("int").alias("splits"), "size")
+    # One component may be the main one of most groups.
+    shares = stored(shares.select("hub", F.col("main.label").alias("label"), "size"), "shares")
+    centres = shares.groupBy("label").agg(F.count("*").alias("groups")).join(centres.select("label", (-F.col("top.best.col2")).alias("centre")).hint("merge"), "label", "left")
+    named = split_join(shares, stored(centres, "mains"), ["label"], "groups").select("hub", F.coalesce("centre", "label").alias("a"), F.ceil(F.col("size") / SPLIT).cast("int").alias("splits"), "size")
     pairs = split_join(mine.select("hub", F.col("id").alias("b")), stored(named, "centres"), ["hub"])
     return pairs.filter("a <> b").groupBy("a", "b").agg(F.max("splits").alias("splits"))
 

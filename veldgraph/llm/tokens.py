@@ -1,8 +1,10 @@
 """Word hashes of whole Arrow string columns, computed with numpy.
 
-A word's hash is a Karp-Rabin polynomial over its bytes modulo 2**64, brought to
-position zero with the multiplier's inverse and then mixed. All words of a block
-come from one running sum, so there is no Python loop over words or texts.
+A word's hash mixes two Karp-Rabin polynomials over its bytes, modulo 2**64 and modulo
+the prime 2**31 - 1, each brought to position zero with its multiplier's inverse. Words that
+agree modulo 2**64 whatever the multiplier, as the Thue-Morse word and its complement
+do, differ modulo the prime. All words of a block come from running sums, so there is
+no Python loop over words or texts.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ U = np.uint64
 BLOCK = 2 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+PRIME = (1 << 31) - 1
+PRIME_MULTIPLIER = 0x3C6EF372
+PRIME_INVERSE = pow(PRIME_MULTIPLIER, -1, PRIME)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -40,6 +45,21 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def _prime_power(base: int, n: int) -> np.ndarray:
+    """Powers modulo the prime, by doubling."""
+    have = _powers.get(-base)
+    if have is None or len(have) < n:
+        have = np.ones(max(n, BLOCK + 1), dtype=U)
+        done = 1
+        while done < len(have):
+            more = min(done, len(have) - done)
+            have[done : done + more] = have[:more] * U(pow(base, done, PRIME)) % U(PRIME)
+            done += more
+        if n <= BLOCK + 1:
+            _powers[-base] = have
+    return have[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x.astype(U, copy=True)
@@ -68,8 +88,8 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> Itera
         at = to
 
 
-def _words(texts: pa.Array | pa.ChunkedArray, between: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-    """The texts' offsets, and for each block its place, the running sums of its bytes, and where its words start and stop."""
+def _words(texts: pa.Array | pa.ChunkedArray, between: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The texts' offsets, and for each block its place, its bytes, their running sums, and where its words start and stop."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -77,7 +97,7 @@ def _words(texts: pa.Array | pa.ChunkedArray, between: np.ndarray) -> tuple[np.n
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
 
-    def pieces() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def pieces() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for lo, hi in _pieces(data, offsets, between) if len(texts) else ():
             piece = _LOWER[data[lo:hi]]
             inside = ~between[piece]
@@ -90,11 +110,19 @@ def _words(texts: pa.Array | pa.ChunkedArray, between: np.ndarray) -> tuple[np.n
             stop[:-1] &= ~inside[1:] | first[1:-1]
             sums = np.zeros(len(piece) + 1, dtype=U)
             np.cumsum((piece.astype(U) + U(1)) * _power(MULTIPLIER, len(piece)), out=sums[1:])
-            yield lo, sums, np.flatnonzero(start), np.flatnonzero(stop) + 1
+            yield lo, piece, sums, np.flatnonzero(start), np.flatnonzero(stop) + 1
 
     return offsets, pieces()
 
 
+def _prime_hashes(piece: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The words' polynomials modulo the prime. A term is folded once, to 32 bits, so a running sum of 2**31 bytes fits."""
+    terms = (piece.astype(U) + U(1)) * _prime_power(PRIME_MULTIPLIER, len(piece))
+    sums = np.zeros(len(piece) + 1, dtype=U)
+    np.cumsum((terms & U(PRIME)) + (terms >> U(31)), out=sums[1:])
+    return (sums[stops] - sums[starts]) % U(PRIME) * _prime_power(PRIME_INVERSE, len(piece))[starts] % U(PRIME)
+
+
 def word_hashes(texts: pa.Array | pa.ChunkedArray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, A-Z lower-cased, and where each text's words begin (one entry more than texts).
 
@@ -102,9 +130,9 @@ def word_hashes(texts: pa.Array | pa.ChunkedArray, between: np.ndarray = WHITE)
     """
     offsets, pieces = _words(texts, between)
     hashes, begins = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for lo, sums, starts, stops in pieces:
-        own = (sums[stops] - sums[starts]) * _power(INVERSE, len(sums) - 1)[starts]
-        hashes.append(mix(own + (stops - starts).astype(U)))
+    for lo, piece, sums, starts, stops in pieces:
+        own = mix((sums[stops] - sums[starts]) * _power(INVERSE, len(sums) - 1)[starts] + (stops - starts).astype(U))
+        hashes.append(mix(own ^ (_prime_hashes(piece, starts, stops) * U(MULTIPLIER))))
         begins.append(starts + lo)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
 
@@ -117,7 +145,7 @@ def prefix_hashes(texts: pa.Array | pa.ChunkedArray, sizes: tuple[int, ...], bet
     offsets, pieces = _words(texts, between)
     hashes: list[list[np.ndarray]] = [[np.zeros(0, U)] for _ in sizes]
     begins = [np.zeros(0, np.int64)]
-    for lo, sums, starts, stops in pieces:
+    for lo, _, sums, starts, stops in pieces:
         back = _power(INVERSE, len(sums) - 1)[starts]
         for out, size in zip(hashes, sizes, strict=True):
             ends = np.minimum(starts + size, stops)
