@@ -13,13 +13,13 @@ from veldgraph.plans.retrieval import COS, RAW
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
 
-CONTRACTS = [
-    (1, "제1조(목적) 이 약관은 1억원을 지급합니다.\n\n둘째 문단 90일\n제2조(정의) C73 코드"), (2, "머리말 제1조(가) 안쪽 표시\n본문"), (3, None), (4, ""),
-]
+#: A contract text for each part: fixed wording with numbers of the row, an article within a line, nothing, or an empty text.
+CONTRACT = """CASE p_partkey % 4 WHEN 0 THEN '제1조(목적) 이 약관은 ' || (p_partkey % 9 + 1) || '억원을 지급합니다.' || chr(10) || chr(10) || '둘째 문단 ' || (p_partkey % 300 + 1) || '일' || chr(10) || '제2조(정의) C' || (p_partkey % 80 + 10) || ' 코드'
+WHEN 1 THEN '머리말 제1조(가) 안쪽 표시' || chr(10) || '본문 ' || p_name WHEN 2 THEN NULL ELSE '' END"""
 
 
 def _contracts(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(CONTRACTS, "id int, q string")
+    return t.part.select(F.col("p_partkey").alias("id"), F.expr(CONTRACT).alias("q"))
 
 
 @P.add(f"SELECT vec_id, {COS} AS score FROM embeddings ORDER BY {RAW} DESC, vec_id LIMIT 5")
@@ -38,25 +38,26 @@ def e_mock(t: Tables) -> DataFrame:
     return made.select("conv_id", "turn", F.size("v").alias("dim"), F.get("v", F.lit(0)).alias("first"), F.element_at("v", -1).alias("last"), whole.alias("total"))
 
 
-@P.add("SELECT * FROM (VALUES (1, 'C73')) v(id, code)")
+@P.add("SELECT p_partkey AS id, 'C' || (p_partkey % 80 + 10) AS code FROM part WHERE p_partkey % 4 = 0")
 def x_kcd_simple(t: Tables) -> DataFrame:
     return _contracts(t).select("id", F.explode(nlq.kcd_ranges(F.coalesce("q", F.lit("")))).alias("code"))
 
 
-@P.add("SELECT * FROM (VALUES (1, 1, '목적'), (1, 2, '정의'), (2, 0, '본문')) v(id, article, title)")
+@P.add("SELECT p_partkey AS id, unnest(CASE p_partkey % 4 WHEN 0 THEN [1, 2] WHEN 1 THEN [0] ELSE [] END)::INT AS article, unnest(CASE p_partkey % 4 WHEN 0 THEN ['목적', '정의'] WHEN 1 THEN ['본문'] ELSE [] END) AS title FROM part")
 def x_legal_parse_v2(t: Tables) -> DataFrame:
     """Articles at the beginning of a line only; a text without any is one body."""
     return parsers.mapped(_contracts(t), ["id"], "q", "article int, title string, body string", parsers.legal_lines).select("id", "article", "title")
 
 
-@P.add("SELECT * FROM (VALUES (1, 1, 2), (1, 2, 1), (2, 1, 1)) v(id, article, paragraphs)")
+@P.add("SELECT p_partkey AS id, unnest(CASE p_partkey % 4 WHEN 0 THEN [1, 2] WHEN 1 THEN [1] ELSE [] END)::INT AS article, unnest(CASE p_partkey % 4 WHEN 0 THEN [2, 1] WHEN 1 THEN [1] ELSE [] END)::INT AS paragraphs FROM part")
 def r_articles_v3(t: Tables) -> DataFrame:
     """Paragraphs end at blank lines."""
     found = parsers.mapped(_contracts(t), ["id"], "q", "article int, title string, paragraphs int", parsers.titled_articles)
     return found.select("id", "article", "paragraphs")
 
 
-@P.add("SELECT * FROM (VALUES (1, 2, 1, 1, 1, true), (2, 1, 0, 0, 0, false), (3, 0, 0, 0, 0, false), (4, 0, 0, 0, 0, false)) v(id, articles, amounts, periods, codes, complete)")
+@P.add("""
+SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::INT AS articles, (p_partkey % 4 = 0)::INT AS amounts, (p_partkey % 4 = 0)::INT AS periods, (p_partkey % 4 = 0)::INT AS codes, p_partkey % 4 = 0 AS complete FROM part""")
 def r_simple_flow(t: Tables) -> DataFrame:
     """Parse, extract and validate without a model: how much of each kind a text has."""
     docs = _contracts(t)
@@ -74,32 +75,12 @@ def r_simple_flow(t: Tables) -> DataFrame:
     return filled.withColumn("complete", (F.col("articles") > 0) & (F.col("amounts") > 0))
 
 
-def _mask(name: str, kind: str, cases: list[tuple[str, str]]) -> None:
-    """One query for each mask, on its own cases."""
-
-    def query(t: Tables) -> DataFrame:
-        rows = t.spark.createDataFrame([(v,) for v, _ in cases], "value string")
-        return rows.select("value", pii.MASKS[kind](F.col("value")).alias("masked"))
-
-    query.__name__ = name
-    P.add("SELECT * FROM (VALUES " + ", ".join(str(c) for c in cases) + ") v(value, masked)")(query)
-
-
-_mask("p_mask_email", "email", [("a@b.com", "a@b.com"), ("abc@b.com", "a**@b.com"), ("hong.gil@b.co.kr", "h******l@b.co.kr"), ("none", "none")])
-_mask("p_mask_phone", "phone", [("010-1234-5678", "010-****-5678"), ("0101234567", "010-****-4567"), ("123-456", "123-456"), ("02-345-6789", "02345****")])
-_mask("p_mask_ssn", "ssn", [("900101-1234567", "900101-1******"), ("9001", "9001")])
-_mask("p_mask_card", "credit_card", [("1234-5678-9012-3456", "****-****-****-3456"), ("1234", "1234")])
-_mask("p_mask_account", "bank_account", [("110-123-456789", "110-***-******789"), ("12", "12")])
-_mask("p_mask_ip", "ip_address", [("192.168.0.1", "192.168.***.***"), ("x", "x")])
-
-
-@P.add("SELECT page_id, regexp_matches(lower(html), '<script') AS script, regexp_matches(lower(html), 'javascript:') AS inline FROM pages")
+@P.add("SELECT page_id, " + ", ".join(f"regexp_matches(lower(html), '{p}') AS sign{i}" for i, p in enumerate(pii.XSS)) + " FROM pages")
 def i_xss(t: Tables) -> DataFrame:
-    low = F.lower("html")
-    return t.pages.select("page_id", low.rlike(pii.XSS[0]).alias("script"), low.rlike(pii.XSS[1]).alias("inline"))
+    """Which of the six signs of a script a page holds."""
+    return t.pages.select("page_id", *[F.lower("html").rlike(p).alias(f"sign{i}") for i, p in enumerate(pii.XSS)])
 
 
-@P.add("SELECT * FROM (VALUES ('../a b?.pdf', 'a_b_.pdf'), ('약관.pdf', '약관.pdf')) v(name, safe)")
+@P.add("SELECT p_partkey, replace(p_name, ' ', '_') || CASE p_partkey % 2 WHEN 0 THEN '_.pdf' ELSE '약관.pdf' END AS safe FROM part")
 def i_filename(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("../a b?.pdf",), ("약관.pdf",)], "name string")
-    return rows.select("name", pii.safe_filename(F.col("name")).alias("safe"))
+    return t.part.select("p_partkey", pii.safe_filename(F.expr("CASE p_partkey % 2 WHEN 0 THEN '../' || p_name || '?.pdf' ELSE p_name || '약관.pdf' END")).alias("safe"))

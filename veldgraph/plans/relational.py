@@ -411,9 +411,13 @@ def top_citations(t: Tables) -> DataFrame:
 # Set operations
 
 
-@P.add("WITH RECURSIVE m(i, d) AS (SELECT 0, DATE '2001-08-01' UNION ALL SELECT i + 1, (d - INTERVAL 1 MONTH)::DATE FROM m WHERE i < 11) SELECT strftime(d, '%Y-%m') AS month FROM m")
+@P.add("""
+WITH RECURSIVE b AS (SELECT date_trunc('month', min(o_orderdate))::DATE AS low, date_trunc('month', max(o_orderdate))::DATE AS high FROM orders),
+m(d, high) AS (SELECT low, high FROM b UNION ALL SELECT (d + INTERVAL 1 MONTH)::DATE, high FROM m WHERE d < high) SELECT strftime(d, '%Y-%m') AS month FROM m""")
 def set_union_all_rec(t: Tables) -> DataFrame:
-    return t.spark.range(12).select(F.date_format(F.add_months(F.lit("2001-08-01").cast("date"), -F.col("id").cast("int")), "yyyy-MM").alias("month"))
+    """All months from the first order to the last."""
+    ends = t.orders.agg(F.trunc(F.min("o_orderdate"), "month").alias("low"), F.trunc(F.max("o_orderdate"), "month").alias("high"))
+    return ends.select(F.explode(F.expr("sequence(low, high, interval 1 month)")).alias("m")).select(F.date_format("m", "yyyy-MM").alias("month"))
 
 
 @P.add("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldgraph.functions import text
-from veldgraph.operators import vector, vector_index
+from veldgraph.operators import batches, joins, vector, vector_index
 from veldgraph.plans import Plans, Tables
 from veldgraph.storage import scratch_path
 
@@ -115,13 +115,18 @@ def v_context_boost(t: Tables) -> DataFrame:
 
 
 @P.add(f"""
-WITH {LISTS}, f AS (SELECT vec_id, round(coalesce(0.5 / (60 + g.rank), 0) + coalesce(0.5 / (60 + v.rank), 0), 9)::DOUBLE AS score FROM g FULL JOIN v USING (vec_id)) SELECT vec_id, score FROM f ORDER BY score DESC, vec_id LIMIT 10""")
+WITH {LISTS}, f AS (SELECT vec_id, round(coalesce(0.5 / (60 + g.rank), 0) + coalesce(0.5 / (60 + v.rank), 0), 9)::DOUBLE AS score FROM g FULL JOIN v USING (vec_id)),
+h AS (SELECT * FROM f ORDER BY score DESC, vec_id LIMIT 10),
+r AS (SELECT vec_id, round(least(score * CASE WHEN contains(lower(coalesce(text, '')), 'the') THEN 1.5 ELSE 1 END * CASE WHEN length(coalesce(text, '')) > 500 THEN 0.9 ELSE 1 END, 1), 6)::DOUBLE AS score FROM h LEFT JOIN documents ON doc_id = vec_id)
+SELECT 'vector_only' AS strategy, vec_id, score FROM (SELECT vec_id, score FROM v ORDER BY rank LIMIT 10) UNION ALL SELECT 'graph_only', vec_id, score FROM (SELECT vec_id, score FROM g ORDER BY rank LIMIT 10) UNION ALL SELECT 'hybrid', * FROM h UNION ALL SELECT 'reranked', * FROM r""")
 def h_strategy(t: Tables) -> DataFrame:
-    """vector_only, graph_only, hybrid and reranked are these lists, their fusion and its reranking."""
+    """The best ten of each strategy: one list, the other, their fusion, and its reranking by the texts."""
     g, v = _lists(t)
-    hybrid = vector.reciprocal_rank_fusion(g, v, "vec_id")
-    plans = {"vector_only": v, "graph_only": g, "hybrid": hybrid}
-    return plans["hybrid"].orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "score")
+    hybrid = vector.reciprocal_rank_fusion(g, v, "vec_id").orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "score")
+    texts = t.documents.select(F.col("doc_id").alias("vec_id"), "text").join(F.broadcast(hybrid.select("vec_id")), "vec_id")  # ten rows
+    reranked = vector.reranked(hybrid.join(texts, "vec_id", "left").fillna("", "text"), "The")
+    plans = {"vector_only": v.orderBy("rank").limit(10), "graph_only": g.orderBy("rank").limit(10), "hybrid": hybrid, "reranked": reranked}
+    return joins.union_all([df.select(F.lit(name).alias("strategy"), "vec_id", "score") for name, df in plans.items()])
 
 
 @P.add(f"""
@@ -131,9 +136,11 @@ def h_rrf(t: Tables) -> DataFrame:
     return vector.reciprocal_rank_fusion(g, v, "vec_id", 0.7, 0.3).select("vec_id", "score", "first_seen.late", F.col("first_seen.rank").cast("long").alias("first_seen"))
 
 
-@P.add("SELECT i AS rank0, round(1.0::DOUBLE / (60 + i + 1), 9)::DOUBLE AS score FROM range(20) s(i)")
+@P.add("SELECT event_id, rank0, round(1.0::DOUBLE / (60 + rank0 + 1), 9)::DOUBLE AS score FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS rank0 FROM events)")
 def h_rrf_const(t: Tables) -> DataFrame:
-    return t.spark.range(20).select(F.col("id").alias("rank0"), F.round(F.lit(1.0) / (vector.RRF_K + F.col("id") + 1), 9).alias("score"))
+    """The share of one list alone: each user's events as a ranked list."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    return t.events.select("event_id", (rank - 1).cast("long").alias("rank0"), F.round(F.lit(1.0) / (vector.RRF_K + rank), 9).alias("score"))
 
 
 @P.add(f"WITH {LISTS} SELECT vec_id, round(coalesce(g.score, 0) * 0.6 + coalesce(v.score, 0) * 0.4, 6) AS score FROM g FULL JOIN v USING (vec_id)")
@@ -161,10 +168,15 @@ def h_score_stats(t: Tables) -> DataFrame:
     return v_cosine(t).agg(F.round(F.avg("score"), 5).alias("avg_score"), F.max("score").alias("max_score"), F.min("score").alias("min_score"))
 
 
-@P.add("SELECT conv_id, turn, 'Article ' || turn || ': ' || left(text, 100) AS formatted, (length(text) // 4)::INT AS tokens, (turn // 100)::BIGINT AS batch FROM conversations")
+@P.add("""
+WITH f AS (SELECT conv_id, turn, 'Article ' || turn || ': ' || left(text, 100) AS formatted, (length(text) // 4)::INT AS tokens, (row_number() OVER (ORDER BY conv_id, turn, text) - 1) // 100 AS batch FROM conversations)
+SELECT *, (('0x' || substr(md5(formatted || ':0'), 1, 8))::BIGINT - 2147483648) / 2147483648.0::DOUBLE AS first, (('0x' || substr(md5(formatted || ':63'), 1, 8))::BIGINT - 2147483648) / 2147483648.0::DOUBLE AS last FROM f""")
 def e_batch(t: Tables) -> DataFrame:
+    """Turns in batches of a hundred with the ends of their stand-in vectors."""
     formatted = F.concat(F.lit("Article "), F.col("turn").cast("string"), F.lit(": "), F.left("text", F.lit(100)))
-    return t.conversations.select("conv_id", "turn", formatted.alias("formatted"), F.floor(F.length("text") / 4).cast("int").alias("tokens"), F.floor(F.col("turn") / 100).cast("long").alias("batch"))
+    numbered = batches.numbered(t.conversations.select("conv_id", "turn", "text"), ["conv_id", "turn", "text"])
+    made = numbered.select("conv_id", "turn", formatted.alias("formatted"), F.floor(F.length("text") / 4).cast("int").alias("tokens"), F.floor(F.col("number") / 100).cast("long").alias("batch"))
+    return made.withColumn("v", vector.stand_in(F.col("formatted"), 64)).withColumns({"first": F.get("v", F.lit(0)), "last": F.element_at("v", -1)}).drop("v")
 
 
 @P.add("SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS clean FROM conversations")
@@ -172,11 +184,13 @@ def q_normalize_ws(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", text.collapsed(F.col("text")).alias("clean"))
 
 
-_ASKED = "(VALUES (1, '갑상선암 보장 금액은?'), (2, '암진단비를 알려주세요'), (3, '보장되나요'), (4, '제한이 있습니까?')) q(id, q)"
+_QUESTION = "CASE o_orderkey % 4 WHEN 0 THEN '갑상선암 ' || o_custkey || ' 보장 금액은?' WHEN 1 THEN '암진단비를 알려주세요 ' || o_orderpriority WHEN 2 THEN '보장되나요' ELSE 'is it covered? 제한이 있습니까?' END"
+_ASKED = f"(SELECT o_orderkey AS id, {_QUESTION} AS q FROM orders) q"
 
 
 def _asked(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(1, "갑상선암 보장 금액은?"), (2, "암진단비를 알려주세요"), (3, "보장되나요"), (4, "제한이 있습니까?")], "id int, q string")
+    """A question for each order, with what the order holds in it."""
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.expr(_QUESTION).alias("q"))
 
 
 @P.add(f"SELECT id, array_to_string(list_distinct_keep, '|') AS variations FROM (SELECT id, CASE WHEN contains(q, '?') THEN [q, replace(q, '?', '')] WHEN contains(q, '알려주세요') THEN [q, replace(q, '알려주세요', '')] ELSE [q] END AS list_distinct_keep FROM {_ASKED})")

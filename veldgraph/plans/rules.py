@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldgraph.functions import answers, checks, compliance, nlq, responses
-from veldgraph.operators import aggregates, extractions, graph
+from veldgraph.operators import aggregates, extractions, graph, joins
 from veldgraph.plans import Plans, Tables
 from veldgraph.plans.graph import GRAPH, edges_of, nodes_of
 
@@ -15,56 +15,76 @@ P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
 
 
-#: Answers with their citations (document_id, text, confidence).
+#: Answers with their citations (document_id, text, confidence). Each event draws one; what it cites is named after the event.
 ANSWERS = [
-    (1, "암 진단금?", "보험금은 전액 지급됩니다.", []),
-    (2, "면책 사항은?", "면책기간은 90일입니다.", [("d1", "제5조 면책기간은 90일로 한다.", 0.9)]),
-    (3, "비교", "가" * 400, [("d1", "short", 0.5)]),
-    (4, "금액", "1,000원, 2,000원, 30원 그리고 4.5%", [("d2", "x" * 20, None), ("", "x" * 20, 0.8)]),
-    (5, "?", "무조건 가입 가능, 반드시 100% 지급", []),
-    (6, "?", "보장" * 600, [("d3", "x" * 20, 0.6), ("d4", "x" * 20, 0.95)]),
-    (7, "?", "모든 경우 보장", [("d5", "x" * 20, 0.9)]),
+    ("암 진단금?", "보험금은 전액 지급됩니다.", []),
+    ("면책 사항은?", "면책기간은 90일입니다.", [("d1", "제5조 면책기간은 90일로 한다.", 0.9)]),
+    ("비교", "가" * 400, [("d1", "short", 0.5)]),
+    ("금액", "1,000원, 2,000원, 30원 그리고 4.5%", [("d2", "x" * 20, None), ("", "x" * 20, 0.8)]),
+    ("?", "무조건 가입 가능, 반드시 100% 지급", []),
+    ("?", "보장" * 600, [("d3", "x" * 20, 0.6), ("d4", "x" * 20, 0.95)]),
+    ("?", "모든 경우 보장", [("d5", "x" * 20, 0.9)]),
 ]
 
 
+def _drawn(t: Tables, cases: list[tuple], schema: str) -> DataFrame:
+    """Each event with the case that its id draws."""
+    known = t.spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"k long, {schema}")
+    return t.events.select(F.col("event_id").alias("id"), "event_type", (F.col("event_id") % len(cases)).alias("k")).join(F.broadcast(known), "k").drop("k")  # a few rows
+
+
 def _answers(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(ANSWERS, f"id int, question string, answer string, citations {compliance.CITATIONS}")
+    drawn = _drawn(t, ANSWERS, f"question string, answer string, citations {compliance.CITATIONS}")
+    named = lambda c: F.when(c["document_id"] != "", F.concat_ws("-", c["document_id"], "id")).otherwise("")
+    cited = F.transform("citations", lambda c: F.struct(named(c).alias("document_id"), c["text"].alias("text"), c["confidence"].alias("confidence")))
+    return drawn.withColumns({"citations": cited, "question": F.concat_ws(" ", "question", "event_type")})
 
 
 def _sql(columns: str, *rows: tuple) -> str:
+    """What is expected of each event, by the case that it draws."""
     shown = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) v({columns})"
+    n = max(r[0] for r in rows)
+    values = ", ".join("(" + ", ".join(map(shown, (r[0] - 1, *r[1:]))) + ")" for r in rows)
+    rest = columns.split(", ", 1)[1]
+    return f"SELECT event_id AS id, {rest} FROM events JOIN (VALUES {values}) v(k, {rest}) ON k = event_id % {n}"
 
 
-@P.add(_sql("id, shown", (1, "간암의 경우 다음과 같이 보장됩니다:\n\n- 암진단\n\n총 1억원원의 보장을 받으실 수 있습니다."), (2, "가입 가능 연령은 15세부터 60세까지입니다."), (3, "답"), (4, "죄송합니다. 치매에 대한 정보를 찾을 수 없습니다.\n\n다른 질문을 해주시거나, 더 구체적으로 질문해주세요.")))
+@P.add("""
+SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name || '의 경우 다음과 같이 보장됩니다:' || chr(10) || chr(10) || '- ' || p_type || chr(10) || chr(10) || '총 ' || p_size || '억원원의 보장을 받으실 수 있습니다.'
+WHEN 1 THEN '가입 가능 연령은 ' || p_size || '세부터 ' || (p_size + 40) || '세까지입니다.' WHEN 2 THEN p_brand ELSE '죄송합니다. ' || p_brand || '에 대한 정보를 찾을 수 없습니다.' || chr(10) || chr(10) || '다른 질문을 해주시거나, 더 구체적으로 질문해주세요.' END AS shown FROM part""")
 def a_templates(t: Tables) -> DataFrame:
     """The template of an intent with its variables filled in; another intent has the general one."""
-    rows = [
-        (1, "coverage_amount", True, {"disease_name": "간암", "coverage_list": "- 암진단", "total_amount": "1억원"}), (2, "age_limit", True, {"min_age": "15", "max_age": "60"}), (3, "complex_query", True, {"answer": "답"}), (4, "coverage_amount", False, {"query": "치매"}),
-    ]
-    asked = t.spark.createDataFrame(rows, "id int, intent string, has_results boolean, variables map<string,string>")
-    return asked.select("id", answers.rendered(answers.template(F.col("intent"), F.col("has_results")), F.col("variables")).alias("shown"))
+    k, size = F.col("p_partkey") % 4, F.col("p_size")
+    intent = F.when(k == 1, "age_limit").when(k == 2, "complex_query").otherwise("coverage_amount")
+    values = {"disease_name": "p_name", "coverage_list": F.concat(F.lit("- "), "p_type"), "total_amount": F.concat(size.cast("string"), F.lit("억원")), "min_age": size.cast("string"), "max_age": (size + 40).cast("string"), "answer": "p_brand", "query": "p_brand"}
+    variables = F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.col(v) if isinstance(v, str) else v)])
+    return t.part.select(F.col("p_partkey").alias("id"), answers.rendered(answers.template(intent, k != 3), variables).alias("shown"))
 
 
-def _result(**known: object) -> tuple:
-    return tuple(known.get(k) for k in "disease_name coverage_name amount is_covered coverages days min_age max_age product_name description body item1 names1 item2 names2".split())
+_EOK = "CASE WHEN total >= 100000000 AND total % 100000000 = 0 THEN total // 100000000 || '억원' WHEN total >= 100000000 THEN total // 100000000 || '억 ' || total % 100000000 // 10000 || '만원' WHEN total >= 10000 THEN total // 10000 || '만원' ELSE format('{:,}', total) || '원' END"
 
 
-@P.add(_sql("id, answer, format, confidence",
-    (1, "간암의 경우 다음과 같이 보장됩니다:\n\n- 암진단: 100,000,000원\n\n총 1억원원의 보장을 받으실 수 있습니다.", "table", 0.9), (2, "간암은(는) 보장 대상입니다.\n\n다음 보장에 포함됩니다:\n- 암수술", "text", 0.95),
-    (3, "치매은(는) 현재 보장 대상이 아닙니다.\n\n보장받으시려면 다른 상품을 확인해보시기 바랍니다.", "text", 0.95), (4, "제외되는 질병 정보를 찾을 수 없습니다.", "text", 0.5), (5, "다음 질병은 보장에서 제외됩니다:\n\n- 치매\n- 간염", "list", 0.9),
-    (6, "해당 보장의 대기기간은 90일입니다.\n\n계약일로부터 90일 이후에 발생한 사고에 대해 보장받으실 수 있습니다.", "text", 0.95), (7, "죄송합니다. 나이에 대한 정보를 찾을 수 없습니다.\n\n다른 질문을 해주시거나, 더 구체적으로 질문해주세요.", "text", 0.0), (8, "본문", "text", 0.7),
-    (9, "A과(와) B의 보장 비교:\n\n**공통점:**\n- 공통 보장: y\n\n**차이점:**\n- A만 해당: w, x", "comparison", 0.85), (10, "**보험 상품**\n\n\n\n**주요 보장:**\n- 암진단: 1,000원\n- 알 수 없음", "summary", 0.85), (11, "정보를 찾았습니다.", "text", 0.7)))
+@P.add(f"""
+WITH l AS (SELECT l_orderkey, string_agg('- ' || p_name || ': ' || format('{{:,}}', w) || '원', chr(10) ORDER BY w, p_partkey) AS paid, string_agg('- ' || p_brand, chr(10) ORDER BY w, p_partkey) AS brands, sum(w)::BIGINT AS total, arg_min(p_brand, (w, p_partkey)) AS brand, arg_min(p_size, (w, p_partkey)) AS days
+ FROM (SELECT l_orderkey, p_name, p_brand, p_size, p_partkey, round(l_extendedprice)::BIGINT AS w FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY l_orderkey)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 1 AND l_orderkey IS NULL THEN '제외되는 질병 정보를 찾을 수 없습니다.' WHEN l_orderkey IS NULL THEN '죄송합니다. ' || o_orderpriority || '에 대한 정보를 찾을 수 없습니다.' || chr(10) || chr(10) || '다른 질문을 해주시거나, 더 구체적으로 질문해주세요.'
+ WHEN o_orderkey % 4 = 0 THEN brand || '의 경우 다음과 같이 보장됩니다:' || chr(10) || chr(10) || paid || chr(10) || chr(10) || '총 ' || {_EOK} || '원의 보장을 받으실 수 있습니다.' WHEN o_orderkey % 4 = 1 THEN '다음 질병은 보장에서 제외됩니다:' || chr(10) || chr(10) || brands
+ WHEN o_orderkey % 4 = 2 THEN '해당 보장의 대기기간은 ' || days || '일입니다.' || chr(10) || chr(10) || '계약일로부터 ' || days || '일 이후에 발생한 사고에 대해 보장받으실 수 있습니다.' ELSE '정보를 찾았습니다.' END AS answer,
+ CASE WHEN l_orderkey IS NULL THEN 'text' WHEN o_orderkey % 4 = 0 THEN 'table' WHEN o_orderkey % 4 = 1 THEN 'list' ELSE 'text' END AS format, CASE WHEN l_orderkey IS NULL THEN CASE o_orderkey % 4 WHEN 1 THEN 0.5 ELSE 0 END WHEN o_orderkey % 4 = 2 THEN 0.95 WHEN o_orderkey % 4 = 3 THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence
+FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def a_generate(t: Tables) -> DataFrame:
-    """The answer to an intent, its format and confidence, from the rows that were found."""
-    rows = [
-        (1, "coverage_amount", "?", [_result(disease_name="간암", coverage_name="암진단", amount=100_000_000), _result(disease_name="간암", coverage_name="", amount=5), _result(coverage_name="무", amount=0)]),
-        (2, "coverage_check", "?", [_result(disease_name="간암", is_covered=True, coverages=["암수술", ""])]), (3, "coverage_check", "?", [_result(disease_name="치매", is_covered=False)]),
-        (4, "exclusion_check", "?", []), (5, "exclusion_check", "?", [_result(disease_name="치매"), _result(), _result(disease_name="간염")]), (6, "waiting_period", "?", [_result(days=90)]), (7, "age_limit", "나이", []), (8, "general_info", "?", [_result(body="본문")]),
-        (9, "disease_comparison", "?", [_result(item1="A", names1=["x", "y", "w"], item2="B", names2=["y"])]), (10, "product_summary", "?", [_result(coverage_name="암진단", amount=1000), _result()]), (11, None, None, [_result()]),
-    ]
-    asked = t.spark.createDataFrame(rows, f"id int, intent string, query string, results {responses.RESULTS}")
-    return asked.select("id", responses.generated(F.col("intent"), F.col("query"), F.col("results")).alias("g")).select("id", "g.*")
+    """The answer to an intent, its format and confidence, from an order's lines as the rows that were found."""
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_size")
+    won = F.round("l_extendedprice").cast("long")
+    fields = {"amount": won, "coverage_name": F.when(F.col("l_orderkey") % 4 == 0, F.col("p_name")), "disease_name": F.col("p_brand"), "days": F.col("p_size")}
+    types = dict(x.split(":") for x in responses.RESULTS.replace("\n", "").removeprefix("array<struct<").removesuffix(">>").replace("array<string>", "array").split(","))
+    result = F.struct(*[fields.get(c, F.lit(None)).cast(k.replace("array", "array<string>")).alias(c) for c, k in types.items()])
+    found = t.lineitem.join(parts, "l_partkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(won.alias("w"), "l_partkey", result.alias("r")))).alias("x"))
+    found = found.select(F.col("l_orderkey").alias("o_orderkey"), F.transform("x", lambda y: y["r"]).alias("results"))
+    k = F.col("o_orderkey") % 4
+    intent = F.when(k == 0, "coverage_amount").when(k == 1, "exclusion_check").when(k == 2, "waiting_period").otherwise("?")
+    asked = t.orders.join(found, "o_orderkey", "left").withColumn("results", F.coalesce("results", F.array().cast(responses.RESULTS)))
+    return asked.select(F.col("o_orderkey").alias("id"), responses.generated(intent, F.col("o_orderpriority"), F.col("results")).alias("g")).select("id", "g.*")
 
 
 @P.add(f"WITH {GRAPH} SELECT d.name AS disease, count(c.amount) AS n, sum(c.amount)::BIGINT AS total FROM edges e JOIN nodes d ON e.dst = d.node_id JOIN nodes c ON e.src = c.node_id WHERE rel_type = 'COVERS' GROUP BY d.name")
@@ -106,10 +126,10 @@ def a_confidence(t: Tables) -> DataFrame:
 def a_validate(t: Tables) -> DataFrame:
     """Answers against their sources: a short one that leaves out an exception, a sound one, an invented one, one that cites what was not found."""
     rows = [
-        (1, "암 보험금은 얼마?", "암 보험금은 3000만원 지급됩니다.", ["n1"], [("n1", "암 진단 시 3000만원 지급")], 0.9), (2, "보험금은?", "보험금은 3000만원이며 " + "가" * 40, ["n1"], [("n1", "3000만원 지급")], 0.8),
-        (3, "", "대략 C73 치료 시 500만원", [], [("n1", "본문")], 1.0), (4, "나다", "가" * 60, ["n9"], [("n1", "본문"), ("n2", None)], 1.0),
+        ("암 보험금은 얼마?", "암 보험금은 3000만원 지급됩니다.", ["n1"], [("n1", "암 진단 시 3000만원 지급")], 0.9), ("보험금은?", "보험금은 3000만원이며 " + "가" * 40, ["n1"], [("n1", "3000만원 지급")], 0.8),
+        ("", "대략 C73 치료 시 500만원", [], [("n1", "본문")], 1.0), ("나다", "가" * 60, ["n9"], [("n1", "본문"), ("n2", None)], 1.0),
     ]
-    asked = t.spark.createDataFrame(rows, "id int, question string, answer string, cited array<string>, results array<struct<node_id:string,text:string>>, confidence double")
+    asked = _drawn(t, rows, "question string, answer string, cited array<string>, results array<struct<node_id:string,text:string>>, confidence double")
     found = asked.withColumn("i", checks.answer_issues(F.col("question"), F.col("answer"), F.col("cited"), F.col("results")))
     shown = F.array_join(F.transform("i", lambda x: F.concat_ws(" ", x["stage"], x["level"])), ",")
     return found.select("id", checks.answer_verdict(F.col("i"), F.col("confidence")).alias("v"), shown.alias("issues")).select("id", "v.*", "issues")
@@ -117,8 +137,8 @@ def a_validate(t: Tables) -> DataFrame:
 
 @P.add(_sql("id, issues", (1, "exclusions"), (2, "query"), (3, ""), (4, "query"), (5, "")))
 def a_complete(t: Tables) -> DataFrame:
-    rows = [(1, ["암"], "암은 보장됩니다", ["다만 90일 이내 제외"]), (2, ["암"], "지급합니다", ["plain"]), (3, [], "ok", []), (4, ["암"], "다만 안 됩니다", ["제외"]), (5, ["a"], "A", ["s1", "s2", "s3", "s4", "s5", "제외"])]
-    asked = t.spark.createDataFrame(rows, "id int, words array<string>, answer string, sources array<string>")
+    rows = [(["암"], "암은 보장됩니다", ["다만 90일 이내 제외"]), (["암"], "지급합니다", ["plain"]), ([], "ok", []), (["암"], "다만 안 됩니다", ["제외"]), (["a"], "A", ["s1", "s2", "s3", "s4", "s5", "제외"])]
+    asked = _drawn(t, rows, "words array<string>, answer string, sources array<string>")
     return asked.select("id", F.array_join(compliance.completeness_issues(F.col("words"), F.col("answer"), F.col("sources")), ",").alias("issues"))
 
 
@@ -160,27 +180,39 @@ def k_level(t: Tables) -> DataFrame:
     return _answers(t).select("id", found.alias("level"))
 
 
-#: Documents as they were read: sound, with a fault of each kind, empty, and without any result.
-READ = [
-    (1, [("1", ["a", "b"]), ("2", ["c"])], [1000.0], [90], [("C73", True)], [("a", "b", 0.9)], [("x", "y")], 0.9),
-    (2, [("1", ["", "x"]), ("1", []), ("3", None)], [0.0, 2e10, None], [-1, 4000, 30], [("ZZ", False)], [("", "b", 0.4), ("a", None, 0.9)], [("x", None), ("y", "z")], 0.69),
-    (3, [], [], [], [], [], [], 0.7),
-    (4, None, None, None, None, None, None, None),
-]
 _PARTS = ["articles", "amounts", "periods", "codes", "relations", "links"]
 
 
 def _read(t: Tables) -> DataFrame:
-    schema = "id int, articles array<struct<num:string,paragraphs:array<string>>>, amounts array<double>, periods array<int>, codes array<struct<code:string,is_valid:boolean>>, relations array<struct<subject:string,object:string,confidence:double>>, links array<struct<mention:string,matched:string>>, quality double"
-    return t.spark.createDataFrame(READ, schema).withColumn("issues", checks.data_issues(*[F.col(c) for c in _PARTS]))
+    """Each order as a document that was read, its lines as what was found in it; every eleventh order has no result at all."""
+    c = F.col
+    fields = {
+        "articles": F.struct(c("l_linenumber").cast("string").alias("num"), F.when(c("l_returnflag") == "R", F.array().cast("array<string>")).otherwise(F.array(F.when(c("l_returnflag") == "N", "").otherwise("x"), c("l_linestatus"))).alias("paragraphs")),
+        "amounts": (c("l_extendedprice") - 20_000) * F.when(c("l_tax") > 0.07, 1_000_000).otherwise(1), "periods": (c("l_quantity").cast("int") - 5) * F.when(c("l_tax") < 0.01, 100).otherwise(1),
+        "codes": F.struct(c("l_partkey").cast("string").alias("code"), (c("l_tax") > 0.02).alias("is_valid")), "links": F.struct(F.lit("m").alias("mention"), F.when(c("l_tax") != 0, "x").alias("matched")),
+        "relations": F.struct(F.when(c("l_returnflag") == "A", " ").otherwise("s").alias("subject"), F.when(c("l_linestatus") == "F", "o").alias("object"), (c("l_discount") * 10).alias("confidence")),
+    }
+    lines = t.lineitem.groupBy(c("l_orderkey").alias("id")).agg(*[F.collect_list(v).alias(k) for k, v in fields.items()])
+    docs = t.orders.select(c("o_orderkey").alias("id"), F.when(c("o_orderkey") % 11 > 0, F.round(c("o_totalprice") / 500_000, 6)).alias("quality")).join(lines, "id", "left")
+    known = {k: F.when(c("id") % 11 > 0, F.coalesce(c(k), F.array().cast(docs.schema[k].dataType))) for k in _PARTS}
+    return docs.withColumns(known).withColumn("issues", checks.data_issues(*[c(k) for k in _PARTS]))
+
+
+_ISSUES = """
+WITH a AS (SELECT *, (l_extendedprice - 20000) * CASE WHEN l_tax > 0.07 THEN 1000000 ELSE 1 END AS amount, (l_quantity::INT - 5) * CASE WHEN l_tax < 0.01 THEN 100 ELSE 1 END AS days FROM lineitem),
+n AS (SELECT o_orderkey AS id, round(o_totalprice / 500000, 6)::DOUBLE AS quality, count(l_orderkey) AS lines, count(l_orderkey) - count(DISTINCT l_linenumber) AS repeated, count(*) FILTER (l_returnflag = 'R') AS bare, count(*) FILTER (l_returnflag = 'N') AS blank, count(*) FILTER (amount <= 0) AS invalid, count(*) FILTER (amount > 10000000000) AS large,
+ count(*) FILTER (days <= 0) AS negative, count(*) FILTER (days > 3650) AS long, count(*) FILTER (l_tax <= 0.02) AS codes, count(*) FILTER (l_returnflag = 'A') AS subject, count(*) FILTER (l_linestatus <> 'F') AS object, count(*) FILTER (l_discount * 10 < 0.5) AS low, count(*) FILTER (l_tax = 0) AS failed
+ FROM orders LEFT JOIN a ON l_orderkey = o_orderkey WHERE o_orderkey % 11 > 0 GROUP BY ALL),
+i AS (SELECT id, quality, unnest([{'i': 'no articles', 's': 'critical', 'n': (lines = 0)::BIGINT}, {'i': 'repeated articles', 's': 'warning', 'n': repeated}, {'i': 'articles without paragraphs', 's': 'warning', 'n': bare}, {'i': 'empty paragraphs', 's': 'info', 'n': blank}, {'i': 'no data', 's': 'warning', 'n': (lines = 0)::BIGINT},
+ {'i': 'invalid amounts', 's': 'error', 'n': invalid}, {'i': 'large amounts', 's': 'warning', 'n': large}, {'i': 'invalid periods', 's': 'error', 'n': negative}, {'i': 'long periods', 's': 'warning', 'n': long}, {'i': 'invalid codes', 's': 'warning', 'n': codes}, {'i': 'no relations', 's': 'warning', 'n': (lines = 0)::BIGINT},
+ {'i': 'no subject', 's': 'error', 'n': subject}, {'i': 'no object', 's': 'error', 'n': object}, {'i': 'low confidence', 's': 'info', 'n': low}, {'i': 'no links', 's': 'warning', 'n': (lines = 0)::BIGINT}, {'i': 'failed links', 's': 'info', 'n': failed}]) AS x FROM n)"""
 
 
-@P.add(_sql("id, issue, severity, n, link_rate", (1, None, None, None, 1.0),
-    (2, "repeated articles", "warning", 1, 0.5), (2, "articles without paragraphs", "warning", 2, 0.5), (2, "empty paragraphs", "info", 1, 0.5), (2, "invalid amounts", "error", 1, 0.5), (2, "large amounts", "warning", 1, 0.5), (2, "invalid periods", "error", 1, 0.5), (2, "long periods", "warning", 1, 0.5),
-    (2, "invalid codes", "warning", 1, 0.5), (2, "no subject", "error", 1, 0.5), (2, "no object", "error", 1, 0.5), (2, "low confidence", "info", 1, 0.5), (2, "failed links", "info", 1, 0.5),
-    (3, "no articles", "critical", 1, 0.0), (3, "no data", "warning", 1, 0.0), (3, "no relations", "warning", 1, 0.0), (3, "no links", "warning", 1, 0.0), (4, None, None, None, 0.0)))
+@P.add(f"""
+{_ISSUES} SELECT o.o_orderkey AS id, x.i AS issue, x.s AS severity, x.n AS n, round(coalesce(CASE WHEN lines > 0 AND o.o_orderkey % 11 > 0 THEN 1 - failed / lines END, 0), 6)::DOUBLE AS link_rate
+FROM orders o LEFT JOIN n ON n.id = o.o_orderkey LEFT JOIN (SELECT * FROM i WHERE x.n > 0) i ON i.id = o.o_orderkey""")
 def d_data_valid(t: Tables) -> DataFrame:
-    shown = _read(t).select("id", F.explode_outer("issues").alias("i"), checks.link_rate(F.col("links")).alias("link_rate"))
+    shown = _read(t).select("id", F.explode_outer("issues").alias("i"), F.round(F.coalesce(checks.link_rate(F.col("links")), F.lit(0.0)), 6).alias("link_rate"))
     return shown.select("id", "i.issue", "i.severity", "i.n", "link_rate")
 
 
@@ -196,11 +228,26 @@ def d_graph_valid(t: Tables) -> DataFrame:
     return graph.issues(nodes_of(t), edges_of(t))
 
 
-@P.add(_sql("id, completeness, accuracy, consistency, coverage, overall", (1, 1.0, 1.0, 1.0, 1.0, 1.0), (2, 0.7, 0.4, 0.55, 0.3, 0.5125), (3, 0.0, 0.0, 0.0, 0.0, 0.0)))
+_QUALITY = """
+WITH x AS (SELECT p_partkey AS id, p_partkey AS k, p_size AS n FROM part), q AS (SELECT id,
+ greatest(0, least(1, 1 - 0.3 * (k % 2)::INT - 0.2 * (k // 2 % 2)::INT - 0.2 * (k // 4 % 2)::INT - 0.1 * (k // 8 % 2)::INT - 0.1 * (k // 16 % 2)::INT - 0.1 * (k // 32 % 2)::INT)) AS completeness, greatest(0, least(1, 1 - 0.3 * (k % 3) - 0.1 * (k % 5) - 0.02 * (k % 7))) AS accuracy,
+ greatest(0, least(1, 1 - 0.4 * (k // 64 % 2)::INT - (k % 4) / greatest(n, 1) * 0.3 - (k % 5) / greatest(n, 1) * 0.2 - (k % 6) / greatest(n, 1) * 0.2)) AS consistency,
+ greatest(0, least(1, CASE WHEN k % 20 > 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 20 >= 10 THEN 0.1 ELSE 0 END + CASE WHEN n > 0 THEN 0.1 ELSE 0 END + CASE WHEN n >= 50 THEN 0.1 ELSE 0 END + CASE WHEN k % 3 > 0 THEN 0.1 ELSE 0 END + CASE WHEN k % 4 > 0 THEN 0.05 ELSE 0 END + CASE WHEN k % 5 > 0 THEN 0.05 ELSE 0 END
+  + CASE WHEN k % 15 > 0 THEN 0.1 ELSE 0 END + CASE WHEN k % 15 >= 10 THEN 0.1 ELSE 0 END + (k % 11) / 10 * 0.2)) AS coverage FROM x)
+SELECT id, round(completeness, 6)::DOUBLE AS completeness, round(accuracy, 6)::DOUBLE AS accuracy, round(consistency, 6)::DOUBLE AS consistency, round(coverage, 6)::DOUBLE AS coverage,
+ floor((round(completeness, 6) * 0.3 + round(accuracy, 6) * 0.3 + round(consistency, 6) * 0.25 + round(coverage, 6) * 0.15) * 1000 + 0.01)::BIGINT AS overall_milli FROM q"""
+
+
+@P.add(_QUALITY)
 def d_quality(t: Tables) -> DataFrame:
-    """The quality of what was read from a document, from the outcome of its checks."""
-    rows = [(1, *[True] * 7, 0, 0, 0, 0, 0, 0, 100, 50, 10, 50, 1, 1, 1, 10, 1.0), (2, False, *[True] * 5, False, 1, 2, 5, 10, 0, 5, 100, 50, 1, 0, 0, 0, 0, 0, 0.5), (3, *[False] * 7, 5, 5, 5, 9, 9, 9, 9, 9, 0, 0, 0, 0, 0, 0, 0.0)]
-    return t.spark.createDataFrame(rows, answers.CHECKED).select("id", *[c.alias(k) for k, c in answers.quality().items()])
+    """The quality of what was read from a document, from the outcome of its checks; a part's key and size give outcomes and counts."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    flags = ["structure_valid", "critical_valid", "relations_valid", "entities_valid", "nodes_valid", "edges_valid", "consistent"]
+    bits = {name: F.shiftright(k, i) % 2 == 0 for i, name in enumerate(flags)}
+    counts = {"criticals": k % 3, "errors": k % 5, "warnings": k % 7, "orphans": k % 4, "duplicates": k % 5, "invalid": k % 6, "nodes": n, "edges": n, "articles": k % 20, "paragraphs": n, "amounts": k % 3, "periods": k % 4, "codes": k % 5, "relations": k % 15, "link_rate": k % 11 / 10}
+    checked = t.part.select(k.alias("id"), *[v.alias(c) for c, v in (bits | counts).items()])
+    found = checked.select("id", *[v.alias(c) for c, v in answers.quality().items()])
+    return found.withColumn("overall_milli", F.floor(F.col("overall") * 1000 + 0.01)).drop("overall")
 
 
 @P.add("""
@@ -225,24 +272,40 @@ def d_pipeline(t: Tables) -> DataFrame:
     return s.select("source", checks.pipeline_report(64).alias("r")).select("source", "r.checks", "r.passed", "r.ok")
 
 
-@P.add(_sql("id, score", (1, 100), (2, 30), (3, 90), (4, 40), (5, 20), (6, 80)))
+@P.add("""
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN 20 + c_custkey % 50 END AS age, CASE c_custkey % 3 WHEN 0 THEN 'life' WHEN 1 THEN 'health' ELSE 'auto' END AS product, c_mktsegment = 'BUILDING' AS same, CASE WHEN c_custkey % 4 > 0 THEN n_name ELSE '' END AS city, count(o_orderkey) AS n
+ FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+SELECT c_custkey, greatest(0, least(100, 50 + CASE WHEN product = 'life' AND age BETWEEN 30 AND 50 THEN 20 WHEN product = 'life' AND age > 50 THEN 10 WHEN product = 'health' AND age < 40 THEN 25 WHEN product = 'health' AND age >= 40 THEN 15 ELSE 0 END
+ + CASE WHEN same THEN -30 ELSE 15 END + CASE WHEN coalesce(city, '') <> '' THEN 5 ELSE 0 END + CASE WHEN n > 3 THEN 10 ELSE 0 END))::INT AS score FROM c""")
 def m_matching(t: Tables) -> DataFrame:
-    rows = [(1, 40, "life", False, "Seoul", 4), (2, 55, "life", True, None, 0), (3, 30, "health", False, "", 0), (4, 45, "health", True, "x", 3), (5, None, "life", True, None, 0), (6, 35, "auto", False, "B", 9)]
-    asked = t.spark.createDataFrame(rows, "id int, age int, product string, has_same boolean, city string, consultations int")
-    return asked.select("id", compliance.matching_score(F.col("age"), F.col("product"), F.col("has_same"), F.col("city"), F.col("consultations")).alias("score"))
+    """Customers and a product each; orders stand for consultations, nations for cities."""
+    asked = joins.with_child_count(t.customer, t.orders, "c_custkey", "o_custkey", "n").join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
+    k = F.col("c_custkey")
+    age, product, city = F.when(k % 9 > 0, 20 + k % 50), F.when(k % 3 == 0, "life").when(k % 3 == 1, "health").otherwise("auto"), F.when(k % 4 > 0, F.col("n_name")).otherwise("")
+    return asked.select("c_custkey", compliance.matching_score(age, product, F.col("c_mktsegment") == "BUILDING", city, F.col("n")).cast("int").alias("score"))
 
 
-@P.add(_sql("id, place, step, allowed", (1, 1, "discovered>queued", True), (1, 2, "queued>downloading", True), (1, 3, "downloading>processing", True), (1, 4, "processing>completed", True), (1, 5, "completed>queued", False), (2, 1, "discovered>failed", False), (2, 2, "failed>queued", True), (2, 3, "queued>ignored", True), (2, 4, "ignored>discovered", True)))
+#: Statuses that types of events stand for.
+_STATUS = {"view": "discovered", "click": "queued", "signup": "downloading", "purchase": "processing", "error": "failed"}
+
+
+@P.add(f"""
+WITH s AS (SELECT event_id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items())} ELSE 'completed' END AS status, user_id, ts FROM events),
+b AS (SELECT event_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s)
+SELECT event_id, before || '>' || status AS step, (before, status) IN (('discovered', 'queued'), ('discovered', 'ignored'), ('queued', 'downloading'), ('queued', 'failed'), ('queued', 'ignored'), ('downloading', 'processing'), ('downloading', 'failed'), ('processing', 'completed'), ('processing', 'failed'), ('failed', 'queued'),
+ ('failed', 'ignored'), ('ignored', 'discovered')) AS allowed FROM b WHERE before IS NOT NULL""")
 def m_transition(t: Tables) -> DataFrame:
-    """Steps between the statuses of a document, against the allowed ones."""
-    history = {1: ["discovered", "queued", "downloading", "processing", "completed", "queued"], 2: ["discovered", "failed", "queued", "ignored", "discovered"]}
-    rows = t.spark.createDataFrame([(i, k, x) for i, h in history.items() for k, x in enumerate(h)], "id int, place int, status string")
-    before = F.lag("status").over(Window.partitionBy("id").orderBy("place"))
+    """Steps between the statuses of a document, against the allowed ones; users stand for documents, their events for statuses."""
+    status = F.coalesce(F.create_map(*[F.lit(x) for kv in _STATUS.items() for x in kv])[F.col("event_type")], F.lit("completed"))
+    rows = t.events.withColumn("status", status)
+    before = F.lag("status").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     steps = rows.withColumn("before", before).filter("before is not null")
-    return steps.select("id", "place", F.concat_ws(">", "before", "status").alias("step"), compliance.allowed_step(F.col("before"), F.col("status")).alias("allowed"))
+    return steps.select("event_id", F.concat_ws(">", "before", "status").alias("step"), compliance.allowed_step(F.col("before"), F.col("status")).alias("allowed"))
 
 
-@P.add(_sql("id, total, critical, errors, warnings, valid, acceptable", (1, 0, 0, 0, 0, True, True), (2, 12, 0, 4, 5, False, False), (3, 4, 1, 0, 3, False, True), (4, 0, 0, 0, 0, True, None)))
+@P.add(f"""
+{_ISSUES}, c AS (SELECT id, any_value(quality) AS quality, count(*) FILTER (x.n > 0) AS total, count(*) FILTER (x.n > 0 AND x.s = 'critical') AS critical, count(*) FILTER (x.n > 0 AND x.s = 'error') AS errors, count(*) FILTER (x.n > 0 AND x.s = 'warning') AS warnings FROM i GROUP BY id)
+SELECT o_orderkey AS id, coalesce(total, 0)::INT AS total, coalesce(critical, 0)::INT AS critical, coalesce(errors, 0)::INT AS errors, coalesce(warnings, 0)::INT AS warnings, coalesce(critical + errors, 0) = 0 AS valid, quality >= 0.7 AS acceptable FROM orders LEFT JOIN c ON id = o_orderkey""")
 def r_validate_all(t: Tables) -> DataFrame:
     return _read(t).select("id", checks.report(F.col("issues"), F.col("quality")).alias("r")).select("id", "r.*")
 
@@ -275,7 +338,7 @@ def r_llm_parse(t: Tables) -> DataFrame:
 
 @P.add(_sql("id, name, code, category", (1, "암", "C00-C97", "암"), (2, "심근경색", "I21", "심혈관질환"), (3, "감기", None, None), (4, None, None, None)))
 def r_disease_kb(t: Tables) -> DataFrame:
-    asked = t.spark.createDataFrame([(1, "암"), (2, " 심근경색 "), (3, "감기"), (4, None)], "id int, q string")
+    asked = _drawn(t, [("암",), (" 심근경색 ",), ("감기",), (None,)], "q string")
     return asked.select("id", nlq.known_disease(F.col("q")).alias("k")).select("id", "k.*")
 
 

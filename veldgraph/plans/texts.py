@@ -1,4 +1,4 @@
-"""Text queries: questions, extraction, chunks, similarity, templates and personal data. Korean inputs are literals, since the tables hold none."""
+"""Text queries: questions, extraction, chunks, similarity, templates and personal data. Korean inputs are made from rows of the tables, which hold none: fixed wording with the rows' numbers and names, from which the SQL tells what is expected."""
 
 from __future__ import annotations
 
@@ -7,41 +7,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldgraph.functions import nlq, parsers, pii, text
+from veldgraph.operators import fuzzy
 from veldgraph.plans import Plans, Tables
 from veldgraph.sources import ontology
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
 
-QUESTIONS = [
-    (1, "갑상선암 보장 금액은 얼마인가요?"), (2, "간암은 보장되나요?"), (3, "갑상선암과 간암의 보장 차이는?"), (4, "대기기간은 언제부터 90일 인가요"),
-    (5, "C73 코드와 I21.9 진단 시 1억원 이상 보장"), (6, "면책 제외 사항"), (7, "hello world C77"), (8, "약관 상품 요약"), (9, "3년 6개월 2주 수술 입원 암진단특약 5천만원 이하"), (10, ""),
-]
-LEGAL = [
-    (1, "제10조 [암진단급여금 지급]\n① 회사는 1억 5천만원을 지급합니다. ② 다만, 계약일로부터 90일 이내에는 제외합니다.\n③ 500원"), (2, "1억원, 소액암은 1천만원, 고액암은 2억원입니다. 3년 6개월 2주 1일"),
-    (3, "1억 5만원 그리고 1,000만원 및 1억 5백만원"), (4, "본문만 있습니다."), (5, None),
-]
+#: A row's question and contract: fixed wording, by the remainder of its key, with numbers of the row. The expressions are SQL of both engines.
+_CUSTOMER = "' (고객 ' || o_custkey || ')'"
+QUESTION = f"""CASE o_orderkey % 10 WHEN 0 THEN '갑상선암 보장 금액은 얼마인가요?' || {_CUSTOMER} WHEN 1 THEN '간암은 보장되나요?' || {_CUSTOMER} WHEN 2 THEN '갑상선암과 간암의 보장 차이는?' || {_CUSTOMER}
+WHEN 3 THEN '대기기간은 언제부터 ' || (o_orderkey % 90 + 1) || '일 인가요' || {_CUSTOMER} WHEN 4 THEN 'C' || (o_orderkey % 80 + 10) || ' 코드와 I21.9 진단 시 ' || (o_orderkey % 9 + 1) || '억원 이상 보장' || {_CUSTOMER}
+WHEN 5 THEN '면책 제외 사항' || {_CUSTOMER} WHEN 6 THEN 'hello world C' || (o_orderkey % 80 + 10) || {_CUSTOMER} WHEN 7 THEN '약관 상품 요약' || {_CUSTOMER}
+WHEN 8 THEN (o_orderkey % 9 + 1) || '년 6개월 2주 수술 입원 암진단특약 ' || (o_orderkey % 9 + 1) || '천만원 이하' || {_CUSTOMER} ELSE '' END"""
+CONTRACT = """CASE p_partkey % 5 WHEN 0 THEN '제' || (p_partkey % 90 + 10) || '조 [암진단급여금 지급]' || chr(10) || '① 회사는 ' || (p_partkey % 9 + 1) || '억 5천만원을 지급합니다. ② 다만, 계약일로부터 ' || (p_partkey % 300 + 1) || '일 이내에는 제외합니다.' || chr(10) || '③ 500원'
+WHEN 1 THEN (p_partkey % 9 + 1) || '억원, 소액암은 ' || (p_partkey % 9 + 1) || '천만원, 고액암은 2억원입니다. ' || (p_partkey % 9 + 1) || '년 6개월 2주 1일'
+WHEN 2 THEN (p_partkey % 9 + 1) || '억 5만원 그리고 ' || (p_partkey % 9 + 1) || ',000만원 및 ' || (p_partkey % 9 + 1) || '억 5백만원' WHEN 3 THEN '본문만 있습니다.' ELSE NULL END"""
+QV = f"(SELECT o_orderkey AS id, {QUESTION} AS q FROM orders) x"
+CV = f"(SELECT p_partkey AS id, {CONTRACT} AS q FROM part) x"
+#: Numbers that a question or a contract holds.
+_N, _C, _D = "(o_orderkey % 9 + 1)", "(o_orderkey % 80 + 10)", "(o_orderkey % 90 + 1)"
+_PN, _PA, _PD = "(p_partkey % 9 + 1)", "(p_partkey % 90 + 10)", "(p_partkey % 300 + 1)"
 
 
-def _values(rows: list[tuple]) -> str:
-    quoted = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join(f"({i}, {quoted(q)})" for i, q in rows) + ") x(id, q)"
+def _questions(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.expr(QUESTION).alias("q"))
 
 
-QV = _values(QUESTIONS)
+def _legal(t: Tables) -> DataFrame:
+    return _parts(t, CONTRACT)
 
 
-def _questions(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(QUESTIONS, "id int, q string")
+def _parts(t: Tables, text_: str, *columns: str) -> DataFrame:
+    """(id, q): a text for each part."""
+    return t.part.select(F.col("p_partkey").alias("id"), F.expr(text_).alias("q"), *columns)
 
 
-def _legal(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(LEGAL, "id int, q string")
+def _drawn(columns: str, values: list[tuple], key: str = "o_orderkey", table: str = "orders") -> str:
+    """Each row's key with what is expected of its wording, by the remainder of the key."""
+    shown = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
+    rows = ", ".join("(" + ", ".join(map(shown, v)) + ")" for v in values)
+    n = max(v[0] for v in values) + 1
+    return f"SELECT {key} AS id, {columns} FROM {table} JOIN (VALUES {rows}) v(k, {columns}) ON k = {key} % {n}"
 
 
-def _sql(columns: str, *rows: tuple) -> str:
-    shown = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) v({columns})"
+def _case(key: str, *values: str) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
 # Questions
@@ -66,10 +77,12 @@ ASKED = [
 ]
 
 
-@P.add("SELECT q, intent, score::DOUBLE AS score FROM (VALUES " + ", ".join(str(x) for x in ASKED) + ") v(q, intent, score)")
+@P.add("SELECT event_id AS id, intent, score FROM events JOIN (VALUES " + ", ".join(f"({i}, '{x[1]}', {x[2]}::DOUBLE)" for i, x in enumerate(ASKED)) + f") v(k, intent, score) ON k = event_id % {len(ASKED)}")
 def x_intent_score(t: Tables) -> DataFrame:
+    said = _case("event_id", *[f"'{x[0]}'" for x in ASKED])
     q = F.col("q")
-    return t.spark.createDataFrame([(q,) for q, *_ in ASKED], "q string").select("q", nlq.best_intent(q).alias("intent"), F.get(nlq.intent_scores(q), F.lit(0))["score"].alias("score"))
+    asked = t.events.select(F.col("event_id").alias("id"), F.expr(f"{said} || ' (' || user_id || ')'").alias("q"))
+    return asked.select("id", nlq.best_intent(q).alias("intent"), F.get(nlq.intent_scores(q), F.lit(0))["score"].alias("score"))
 
 
 @P.add(f"SELECT id, intent, score FROM ({SCORES})")
@@ -88,7 +101,7 @@ def x_intent_topk(t: Tables) -> DataFrame:
     return _questions(t).select("id", F.array_join(F.transform(F.slice(nlq.intent_scores(F.col("q")), 1, 3), lambda s: s["intent"]), ",").alias("top"))
 
 
-@P.add("SELECT * FROM (VALUES (1, 'coverage_check'), (2, 'coverage_check'), (3, 'comparison'), (4, 'period_check'), (5, 'coverage_check'), (6, 'exclusion_check'), (7, 'search'), (8, 'search'), (9, 'amount_filter'), (10, 'search')) v(id, intent)")
+@P.add(_drawn("intent", list(enumerate(['coverage_check', 'coverage_check', 'comparison', 'period_check', 'coverage_check', 'exclusion_check', 'search', 'search', 'amount_filter', 'search']))))
 def x_intent_kw(t: Tables) -> DataFrame:
     return _questions(t).select("id", nlq.simple_intent(F.col("q")).alias("intent"))
 
@@ -97,28 +110,28 @@ def _analysed(t: Tables) -> DataFrame:
     return _questions(t).withColumns({"intent": nlq.best_intent(F.col("q")), "d": nlq.diseases(F.col("q")), "c": nlq.coverages(F.col("q"))})
 
 
-@P.add("SELECT * FROM (VALUES (1, 'graph_traversal'), (2, 'hybrid'), (3, 'graph_traversal'), (4, 'direct_lookup'), (5, 'hybrid'), (6, 'direct_lookup'), (7, 'hybrid'), (8, 'vector_search'), (9, 'hybrid'), (10, 'hybrid')) v(id, query_type)")
+@P.add(_drawn("query_type", list(enumerate(['graph_traversal', 'hybrid', 'graph_traversal', 'direct_lookup', 'hybrid', 'direct_lookup', 'hybrid', 'vector_search', 'hybrid', 'hybrid']))))
 def x_query_type(t: Tables) -> DataFrame:
     return _analysed(t).select("id", nlq.query_type(F.col("intent"), F.size("d"), F.size("c")).alias("query_type"))
 
 
-@P.add("SELECT id, id IN (1, 3, 4, 8) AS answerable FROM (SELECT unnest(range(1, 11))::INT AS id)")
+@P.add("SELECT o_orderkey AS id, o_orderkey % 10 IN (0, 2, 3, 7) AS answerable FROM orders")
 def x_answerable(t: Tables) -> DataFrame:
     return _analysed(t).select("id", nlq.answerable(F.col("intent"), F.size("d"), F.size("c")).alias("answerable"))
 
 
-@P.add("SELECT id, CASE WHEN id IN (2, 5, 6) THEN '어떤 질병에 대해 확인하고 싶으신가요?' WHEN id IN (7, 9, 10) THEN '질문을 좀 더 구체적으로 말씀해 주시겠어요?' END AS ask FROM (SELECT unnest(range(1, 11))::INT AS id)")
+@P.add("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 IN (1, 4, 5) THEN '어떤 질병에 대해 확인하고 싶으신가요?' WHEN o_orderkey % 10 IN (6, 8, 9) THEN '질문을 좀 더 구체적으로 말씀해 주시겠어요?' END AS ask FROM orders")
 def x_clarify(t: Tables) -> DataFrame:
     return _analysed(t).select("id", nlq.clarification(F.col("intent"), F.col("d"), F.col("c")).alias("ask"))
 
 
-_KEYWORDS = [
-    (1, "갑상선암|보장|금액은|얼마인가요?"), (2, "간암은|보장되나요?"), (3, "갑상선암|갑상선암과|간암의|보장|차이는?"), (4, "대기기간은|언제부터|90일|인가요"), (5, "C73|코드와|I21.9|진단|1억원|이상|보장"),
-    (6, "면책|제외|사항"), (7, "hello|world|C77"), (8, "약관|상품|요약"), (9, "3년|6개월|2주|수술|입원|암진단특약|5천만원|이하"), (10, ""),
-]
+_KEYWORDS = _case(
+    "o_orderkey", "'갑상선암|보장|금액은|얼마인가요?'", "'간암은|보장되나요?'", "'갑상선암|갑상선암과|간암의|보장|차이는?'", f"'대기기간은|언제부터|' || {_D} || '일|인가요'", f"'C' || {_C} || '|코드와|I21.9|진단|' || {_N} || '억원|이상|보장'",
+    "'면책|제외|사항'", f"'hello|world|C' || {_C}", "'약관|상품|요약'", f"{_N} || '년|6개월|2주|수술|입원|암진단특약|' || {_N} || '천만원|이하'", "''",
+)
 
 
-@P.add("SELECT * FROM (VALUES " + ", ".join(str(x) for x in _KEYWORDS) + ") v(id, keywords)")
+@P.add(f"SELECT o_orderkey AS id, {_KEYWORDS} || CASE WHEN o_orderkey % 10 < 9 THEN '|(고객|' || o_custkey || ')' ELSE '' END AS keywords FROM orders")
 def x_keywords(t: Tables) -> DataFrame:
     return _questions(t).select("id", F.array_join(nlq.question_keywords(F.col("q"), nlq.diseases(F.col("q"))), "|").alias("keywords"))
 
@@ -162,39 +175,43 @@ def x_period_query(t: Tables) -> DataFrame:
     return _questions(t).select("id", F.array_join(nlq.periods(F.col("q")).cast("array<string>"), ",").alias("days"))
 
 
-@P.add("SELECT * FROM (VALUES (5, 'C73'), (5, 'I21.9'), (7, 'C77')) v(id, code)")
+@P.add(f"SELECT o_orderkey AS id, unnest(CASE o_orderkey % 10 WHEN 4 THEN ['C' || {_C}, 'I21.9'] WHEN 6 THEN ['C' || {_C}] ELSE [] END) AS code FROM orders")
 def x_kcd_query(t: Tables) -> DataFrame:
     return _questions(t).select("id", F.explode(nlq.kcd_codes(F.col("q"))).alias("code"))
 
 
-@P.add("SELECT * FROM (VALUES (1, 'C00-C97'), (1, 'D05'), (2, 'I20-I25')) v(id, code)")
+@P.add("SELECT p_partkey AS id, unnest(CASE p_partkey % 2 WHEN 0 THEN ['C' || (p_partkey % 20 + 10) || '-C' || (p_partkey % 50 + 40), 'D05'] ELSE ['I' || (p_partkey % 40 + 10) || '-I' || (p_partkey % 40 + 50)] END) AS code FROM part")
 def x_kcd_range(t: Tables) -> DataFrame:
     """A code with a Hangul syllable at its end is a part of a word."""
-    rows = t.spark.createDataFrame([(1, "C00-C97 , D05 및 C73은"), (2, "(I20-25)")], "id int, q string")
+    rows = _parts(t, _case("p_partkey", "'C' || (p_partkey % 20 + 10) || '-C' || (p_partkey % 50 + 40) || ' , D05 및 C73은'", "'(I' || (p_partkey % 40 + 10) || '-' || (p_partkey % 40 + 50) || ')'"))
     return rows.select("id", F.explode(nlq.kcd_ranges(F.col("q"))).alias("code"))
 
 
-@P.add("SELECT * FROM (VALUES (4, '대기기간@0'), (11, '면책기간@0,가입나이@6,계약일@13')) v(id, conditions)")
+@P.add("""
+SELECT o_orderkey AS id, '대기기간@0' AS conditions FROM orders WHERE o_orderkey % 10 = 3
+UNION ALL SELECT -1 - p_partkey, '면책기간@' || n || ',가입나이@' || (n + 6) || ',계약일@' || (n + 13) FROM (SELECT p_partkey, length(p_partkey::VARCHAR) AS n FROM part)""")
 def x_conditions(t: Tables) -> DataFrame:
-    more = t.spark.createDataFrame([(11, "면책기간과 가입나이 및 계약일")], "id int, q string")
+    more = t.part.select((-1 - F.col("p_partkey")).alias("id"), F.expr("p_partkey || '면책기간과 가입나이 및 계약일'").alias("q"))
     return _questions(t).unionByName(more).select("id", F.array_join(nlq.conditions(F.col("q")), ",").alias("conditions")).filter("conditions <> ''")
 
 
-@P.add("SELECT * FROM (VALUES (9, '암진단특약')) v(id, coverages)")
+@P.add("SELECT o_orderkey AS id, '암진단특약' AS coverages FROM orders WHERE o_orderkey % 10 = 8")
 def x_coverages(t: Tables) -> DataFrame:
     return _questions(t).select("id", F.explode(nlq.coverages(F.col("q"))).alias("coverages"))
 
 
-@P.add("SELECT * FROM (VALUES (1, '갑상선암'), (3, '갑상선암')) v(id, disease)")
+@P.add("SELECT o_orderkey AS id, '갑상선암' AS disease FROM orders WHERE o_orderkey % 10 IN (0, 2)")
 def x_diseases(t: Tables) -> DataFrame:
     """Two characters before the ending are the least, so 간암 is none."""
     return _questions(t).select("id", F.explode(nlq.diseases(F.col("q"))).alias("disease"))
 
 
-_FOUND = [(1, "disease:갑상선암"), (2, ""), (3, "disease:갑상선암"), (4, "days:90"), (5, "code:C73,code:I21.9,amount:100000000"), (6, ""), (7, "code:C77"), (8, ""), (9, "amount:5000,days:1095,days:180,days:14"), (10, "")]
+_FOUND = _case(
+    "o_orderkey", "'disease:갑상선암'", "''", "'disease:갑상선암'", f"'days:' || {_D}", f"'code:C' || {_C} || ',code:I21.9,amount:' || {_N} * 100000000", "''", f"'code:C' || {_C}", "''", f"'amount:' || {_N} * 1000 || ',days:' || {_N} * 365 || ',days:180,days:14'", "''",
+)
 
 
-@P.add("SELECT * FROM (VALUES " + ", ".join(str(x) for x in _FOUND) + ") v(id, entities)")
+@P.add(f"SELECT o_orderkey AS id, {_FOUND} AS entities FROM orders")
 def x_entities_all(t: Tables) -> DataFrame:
     q = F.col("q")
     found = F.concat(F.transform(nlq.diseases(q), lambda x: F.concat(F.lit("disease:"), x)), F.transform(nlq.kcd_codes(q), lambda x: F.concat(F.lit("code:"), x)), F.transform(nlq.amounts(q), lambda x: F.concat(F.lit("amount:"), x.cast("string"))), F.transform(nlq.periods(q), lambda x: F.concat(F.lit("days:"), x.cast("string"))))
@@ -204,145 +221,167 @@ def x_entities_all(t: Tables) -> DataFrame:
 # Extraction with places
 
 
-@P.add("SELECT * FROM (VALUES (1, 150000000, '1억 5천만원'), (1, 50000000, '5천만원'), (1, 500, '500원'), (2, 100000000, '1억원'), (2, 10000000, '1천만원'), (2, 200000000, '2억원'), (3, 100050000, '1억 5만원'), (3, 50000, '5만원'), (3, 10000000, '1,000만원'), (3, 105000000, '1억 5백만원'), (3, 5000000, '5백만원')) v(id, value, found)")
+@P.add(f"""
+SELECT p_partkey AS id, unnest(r.value)::INT AS value, unnest(r.found) AS found FROM (SELECT p_partkey, {_case("p_partkey",
+  f"{{'value': [{_PN} * 100000000 + 50000000, 50000000, 500], 'found': [{_PN} || '억 5천만원', '5천만원', '500원']}}", f"{{'value': [{_PN} * 100000000, {_PN} * 10000000, 200000000], 'found': [{_PN} || '억원', {_PN} || '천만원', '2억원']}}",
+  f"{{'value': [{_PN} * 100000000 + 50000, 50000, {_PN} * 10000000, {_PN} * 100000000 + 5000000, 5000000], 'found': [{_PN} || '억 5만원', '5만원', {_PN} || ',000만원', {_PN} || '억 5백만원', '5백만원']}}", "NULL", "NULL")} AS r FROM part) WHERE r IS NOT NULL""")
 def x_amount_doc(t: Tables) -> DataFrame:
     found = parsers.mapped(_legal(t), ["id"], "q", "value bigint, place int, found string", parsers.amounts)
     return found.select("id", F.col("value").cast("int").alias("value"), "found")
 
 
-@P.add("SELECT * FROM (VALUES (1, 50000000), (1, 500), (2, 100000000), (2, 10000000), (2, 200000000), (3, 100050000), (3, 10000000)) v(id, value)")
+@P.add(f"SELECT p_partkey AS id, unnest({_case('p_partkey', '[50000000, 500]', f'[{_PN} * 100000000, {_PN} * 10000000, 200000000]', f'[{_PN} * 100000000 + 50000, {_PN} * 10000000]', '[]', '[]')})::INT AS value FROM part")
 def x_amount_span(t: Tables) -> DataFrame:
     return parsers.mapped(_legal(t), ["id"], "q", "value bigint, place int, found string", parsers.amounts_by_span).select("id", F.col("value").cast("int").alias("value"))
 
 
-@P.add("SELECT * FROM (VALUES (1, 90), (2, 1095), (2, 180), (2, 14), (2, 1)) v(id, days)")
+@P.add(f"SELECT p_partkey AS id, unnest({_case('p_partkey', f'[{_PD}]', f'[{_PN} * 365, 180, 14, 1]', '[]', '[]', '[]')})::INT AS days FROM part")
 def x_period(t: Tables) -> DataFrame:
     return parsers.mapped(_legal(t), ["id"], "q", "days int, place int, found string", parsers.periods).select("id", "days")
 
 
-@P.add("SELECT id, len(regexp_extract_all(coalesce(q, ''), '[0-9]+\\s*(?:년|개월|주|일)'))::INT AS n FROM " + _values(LEGAL))
+@P.add("SELECT id, len(regexp_extract_all(coalesce(q, ''), '[0-9]+\\s*(?:년|개월|주|일)'))::INT AS n FROM " + CV)
 def x_period_nodedupe(t: Tables) -> DataFrame:
     return _legal(t).select("id", F.regexp_count(F.coalesce("q", F.lit("")), F.lit(r"[0-9]+\s*(?:년|개월|주|일)")).alias("n"))
 
 
-@P.add("SELECT * FROM (VALUES (1, 10, '암진단급여금 지급', 1, false), (1, 10, '암진단급여금 지급', 2, true), (1, 10, '암진단급여금 지급', 3, false)) v(id, article, title, paragraph, has_exception)")
+@P.add(f"SELECT p_partkey AS id, {_PA}::INT AS article, '암진단급여금 지급' AS title, i::INT AS paragraph, i = 2 AS has_exception FROM part, range(1, 4) r(i) WHERE p_partkey % 5 = 0")
 def x_legal_parse(t: Tables) -> DataFrame:
     found = parsers.mapped(_legal(t), ["id"], "q", "article int, title string, paragraph int, body string, has_exception boolean", parsers.legal_structure)
     return found.select("id", "article", "title", "paragraph", "has_exception")
 
 
-@P.add("SELECT * FROM (VALUES (1, '다만')) v(id, keyword)")
+@P.add("SELECT p_partkey AS id, '다만' AS keyword FROM part WHERE p_partkey % 5 = 0")
 def x_exceptions(t: Tables) -> DataFrame:
     return parsers.mapped(_legal(t), ["id"], "q", "place int, keyword string", parsers.exceptions).select("id", "keyword")
 
 
-@P.add(_sql("errors, warnings, parsed, confidence", (0, 0, 1.0, 1.0), (2, 1, 0.6, 0.65), (9, 9, 0.1, 0.1), (0, 0, 0.49, 0.8)))
+@P.add("""
+SELECT id, round(greatest(0, least(1, 1 - least(0.5, 0.1 * e) - least(0.2, 0.05 * w) - CASE WHEN parsed < 0.5 THEN 0.2 WHEN parsed < 0.8 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS confidence
+FROM (SELECT p_partkey AS id, p_size % 12 AS e, p_partkey % 6 AS w, p_size / 50.0 AS parsed FROM part)""")
 def x_legal_conf(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(0, 0, 1.0), (2, 1, 0.6), (9, 9, 0.1), (0, 0, 0.49)], "errors int, warnings int, parsed double")
-    return rows.select("*", nlq.parse_confidence(F.col("errors"), F.col("warnings"), F.col("parsed")).alias("confidence"))
+    """Parts as parsed texts with errors, warnings and the share that was parsed."""
+    return t.part.select(F.col("p_partkey").alias("id"), nlq.parse_confidence(F.col("p_size") % 12, F.col("p_partkey") % 6, F.col("p_size") / 50).alias("confidence"))
 
 
-@P.add(_sql("code, category", ("C73", "cancer"), ("D05", "cancer"), ("D30", "cancer"), ("D50", "unknown"), ("I21", "cardiovascular"), ("I63", "cardiovascular"), ("E11", "endocrine"), ("J10", "unknown")))
+@P.add("""
+SELECT id, code, CASE WHEN code[1] = 'C' OR (code[1] = 'D' AND code[2] < '5') THEN 'cancer' WHEN code[1] = 'I' THEN 'cardiovascular' WHEN code[1] = 'E' THEN 'endocrine' ELSE 'unknown' END AS category
+FROM (SELECT p_partkey AS id, chr((65 + p_partkey % 26)::INT) || (p_partkey * 7 % 90 + 10) AS code FROM part)""")
 def x_kcd_category(t: Tables) -> DataFrame:
     """The first prefix in order: I6 codes count as I."""
-    rows = t.spark.createDataFrame([(c,) for c in ("C73", "D05", "D30", "D50", "I21", "I63", "E11", "J10")], "code string")
-    return rows.select("code", nlq.code_category(F.col("code")).alias("category"))
+    return _parts(t, "chr(65 + p_partkey % 26) || (p_partkey * 7 % 90 + 10)").select("id", F.col("q").alias("code"), nlq.code_category(F.col("q")).alias("category"))
+
 
+_POLICIES = [("무배당 암보험", "cancer"), ("뇌졸중 보험", "cardiovascular"), ("종신", "life"), ("연금", "annuity"), ("간병", "disability"), ("실손", "health"), ("사고", "accident"), ("치과", "dental"), ("요양", "long_term_care"), ("적금", "savings"), ("기타", None)]
+_INSURANCES = [("암보험 상품", "cancer"), ("건강 플랜", "health"), ("질병 사망", "health"), ("Term LIFE", "life"), ("재해", "accident"), ("간병", "long_term_care"), ("자동차", "unknown")]
 
-@P.add(_sql("name, kind", ("무배당 암보험", "cancer"), ("뇌졸중 보험", "cardiovascular"), ("종신", "life"), ("연금", "annuity"), ("간병", "disability"), ("실손", "health"), ("사고", "accident"), ("치과", "dental"), ("요양", "long_term_care"), ("적금", "savings"), ("기타", None)))
+
+def _named_parts(t: Tables, names: list[tuple]) -> DataFrame:
+    return _parts(t, _case("p_partkey", *[f"'{n} ' || p_name" for n, _ in names]))
+
+
+@P.add(_drawn("kind", [(i, k) for i, (_, k) in enumerate(_POLICIES)], "p_partkey", "part"))
 def x_policy_category(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(n,) for n in ("무배당 암보험", "뇌졸중 보험", "종신", "연금", "간병", "실손", "사고", "치과", "요양", "적금", "기타")], "name string")
-    return rows.select("name", nlq.first_family(F.col("name"), nlq.POLICY_WORDS).alias("kind"))
+    return _named_parts(t, _POLICIES).select("id", nlq.first_family(F.col("q"), nlq.POLICY_WORDS).alias("kind"))
 
 
-@P.add(_sql("name, kind", ("암보험 상품", "cancer"), ("건강 플랜", "health"), ("질병 사망", "health"), ("Term LIFE", "life"), ("재해", "accident"), ("간병", "long_term_care"), ("자동차", "unknown")))
+@P.add(_drawn("kind", [(i, k) for i, (_, k) in enumerate(_INSURANCES)], "p_partkey", "part"))
 def x_insurance_type(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(n,) for n in ("암보험 상품", "건강 플랜", "질병 사망", "Term LIFE", "재해", "간병", "자동차")], "name string")
-    return rows.select("name", F.coalesce(nlq.first_family(F.col("name"), nlq.INSURANCE_WORDS), F.lit("unknown")).alias("kind"))
+    return _named_parts(t, _INSURANCES).select("id", F.coalesce(nlq.first_family(F.col("q"), nlq.INSURANCE_WORDS), F.lit("unknown")).alias("kind"))
 
 
-@P.add(_sql("id, name, codes", (1, "암", "C"), (1, "위암", "C16"), (1, "뇌출혈", "I60,I61,I62"), (2, "당뇨", "E10,E11,E12,E13,E14"), (2, "고혈압", "I10,I11,I12,I13,I15")))
+@P.add(_drawn("name, codes", [(0, "암", "C"), (0, "위암", "C16"), (0, "뇌출혈", "I60,I61,I62"), (1, "당뇨", "E10,E11,E12,E13,E14"), (1, "고혈압", "I10,I11,I12,I13,I15"), (2, None, None)], "p_partkey", "part") + " WHERE name IS NOT NULL")
 def x_link_names(t: Tables) -> DataFrame:
     """A short list of names is an array, so no join is needed."""
-    rows = t.spark.createDataFrame([(1, "위암과 뇌출혈 진단"), (2, "당뇨 또는 고혈압"), (3, "골절")], "id int, q string")
+    rows = _parts(t, _case("p_partkey", "p_name || ' 위암과 뇌출혈 진단'", "'당뇨 또는 고혈압 ' || p_name", "'골절 ' || p_name"))
     return rows.select("id", F.explode(nlq.linked_codes(F.col("q"))).alias("x")).select("id", "x.name", F.array_join("x.codes", ",").alias("codes"))
 
 
-@P.add("SELECT * FROM (VALUES (1, 'Thyroid cancer', 1.0::DOUBLE), (2, 'Liver cancer', 1.0::DOUBLE), (3, 'Thyroid cancer', 0.928571::DOUBLE), (4, NULL, NULL::DOUBLE)) v(id, linked, confidence)")
+@P.add(_drawn("value, match_score, match_method", [(0, "Thyroid cancer", 1.0, "exact"), (1, "Liver cancer", 1.0, "kcd"), (2, "Thyroid cancer", 26 / 28, "fuzzy"), (3, None, 0.0, "none")], "c_custkey", "customer"))
 def x_link_exact(t: Tables) -> DataFrame:
-    """By name, by code, and else by the closest name of at least 0.8; names are few and come as literals."""
-    known = [("Thyroid cancer", "C73"), ("Liver cancer", "C22")]
-    asked = t.spark.createDataFrame([(1, "thyroid CANCER", None), (2, "x", "C22"), (3, "thyroid cancre", None), (4, "nothing", None)], "id int, name string, code string")
+    """By name, by code within the text, and else by the closest name of at least 0.8."""
+    known = t.spark.createDataFrame([("Thyroid cancer", "C73"), ("Liver cancer", "C22")], "value string, code string").withColumn("name", F.col("value"))
+    asked = t.customer.select(F.col("c_custkey").alias("id"), F.expr(_case("c_custkey", "'thyroid CANCER'", "c_name || ' C22'", "'thyroid cancre'", "'nothing ' || c_name")).alias("q"))
+    return fuzzy.linked(asked, known, "q", "name", "value", "code").drop("q")
 
-    def link(name: str) -> list[tuple]:
-        best = max(((parsers.ratio(name.lower(), k.lower()), k) for k, _ in known), key=lambda x: x[0])
-        return [(best[1], round(best[0], 6))] if best[0] >= 0.8 else [(None, None)]
 
-    exact = F.lit(None).cast("string")
-    for k, code in known:
-        exact = F.when((F.lower("name") == k.lower()) | (F.col("code") == code), k).otherwise(exact)
-    fuzzy = parsers.mapped(asked.withColumn("exact", exact), ["id", "exact"], "name", "close string, score double", link)
-    return fuzzy.select("id", F.coalesce("exact", "close").alias("linked"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.col("score")).alias("confidence"))
+#: An ontology of two entities for each part; names of seven and codes of ninety are shared by many.
+ONTOLOGY = """'{"' || p_type || '": {"subtypes": {"a": {"standard": "질환' || p_partkey || '", "korean_names": ["병' || p_partkey || '"], "english_names": ["Cancer ' || (p_partkey % 7) || '"], "kcd_codes": ["C' || (p_partkey % 90 + 10) || '"], "severity": "minor"},
+"b": {"standard": "증상' || p_partkey || '", "kcd_codes": ["D' || (p_partkey % 90 + 10) || '"]}}}}'"""
 
 
-#: Two cancers that share a code, and a disease that takes the name of one of them.
-ONTOLOGY = """{"cancer": {"subtypes": {
- "thyroid": {"standard": "갑상선암", "korean_names": ["갑상샘암"], "english_names": ["Thyroid Cancer"], "kcd_codes": ["C73"], "severity": "minor"},
- "any": {"standard": "암", "english_names": ["Cancer"], "kcd_codes": ["C00", "C73"]}}},
-"heart": {"subtypes": {"mi": {"standard": "심근경색", "english_names": ["cancer"], "kcd_codes": ["I21"], "severity": "severe"}}}}"""
+def _ontology(t: Tables) -> DataFrame:
+    return ontology.entities(_parts(t, ONTOLOGY), "q", "id")
 
 
-@P.add(_sql("kind, key, standard_name", ("name", "갑상선암", "갑상선암"), ("name", "갑상샘암", "갑상선암"), ("name", "thyroid cancer", "갑상선암"), ("name", "암", "암"), ("name", "cancer", "심근경색"), ("name", "심근경색", "심근경색"), ("code", "C73", "암"), ("code", "C00", "암"), ("code", "I21", "심근경색")))
+@P.add("""
+SELECT 'name' AS kind, '질환' || p_partkey AS key, '질환' || p_partkey AS standard_name FROM part UNION ALL SELECT 'name', '병' || p_partkey, '질환' || p_partkey FROM part UNION ALL SELECT 'name', '증상' || p_partkey, '증상' || p_partkey FROM part
+UNION ALL SELECT 'name', 'cancer ' || (p_partkey % 7), '질환' || max(p_partkey) FROM part GROUP BY 2 UNION ALL SELECT 'code', 'C' || (p_partkey % 90 + 10), '질환' || max(p_partkey) FROM part GROUP BY 2 UNION ALL SELECT 'code', 'D' || (p_partkey % 90 + 10), '증상' || max(p_partkey) FROM part GROUP BY 2""")
 def src_yaml_ontology(t: Tables) -> DataFrame:
     """Indexes by lower-case name and by code in which the entity loaded last counts."""
-    known = ontology.entities(t.spark.createDataFrame([(ONTOLOGY,)], "q string"), "q")
+    known = _ontology(t)
     names, codes = ontology.by_name(known), ontology.by_code(known)
     return names.select(F.lit("name").alias("kind"), F.col("name").alias("key"), "standard_name").unionByName(codes.select(F.lit("code").alias("kind"), F.col("code").alias("key"), "standard_name"))
 
 
-@P.add(_sql("id, algorithm, score, level", (1, "first", 80, "excellent"), (2, "second", 60, "good"), (3, "none", 0, "very_poor"), (4, "none", 0, "very_poor")))
+def _score_of(text_: str) -> str:
+    """SQL of a text's quality."""
+    share = lambda pattern: f"(100 * length(regexp_replace({text_}, '{pattern}', '', 'g')) / length({text_}))"
+    meant, special = share("[^가-힣A-Za-z]"), share(r"[\\p{L}\\p{N}_\\s\\x0B\\p{Z}]".replace("\\\\", "\\"))
+    return f"""(CASE WHEN length({text_}) = 0 THEN 0 ELSE CASE WHEN length({text_}) >= 500 THEN 40 WHEN length({text_}) >= 200 THEN 30 WHEN length({text_}) >= 100 THEN 20 WHEN length({text_}) >= 50 THEN 10 ELSE 0 END
++ CASE WHEN {meant} >= 70 THEN 30 WHEN {meant} >= 50 THEN 20 WHEN {meant} >= 30 THEN 10 ELSE 0 END + CASE WHEN {special} < 10 THEN 20 WHEN {special} < 20 THEN 15 WHEN {special} < 30 THEN 10 WHEN {special} < 50 THEN 5 ELSE 0 END
++ CASE WHEN regexp_matches({text_}, '[■□○●◎◇◆△▲▽▼]{{3,}}|[\\x00-\\x1F]{{2,}}|�') THEN 0 ELSE 10 END END)"""
+
+
+@P.add(f"""
+WITH s AS (SELECT doc_id, {_score_of("substr(text, 1, 150)")} AS a, {_score_of("text")} AS b FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, CASE WHEN a >= 80 OR (b < 80 AND a >= b) THEN 'first' ELSE 'second' END AS algorithm, CASE WHEN a >= 80 OR (b < 80 AND a >= b) THEN a ELSE b END::INT AS score FROM s)
+SELECT doc_id, algorithm, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' WHEN score >= 20 THEN 'poor' ELSE 'very_poor' END AS level FROM c""")
 def src_pdf(t: Tables) -> DataFrame:
-    """The best of several extractions: the first excellent one, of equal ones the first, none of a file without pages."""
-    rows = [(1, [("first", "가" * 120, 1), ("second", "가" * 600, 1)]), (2, [("first", "", 1), ("second", "abc", 1), ("third", "abd", 1)]), (3, [("first", "가" * 600, 0)]), (4, [])]
-    tried = t.spark.createDataFrame(rows, "id int, attempts array<struct<algorithm:string,text:string,pages:int>>")
-    return tried.select("id", text.best_extraction(F.col("attempts")).alias("b")).select("id", "b.*")
+    """The best of three extractions of each document, its beginning, its text, and one without pages: the first excellent one, of equal ones the first."""
+    tried = lambda name, of, pages: F.struct(F.lit(name).alias("algorithm"), of.alias("text"), F.lit(pages).alias("pages"))
+    attempts = F.array(tried("none", F.col("text"), 0), tried("first", F.substring("text", 1, 150), 1), tried("second", F.col("text"), 1))
+    return t.documents.filter("text is not null").select("doc_id", text.best_extraction(attempts).alias("b")).select("doc_id", "b.*")
 
 
-@P.add(_sql("category, entities, codes, severities", ("cancer", 2, 2, "minor"), ("heart", 1, 1, "severe")))
+@P.add("""
+SELECT p_type AS category, 2 * count(*) AS entities, 2 * count(DISTINCT p_partkey % 90) AS codes, 'minor' AS severities FROM part GROUP BY p_type""")
 def x_ontology_lookups(t: Tables) -> DataFrame:
-    return ontology.stats(ontology.entities(t.spark.createDataFrame([(ONTOLOGY,)], "q string"), "q"))
+    return ontology.stats(_ontology(t))
 
 
-@P.add(_sql("id, kind, label", (1, "coverage_item", "입원"), (1, "period", "90일"), (2, "benefit_amount", "10,000원"), (2, "deductible", "10,000원"), (2, "rider", "암수술"), (2, "eligibility", "만 15세 ~ 만 60세"), (2, "article", "12")))
+@P.add(f"""
+SELECT p_partkey AS id, unnest(CASE p_partkey % 3 WHEN 0 THEN ['coverage_item', 'period'] WHEN 1 THEN ['benefit_amount', 'deductible', 'rider', 'eligibility', 'article'] ELSE [] END) AS kind,
+unnest(CASE p_partkey % 3 WHEN 0 THEN ['입원', (p_partkey % 80 + 10) || '일'] WHEN 1 THEN [{_PN} || '0,000원', {_PN} || '0,000원', '암수술', '만 15세 ~ 만 60세', {_PA}::VARCHAR] ELSE [] END) AS label FROM part""")
 def x_rule_entities(t: Tables) -> DataFrame:
     """Ten types of entities by pattern lists, each label of a type once."""
-    rows = t.spark.createDataFrame([(1, "제3조 입원 보장 90일"), (2, "자기부담금 10,000원, 암수술 특약, 만 15세 ~ 만 60세, 제12조"), (3, "")], "id int, q string")
+    rows = _parts(t, _case("p_partkey", f"'제' || {_PN} || '조 입원 보장 ' || (p_partkey % 80 + 10) || '일'", f"'자기부담금 ' || {_PN} || '0,000원, 암수술 특약, 만 15세 ~ 만 60세, 제' || {_PA} || '조'", "''"))
     return parsers.mapped(rows, ["id"], "q", "kind string, label string, context string", parsers.entities).drop("context")
 
 
-_JSON = [(1, 'x ```json\n{"relations": [{"subject": "a", "object": "b", "confidence": 0.9}]}\n``` y'), (2, '{"relations": [{"subject": "c", "object": "d"}]}'), (3, "none")]
-
-
-@P.add("SELECT * FROM (VALUES (1, 'a', 'b', 0.9::DOUBLE), (2, 'c', 'd', 0.85::DOUBLE)) v(id, subject, object, confidence)")
+@P.add("SELECT p_partkey AS id, p_name AS subject, p_type AS object, CASE p_partkey % 3 WHEN 0 THEN 0.9 ELSE 0.85 END::DOUBLE AS confidence FROM part WHERE p_partkey % 3 < 2")
 def x_relation_json(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(_JSON, "id int, said string")
-    body = F.regexp_extract("said", r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, "relations array<struct<subject:string,object:string,confidence:double>>")
+    """What a model said of each part: with words around the JSON, without a confidence, or nothing."""
+    body = """'{"relations": [{"subject": "' || p_name || '", "object": "' || p_type || '\""""
+    rows = _parts(t, _case("p_partkey", f"""'x ```json' || chr(10) || {body}, "confidence": 0.9}}]}}' || chr(10) || '``` y'""", f"{body}}}]}}'", "'none'"))
+    parsed = F.from_json(F.regexp_extract("q", r"(?s)(\{.*\})", 1), "relations array<struct<subject:string,object:string,confidence:double>>")
     return rows.select("id", F.explode(parsed["relations"]).alias("r")).select("id", "r.subject", "r.object", F.coalesce("r.confidence", F.lit(0.85)).alias("confidence"))
 
 
-@P.add(_sql("id, days, amount", (1, 90, 1050), (2, 30, None), (3, 30, 1000)))
+@P.add("""
+SELECT id, CASE WHEN days IN (30, 45) THEN days ELSE 30 END AS days, CASE WHEN m > 0.1 * amount THEN NULL WHEN abs(700 - amount) = m THEN 700 WHEN abs(1000 - amount) = m THEN 1000 ELSE 1300 END AS amount
+FROM (SELECT p_partkey AS id, p_size AS days, round(p_retailprice)::INT AS amount, least(abs(700 - round(p_retailprice)::INT), abs(1000 - round(p_retailprice)::INT), abs(1300 - round(p_retailprice)::INT)) AS m FROM part)""")
 def x_relation_validate(t: Tables) -> DataFrame:
     """A period that the text does not name becomes the first one named; an amount becomes the nearest named one within a tenth, else it is an error (null)."""
-    rows = t.spark.createDataFrame([(1, 90, [30, 90], 1000, [1050, 2000]), (2, 45, [30, 90], 1000, [2000]), (3, 45, [30], 1000, [1000, 1010])], "id int, days int, named_days array<int>, amount int, named array<int>")
-    return rows.select("id", nlq.named_period(F.col("days"), F.col("named_days")).alias("days"), nlq.named_amount(F.col("amount"), F.col("named")).alias("amount"))
+    named = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    amount = F.round("p_retailprice").cast("int")
+    return t.part.select(F.col("p_partkey").alias("id"), nlq.named_period(F.col("p_size"), named(30, 45)).alias("days"), nlq.named_amount(amount, named(700, 1000, 1300)).alias("amount"))
 
 
-@P.add(_sql("said, found, errors, confidence, retry", (0.9, 0.8, 0, 0.85, False), (0.9, 0.7, 2, 0.6, True), (0.5, 0.5, 9, 0.2, True)))
+@P.add("SELECT id, confidence, confidence < 0.7 AS retry FROM (SELECT p_partkey AS id, round((p_size / 50.0 + p_partkey % 10 / 10.0) / 2 - least(0.3, 0.1 * (p_partkey % 5)), 6)::DOUBLE AS confidence FROM part)")
 def x_relation_conf(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(0.9, 0.8, 0), (0.9, 0.7, 2), (0.5, 0.5, 9)], "said double, found double, errors int")
-    value = nlq.relation_confidence(F.col("said"), F.col("found"), F.col("errors"))
-    return rows.select("*", value.alias("confidence"), (value < 0.7).alias("retry"))
+    value = nlq.relation_confidence(F.col("p_size") / 50, F.col("p_partkey") % 10 / 10, F.col("p_partkey") % 5)
+    return t.part.select(F.col("p_partkey").alias("id"), value.alias("confidence"), (value < 0.7).alias("retry"))
 
 
 # Chunks
@@ -373,18 +412,19 @@ def c_overlap(t: Tables) -> DataFrame:
     return over.select("id", F.md5(F.encode(F.get("x", F.lit(0)), "UTF-8")).alias("first"), F.md5(F.encode(F.get("x", F.lit(1)), "UTF-8")).alias("second"))
 
 
-_CONTRACT = "머리말 제1조 목적 이 약관은. 제2조 정의 보험금은. 제3장 지급 제4조 지급 사유."
+_CONTRACT = f"'머리말 제1조 목적 이 약관은 ' || p_name || '. 제' || {_PA} || '조 정의 보험금은. 제3장 지급 제4조 지급 사유.'"
 
 
-@P.add("SELECT * FROM (VALUES (0, '제1조 목적 이 약관은. ', 'article'), (1, '제2조 정의 보험금은. ', 'article'), (2, '제3장 지급 ', 'chapter'), (3, '제4조 지급 사유.', 'article')) v(place, chunk, kind)")
+@P.add(f"""
+SELECT p_partkey AS id, unnest([0, 1, 2, 3])::INT AS place, unnest(['제1조 목적 이 약관은 ' || p_name || '. ', '제' || {_PA} || '조 정의 보험금은. ', '제3장 지급 ', '제4조 지급 사유.']) AS chunk, unnest(['article', 'article', 'chapter', 'article']) AS kind FROM part""")
 def c_article(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(_CONTRACT,)], "q string").select(F.posexplode(text.articles(F.col("q"))).alias("place", "chunk"))
+    rows = _parts(t, _CONTRACT).select("id", F.posexplode(text.articles(F.col("q"))).alias("place", "chunk"))
     return rows.withColumn("kind", text.chunk_type(F.col("chunk")))
 
 
-@P.add("SELECT * FROM (VALUES ('article', 3), ('chapter', 1)) v(kind, n)")
+@P.add("SELECT * FROM (SELECT 'article' AS kind, 3 * count(*) AS n FROM part UNION ALL SELECT 'chapter', count(*) FROM part)")
 def c_type(t: Tables) -> DataFrame:
-    return c_article(t).groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return c_article(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @P.add()
@@ -392,19 +432,21 @@ def c_main(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(text.chunked(F.col("text"))).alias("chunk_index", "chunk"))
 
 
-@P.add(_sql("chunk, kind, line_start, line_end, body", (0, "article", 0, 0, "머리말"), (1, "chapter", 1, 2, "제1조 목적\n이 약관은"), (2, "article", 3, 3, "제2장 지급"), (3, "article", 4, 5, "제3조 사유\n끝")))
+@P.add("""
+SELECT p_partkey AS id, unnest([0, 1, 2, 3])::INT AS chunk, unnest(['article', 'chapter', 'article', 'article']) AS kind, unnest([0, 1, 3, 4])::INT AS line_start, unnest([0, 2, 3, 5])::INT AS line_end,
+unnest(['머리말 ' || p_name, '제1조 목적' || chr(10) || '이 약관은', '제2장 지급', '제3조 사유' || chr(10) || p_type]) AS body FROM part""")
 def c_semantic(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("머리말\n제1조 목적\n이 약관은\n제2장 지급\n제3조 사유\n끝",)], "q string")
-    return parsers.mapped(rows, [], "q", "chunk int, kind string, line_start int, line_end int, body string", parsers.semantic_chunks)
+    rows = _parts(t, "'머리말 ' || p_name || chr(10) || '제1조 목적' || chr(10) || '이 약관은' || chr(10) || '제2장 지급' || chr(10) || '제3조 사유' || chr(10) || p_type")
+    return parsers.mapped(rows, ["id"], "q", "chunk int, kind string, line_start int, line_end int, body string", parsers.semantic_chunks)
 
 
-@P.add(_sql("chunk, is_table, parts, length", (0, False, 1, 1304), (1, True, 1, 9), (2, False, 3, 1765)))
+@P.add("SELECT p_partkey AS id, unnest([0, 1, 2])::INT AS chunk, unnest([false, true, false]) AS is_table, unnest([1, 1, 3])::INT AS parts, unnest([1304 + p_partkey % 50, 9, 1765])::INT AS length FROM part")
 def c_structure(t: Tables) -> DataFrame:
     """A table stands alone, a heading closes what is large enough, and a small rest joins the chunk before."""
-    blocks = ["제1조 " + "가" * 1300, "| a | b |", "제2조 " + "나" * 100, "제3조 " + "다" * 1600, "제4조 " + "라" * 50]
-    rows = t.spark.createDataFrame([("\n\n".join(blocks),)], "q string")
-    found = parsers.mapped(rows, [], "q", "chunk int, is_table boolean, parts int, body string", parsers.structural_chunks)
-    return found.select("chunk", "is_table", "parts", F.length("body").alias("length"))
+    blocks = ["'제1조 ' || repeat('가', 1300 + p_partkey % 50)", "'| a | b |'", "'제2조 ' || repeat('나', 100)", "'제3조 ' || repeat('다', 1600)", "'제4조 ' || repeat('라', 50)"]
+    rows = _parts(t, " || chr(10) || chr(10) || ".join(blocks).replace("p_partkey % 50", "CAST(p_partkey % 50 AS INT)"))
+    found = parsers.mapped(rows, ["id"], "q", "chunk int, is_table boolean, parts int, body string", parsers.structural_chunks)
+    return found.select("id", "chunk", "is_table", "parts", F.length("body").alias("length"))
 
 
 @P.add("SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS md FROM region")
@@ -488,17 +530,20 @@ def s_similar_docs(t: Tables) -> DataFrame:
     return alike.withColumn("rank", rank).filter("rank <= 5")
 
 
-@P.add(_sql("place, line", (0, "제1조 목적"), (2, "1. 보험금")))
+@P.add("""
+SELECT p_brand, 0 AS place, '제1조 목적' AS line FROM part GROUP BY p_brand HAVING count(*) > 1 UNION ALL SELECT p_brand, 2, '1. 보험금' FROM part GROUP BY p_brand HAVING count(*) > 1
+UNION ALL SELECT p_brand, 3, '제9조 ' || min(p_type) FROM part GROUP BY p_brand HAVING count(*) > 1 AND count(DISTINCT p_type) = 1""")
 def s_template_common(t: Tables) -> DataFrame:
-    """Headings and numbered lines of a group's first document that all its other documents hold, white space aside, in order."""
-    docs = [(1, "제1조 목적\n이 약관은\n1. 보험금\n제9조 기타"), (2, "제1조  목적\n다른 약관\n1.보험금 지급"), (3, "머리 제1조목적\n1. 보험금")]
-    return text.common_lines(t.spark.createDataFrame(docs, "doc_id int, text string").withColumn("source", F.lit("s")), "source").select("place", "line")
+    """Headings and numbered lines of a brand's first contract that all its other contracts hold, white space aside, in order."""
+    docs = _parts(t, "'제1조 목적' || chr(10) || p_name || chr(10) || '1. 보험금' || chr(10) || '제9조 ' || p_type", "p_brand").select(F.col("id").alias("doc_id"), F.col("q").alias("text"), "p_brand")
+    return text.common_lines(docs, "p_brand")
 
 
-@P.add("SELECT * FROM (VALUES ('article:제3조(지급)'), ('other:1. '), ('amount:50,000원'), ('percentage:5%'), ('days:90일'), ('months:6개월'), ('years:3년')) v(variable)")
+@P.add(f"""
+SELECT p_partkey AS id, unnest(['article:제' || {_PA} || '조(지급)', 'other:1. ', 'amount:' || {_PN} || '0,000원', 'percentage:5%', 'days:' || {_PD} || '일', 'months:6개월', 'years:' || {_PN} || '년']) AS variable FROM part""")
 def s_template_vars(t: Tables) -> DataFrame:
-    row = t.spark.createDataFrame([("제3조(지급) 1. 90일 동안 3.5% 이율로 50,000원, 6개월 또는 3년",)], "q string")
-    return row.select(F.explode(text.template_variables(F.col("q"))).alias("variable"))
+    rows = _parts(t, f"'제' || {_PA} || '조(지급) 1. ' || {_PD} || '일 동안 3.5% 이율로 ' || {_PN} || '0,000원, 6개월 또는 ' || {_PN} || '년'")
+    return rows.select("id", F.explode(text.template_variables(F.col("q"))).alias("variable"))
 
 
 @P.add()
@@ -510,11 +555,14 @@ def s_template_match(t: Tables) -> DataFrame:
     return found.select("doc_id", "source", text.template_score(F.col("template"), F.col("text")).alias("share"))
 
 
-@P.add(_sql("id, strategy, saving", (1, "template", 0.95), (2, "incremental", 0.7), (3, "chunking", 0.0), (4, "chunking", 0.0), (5, "chunking", 0.0)))
+@P.add("""
+SELECT id, CASE WHEN template >= 0.8 THEN 'template' WHEN ratio >= 0.85 AND changed <= 0.3 THEN 'incremental' ELSE 'chunking' END AS strategy, CASE WHEN template >= 0.8 THEN 0.95 WHEN ratio >= 0.85 AND changed <= 0.3 THEN round(1 - changed, 6) ELSE 0 END::DOUBLE AS saving
+FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN p_size / 50.0 END AS template, CASE WHEN p_partkey % 5 > 0 THEN (p_partkey % 20 + 81) / 100.0 END AS ratio, (p_partkey % 7) / 10.0 AS changed FROM part)""")
 def s_strategy(t: Tables) -> DataFrame:
-    rows = [(1, 0.8, None, None), (2, 0.79, 0.85, 0.3), (3, None, 0.9, 0.31), (4, None, None, None), (5, 0.5, 0.84, 0.1)]
-    asked = t.spark.createDataFrame(rows, "id int, template double, ratio double, changed double")
-    return asked.select("id", text.learning_strategy(F.col("template"), F.col("ratio"), F.col("changed")).alias("s")).select("id", "s.*")
+    """Parts as documents with the score of a template and with a former version, if there is one."""
+    k = F.col("p_partkey")
+    template, ratio = F.when(k % 4 > 0, F.col("p_size") / 50), F.when(k % 5 > 0, (k % 20 + 81) / 100)
+    return t.part.select(k.alias("id"), text.learning_strategy(template, ratio, k % 7 / 10).alias("s")).select("id", "s.*")
 
 
 # Quality
@@ -542,11 +590,15 @@ def txt_complexity(t: Tables) -> DataFrame:
     return t.documents.filter("text is not null").select("doc_id", text.complexity(F.col("text")).alias("score"))
 
 
-@P.add("SELECT * FROM (VALUES (1, 0.392::DOUBLE), (2, 0.6::DOUBLE), (3, 0.0::DOUBLE), (4, 0.0::DOUBLE)) v(id, score)")
+_STRUCTURED = "repeat('제1장 총칙 ', CAST(p_partkey % 9 AS INT)) || repeat('제2조 정의 ', p_size) || p_name"
+
+
+@P.add(f"""
+SELECT id, round(0.6 * length(regexp_replace(q, '[^가-힣]', '', 'g')) / greatest(length(q), 1) + 0.4 * least((2 * len(regexp_extract_all(q, '제[0-9]+장')) + len(regexp_extract_all(q, '제[0-9]+조'))) / 50, 1), 3)::DOUBLE AS score
+FROM (SELECT p_partkey AS id, {_STRUCTURED} AS q FROM part)""")
 def txt_struct_quality(t: Tables) -> DataFrame:
-    """Twelve Hangul of twenty characters, one chapter and two articles; Hangul only; no Hangul; nothing."""
-    rows = [(1, "제1장 총칙 제1조 목적 제2조 정의"), (2, "보험금"), (3, "plain text"), (4, "")]
-    return t.spark.createDataFrame(rows, "id int, q string").select("id", text.structure_quality(F.col("q")).alias("score"))
+    """Texts of some chapters and articles around a part's name."""
+    return _parts(t, _STRUCTURED).select("id", text.structure_quality(F.col("q")).alias("score"))
 
 
 @P.add(f"SELECT doc_id, CASE WHEN score >= 70 THEN 'ocr' ELSE 'simple' END AS smart, CASE WHEN strlen(text) > 5242880 THEN 'ocr' ELSE 'simple' END AS by_size FROM ({ORACLES['txt_complexity']}) JOIN documents USING (doc_id)")
@@ -573,30 +625,53 @@ def p_contains(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", pii.contains_pii(F.col("text")).alias("found"))
 
 
-_PII = [
-    ("email", "a@b.com", "a@b.com"), ("email", "abc@b.com", "a**@b.com"), ("email", "hong.gil@b.co.kr", "h******l@b.co.kr"), ("phone", "010-1234-5678", "010-****-5678"), ("phone", "123-456", "123-456"), ("phone", "02-345-6789", "02345****"),
-    ("ssn", "900101-1234567", "900101-1******"), ("credit_card", "1234-5678-9012-3456", "****-****-****-3456"), ("bank_account", "110-123-456789", "110-***-******789"), ("bank_account", "123-456", "123-***-456"), ("phone", "010 1234 5678", "010-****-5678"), ("email", "user@example.com", "u**r@example.com"), ("ip_address", "192.168.0.1", "192.168.***.***"),
-]
+#: A value of each kind for each customer, and what is left of it. The expressions are SQL of both engines.
+_FOUR = lambda x: f"lpad(CAST({x} % 10000 AS STRING), 4, '0')"
+_SIX = "lpad(CAST(c_custkey % 1000000 AS STRING), 6, '0')"
+PII_VALUES = {
+    "email": "'user' || c_custkey || '@example.com'", "phone": f"'010-' || {_FOUR('c_custkey')} || '-' || {_FOUR('c_custkey * 7')}", "ssn": f"'900101-' || (c_custkey % 4 + 1) || {_SIX}",
+    "credit_card": f"'1234-5678-' || {_FOUR('c_custkey')} || '-' || {_FOUR('c_custkey * 3')}", "bank_account": f"'110-123-' || {_SIX}", "ip_address": "'10.' || (c_custkey % 256) || '.0.' || (c_custkey % 100)",
+}
+PII_MASKED = {
+    "email": "'u' || repeat('*', length(CAST(c_custkey AS STRING)) + 2) || right(CAST(c_custkey AS STRING), 1) || '@example.com'", "phone": f"'010-****-' || {_FOUR('c_custkey * 7')}", "ssn": "'900101-' || (c_custkey % 4 + 1) || '******'",
+    "credit_card": f"'****-****-****-' || {_FOUR('c_custkey * 3')}", "bank_account": f"'110-***-******' || right({_SIX}, 3)", "ip_address": "'10.' || (c_custkey % 256) || '.***.***'",
+}
+
+
+def _masked(name: str, kind: str) -> None:
+    """One query for each mask; every fifth value is none of the kind."""
+
+    def query(t: Tables) -> DataFrame:
+        value = F.expr(f"CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE {PII_VALUES[kind]} END")
+        return t.customer.select("c_custkey", pii.MASKS[kind](value).alias("masked"))
 
+    query.__name__ = name
+    P.add(f"SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE {PII_MASKED[kind]} END AS masked FROM customer")(query)
 
-@P.add("SELECT kind, value, masked FROM (VALUES " + ", ".join(str(x) for x in _PII) + ") v(kind, value, masked)")
+
+for _name, _kind in (("email", "email"), ("phone", "phone"), ("ssn", "ssn"), ("card", "credit_card"), ("account", "bank_account"), ("ip", "ip_address")):
+    _masked(f"p_mask_{_name}", _kind)
+
+
+@P.add("SELECT * FROM (" + " UNION ALL ".join(f"SELECT c_custkey, '{k}' AS kind, {PII_VALUES[k]} AS value, {v} AS masked FROM customer" for k, v in PII_MASKED.items()) + ")")
 def p_masks(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(k, v) for k, v, _ in _PII], "kind string, value string")
-    out = F.col("value")
-    for kind, mask in pii.MASKS.items():
-        out = F.when(F.col("kind") == kind, mask(F.col("value"))).otherwise(out)
-    return rows.select("kind", "value", out.alias("masked"))
+    """All kinds of each customer."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(v).alias("value"), pii.MASKS[k](F.expr(v)).alias("masked")) for k, v in PII_VALUES.items()])
+    return t.customer.select("c_custkey", F.inline(kinds))
 
 
-@P.add("SELECT * FROM (VALUES ('홍길동', '홍**'), ('John Doe', 'J*** D**')) v(name, masked)")
+@P.add("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1] || repeat('*', length(w) - 1)), ' ') AS masked FROM part")
 def p_mask_name(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([("홍길동",), ("John Doe",)], "name string").select("name", pii.masked_name(F.col("name")).alias("masked"))
+    return t.part.select("p_partkey", pii.masked_name(F.col("p_name")).alias("masked"))
 
 
-@P.add("SELECT 'call 010-****-5678 or h******l@b.co.kr from 10.0.***.*** card ****-****-****-3456 id 900101-1****** acc 110-123-456789' AS masked")
+def _said(values: dict[str, str]) -> str:
+    return f"'call ' || {values['phone']} || ' or ' || {values['email']} || ' from ' || {values['ip_address']} || ' card ' || {values['credit_card']} || ' id ' || {values['ssn']}"
+
+
+@P.add(f"SELECT c_custkey, {_said(PII_MASKED)} AS masked FROM customer")
 def p_mask_text(t: Tables) -> DataFrame:
-    row = t.spark.createDataFrame([("call 010-1234-5678 or hong.gil@b.co.kr from 10.0.0.1 card 1234-5678-9012-3456 id 900101-1234567 acc 110-123-456789",)], "q string")
-    return row.select(pii.masked_text(F.col("q")).alias("masked"))
+    return t.customer.select("c_custkey", pii.masked_text(F.expr(_said(PII_VALUES))).alias("masked"))
 
 
 @P.add("SELECT c_custkey, substr(c_name, 1, 1) || repeat('*', length(c_name) - 1) AS name, '[REDACTED]' AS token FROM customer")
@@ -634,11 +709,15 @@ _INPUTS = [
 ]
 
 
-@P.add("""SELECT * FROM (VALUES (1, 0, NULL, NULL), (2, NULL, NULL, NULL), (3, NULL, 0, NULL), (4, NULL, NULL, 0), (5, 5, NULL, NULL), (6, 1, NULL, NULL), (7, 7, NULL, NULL), (8, 5, NULL, NULL), (9, 0, NULL, NULL), (10, 3, NULL, NULL),
-(11, 6, NULL, NULL), (12, 8, NULL, NULL), (13, NULL, 2, NULL), (14, NULL, 3, NULL), (15, NULL, NULL, 1), (16, NULL, NULL, 2)) v(id, sqli, xss, path)""")
+#: Which sign each input shows: of SQL injection, of a script, of a path.
+_SIGNS = [(0, None, None), (None, None, None), (None, 0, None), (None, None, 0), (5, None, None), (1, None, None), (7, None, None), (5, None, None), (0, None, None), (3, None, None), (6, None, None), (8, None, None), (None, 2, None), (None, 3, None), (None, None, 1), (None, None, 2)]
+
+
+@P.add(_drawn("sqli, xss, path", [(i, *x) for i, x in enumerate(_SIGNS)], "event_id", "events"))
 def i_sqli(t: Tables) -> DataFrame:
-    q = F.col("q")
-    return t.spark.createDataFrame(_INPUTS, "id int, q string").select("id", pii.first_matching(q, pii.SQL_INJECTION).alias("sqli"), pii.first_matching(q, pii.XSS).alias("xss"), pii.first_matching(q, pii.PATH_TRAVERSAL).alias("path"))
+    """Inputs of each kind with an event's type behind."""
+    rows, q = t.events.select(F.col("event_id").alias("id"), F.concat(F.get(F.array(*[F.lit(x) for _, x in _INPUTS]), (F.col("event_id") % len(_INPUTS)).cast("int")), F.lit(" "), "event_type").alias("q")), F.col("q")
+    return rows.select("id", pii.first_matching(q, pii.SQL_INJECTION).alias("sqli"), pii.first_matching(q, pii.XSS).alias("xss"), pii.first_matching(q, pii.PATH_TRAVERSAL).alias("path"))
 
 
 @P.add("SELECT page_id, regexp_matches(url, '^https?://[A-Za-z0-9.-]+(:[0-9]+)?(/\\S*)?$') AS ok, left(regexp_replace(regexp_replace(url, '^.*[/\\\\]', ''), '[^A-Za-z0-9가-힣._-]', '_', 'g'), 255) AS file FROM pages")
@@ -646,10 +725,10 @@ def i_url(t: Tables) -> DataFrame:
     return t.pages.select("page_id", pii.valid_url(F.col("url")).alias("ok"), pii.safe_filename(F.col("url")).alias("file"))
 
 
-@P.add("SELECT * FROM (VALUES ('a@b.com', true, false), ('010-1234-5678', false, true), ('x', false, false)) v(value, email, phone)")
+@P.add("SELECT c_custkey, c_custkey % 3 = 0 AS email, c_custkey % 3 = 1 AS phone FROM customer")
 def i_email_phone(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("a@b.com",), ("010-1234-5678",), ("x",)], "value string")
-    return rows.select("value", pii.valid_email(F.col("value")).alias("email"), pii.valid_phone(F.col("value")).alias("phone"))
+    value = F.expr(_case("c_custkey", PII_VALUES["email"], PII_VALUES["phone"], "c_name"))
+    return t.customer.select("c_custkey", pii.valid_email(value).alias("email"), pii.valid_phone(value).alias("phone"))
 
 
 @P.add("SELECT conv_id, turn, length(text) <= 1000 AS query_ok, length(text) <= 10000 AS input_ok FROM conversations")
@@ -661,10 +740,14 @@ def i_length(t: Tables) -> DataFrame:
 # Formats
 
 
-@P.add("SELECT * FROM (VALUES (100000000, '1억원'), (500000000, '5억원'), (150000000, '1억 5000만원'), (10000, '1만원'), (50000000, '5000만원'), (9999, '9,999원'), (100005000, '1억 0만원'), (0, '0원')) v(amount, shown)")
+_WON = "CAST(round(o_totalprice) AS BIGINT) * (CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 100000000 ELSE 0 END) + o_orderkey % 9999"
+
+
+@P.add(f"""
+SELECT id, CASE WHEN w >= 100000000 AND w % 100000000 = 0 THEN w // 100000000 || '억원' WHEN w >= 100000000 THEN w // 100000000 || '억 ' || w % 100000000 // 10000 || '만원' WHEN w >= 10000 THEN w // 10000 || '만원' ELSE format('{{:,}}', w) || '원' END AS shown
+FROM (SELECT o_orderkey AS id, {_WON} AS w FROM orders)""")
 def fmt_krw(t: Tables) -> DataFrame:
-    rows = [(100_000_000,), (500_000_000,), (150_000_000,), (10_000,), (50_000_000,), (9_999,), (100_005_000,), (0,)]
-    return t.spark.createDataFrame(rows, "amount int").select("amount", text.krw(F.col("amount")).alias("shown"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), text.krw(F.expr(_WON)).alias("shown"))
 
 
 @P.add("SELECT p_partkey, CASE WHEN d >= 365 THEN (d // 365) || '년' WHEN d >= 30 THEN (d // 30) || '개월' ELSE d || '일' END AS shown FROM (SELECT p_partkey, p_size * p_size AS d FROM part)")
@@ -686,7 +769,8 @@ def src_html_links(t: Tables) -> DataFrame:
     return found.filter(F.contains(F.lower("href"), F.lit(".pdf")) | F.lower("label").rlike("pdf|약관") | F.col("href").startswith("/t"))
 
 
-@P.add(_sql("id, row, cells", (1, 0, "a\tb"), (1, 1, "1\t2"), (2, 1, "x")))
+@P.add("SELECT p_partkey AS id, unnest([0, 1])::INT AS row, unnest(['name' || chr(9) || 'size', p_name || chr(9) || p_size]) AS cells FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 1, p_type FROM part WHERE p_partkey % 2 = 1")
 def src_html_table(t: Tables) -> DataFrame:
-    pages = [(1, "<p>t</p><table><tr><th>a</th><th> b </th></tr><tr><td>1</td><td>2</td></tr></table>"), (2, "<table><tr></tr><tr><td>x</td></tr></table>"), (3, "none")]
-    return parsers.mapped(t.spark.createDataFrame(pages, "id int, html string"), ["id"], "html", "row int, cells string", parsers.html_tables)
+    """A table of each part, within other markup or with an empty row."""
+    pages = _case("p_partkey", "'<p>t</p><table><tr><th>name</th><th> size </th></tr><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr></table>'", "'<table><tr></tr><tr><td>' || p_type || '</td></tr></table>'")
+    return parsers.mapped(_parts(t, pages), ["id"], "q", "row int, cells string", parsers.html_tables)

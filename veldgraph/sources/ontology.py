@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 SCHEMA = "map<string,struct<subtypes:map<string,struct<standard:string,korean_names:array<string>,english_names:array<string>,kcd_codes:array<string>,severity:string>>>>"
 
 
-def entities(nested: DataFrame, column: str) -> DataFrame:
-    """(load, category, standard_name, names, kcd_codes, severity) of a column of JSON texts; ``load`` is the order in a text."""
-    parsed = nested.select(F.map_entries(F.from_json(column, SCHEMA)).alias("c")).select(F.posexplode("c").alias("i", "c"))
-    each = parsed.select("i", F.col("c.key").alias("category"), F.posexplode(F.map_entries("c.value.subtypes")).alias("j", "s")).select("i", "j", "category", "s.value.*")
+def entities(nested: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """(load, category, standard_name, names, kcd_codes, severity) of a column of JSON texts; ``load`` is the order of the texts by the column ``order``, then that in a text."""
+    at = F.lit(0) if order is None else F.col(order)
+    parsed = nested.select(at.alias("at"), F.map_entries(F.from_json(column, SCHEMA)).alias("c")).select("at", F.posexplode("c").alias("i", "c"))
+    each = parsed.select("at", "i", F.col("c.key").alias("category"), F.posexplode(F.map_entries("c.value.subtypes")).alias("j", "s")).select("at", "i", "j", "category", "s.value.*")
     listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     names = F.concat(F.array("standard"), listed("korean_names"), listed("english_names"))
-    return each.select(F.struct("i", "j").alias("load"), "category", F.col("standard").alias("standard_name"), names.alias("names"), listed("kcd_codes").alias("kcd_codes"), "severity")
+    return each.select(F.struct("at", "i", "j").alias("load"), "category", F.col("standard").alias("standard_name"), names.alias("names"), listed("kcd_codes").alias("kcd_codes"), "severity")
 
 
 def by_name(known: DataFrame) -> DataFrame:
