@@ -75,7 +75,10 @@ def contaminated(docs: list[tuple], items: list[tuple], match: int, coverage: fl
     for d, text in docs:
         for i, item in items:
             words = items_words(item)
-            covered = tiled(words, items_words(text), min(match, len(words))) if words else 0
+            if 0 < len(words) < match:
+                covered = len(words) if any(items_words(part) == words for part in re.split(r"[\n.!?]+", text or "")) else 0
+            else:
+                covered = tiled(words, items_words(text), match) if words else 0
             if covered and covered >= coverage * len(words):
                 out.add((d, i, len(words), covered))
     return out
@@ -462,3 +465,52 @@ def without_lines(docs: list[tuple[int | None, str | None]], least_chars: int, l
         kept = [line for line in split if not (i is not None and len(holders.get(key(line), ())) >= least_docs and i != max(holders[key(line)]))]
         out.append((i, len(split), len(split) - len(kept), "\n".join(kept)))
     return out
+
+
+def posteriors(votes: list[list[int]], start: list[float], least: float, steps: int) -> list[float]:
+    """Posteriors of toxic by expectation-maximisation, row by row and pair by pair of voters."""
+    n, width, post = len(votes), len(votes[0]), list(start)
+    share = min(max(sum(post) / n, 1e-4), 1 - 1e-4)
+
+    def correlation(a: int, b: int) -> float:
+        total = 0.0
+        for side in (0, 1):
+            w = [p if side else 1 - p for p in post]
+            size = sum(w) + 2
+            mean = [sum(x * (r[k] != 0) for x, r in zip(w, votes, strict=True)) / size for k in (a, b)]
+            spread = [math.sqrt(max(m * (1 - m), 1e-9)) for m in mean]
+            total += sum(w) / n * sum(x * ((r[a] != 0) - mean[0]) * ((r[b] != 0) - mean[1]) for x, r in zip(w, votes, strict=True)) / size / (spread[0] * spread[1])
+        return total
+
+    for _ in range(steps):
+        weight = []
+        for k in range(width):
+            right = sum(p if r[k] > 0 else 1 - p for p, r in zip(post, votes, strict=True) if r[k])
+            sure = min(max((right + 1) / (sum(r[k] != 0 for r in votes) + 2), 0.5), 0.999)
+            others = [correlation(k, b) for b in range(width) if b != k]
+            weight.append(math.log(sure / (1 - sure)) / (1 + sum(min(c, 1) for c in others if c >= least)))
+        now = []
+        for r in votes:
+            odds = math.log(share / (1 - share)) + sum(v * w for v, w in zip(r, weight, strict=True))
+            now.append(1 / (1 + math.exp(-min(max(odds, -50), 50))))
+        moved, post = max(abs(a - b) for a, b in zip(now, post, strict=True)), now
+        if moved < 1e-6:
+            break
+    return post
+
+
+def _mix(x: int) -> int:
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * by % 2**64
+    return x ^ x >> 31
+
+
+def beginnings(text: str | None, sizes: tuple[int, ...], base: int) -> set[int]:
+    """Hashes of the first bytes of all words, by sizes; a shorter word with its end."""
+    out = set()
+    for word in items_words(text):
+        raw = word.encode()
+        for size in sizes:
+            head = raw[:size]
+            out.add(_mix((sum((b + 1) * pow(base, i, 2**64) for i, b in enumerate(head)) + len(head) + (2**32 if len(raw) < size else 0)) % 2**64))
+    return out

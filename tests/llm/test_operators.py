@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tests.compare import connection, difference
 from tests.llm import brute
-from veldgraph.llm import decontaminate, language_id, mixing, near_dedup, pseudonyms, quality, queries, secrets, token_counts, tokens, toxicity, warc
-from veldgraph.storage import load
+from veldgraph.llm import decontaminate, language_id, mixing, near_dedup, pseudonyms, quality, queries, secrets, skew, token_counts, tokens, toxicity, warc
+from veldgraph.storage import load, stored
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, band int, id int, score double, row string, found_ string"
@@ -149,6 +149,51 @@ def test_tiling_matches_brute_force(spark, docs, nothing):
     assert decontaminate.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_short_items_are_whole_lines_or_sentences(spark):
+    """One word of a text is no passage; a line or a sentence of it is."""
+    rows = [(1, "In Paris it rains. Paris"), (2, "Paris is a town"), (3, "It is\nPARIS!\nindeed"), (4, "a b c d"), (5, "x. A, b: c d! y"), (6, "a b c d e"), (7, None)]
+    items = [(1, "Paris"), (2, "a b c d"), (3, "?")]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_item_words"], r["n_covered"]) for r in got} == brute.contaminated(rows, items, decontaminate.MATCH, decontaminate.COVERAGE)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (3, 1), (4, 2), (5, 2)}
+
+
+@pytest.mark.parametrize("sent_bytes", [32 << 20, 0])
+def test_a_phrase_of_all_documents_and_items_joins_none(spark, monkeypatch, sent_bytes):
+    """Documents and items share a phrase of seven words; a few share more. Candidates follow what is shared beyond the phrase."""
+    monkeypatch.setattr(skew, "SENT_BYTES", sent_bytes)
+    monkeypatch.setattr(decontaminate, "SPLIT", 50)
+    monkeypatch.setattr(decontaminate, "LISTED", 7)
+    rng, phrase = random.Random(23), "which of the following statements is true".split()
+    own = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    items = [(i, " ".join(phrase + own(17))) for i in range(300)]
+    docs = [(i, " ".join([*own(20), *phrase, *own(20), *(items[i][1].split() if i % 60 == 0 else [])])) for i in range(300)]
+    proposed: list[int] = []
+
+    def counted(df, name):  # noqa: ANN001, ANN202
+        out = stored(df, name)
+        if name == "proposed":
+            proposed.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontaminate, "stored", counted)
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(0, 300, 60)}
+    assert proposed == [5]
+
+
+def test_items_that_are_alike_are_all_found(spark, monkeypatch):
+    """Forty items that differ in one word, in a third of the documents."""
+    monkeypatch.setattr(decontaminate, "SPLIT", 3)
+    monkeypatch.setattr(decontaminate, "LISTED", 4)
+    rng = random.Random(29)
+    passage = _words(rng, 30)
+    items = [(i, " ".join([*passage[:15], f"v{i}", *passage[15:]])) for i in range(40)]
+    docs = [(i, " ".join(_words(rng, 30) + (passage if i % 3 == 0 else []))) for i in range(30)] + [(None, " ".join(passage)), (5, " ".join(passage))]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_item_words"], r["n_covered"]) for r in got} == brute.contaminated(docs, items, decontaminate.MATCH, decontaminate.COVERAGE)
+
+
 def test_tiles_of_random_and_repetitive_texts():
     rng = random.Random(8)
     for _ in range(300):
@@ -352,6 +397,36 @@ def test_toxicity_does_not_depend_on_order(spark):
     assert min(by_text[True]) > max(s for d, s in scores[0][2] if d < 60 and d % 3)
 
 
+def test_label_model_matches_brute_force():
+    """Independent voters, a copied one, one that votes with another now and then, and one that never votes."""
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        truth = np.where(rng.random(80) < 0.4, 1, -1)
+        own = np.where(rng.random((80, 6)) < 0.8, truth[:, None], -truth[:, None]) * (rng.random((80, 6)) < 0.5)
+        near = np.where(rng.random(80) < 0.8, own[:, 1], 0)
+        votes = np.column_stack((own, own[:, 0], near, np.zeros(80))).astype(np.int8)
+        start = np.clip(0.5 + 0.2 * votes.sum(axis=1), 0.05, 0.95)
+        got, _ = toxicity.label_model(votes, start)
+        assert np.abs(got - brute.posteriors(votes.tolist(), start.tolist(), toxicity.CORRELATED, 50)).max() < 1e-6
+
+
+def test_scores_match_brute_force(spark, docs):
+    """The classifier on whole texts, word by word."""
+    rng = random.Random(41)
+    rows = [(i, " ".join(_words(rng, 12) + (["Scumbag", "idiots", "you are a fool!!"] if i % 3 == 0 else ["thanks", "kindly"]))) for i in range(90)] + [(200, None), (201, ""), (202, "ÄRGER " * 3 + "IDIOTS AND FOOLS"), (203, "x " * 40_000 + "idiots")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fitted(frame, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, label int"))
+    weight = {int(f): w for f, w in zip(model.features, model.weights, strict=False)}
+    assert len(weight) > 2
+    texts = rows + [(r[0] + 1000, r[1]) for r in _fixture()]
+    for r in toxicity.scored(spark.createDataFrame(texts, "doc_id long, text string"), model, "doc_id").collect():
+        text = dict(texts)[r["doc_id"]]
+        odds = model.bias + sum(weight.get(h, 0.0) for h in brute.beginnings(text, toxicity.SIZES, tokens.MULTIPLIER))
+        odds += sum(w for p, w in zip(toxicity.PATTERNS, model.weights[len(model.features) :], strict=True) if re.search(p, text or "", re.ASCII))
+        assert abs(r["score"] - 1 / (1 + np.exp(-odds))) < 1e-9
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     truth = np.where(rng.random(6000) < 0.3, 1, -1)
@@ -550,6 +625,41 @@ def test_token_counts_of_odd_texts(spark):
     assert got == {i: len(t.encode(x, add_special_tokens=False)) for i, x in enumerate(texts)}
 
 
+def test_token_counts_of_texts_without_spaces(spark):
+    """Texts of about a megabyte of each kind: what has boundaries is cut, all counts are the library's."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    rng = random.Random(31)
+    kinds = {"letters": "ab", "signs": "abc.,;:-'!<|>_=", "ideographs": "中文字漢語。、a1", "digits": "0123456789ab", "marks": ["a", "e", "=", "\u0338", "\u0301", ".", ",", "é"], "emoji": "😀a.👍b!", "punctuation": "#$%&()*+,-./:;"}
+    texts = ["".join(rng.choices(k, k=300_000)) for k in kinds.values()] + ["abc<|endoftext|>don't!" * 20_000]
+    rows = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:2])], "doc_id long, text string")
+    got = token_counts.token_counts(rows, queries.tokenizer_path()).collect()
+    want = {i: len(t.encode(x, add_special_tokens=False)) for i, x in enumerate(texts)}
+    assert len(got) == len(rows.collect()) and all(r["n_tokens"] == want[r["doc_id"]] for r in got)
+    cut = [max(map(len, token_counts._cut(x.encode(), True))) for x in texts]
+    assert all(n < 2 * token_counts.LONG for n in (*cut[1:6], cut[7]))
+
+
+def test_kept_pieces_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "_loaded", {})
+    monkeypatch.setattr(token_counts, "KEPT_PIECES", 50)
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": [f"word{i} {'long' * 50}{i}" for i in range(200)]})
+    seen: list = []
+
+    class Docs:
+        def select(self, *_):  # noqa: ANN002, ANN202
+            return self
+
+        def mapInArrow(self, run, _schema):  # noqa: ANN001, ANN202, N802
+            for k in range(20):
+                seen.extend(run(iter([rows.slice(10 * k, 10)])))
+
+    token_counts.token_counts(Docs(), queries.tokenizer_path())
+    kept = token_counts._loaded[queries.tokenizer_path()][1]
+    assert len(seen) == 20 and len(kept) <= 60 and max(map(len, kept)) <= token_counts.KEPT_BYTES
+
+
 # 9
 
 

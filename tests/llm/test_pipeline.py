@@ -55,3 +55,15 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_rows_without_an_id_and_with_one_id(spark, tmp_path):
+    """Null ids stay through near duplicates and are judged by their text in decontamination; rows of one id are one document to the first and two to the second."""
+    rows, items, folder = _tables(spark, tmp_path)
+    passage = items[0][1]
+    odd = [(None, "some text without an id"), (None, "some text without an id"), (None, f"x {passage}"), (7, "first text of seven here"), (7, f"second text of seven: {passage}"), (7, "first text of seven here"), (8, "first text of seven here")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_stage(spark, docs, folder).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, odd[:6]))
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination_stage(spark, docs, folder).collect()]
+    assert sorted(map(str, clean)) == sorted(map(str, [x for x in odd if passage not in x[1]]))

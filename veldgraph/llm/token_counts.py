@@ -2,10 +2,12 @@
 
 Texts are cut at ASCII white space, which no pre-token of the tokenizer crosses, so a
 text's count is the sum over its pieces and a long text is never encoded whole. A
-white-space-free piece longer than ``LONG`` bytes is cut again beside ASCII
-digits if ``digits_alone`` says that each digit is a pre-token of its own. Within
-a block of texts each distinct piece is encoded once, in batches of about equal
-bytes; only lengths are kept, in a memory of bounded size.
+white-space-free piece longer than ``LONG`` bytes is cut again, if ``classes_apart`` says
+that the tokenizer keeps classes of characters apart: beside ASCII digits, and where a letter
+meets punctuation, but not within a special string. What is left, a run of letters or of
+signs alone, is one pre-token and has no safe boundary. Within a block of texts each
+distinct piece is encoded once, in batches of about equal bytes; only lengths are kept,
+and from one block to the next only those of ``KEPT_PIECES`` pieces of ``KEPT_BYTES`` at most.
 
 A null or empty text has no tokens. Special strings inside texts count as the
 library counts them by default. Rows may repeat; other columns are ignored.
@@ -13,6 +15,7 @@ library counts them by default. Rows may repeat; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -28,6 +31,9 @@ LIMIT = 2048
 LONG = 4096
 BATCH_BYTES = 256 << 10
 KEPT_PIECES = 400_000
+KEPT_BYTES = 64
+#: Between a letter, of ASCII or an ideograph, and a sign that neither a special string nor a contraction holds.
+CLASSES = re.compile(rb"(?<=[A-Za-z])(?=[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~])|(?<=[\xe5-\xe9][\x80-\xbf][\x80-\xbf])(?=\xe3\x80[\x81\x82])|(\d)")
 
 _loaded: dict[str, object] = {}
 
@@ -44,17 +50,17 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def _cut(piece: bytes, digits_alone: bool) -> list[bytes]:
-    if len(piece) <= LONG or not digits_alone:
+def _cut(piece: bytes, classes_apart: bool) -> list[bytes]:
+    if len(piece) <= LONG or not classes_apart:
         return [piece]
-    out, part, size = [], [], 0
-    for run in re.split(rb"(\d)", piece):
-        if part and size + len(run) > LONG:
-            out.append(b"".join(part))
-            part, size = [], 0
-        part.append(run)
-        size += len(run)
-    return [*out, b"".join(part)]
+    out, begin = [], 0
+    for m in CLASSES.finditer(piece):
+        # A digit is a boundary at both of its ends.
+        for at in (m.start(), m.end()):
+            if at - begin >= LONG:
+                out.append(piece[begin:at])
+                begin = at
+    return [*out, piece[begin:]]
 
 
 def _learn(tokenizer, lengths: dict[bytes, int], pieces: list[bytes]) -> None:
@@ -69,18 +75,21 @@ def _learn(tokenizer, lengths: dict[bytes, int], pieces: list[bytes]) -> None:
             batch, size = [], 0
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, digits_alone: bool = True) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, classes_apart: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row. The file must be at that path on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, lengths = _tokenizer(tokenizer_path)
         for batch in blocks(batches, "text", 4 << 20):
             texts = pc.fill_null(batch.column("text"), "")
-            parts = [[q for p in t.split() for q in (_cut(p, digits_alone) if len(p) > LONG else (p,))] for t in texts.cast(pa.large_binary()).to_pylist()]
-            if len(lengths) > KEPT_PIECES:
+            parts = [[q for p in t.split() for q in (_cut(p, classes_apart) if len(p) > LONG else (p,))] for t in texts.cast(pa.large_binary()).to_pylist()]
+            fresh: dict[bytes, int] = {}
+            _learn(tokenizer, fresh, [p for p in set().union(*parts) if p not in lengths])
+            known = lambda p: lengths[p] if p in lengths else fresh[p]
+            counts = np.array([sum(map(known, p)) for p in parts], dtype=np.int64)
+            if len(lengths) + len(fresh) > KEPT_PIECES:
                 lengths.clear()
-            _learn(tokenizer, lengths, [p for p in set().union(*parts) if p not in lengths])
-            counts = np.array([sum(map(lengths.__getitem__, p)) for p in parts], dtype=np.int64)
+            lengths.update(itertools.islice(((p, n) for p, n in fresh.items() if len(p) <= KEPT_BYTES), KEPT_PIECES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pc.binary_length(texts).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
