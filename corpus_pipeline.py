@@ -6,7 +6,10 @@ decontamination    documents that hold a benchmark item go
 secret scan        secrets are replaced in the texts; every document stays
 mixing             takes documents by the target weights of a tree of domain, language and source
 
-Null or repeated rows follow the operators' rules. Columns other than those of documents are passed on.
+Rows without a doc_id have no place in the order of ids: near duplicates keep them all. Rows
+that repeat a doc_id are one document there: they stay or go together. Decontamination and
+what comes after it judge each row by its own text, with or without an id. Columns
+other than those of documents are passed on.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that hold a benchmark item."""
-    gone = stored(decontaminate.contaminated(docs, load(spark, sf_dir, "benchmark")).select("doc_id"), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(decontaminate.contamination(docs, load(spark, sf_dir, "benchmark")).select("doc_key").distinct(), "contaminated")
+    return docs.join(gone, decontaminate.doc_key() == gone["doc_key"], "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
