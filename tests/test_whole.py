@@ -72,5 +72,7 @@ def test_templates_and_chunks_of_all_documents(spark, tmp_path):
     got = {r["doc_id"]: r["share"] for r in QUERIES["s_template_match"](spark, str(tmp_path)).collect()}
     assert got == {i: score(templates[source], body or "") for i, body, _, source in rows}
     assert got[50] == got[52] == got[54] == 1 and 0 < got[51] < 1
-    sizes = {r["doc_id"]: (r["n"], r["length"]) for r in QUERIES["snk_chunk_files"](spark, str(tmp_path)).collect()}
-    assert sizes == {i: (-(-len(body or "") // 100), len(body or "")) for i, body, _, _ in rows}
+    written = QUERIES["snk_chunk_files"](spark, str(tmp_path)).collect()
+    for file in ("chunks", "metadata"):
+        assert {r["doc_id"]: (r["n"], r["length"]) for r in written if r["file"] == file} == {i: (-(-len(body or "") // 100), len(body or "")) for i, body, _, _ in rows}
+    assert sum(r["length"] for r in written if r["file"] == "stats") == sum(len(body or "") for _, body, _, _ in rows)

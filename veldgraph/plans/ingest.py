@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldgraph.functions import nlq, parsers, pii
-from veldgraph.operators import vector
+from veldgraph.operators import extractions, vector
 from veldgraph.plans import Plans, Tables
 from veldgraph.plans.retrieval import COS, RAW
 
@@ -75,6 +75,22 @@ def r_simple_flow(t: Tables) -> DataFrame:
     return filled.withColumn("complete", (F.col("articles") > 0) & (F.col("amounts") > 0))
 
 
+#: A contract with paragraphs and subclauses by number and by letter; an amount stands in it twice.
+CLAUSES = """'제' || (p_partkey % 90 + 10) || '조 [지급]' || chr(10) || '① 다음을 지급한다.' || chr(10) || '1. ' || (p_partkey % 9 + 1) || '억원' || chr(10) || '2. C' || (p_partkey % 80 + 10) || ' 진단' || chr(10)
+|| '② ' || (p_partkey % 300 + 1) || '일 이내 ' || (p_partkey % 9 + 1) || '억원' || chr(10) || '③ 다음' || chr(10) || '가. ' || p_name || chr(10) || '나. 기타'"""
+
+
+@P.add("""
+WITH p AS (SELECT p_partkey AS k, 'd' || p_partkey AS policy, 'd' || p_partkey || '_article_' || (p_partkey % 90 + 10) AS a FROM part)
+SELECT policy, NULL AS parent, policy AS node_id, 'Policy' AS label FROM p UNION ALL SELECT policy, policy, a, 'Article' FROM p UNION ALL SELECT policy, a, a || '_para_' || i, 'Paragraph' FROM p, range(1, 4) r(i)
+UNION ALL SELECT policy, a || '_para_' || x.i, a || '_para_' || x.i || '_sub_' || x.s, 'Subclause' FROM (SELECT policy, a, unnest([{'i': 1, 's': '1'}, {'i': 1, 's': '2'}, {'i': 3, 's': '가'}, {'i': 3, 's': '나'}]) AS x FROM p)
+UNION ALL SELECT policy, policy, policy || '_amount_' || (k % 9 + 1) * 100000000, 'Amount' FROM p UNION ALL SELECT policy, policy, policy || '_period_' || (k % 300 + 1), 'Period' FROM p UNION ALL SELECT policy, policy, policy || '_kcdcode_C' || (k % 80 + 10), 'KCDCode' FROM p""")
+def g_build_facts(t: Tables) -> DataFrame:
+    """The graph of contracts down to subclauses, with what they name."""
+    docs = t.part.select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("policy"), F.expr(CLAUSES).alias("text"))
+    return extractions.clause_graph(docs, "policy", "text")
+
+
 @P.add("SELECT page_id, " + ", ".join(f"regexp_matches(lower(html), '{p}') AS sign{i}" for i, p in enumerate(pii.XSS)) + " FROM pages")
 def i_xss(t: Tables) -> DataFrame:
     """Which of the six signs of a script a page holds."""

@@ -131,13 +131,19 @@ def snk_graph_json(t: Tables) -> DataFrame:
     return files.round_trip(nodes.withColumn("target", F.lit(None).cast("string")).unionByName(edges), "json")
 
 
-@P.add("SELECT doc_id, sum((coalesce(length(text), 0) + 99) // 100)::BIGINT AS n, sum(coalesce(length(text), 0))::BIGINT AS length FROM documents GROUP BY doc_id")
+@P.add("""
+WITH d AS (SELECT doc_id, source, lang, ((coalesce(length(text), 0) + 99) // 100)::BIGINT AS n, coalesce(length(text), 0)::BIGINT AS length FROM documents)
+SELECT 'metadata' AS file, doc_id, source, lang, n, length FROM d UNION ALL SELECT 'chunks', doc_id, NULL, lang, n, length FROM d UNION ALL SELECT 'stats', NULL, NULL, lang, sum(n)::BIGINT, sum(length)::BIGINT FROM d GROUP BY lang""")
 def snk_chunk_files(t: Tables) -> DataFrame:
-    """All chunks of the whole texts, in a folder for each language; a reader of one language opens only that."""
+    """All chunks of the whole texts, metadata of each document and statistics of each language, written as JSON; a reader of one language opens only its folder."""
     path = scratch_path(t.spark, "chunks")
-    chunks = F.regexp_extract_all("text", F.lit("(?s).{1,100}"), F.lit(0))
-    t.documents.select("doc_id", "lang", F.posexplode_outer(chunks).alias("place", "chunk")).write.partitionBy("lang").parquet(path)
-    return t.spark.read.parquet(path).groupBy("doc_id").agg(F.count("chunk").alias("n"), F.coalesce(F.sum(F.length("chunk")), F.lit(0)).alias("length"))
+    files.write_chunks(t.documents, path, "doc_id", "text", "lang", ["source"], 100)
+    chunks, metadata, stats = (t.spark.read.schema(schema).json(f"{path}/{name}") for name, schema in files.CHUNK_FILES.items())
+    counted = chunks.groupBy(F.col("id").alias("doc_id"), "lang").agg(F.count("chunk").alias("n"), F.coalesce(F.sum(F.length("chunk")), F.lit(0)).alias("length"))
+    null = F.lit(None)
+    shown = metadata.select(F.lit("metadata").alias("file"), F.col("id").alias("doc_id"), "source", "lang", F.col("chunks").alias("n"), F.col("chars").alias("length"))
+    shown = shown.unionByName(counted.select(F.lit("chunks").alias("file"), "doc_id", null.cast("string").alias("source"), "lang", "n", "length"))
+    return shown.unionByName(stats.select(F.lit("stats").alias("file"), null.cast("long").alias("doc_id"), null.cast("string").alias("source"), "lang", F.col("chunks").alias("n"), F.col("chars").alias("length")))
 
 
 @P.add("SELECT 'requests_total{event_type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")

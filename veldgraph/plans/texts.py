@@ -496,29 +496,31 @@ def src_cache(t: Tables) -> DataFrame:
 
 
 def _versions(t: Tables) -> DataFrame:
-    """Each benchmark text beside a newer one: with a line added, the same, or with its first word doubled, by the remainder of its id by three."""
-    doubled = F.concat(F.substring_index("text", " ", 1), F.lit(" "), F.col("text"))
-    newer = F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit("\nadded line"))).when(F.col("item_id") % 3 == 1, F.col("text")).otherwise(doubled)
-    return t.benchmark.select("item_id", "text", newer.alias("newer"))
+    """Each document beside a newer version: with a line added, the same, or with its first line changed, by the remainder of its id by three."""
+    newer = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nadded line"))).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("changed "), "text"))
+    return t.documents.filter("text is not null").select("doc_id", "text", newer.alias("newer"))
 
 
 @P.add()
 def s_ratio(t: Tables) -> DataFrame:
-    return parsers.compared(_versions(t), ["item_id"], "text", "newer").select("item_id", "ratio", (F.col("ratio") >= 0.85).alias("same_version"))
+    """Each turn of a conversation against the one before by the same role."""
+    before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    pairs = t.conversations.withColumn("before", before).filter("before is not null and text is not null")
+    return parsers.compared(pairs, ["conv_id", "turn"], "before", "text").select("conv_id", "turn", "ratio", (F.col("ratio") >= 0.85).alias("same_version"))
 
 
-@P.add("SELECT item_id, CASE WHEN item_id % 3 = 1 THEN 0 ELSE 1 END::INT AS added, CASE WHEN item_id % 3 = 2 THEN 1 ELSE 0 END::INT AS removed FROM benchmark")
+@P.add("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END::BIGINT AS added, CASE WHEN doc_id % 3 = 2 AND text <> '' THEN 1 ELSE 0 END::BIGINT AS removed FROM documents WHERE text IS NOT NULL")
 def s_diff(t: Tables) -> DataFrame:
-    return parsers.compared(_versions(t), ["item_id"], "text", "newer").select("item_id", "added", "removed")
+    return text.line_changes(_versions(t), "doc_id", "text", "newer").select("doc_id", "added", "removed")
 
 
 @P.add("""
-WITH c AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 1 / (n + 1) WHEN 1 THEN 0 ELSE 2 / n END AS changed FROM (SELECT item_id, len(string_split(text, chr(10))) AS n FROM benchmark))
-SELECT item_id, CASE WHEN changed > 0.3 THEN 'full' ELSE 'incremental' END AS mode, round(1 - changed, 6)::DOUBLE AS saving FROM c""")
+WITH c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1.0 / (n + 1) WHEN 1 THEN 0 ELSE (CASE WHEN text = '' THEN 1.0 ELSE 2.0 END) / greatest(n, 1) END AS changed FROM (SELECT doc_id, text, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS n FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, CASE WHEN changed > 0.3 THEN 'full' ELSE 'incremental' END AS mode, round(1 - changed, 6)::DOUBLE AS saving FROM c""")
 def s_incremental(t: Tables) -> DataFrame:
     """A changed line counts as one added and one removed."""
-    found = parsers.compared(_versions(t), ["item_id"], "text", "newer")
-    return found.select("item_id", F.when(F.col("change_ratio") > 0.3, "full").otherwise("incremental").alias("mode"), F.round(1 - F.col("change_ratio"), 6).alias("saving"))
+    found = text.line_changes(_versions(t), "doc_id", "text", "newer")
+    return found.select("doc_id", F.when(F.col("change_ratio") > 0.3, "full").otherwise("incremental").alias("mode"), F.round(1 - F.col("change_ratio"), 6).alias("saving"))
 
 
 @P.add()
