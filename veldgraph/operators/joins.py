@@ -27,6 +27,18 @@ def pairs(df: DataFrame, equal: list[str], id_col: str, residual: Column | None
     return left.join(right, equal).filter(keep if residual is None else keep & residual)
 
 
+def first_pairs(df: DataFrame, equal: list[str], id_col: str, k: int) -> DataFrame:
+    """The first k pairs of rows equal in some columns, in the order of both ids.
+
+    A pair's first row is among the k least ids that a greater one of their group follows,
+    so only these meet the table, where it is, and each task keeps k pairs.
+    """
+    last = df.groupBy(*equal).agg(F.max(id_col).alias("last_"))
+    first = df.join(last, equal).filter(F.col(id_col) < F.col("last_")).orderBy(id_col).limit(k).select(*equal, F.col(id_col).alias(f"{id_col}_1"))
+    both = df.select(*equal, F.col(id_col).alias(f"{id_col}_2")).join(F.broadcast(first), equal)  # k rows
+    return both.filter(F.col(f"{id_col}_1") < F.col(f"{id_col}_2")).orderBy(f"{id_col}_1", f"{id_col}_2").limit(k)
+
+
 def stars(df: DataFrame, equal: list[str], id_col: str = "id") -> DataFrame:
     """(src, dst): of rows equal in some columns, none null, the one of least id with each other one. As many edges as rows connect what all pairs would."""
     first = df.groupBy(*equal).agg(F.min(id_col).alias("src"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldgraph.plans import Plans, Tables
 from veldgraph.storage import scratch_path
-from veldgraph.streaming import upkeep, windows
+from veldgraph.streaming import lru, upkeep, windows
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
@@ -152,6 +152,22 @@ def st_learner_poll(t: Tables) -> DataFrame:
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@P.add("""
+WITH e AS (SELECT event_id, (user_id, event_type) AS k, row_number() OVER (ORDER BY ts, event_id) AS place FROM events),
+p AS (SELECT event_id, k, place, lag(place) OVER (PARTITION BY k ORDER BY place) AS before FROM e),
+d AS (SELECT p.event_id, count(DISTINCT e.k) AS n FROM p JOIN e ON e.place > p.before AND e.place < p.place GROUP BY p.event_id)
+SELECT event_id, before IS NOT NULL AND coalesce(n, 0) < 100 AS cached FROM p LEFT JOIN d USING (event_id)""")
+def st_cache_lru(t: Tables) -> DataFrame:
+    """Which requests a cache of a hundred entries holds when they come."""
+    return lru.cached(t.events, ["user_id", "event_type"], "ts", "event_id", 100).select(F.col("id").alias("event_id"), "cached")
+
+
+@P.add()
+def st_cache_lru_ttl(t: Tables) -> DataFrame:
+    """Hits of a cache with a thousand entries for an hour each; tests compare with an ordered dictionary."""
+    return lru.hits(t.events, ["user_id", "event_type"], "ts", "event_id")
+
+
 @P.add("""
 WITH h AS (SELECT event_id, user_id, event_type, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) <= 86400000000, false) AS hit FROM events) SELECT event_type, count(*) AS n, count(*) FILTER (hit) AS hits FROM h GROUP BY event_type""")
 def st_cache_ttl(t: Tables) -> DataFrame:
