@@ -38,6 +38,22 @@ def related(nodes: DataFrame, edges: DataFrame, rel_type: str, left: str, right:
     return of_label(nodes, left, a).join(links.join(of_label(nodes, right, b), f"{b}_id"), f"{a}_id", "left" if optional else "inner")
 
 
+def pattern(nodes: DataFrame, edges: DataFrame, *chain: tuple[str, str]) -> DataFrame:
+    """Matches of a chain of nodes (alias, label) and, between two of them, edges (type, ``out``, ``in`` or ``any``): the columns of each node with its alias as prefix.
+
+    Each edge is one join with the node behind it; an edge that stands several times matches once.
+    """
+    found = of_label(nodes, chain[0][1], chain[0][0])
+    for k in range(1, len(chain), 2):
+        (rel_type, way), (alias, label), here = chain[k], chain[k + 1], f"{chain[k - 1][0]}_id"
+        out = ends(edges, rel_type, here, f"{alias}_id")
+        links = {"out": out, "in": ends(edges, rel_type, f"{alias}_id", here).select(here, f"{alias}_id"), "any": None}[way]
+        if links is None:
+            links = out.unionByName(ends(edges, rel_type, f"{alias}_id", here)).distinct()
+        found = found.join(links, here).join(of_label(nodes, label, alias), f"{alias}_id")
+    return found
+
+
 def coverage_amounts(nodes: DataFrame, edges: DataFrame, disease: str) -> DataFrame:
     found = related(nodes.filter((F.col("label") != "Disease") | (F.col("name") == disease)), edges, "COVERS", "Disease", "Coverage", "d", "c")
     return found.select(F.col("d_name").alias("disease"), F.col("c_name").alias("coverage"), F.col("c_amount").alias("amount"))

@@ -217,6 +217,19 @@ def g_custom(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT rel_type, count(*) AS n, count(DISTINCT src) AS sources FROM {edges} GROUP BY rel_type HAVING count(*) > 10", edges=edges_of(t))
 
 
+@P.add(f"""
+WITH {GRAPH} SELECT DISTINCT p.node_id AS product, c.node_id AS coverage, d.name AS disease, w.amount AS days FROM edges a JOIN nodes p ON p.node_id = a.src AND p.label = 'Product' JOIN nodes c ON c.node_id = a.dst AND c.label = 'Coverage'
+JOIN edges b ON b.src = c.node_id AND b.rel_type = 'COVERS' JOIN nodes d ON d.node_id = b.dst AND d.label = 'Disease' JOIN edges h ON h.src = c.node_id AND h.rel_type = 'HAS_CONDITION' JOIN nodes w ON w.node_id = h.dst AND w.label = 'Condition'
+WHERE a.rel_type = 'HAS_COVERAGE' AND w.amount < 20""")
+def g_custom_pattern(t: Tables) -> DataFrame:
+    """A pattern of four nodes as a chain: from a disease through its coverage to the product, and on to the coverage's condition."""
+    nodes, edges = nodes_of(t), edges_of(t)
+    found = graph.pattern(nodes, edges, ("d", "Disease"), ("COVERS", "in"), ("c", "Coverage"), ("HAS_COVERAGE", "any"), ("p", "Product"))
+    limits = graph.pattern(nodes, edges, ("c", "Coverage"), ("HAS_CONDITION", "out"), ("w", "Condition")).filter("w_amount < 20")
+    both = found.join(limits.select("c_id", "w_amount"), "c_id")
+    return both.select(F.col("p_id").alias("product"), F.col("c_id").alias("coverage"), F.col("d_name").alias("disease"), F.col("w_amount").alias("days")).distinct()
+
+
 # Traversal
 
 
