@@ -86,11 +86,16 @@ def step(paths: DataFrame, edges: DataFrame, level: int) -> DataFrame:
 
 
 def paths(edges: DataFrame, starts: DataFrame, depth: int, least: int = 1) -> DataFrame:
-    """All paths of ``least`` to ``depth`` edges from ``starts`` (column start) along the edges' direction: start, end, nodes, used, depth."""
+    """All paths of ``least`` to ``depth`` edges from ``starts`` (column start) along the edges' direction: start, end, nodes, used, depth.
+
+    The last step is not written, so a filter on its ends is one on the edges that it joins.
+    """
     now = starts.select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("used"), F.lit(0).alias("depth"))
     found = [now] if least == 0 else []
     for level in range(1, depth + 1):
-        now = stored(step(now, edges, level), "walk")
+        now = step(now, edges, level)
+        if level < depth:
+            now = stored(now, "walk")
         if level >= least:
             found.append(now)
     return union_all(found)
