@@ -20,11 +20,17 @@ def src_sql(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", "n_name", "n_regionkey")
 
 
-@P.add("SELECT * FROM (VALUES ('a', 'https://a', 'static_html', false, 100, 1.0::DOUBLE, 3), ('b', 'https://b', 'dynamic_js', true, 5, 0.5::DOUBLE, 3)) v(insurer_code, base_url, crawl_method, has_pagination, max_pages, request_delay, max_retries)")
+_SETTINGS = """CASE s_suppkey % 4 WHEN 0 THEN '{"insurer_code": "' || s_suppkey || '", "insurer_name": "' || s_name || '", "base_url": "https://' || s_suppkey || '"}'
+WHEN 1 THEN '{"insurer_code": "' || s_suppkey || '", "insurer_name": "' || s_name || '", "base_url": "https://' || s_suppkey || '", "crawl_method": "dynamic_js", "has_pagination": true, "max_pages": ' || s_nationkey || ', "request_delay": 0.5}'
+WHEN 2 THEN 'no settings ' || s_name ELSE '{"insurer_code": "' || s_suppkey || '"}' END"""
+
+
+@P.add("""
+SELECT s_suppkey::VARCHAR AS insurer_code, 'https://' || s_suppkey AS base_url, CASE s_suppkey % 4 WHEN 0 THEN 'static_html' ELSE 'dynamic_js' END AS crawl_method, s_suppkey % 4 = 1 AS has_pagination, CASE s_suppkey % 4 WHEN 0 THEN 100 ELSE s_nationkey END::INT AS max_pages,
+ CASE s_suppkey % 4 WHEN 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS request_delay, 3 AS max_retries FROM supplier WHERE s_suppkey % 4 < 2""")
 def src_yaml_crawler(t: Tables) -> DataFrame:
-    """Settings of each insurer with the defaults of what they leave out; what can't be read or lacks an address is left out."""
-    texts = ['{"insurer_code": "a", "insurer_name": "A", "base_url": "https://a"}', '{"insurer_code": "b", "insurer_name": "B", "base_url": "https://b", "crawl_method": "dynamic_js", "has_pagination": true, "max_pages": 5, "request_delay": 0.5}', "no settings", '{"insurer_code": "c"}']
-    return configs.settings(t.spark.createDataFrame([(x,) for x in texts], "q string"), "q")
+    """Settings of each insurer, suppliers here, with the defaults of what they leave out; what can't be read or lacks an address is left out."""
+    return configs.settings(t.supplier.select(F.expr(_SETTINGS).alias("q")), "q")
 
 
 @P.add("SELECT page_id, CASE WHEN strlen(html) < 10485760 THEN 'memory' ELSE 'stream' END AS route, CASE WHEN strlen(html) < 10485760 THEN 1 ELSE ceil(strlen(html) / 1048576)::BIGINT END AS pieces FROM pages")
