@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import importlib
+import random
 import re
 import sys
 
@@ -126,6 +127,27 @@ def test_similar_documents_match_all_pairs(spark):
     assert len(want) == 8
 
 
+def test_ratios_from_a_least_one_on(spark, monkeypatch):
+    """The same ratios as without the bound; texts that have little in common are given up after a few of their blocks."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = [said(n) for n in (0, 3, 30, 60, 400)]
+    texts = [*base, *(" ".join(w for w in b.split() if rng.random() < keep) for b in base for keep in (0.9, 0.6, 0.4)), None]
+    rows = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    got = {(r["i"], r["j"]): r["ratio"] for r in parsers.alike(rows, ["i", "j"], "a", "b", 0.5).collect()}
+    every = {(i, j): round(parsers.ratio(a or "", b or ""), 6) for i, a in enumerate(texts) for j, b in enumerate(texts)}
+    assert got == {k: v for k, v in every.items() if v >= 0.5}
+    calls = []
+    find = parsers.difflib.SequenceMatcher.find_longest_match
+    monkeypatch.setattr(parsers.difflib.SequenceMatcher, "find_longest_match", lambda self, *a: calls.append(a) or find(self, *a))
+    far = parsers.difflib.SequenceMatcher(None, *["".join(chr(rng.randint(0x4E00, 0x4E80)) for _ in range(3000)) for _ in range(2)])
+    assert parsers.ratio_from(far, 0.5) is None
+    short = len(calls)
+    assert far.ratio() < 0.5
+    assert short * 5 < len(calls) - short
+
+
 def test_personal_data_of_the_fixture(spark):
     cases = [
         ("Contact us at support@example.com or admin@mail.example", {"email": 2}), ("Call me at 010-1234-5678 or 01098765432", {"phone": 2}), ("My SSN is 900101-1234567", {"ssn": 1}), ("Card: 1234-5678-9012-3456", {"credit_card": 1}), ("010 1234 5678", {"phone": 1}),
