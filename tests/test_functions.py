@@ -127,6 +127,28 @@ def test_similar_documents_match_all_pairs(spark):
     assert len(want) == 8
 
 
+def test_line_changes_keep_the_order_of_lines(spark):
+    """A line that moves is removed and added; else as many lines as a plain longest common subsequence leaves."""
+    rng = random.Random(4)
+    some = lambda: "\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 12)))
+    cases = [("a\nb\nc", "b\nc\na"), ("", "a"), ("a", ""), (None, "a\n"), *((some(), some()) for _ in range(80))]
+
+    def plain(a: list[str], b: list[str]) -> int:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *row[1:]]
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "id long, a string, b string")
+    got = {r["id"]: (r["added"], r["removed"]) for r in parsers.line_changes(rows, "id", "a", "b").collect()}
+    lines = [[x.split("\n") if x else [] for x in c] for c in cases]
+    assert got == {i: (len(b) - plain(a, b), len(a) - plain(a, b)) for i, (a, b) in enumerate(lines)}
+    assert got[0] == (1, 1)
+
+
 def test_ratios_from_a_least_one_on(spark, monkeypatch):
     """The same ratios as without the bound; texts that have little in common are given up after a few of their blocks."""
     rng = random.Random(3)
