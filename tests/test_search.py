@@ -98,6 +98,29 @@ def test_contained_labels_equal_all_pairs(spark):
     assert len(got) == len({tuple(r) for r in got}) > 20
 
 
+def test_rows_with_contained_labels_equal_all_pairs(spark, monkeypatch):
+    """All rows, copies of a label too, also where a key makes more pairs than a task should."""
+    rng = random.Random(2)
+    labels = [(i, "".join(rng.choice("abAB ") for _ in range(rng.randint(1, 7))), i % 3) for i in range(200)] + [(200 + i, "baba", 0) for i in range(9)] + [(300, None, 0), (301, "x", 1)]
+    want = sorted((g, i, j) for i, a, g in labels for j, b, h in labels if g == h and i != j and a and b and len(a) > 3 and a.lower() in (b + " ba").lower())
+    frame = spark.createDataFrame(labels, "id long, label string, g int")
+    for made in (joins.MADE, 10):
+        monkeypatch.setattr(joins, "MADE", made)
+        got = joins.containing_rows(frame, "label", "id", ("g",), tail=" ba")
+        assert sorted(tuple(r) for r in got.select("g", "id_1", "id_2").collect()) == want
+    assert len(want) > 72
+
+
+def test_pairs_of_a_key_are_dealt(spark, monkeypatch):
+    """A key of many pairs goes to several tasks, with the same pairs."""
+    rows = spark.createDataFrame([(i, i // 60) for i in range(80)], "id long, k int")
+    want = {(i, j) for i in range(80) for j in range(80) if i < j and i // 60 == j // 60}
+    monkeypatch.setattr(joins, "MADE", 100)
+    got = joins.pairs(rows, ["k"], "id").select("id_1", "id_2", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["id_1"], r["id_2"]) for r in got) == sorted(want)
+    assert len({r["task"] for r in got if r["id_1"] < 60}) > 5
+
+
 def test_the_least_number_of_shared_grams_is_a_bound(spark):
     """For names of all lengths, the bound from a length on is at most the bound of each longer total."""
     for threshold in (0.7, 0.8, 0.9, 1.0):

@@ -17,14 +17,37 @@ def with_child_count(parent: DataFrame, child: DataFrame, key: str, child_key: s
     return parent.join(counted, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+#: Pairs that one task makes, or so.
+MADE = 2_000_000
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """The inner join, dealt by the number of pairs that keys make and not by the bytes of the sides, which may be few.
+
+    Rows of a key with more than ``MADE`` pairs are split by the left column ``spread``,
+    and those of its right side are sent to each split.
+    """
+    count = lambda df, name: df.groupBy(*on).agg(F.count("*").alias(name))
+    made = stored(count(left, "n_").join(count(right, "m_"), on).select(*on, (F.col("n_") * F.col("m_")).alias("made_")), "made")
+    total = made.agg(F.sum("made_")).first()[0] or 0
+    own = left.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = max(int(own), -(-total // MADE))
+    hot = made.filter(F.col("made_") > MADE).select(*on, F.ceil(F.col("made_") / MADE).alias("splits_"))
+    if total > MADE and hot.limit(1).count():
+        left = left.join(hot, on, "left").withColumn("split_", F.pmod(F.xxhash64(spread), F.coalesce("splits_", F.lit(1)))).drop("splits_")
+        right = right.join(hot, on, "left").withColumn("split_", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("splits_", F.lit(1)) - 1))).drop("splits_")
+        on = [*on, "split_"]
+    return left.repartition(parts, *on).join(right.repartition(parts, *on), on).drop("split_")
+
+
 def pairs(df: DataFrame, equal: list[str], id_col: str, residual: Column | None = None, ordered: bool = True) -> DataFrame:
-    """Pairs of rows equal in some columns, once each if ``ordered``; columns get the suffixes _1 and _2."""
+    """Pairs of rows equal in some columns, once each if ``ordered``; columns get the suffixes _1 and _2. Tasks are dealt by the number of pairs."""
     own = [c for c in df.columns if c not in equal]
     left = df.select(*equal, *[F.col(c).alias(f"{c}_1") for c in own])
     right = df.select(*equal, *[F.col(c).alias(f"{c}_2") for c in own])
     a, b = F.col(f"{id_col}_1"), F.col(f"{id_col}_2")
     keep = a < b if ordered else a != b
-    return left.join(right, equal).filter(keep if residual is None else keep & residual)
+    return dealt_join(left, right, equal, f"{id_col}_1").filter(keep if residual is None else keep & residual)
 
 
 def first_pairs(df: DataFrame, equal: list[str], id_col: str, k: int) -> DataFrame:
@@ -76,6 +99,27 @@ def contained(df: DataFrame, label: str, id_col: str = "id", least: int = 4, equ
     return inner.join(outer, [*equal, "part_"]).filter((F.col("inner") != F.col("outer")) & F.contains("outer", "inner")).drop("part_")
 
 
+def containing_rows(df: DataFrame, label: str, id_col: str, equal: tuple[str, ...], least: int = 4, tail: str = "") -> DataFrame:
+    """(equal columns, id_1, id_2) of all rows of which the first's label, of ``least`` characters or more, is within the second's with ``tail`` behind it, in either case, among rows equal in some columns.
+
+    Distinct labels meet by the rarest part of the inner one; rows meet by their labels then.
+    """
+    if least < PART:
+        raise ValueError(f"labels have {PART} characters or more")
+    rows = df.select(*equal, F.col(id_col).alias("id_"), F.lower(label).alias("name_"), (F.length(label) >= least).alias("long_")).filter("name_ is not null")
+    named = rows.groupBy(*equal, "name_").agg(F.max("long_").alias("long_"))
+    parts = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - PART + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(PART))))
+    outer = stored(named.select(*equal, F.col("name_").alias("outer_"), F.explode(parts(F.concat("name_", F.lit(tail.lower())))).alias("part_")), "parts")
+    counts = outer.groupBy(*equal, "part_").agg(F.count("*").alias("n_"))
+    asked = named.filter("long_").select(*equal, F.col("name_").alias("inner_"), F.explode(parts(F.col("name_"))).alias("part_"))
+    rarest = asked.join(counts, [*equal, "part_"]).groupBy(*equal, "inner_").agg(F.min(F.struct("n_", "part_")).alias("least_")).select(*equal, "inner_", F.col("least_.part_").alias("part_"))
+    held = rarest.join(outer, [*equal, "part_"]).filter(F.contains(F.concat("outer_", F.lit(tail.lower())), F.col("inner_"))).select(*equal, "inner_", "outer_")
+    within = rows.filter("long_").select(*equal, F.col("name_").alias("inner_"), F.col("id_").alias(f"{id_col}_1")).join(held, [*equal, "inner_"])
+    around = rows.select(*equal, F.col("name_").alias("outer_"), F.col("id_").alias(f"{id_col}_2"))
+    found = dealt_join(within.select(*equal, "outer_", f"{id_col}_1"), around, [*equal, "outer_"], f"{id_col}_1")
+    return found.filter(F.col(f"{id_col}_1") != F.col(f"{id_col}_2")).select(*equal, f"{id_col}_1", f"{id_col}_2")
+
+
 def containing(df: DataFrame, label: str, id_col: str = "id", least: int = 4) -> DataFrame:
     """(src, dst) of the first rows of labels of which one holds the other, in either case; ends are in order."""
     found = contained(df, label, id_col, least)
