@@ -250,11 +250,11 @@ def jn_anti_typed(t: Tables) -> DataFrame:
 
 
 @P.add("""
-SELECT DISTINCT a.p_size, lower(a.p_brand) AS inner, lower(b.p_brand) AS outer, min(a.p_partkey) AS inner_id, min(b.p_partkey) AS outer_id FROM part a JOIN part b ON a.p_size = b.p_size AND lower(a.p_brand) <> lower(b.p_brand)
-WHERE length(a.p_brand) > 3 AND contains(lower(b.p_brand), lower(a.p_brand)) GROUP BY ALL""")
+SELECT a.p_partkey AS p_partkey_1, b.p_partkey AS p_partkey_2, a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey
+WHERE length(a.p_name) > 3 AND contains(lower(b.p_name || ' extra'), lower(a.p_name))""")
 def jn_theta_contains(t: Tables) -> DataFrame:
-    """Labels within others among parts of one size, which stands for an insurer; brands are the labels."""
-    return joins.contained(t.part, "p_brand", "p_partkey", equal=("p_size",))
+    """Names within others among all parts of one brand and size, which stand for an insurer; equal names are within each other."""
+    return joins.containing_rows(t.part, "p_name", "p_partkey", ("p_brand", "p_size"), tail=" extra").select("p_partkey_1", "p_partkey_2", "p_brand")
 
 
 @P.add("""
