@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldgraph.functions.text import let
 from veldgraph.operators import graph
 
 # Intents with their priority, patterns and keywords.
@@ -55,8 +56,9 @@ def intent_scores(question: Column) -> Column:
 
 
 def best_intent(question: Column) -> Column:
-    first = F.get(intent_scores(question), F.lit(0))
-    return F.when(first["score"] >= LEAST_SCORE, first["intent"]).otherwise("unknown")
+    """The first of ``intent_scores``; each score is computed once, without sorting them."""
+    scored = lambda q: F.array(*[F.struct(intent_score(q, p, pats, words).alias("score"), F.lit(p).alias("priority"), F.lit(-i).alias("place"), F.lit(name).alias("intent")) for i, (name, p, pats, words) in enumerate(INTENTS)])
+    return let(let(F.lower(question), lambda q: F.array_max(scored(q))), lambda first: F.when(first["score"] >= LEAST_SCORE, first["intent"]).otherwise("unknown"))
 
 
 def is_complex(question: Column, gap: float = 0.2) -> Column:
@@ -154,14 +156,20 @@ def conditions(text: Column) -> Column:
     return F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda x: F.concat_ws("@", x["word"], x["at"]))
 
 
+def _where(text: Column, endings: list[str], found: Column) -> Column:
+    """``found`` in texts that hold one of the endings, nothing in others, which no pattern has to walk through; null texts stay null."""
+    return F.when(text.isNull() | reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in endings]), found).otherwise(F.array().cast("array<string>"))
+
+
 def coverages(text: Column) -> Column:
     """Names that end in 특약, 보장 or 담보."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\w+(?:특약|보장|담보)"), F.lit(0)), lambda w: F.length(w) >= 3))
+    found = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\w+(?:특약|보장|담보)"), F.lit(0)), lambda w: F.length(w) >= 3))
+    return _where(text, ["특약", "보장", "담보"], found)
 
 
 def diseases(text: Column) -> Column:
     """Names that end as diseases do, ending by ending."""
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?U)\w{{2,}}{x}"), F.lit(0)) for x in SUFFIXES]))
+    return F.array_distinct(F.concat(*[_where(text, [x], F.regexp_extract_all(text, F.lit(rf"(?U)\w{{2,}}{x}"), F.lit(0))) for x in SUFFIXES]))
 
 
 def bounds(question: Column) -> Column:
