@@ -105,13 +105,18 @@ def best_link(queries: DataFrame, names: DataFrame, query: str, name: str, value
     return best.select("query", F.col("value").alias(value), F.col("top.score").alias("score"))
 
 
+def exact_link(df: DataFrame, names: DataFrame, by: str, name: str, value: str) -> DataFrame:
+    """``df`` with ``key_``, the lower-case name, and ``exact_``, the least value of that name; null if there is none."""
+    exact = names.select(F.lower(name).alias("key_"), F.col(value).alias("exact_")).groupBy("key_").agg(F.min("exact_").alias("exact_"))
+    return df.withColumn("key_", F.lower(by)).join(exact, "key_", "left")
+
+
 def linked(df: DataFrame, names: DataFrame, by: str, name: str, value: str, code: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``value``, ``match_score`` and ``match_method``: the name as it is in either case, else a code of a letter and two digits within it, else the most similar name.
 
     Only what the first two stages leave is compared for likeness.
     """
-    exact = names.select(F.lower(name).alias("key_"), F.col(value).alias("exact_")).groupBy("key_").agg(F.min("exact_").alias("exact_"))
-    out = df.withColumn("key_", F.lower(by)).join(exact, "key_", "left")
+    out = exact_link(df, names, by, name, value)
     if code is not None:
         codes = names.filter(F.col(code).isNotNull()).select(F.col(code).alias("code_"), F.col(value).alias("by_code_")).groupBy("code_").agg(F.min("by_code_").alias("by_code_"))
         out = out.withColumn("code_", F.nullif(F.regexp_extract(by, r"\b([A-Z][0-9]{2})\b", 1), F.lit(""))).join(codes, "code_", "left")

@@ -60,15 +60,17 @@ def _words(df: DataFrame) -> DataFrame:
 @P.add()
 def jn_dim_fuzzy(t: Tables) -> DataFrame:
     """Each word of the conversations with the benchmark word that it is, or else the most similar one; tests compare with all pairs."""
-    known = _words(t.benchmark).withColumnRenamed("word", "name").withColumn("value", F.col("name"))
-    return fuzzy.linked(_words(t.conversations), known, "word", "name", "value")
+    return fuzzy.linked(_words(t.conversations), _known(t), "word", "name", "value")
+
+
+def _known(t: Tables) -> DataFrame:
+    return _words(t.benchmark).withColumnRenamed("word", "name").withColumn("value", F.col("name"))
 
 
 @P.add("""
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\p{L}+')) AS word FROM conversations), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\p{L}+')) AS word FROM benchmark), n AS (SELECT lower(word) AS k, min(word) AS value FROM b GROUP BY 1)
 SELECT word, value, CASE WHEN value IS NULL THEN 'other' ELSE 'exact' END AS stage FROM w LEFT JOIN n ON k = lower(word)""")
 def jn_dim_exact(t: Tables) -> DataFrame:
-    """The first stage of the same."""
-    found = jn_dim_fuzzy(t)
-    exact = F.col("match_method") == "exact"
-    return found.select("word", F.when(exact, F.col("value")).alias("value"), F.when(exact, "exact").otherwise("other").alias("stage"))
+    """The first stage of the same, without the comparisons of the others."""
+    found = fuzzy.exact_link(_words(t.conversations), _known(t), "word", "name", "value")
+    return found.select("word", F.col("exact_").alias("value"), F.when(F.col("exact_").isNotNull(), "exact").otherwise("other").alias("stage"))
