@@ -11,6 +11,9 @@ from veldgraph.storage import stored
 # How subclauses begin, by number or else by letter.
 SUBCLAUSES = (r"(?:^|\n)\s*(\d+)\s*\.\s+", r"(?:^|\n)\s*([가-힣])\s*\.\s+")
 
+#: Documents whose nodes are made distinct in one task, or so.
+DEALT = 20_000
+
 
 def node_id(name: str | Column) -> Column:
     return F.substring(F.md5(F.encode(name, "UTF-8")), 1, 16)
@@ -64,4 +67,6 @@ def clause_graph(docs: DataFrame, policy: str, text: str) -> DataFrame:
     found = node(known, "null", "policy", "Policy").unionByName(node(parts, "policy", "a", "Article")).unionByName(node(parts, "a", "p", "Paragraph")).unionByName(node(subs, "p", "concat(p, '_sub_', s)", "Subclause"))
     for df, value, label in facts:
         found = found.unionByName(node(df, "policy", f"concat(policy, '_{label.lower()}_', {value})", label))
-    return found.distinct()
+    # By number, since rows are many times as large as what is shuffled of them.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // DEALT))
+    return found.repartition(tasks, "policy").distinct()
