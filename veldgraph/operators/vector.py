@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +48,26 @@ def normalized(v: Column) -> Column:
 
 
 def stand_in(text: Column, dim: int = 1536) -> Column:
-    """A vector of numbers from -1 to 1 by digests of the text and the place: equal texts have equal vectors, on any machine."""
-    value = lambda i: (F.conv(F.substring(F.md5(F.encode(F.concat(text, F.lit(":"), i.cast("string")), "UTF-8")), 1, 8), 16, 10).cast("long") - 2147483648) / F.lit(2147483648.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
+    """A vector of numbers from -1 to 1 by digests of the text and the place: equal texts have equal vectors, on any machine. A text is digested once and its places from there on. A null text has nulls."""
+    places = [str(i).encode() for i in range(dim)]
+
+    def vector(t: str | None) -> list[None] | np.ndarray:
+        if t is None:
+            return [None] * dim
+        start, digests = hashlib.md5(t.encode() + b":", usedforsecurity=False), []
+        for place in places:
+            one = start.copy()
+            one.update(place)
+            digests.append(one.digest()[:4])
+        return (np.frombuffer(b"".join(digests), ">u4").astype(np.int64) - 2147483648) / 2147483648.0
+
+    @F.pandas_udf("array<double>")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for at in range(0, len(texts), 256):  # so a batch of vectors stays small
+                yield pd.Series([vector(t) for t in texts.iloc[at : at + 256]], dtype=object)
+
+    return made(text)
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", column: str = "embedding", min_score: float = 0.0) -> DataFrame:
