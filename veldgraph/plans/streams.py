@@ -25,16 +25,21 @@ def _stream(t: Tables) -> DataFrame:
     return t.spark.readStream.schema(windows.EVENT).option("maxFilesPerTrigger", 4).parquet(path)
 
 
+#: Rows of a file of a slice, or so.
+SLICED = 1_000_000
+
+
 def _slices(t: Tables, disorder: int = 0, slices: int = 5) -> DataFrame:
-    """The events as a stream of files that follow in time, with up to ``disorder`` microseconds of disorder between them, a file a batch."""
+    """The events as a stream of files that follow in time, with up to ``disorder`` microseconds of disorder between them, a slice a batch. A slice has as many files as all events need, so none is written by one task."""
     path = scratch_path(t.spark, "ordered")
     events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     shaken = F.unix_micros("ts") + (F.pmod(F.xxhash64("event_id"), F.lit(disorder)) if disorder else F.lit(0))
-    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")) + disorder).first()
+    first, last, rows = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")) + disorder, F.count("*")).first()
+    files = -(-rows // (slices * SLICED)) or 1
     for k in range(slices):
         low, high = (first + (last + 1 - first) * x // slices for x in (k, k + 1))
-        events.filter((shaken >= low) & (shaken < high)).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(windows.EVENT).option("maxFilesPerTrigger", 1).parquet(path)
+        events.filter((shaken >= low) & (shaken < high)).repartition(files).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(windows.EVENT).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _naive(df: DataFrame, *columns: str) -> DataFrame:
