@@ -8,8 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from veldgraph.operators import extractions, fuzzy, vector
+from veldgraph.operators import extractions, fuzzy, text_index, vector
 from veldgraph.plans import Tables, search, streams
+from veldgraph.storage import scratch_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,18 @@ def test_nodes_are_made_distinct_by_number_of_documents(spark, monkeypatch):
     found = extractions.clause_graph(docs, "policy", "text")
     assert Counter(map(tuple, found.collect())) == want
     assert found.rdd.getNumPartitions() == 20
+
+
+def test_an_index_is_written_without_a_shuffle_of_postings(spark, monkeypatch):
+    """Also in runs of few words, with rows that repeat an id, and counted from the postings' terms."""
+    docs = spark.createDataFrame([(1, "b a b", "x"), (2, "", "a"), (3, None, None), (4, "c " * 50 + "a", "b"), (1, "a", "x x"), (None, "a", "a")], "id long, t string, u string")
+    want = {("a", 1, 2.0, (0, 1)), ("b", 1, 2.0, (0, 2)), ("x", 1, 1.5, (text_index.GAP,) * 2 + (text_index.GAP + 1,)), ("a", 2, 0.5, (text_index.GAP,)), ("c", 4, 50.0, tuple(range(50))), ("a", 4, 1.0, (50,)), ("b", 4, 0.5, (text_index.GAP,))}
+    weights = {"t": 1.0, "u": 0.5}
+    for words in (text_index.WORDS, 1, 4):
+        monkeypatch.setattr(text_index, "WORDS", words)
+        index = text_index.written(docs, scratch_path(spark, "words"), "id", weights, buckets=3)
+        got = index.postings(["a", "b", "c", "x"])
+        assert {(r["term"], r["id"], r["weight"], tuple(r["places"])) for r in got.collect()} == want and got.count() == len(want)
+        assert index.counts(["a", "c", "none"]) == {"a": 3, "c": 1, "none": 0}
+    plan = text_index._postings(docs, weights)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
