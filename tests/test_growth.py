@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from veldgraph.operators import extractions, fuzzy, text_index, vector
+from veldgraph.operators import cascade, extractions, fuzzy, text_index, vector
 from veldgraph.plans import Tables, search, streams
 from veldgraph.storage import scratch_path
 
@@ -65,3 +66,31 @@ def test_an_index_is_written_without_a_shuffle_of_postings(spark, monkeypatch):
         assert index.counts(["a", "c", "none"]) == {"a": 3, "c": 1, "none": 0}
     plan = text_index._postings(docs, weights)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_walks_shuffle_no_edges(spark):
+    """Edges lie in buckets of their source, as nodes do, and join where they are."""
+    edges = spark.range(500).select(F.concat(F.lit("a"), F.col("id") % 50).alias("src"), F.concat(F.lit("b"), F.col("id") % 7).alias("dst"), "id")
+    nodes = spark.range(20).select(F.concat(F.lit("a"), "id").alias("node_id")).distinct()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = cascade.by_source(edges).join(cascade._bucketed(nodes, "node_id").withColumnRenamed("node_id", "src"), "src", "left_semi")
+        assert met.count() == 200
+        assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_edges_that_stay_have_both_ends(spark):
+    """By an anti join of each end: copies, missing ends, roots that others refer to."""
+    rng = random.Random(3)
+    ends = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(45)]
+    edges = [*ends, *ends[:9], (None, "n1"), (None, "n2"), (None, "r"), ("n1", None), ("r", None), ("n3", "r"), ("x", "r"), ("r", "only"), ("only", "more"), (None, "more"), (None, "y"), (None, None)]
+    roots = [("r",), ("n4",), ("n5",), (None,), ("r",)]
+    frame = spark.createDataFrame([(*e, i) for i, e in enumerate(edges)], "src string, dst string, w int")
+    gone = {r[0] for r in cascade.doomed(frame, spark.createDataFrame(roots, "node_id string")).collect()}
+    assert {"r", "only", "more", "n4", "n5"} <= gone
+    nodes, kept = cascade.deleted(frame.select(F.col("dst").alias("node_id")), frame, spark.createDataFrame(roots, "node_id string"))
+    assert sorted(r["w"] for r in kept.collect()) == [i for i, (a, b) in enumerate(edges) if a not in gone and b not in gone]
+    assert Counter(r[0] for r in nodes.collect()) == Counter(b for _, b in edges if b not in gone)
