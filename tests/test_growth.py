@@ -94,3 +94,19 @@ def test_edges_that_stay_have_both_ends(spark):
     nodes, kept = cascade.deleted(frame.select(F.col("dst").alias("node_id")), frame, spark.createDataFrame(roots, "node_id string"))
     assert sorted(r["w"] for r in kept.collect()) == [i for i, (a, b) in enumerate(edges) if a not in gone and b not in gone]
     assert Counter(r[0] for r in nodes.collect()) == Counter(b for _, b in edges if b not in gone)
+
+
+def test_few_pairs_are_compared_exactly_and_in_many_tasks(spark, monkeypatch):
+    """Names with common grams that are too far apart are left out before the exact ratio; names of few bytes are dealt to all tasks."""
+    compared, written = [], {}
+    ratios, stored = fuzzy._ratios, fuzzy.stored
+    monkeypatch.setattr(fuzzy, "_ratios", lambda pairs, threshold: (compared.append(pairs), ratios(pairs, threshold))[1])
+    monkeypatch.setattr(fuzzy, "stored", lambda df, name: written.setdefault(name, stored(df.withColumn("task", F.spark_partition_id()), name)).drop("task"))
+    rng = random.Random(5)
+    names = ["".join(rng.choice(["tion", "ing", "er", "and"]) for _ in range(4)) for _ in range(150)]
+    frame = spark.createDataFrame([(n,) for n in names], "n string")
+    found = fuzzy.similar(frame, frame, "n", "n").count()
+    distinct = len(set(names))
+    assert found >= distinct
+    assert compared[0].count() <= 2 * found < distinct**2 / 4
+    assert written["named"].select("task").distinct().count() == 4

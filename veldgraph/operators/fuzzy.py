@@ -6,8 +6,10 @@ common characters. Each character that a name loses takes q of its q-grams, each
 gains parts at most q - 1, so names with that ratio share at least
 (2 q - 1) ceil(r T / 2) - (q - 1) (T - 1) q-grams, ends padded, of which repeated ones are
 numbered. A name's grams are put in order from the rarest on, and a pair that shares so
-many meets in a prefix that leaves out one gram less. Only pairs that share enough
-are compared exactly. Equal names stand for each other, so no group of copies is a group of pairs.
+many meets in a prefix that leaves out one gram less. What one name loses and gains to
+become the other is T - 2 M characters at most, and their edit distance is no more, so
+only pairs within that distance are compared exactly. Names are few bytes for much work,
+so they are dealt to as many tasks as a shuffle has parts, whatever their size. Equal names stand for each other, so no group of copies is a group of pairs.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def _grams(name: Column, q: int) -> Column:
     padded = F.concat(F.lit(PAD * (q - 1)), name, F.lit(PAD * (q - 1)))
     each = F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, F.lit(q)))
     # Sorted, equal grams stand side by side and their number is the distance to the first.
-    ordered = F.array_sort(each)
+    ordered = F.sort_array(each)
     return F.transform(ordered, lambda g, i: F.concat_ws(":", g, (i - F.array_position(ordered, g) + 1).cast("string")))
 
 
@@ -78,23 +80,25 @@ def similar(queries: DataFrame, names: DataFrame, query: str, name: str, thresho
     """(query, name, score) of all pairs of distinct lower-case strings whose ratio is at least the threshold. Nulls and empty strings are none."""
     q = gram_size(threshold)
     distinct = lambda df, c: df.select(F.lower(c).alias("name")).filter("name <> ''").distinct()
-    sides = stored(distinct(queries, query).withColumn("asked", F.lit(True)).unionByName(distinct(names, name).withColumn("asked", F.lit(False))).withColumn("grams", _grams(F.col("name"), q)), "named")
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = distinct(queries, query).withColumn("asked", F.lit(True)).unionByName(distinct(names, name).withColumn("asked", F.lit(False)))
+    # By a hash of the name, since the distinct rows are parted by the name itself and would stay in few tasks.
+    sides = stored(both.repartition(tasks, F.xxhash64("name")).withColumn("grams", _grams(F.col("name"), q)), "named")
     common = sides.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     n = F.length("name")
     shortest = F.ceil(F.round(n * F.lit(threshold / (2 - threshold)), 9))
     # A partner is no shorter than this, and the longer it is, the higher the bound.
     kept = F.size("grams") - _least_from(n + shortest, threshold, q) + 1
-    ranked = sides.select("name", "asked", n.alias("length"), kept.alias("kept"), F.explode("grams").alias("gram")).join(common, "gram")
+    ranked = sides.select("name", "asked", n.alias("length"), kept.alias("kept"), F.explode("grams").alias("gram")).join(common, "gram").repartition(tasks, "name")
     place = F.row_number().over(Window.partitionBy("name", "asked").orderBy("n", "gram"))
     prefix = ranked.withColumn("place", place).filter(F.col("place") <= F.col("kept")).select("name", "asked", "length", "gram")
     prefix = stored(prefix, "prefixes")
     left, right = (prefix.filter(F.col("asked") == a).select(F.col("name").alias(c), F.col("length").alias(f"{c}_length"), "gram") for a, c in ((True, "query"), (False, "name")))
     fits = F.least("query_length", "name_length") * (2 - threshold) >= F.greatest("query_length", "name_length") * threshold - 1e-9
-    pairs = left.join(right, "gram").filter(fits).select("query", "name").distinct()
-    grams = lambda a, c: sides.filter(F.col("asked") == a).select(F.col("name").alias(c), F.col("grams").alias(f"{c}_grams"))
-    met = pairs.join(grams(True, "query"), "query").join(grams(False, "name"), "name")
-    enough = F.size(F.array_intersect("query_grams", "name_grams")) >= _least(F.length("query") + F.length("name"), threshold, q)
-    return _ratios(met.filter(enough).select("query", "name"), threshold)
+    total = F.col("query_length") + F.col("name_length")
+    near = F.levenshtein("query", "name") <= total - 2 * F.ceil(F.round(total * F.lit(threshold / 2), 9))
+    pairs = left.join(right, "gram").filter(fits & near).select("query", "name").repartition(tasks, "query", "name").distinct()
+    return _ratios(pairs, threshold)
 
 
 def best_link(queries: DataFrame, names: DataFrame, query: str, name: str, value: str, threshold: float = THRESHOLD) -> DataFrame:
