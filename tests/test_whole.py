@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import pytest
 
+from tests.compare import difference
 from veldgraph import registry
 
 QUERIES = registry.queries()
@@ -76,3 +78,16 @@ def test_templates_and_chunks_of_all_documents(spark, tmp_path):
     for file in ("chunks", "metadata"):
         assert {r["doc_id"]: (r["n"], r["length"]) for r in written if r["file"] == file} == {i: (-(-len(body or "") // 100), len(body or "")) for i, body, _, _ in rows}
     assert sum(r["length"] for r in written if r["file"] == "stats") == sum(len(body or "") for _, body, _, _ in rows)
+
+
+def test_diffs_of_all_documents(spark, tmp_path):
+    """Also of those without a text, which is an empty one; an empty text has no lines, and one is added to it."""
+    texts = [None, "", "a", "\n", "a\nb", "b\nb\nb", "changed \n"]
+    rows = [(i, t) for i, t in enumerate(t for t in texts for _ in range(3))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("s_diff", "s_incremental"):
+        assert difference(QUERIES[name](spark, str(tmp_path)), con, registry.oracle_sql()[name]) == ""
+    got = {r["doc_id"]: (r["added"], r["removed"]) for r in QUERIES["s_diff"](spark, str(tmp_path)).collect()}
+    assert got == {i: (int(i % 3 != 1), int(i % 3 == 2 and bool(t))) for i, t in rows}
